@@ -63,6 +63,12 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str | None]:
         yield x.as_py()
 
 
+def bytes_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
+    """The UTF-8 of a column's strings, one at a time; null counts as empty."""
+    for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()):
+        yield x.as_py() or b""
+
+
 def held_out(doc_id: F.Column | str) -> F.Column:
     """True where crc32 of the id's decimal text is a multiple of HELD_OUT_MOD (a null id counts as empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op07_bpe
+from . import op04_secrets, op05_urls, op07_bpe, op08_shards, op09_media, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_bpe": op07_bpe.op7_bpe}
+    return {
+        "op4_secrets": op04_secrets.op4_secrets,
+        "op5_urls": op05_urls.op5_urls,
+        "op7_bpe": op07_bpe.op7_bpe,
+        "op8_shards": op08_shards.op8_shards,
+        "op9_media": op09_media.op9_media,
+        "op10_decontaminate": op10_decontaminate.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_urls": op05_urls.SQL, "op10_decontaminate": op10_decontaminate.SQL}
