@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op04_secrets, op05_urls, op07_bpe, op08_shards, op09_media, op10_decontaminate
+from . import op01_toxicity, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op01_toxicity.op1_toxicity,
         "op4_secrets": op04_secrets.op4_secrets,
         "op5_urls": op05_urls.op5_urls,
+        "op6_language": op06_language.op6_language,
         "op7_bpe": op07_bpe.op7_bpe,
         "op8_shards": op08_shards.op8_shards,
         "op9_media": op09_media.op9_media,
