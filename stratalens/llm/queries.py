@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_toxicity, op03_ngram_join, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate
+from . import op01_toxicity, op02_line_dedup, op03_ngram_join, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op01_toxicity.op1_toxicity,
+        "op2_line_dedup": op02_line_dedup.op2_line_dedup,
         "op3_ngram_join": op03_ngram_join.op3_ngram_join,
         "op4_secrets": op04_secrets.op4_secrets,
         "op5_urls": op05_urls.op5_urls,
@@ -32,4 +33,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": op03_ngram_join.SQL, "op5_urls": op05_urls.SQL, "op10_decontaminate": op10_decontaminate.SQL}
+    return {"op2_line_dedup": op02_line_dedup.SQL, "op3_ngram_join": op03_ngram_join.SQL, "op5_urls": op05_urls.SQL, "op10_decontaminate": op10_decontaminate.SQL}

@@ -67,10 +67,11 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((np.append(before[1:], total[-1]) - before) * down[starts]), starts
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, at_lines: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, first places and row numbers of the texts of a string column, about BLOCK bytes at once.
 
-    A text of over a block comes in pieces cut at spaces, each with the row's number.
+    A text of over a block comes in pieces cut before white space, or with
+    at_lines before line feeds, each with the row's number.
     """
     texts, firsts, rows, size = [], [], [], 0
 
@@ -83,7 +84,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         while at < len(raw):
             end = len(raw)
             if end - at > BLOCK:
-                end = next((k for k in range(at + BLOCK, len(raw)) if _SPACE[raw[k]]), len(raw))
+                end = next((k for k in range(at + BLOCK, len(raw)) if (raw[k] == 10 if at_lines else _SPACE[raw[k]])), len(raw))
             if size and size + end - at > BLOCK:
                 yield out()
                 texts, firsts, rows, size = [], [], [], 0
