@@ -1,3 +1,61 @@
-"""The corpus pipeline: see STAGES."""
+"""From raw documents to token ids, in five stages.
 
-STAGES = []
+Every stage takes all rows its predecessor kept and passes on the columns of
+documents: language identification drops rejected documents; line dedup takes
+repeated lines out of texts, and a document out that has lost all its lines with
+words; the n-gram join keeps one document of each class of near copies (the first
+by doc_id, then by the text's hash; rows equal in both are one document);
+decontamination drops documents that hold benchmark passages; BPE gives token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalens.llm.common import cut, held_out, table
+from stratalens.llm.op02_line_dedup import dedup_lines
+from stratalens.llm.op03_ngram_join import keep_one_of_each_class
+from stratalens.llm.op06_language import fit, identify
+from stratalens.llm.op07_bpe import encode_decode
+from stratalens.llm.op10_decontaminate import decontaminate
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    model = fit(docs.filter(~held_out("doc_id")))
+    return identify(docs, model).filter("NOT rejected").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = dedup_lines(docs.select(*COLUMNS)).filter("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each_class(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_decode(docs.select("doc_id", "lang", "source", "text"), with_bytes=True).drop("text")
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_join", near_copies), ("decontaminate", benchmark), ("bpe", tokens)]
+
+#: The fitted language model has no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs

@@ -91,7 +91,30 @@ def with_sets(docs: DataFrame, table: Levels, whole: bool) -> DataFrame:
 
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows, classes = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), heavy)
+    names = classes.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(names, "comp").select("node", "component_id")
+    out = rows.filter("node IS NOT NULL").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return out.unionByName(rows.filter("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """The rows of docs that come first in their class, by id and then by the text's hash; rows equal in both are one.
+
+    Rows with empty sets all stay, but for repeats.
+    """
+    th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows, classes = _classes(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), F.col(text).alias("text")), heavy)
+    filled = rows.filter("node IS NOT NULL").select("doc_id", "th", "node").join(classes.select("node", "comp"), "node")
+    first = filled.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
+    kept = first.unionByName(rows.filter("node IS NULL").select("doc_id", "th")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    keyed = docs.withColumn("_text", th)
+    keyed = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
+    return keyed.dropDuplicates([doc_id, "_text"]).drop("_text")
+
+
+def _classes(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (doc_id, text and others) with n and node instead of text; node, first_id and comp of every node."""
     known = levels(docs.select("text"), shingle_parts, BITS)
     rows = cut(with_sets(docs, known, whole=False))
     filled = rows.filter("node IS NOT NULL")
@@ -126,11 +149,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", he
     joined = classes.select(F.col("node").alias("x"), F.col("comp").alias("y")).filter("x <> y")  # the first links, as stars
     classes = components(joined.unionByName(found))
 
-    named = nodes.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(names, "comp").select("node", "component_id")
-    out = filled.select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.filter("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return rows.drop("l", "prefix"), nodes.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

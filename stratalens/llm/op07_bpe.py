@@ -128,13 +128,14 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
-def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256, and on wish ids (array<int>) and decoded (string).
+def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, with_bytes: bool = False, with_text: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256, and on wish ids (array<int>),
+    ids_bytes (the same as little-endian unsigned 32-bit integers) and decoded (string).
 
     The tokenizer file (1.6 MB, whatever the data) is the only thing broadcast.
     """
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
-    fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * with_ids + [("decoded", "string")] * with_text
+    fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * with_ids + [("ids_bytes", "binary")] * with_bytes + [("decoded", "string")] * with_text
 
     def factory():
         codec = codec_of(spec.value)
@@ -145,7 +146,7 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, wi
                 ids = codec.encode(t or "")
                 decoded = codec.decode(ids)
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                row += [memoryview(ids).cast("I").tolist()] * with_ids + [decoded] * with_text
+                row += [memoryview(ids).cast("I").tolist()] * with_ids + [ids] * with_bytes + [decoded] * with_text
                 for c, x in zip(columns, row, strict=True):
                     c.append(x)
             return columns

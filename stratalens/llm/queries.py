@@ -19,6 +19,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": pipeline,
         "op1_toxicity": op01_toxicity.op1_toxicity,
         "op2_line_dedup": op02_line_dedup.op2_line_dedup,
         "op3_ngram_join": op03_ngram_join.op3_ngram_join,
