@@ -1,0 +1,54 @@
+"""Distribution functions for finished test statistics: a few scalars on the driver, by the JVM's commons-math3."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import SparkSession
+
+
+def _distributions(spark: SparkSession):
+    return spark._jvm.org.apache.commons.math3.distribution
+
+
+def f_sf(spark: SparkSession, f: float, df_num: float, df_den: float) -> float:
+    return 1.0 - _distributions(spark).FDistribution(float(df_num), float(df_den)).cumulativeProbability(float(f))
+
+
+def t_two_sided(spark: SparkSession, t: float, df: float) -> float:
+    return 2.0 * _distributions(spark).TDistribution(float(df)).cumulativeProbability(-abs(float(t)))
+
+
+def chi2_sf(spark: SparkSession, x: float, df: float) -> float:
+    return 1.0 - _distributions(spark).ChiSquaredDistribution(float(df)).cumulativeProbability(float(x))
+
+
+def normal_two_sided(spark: SparkSession, z: float) -> float:
+    return 2.0 * _distributions(spark).NormalDistribution().cumulativeProbability(-abs(float(z)))
+
+
+def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided exact p of the table [[a, b], [c, d]]: all tables as likely as it or less."""
+    rows, cols, n = a + b, a + c, a + b + c + d
+    choose = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
+    at = lambda k: math.exp(choose(rows, k) + choose(n - rows, cols - k) - choose(n, cols))
+    own = at(a)
+    return min(1.0, sum(p for k in range(max(0, cols - (n - rows)), min(rows, cols) + 1) if (p := at(k)) <= own * (1 + 1e-7)))
+
+
+def mann_whitney_two_sided(spark: SparkSession, u: float, n1: int, n2: int, tie_sum: float) -> float:
+    """Normal approximation with tie and continuity corrections; tie_sum is the sum of t^3 - t over ties."""
+    n = n1 + n2
+    sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - tie_sum / (n * (n - 1))))
+    if not sd:
+        return 1.0
+    z = (abs(u - n1 * n2 / 2) - 0.5) / sd
+    return min(1.0, normal_two_sided(spark, max(z, 0.0)))
+
+
+def baseline_p(spark: SparkSession, row, kind: str) -> float:
+    """p of a row of welch() or stratified_f(); 1 where the statistic is not defined or not finite."""
+    value = row["t"] if kind == "welch" else row["f"]
+    if value is None or not math.isfinite(value):
+        return 1.0
+    return t_two_sided(spark, value, row["df"]) if kind == "welch" else f_sf(spark, value, row["df_num"], row["df_den"])
