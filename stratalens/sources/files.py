@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    df.select(*fields).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    df.select(*fields).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
