@@ -23,7 +23,7 @@ from .common import append_columns, bytes_of, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Least log10 of guesses of a reported value.
-MIN_LOG10 = 8.0
+MIN_LOG10 = 11.0
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
