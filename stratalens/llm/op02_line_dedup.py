@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, without
 from .setjoin import BROADCAST_IDS, DEN, NUM, apart, compatible, prefix_length, similar
 from .tokens import Levels, blocks, levels, mix, word_hashes
 
@@ -162,11 +162,13 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text less the removed lines, and n_removed; columns of these names give way, all others stay."""
-    removed = removed_lines(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "removed")
+    """docs with text less the removed lines, and n_removed; a column of that name gives way, all others stay."""
+    docs = without(docs, ["n_removed"])
+    removed = removed_lines(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
     joined = docs.join(removed, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("removed", i))
-    return joined.withColumns({text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")), "n_removed": F.coalesce(F.size("removed"), F.lit(0))}).drop("_id", "_th", "removed")
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_removed", i))
+    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumns({text: changed, "n_removed": F.coalesce(F.size("_removed"), F.lit(0))}).drop("_id", "_th", "_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
