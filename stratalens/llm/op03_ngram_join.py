@@ -134,7 +134,7 @@ def _classes(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
     classes = components(links)
 
     # what is left: pairs of different classes that share keys
-    member = shared.drop("hub", "salts").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = shared.drop("size", "salt", "salts").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     member = cut(member)
     counted = member.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = counted.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")

@@ -40,21 +40,30 @@ def prefix_length(n: int, extra: int = 0) -> int:
 def postings(sets: DataFrame, floor: float, heavy: int = HEAVY) -> DataFrame:
     """A row for each key of a set's prefix, of keys that other sets have too.
 
-    sets: node (long), n, l (int), prefix (array<long>, in key order), and any
-    columns to carry. Adds token, pos, salts (over 1 for a split key) and hub: the
-    struct of the group's first row by ``order`` or else by node.
+    sets: node (long), n, l (int) and prefix (array<long>, in key order). Gives
+    token, pos, node, n, l, salts (over 1 for a split key), salt, and size: the rows
+    of the key and salt.
     """
-    carried = [c for c in sets.columns if c != "prefix"]
-    rows = sets.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM).select(*carried, F.posexplode("prefix").alias("pos", "token"))
-    # sets of other sizes are out of reach for the smallest: n / (n + 1) is under the threshold
+    # a set this small is out of reach for any of another size: n / (n + 1) is under the threshold
+    rows = sets.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM).select("node", "n", "l", F.posexplode("prefix").alias("pos", "token"))
     level = F.shiftrightunsigned("token", 56)
     seen = F.pow(F.lit(2.0), level / 8) - 1 - 1.2 * floor
     rows = rows.withColumn("salts", F.greatest(F.lit(1), F.ceil(seen / heavy)).cast("int"))
     rows = rows.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node"), F.col("salts"))).otherwise(0).cast("int"))
-    group = Window.partitionBy("token", "salt")
-    first = [c for c in ("order", "node", "n", "l", "pos", "bits") if c in rows.columns]
-    rows = rows.withColumns({"_size": F.count("*").over(group), "hub": F.min(F.struct(*first)).over(group)})
-    return rows.filter("_size > 1 OR salts > 1").drop("_size", "salt")
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("token", "salt")))
+    return rows.filter("size > 1 OR salts > 1")
+
+
+def with_hubs(shared: DataFrame) -> DataFrame:
+    """shared with hub, the node of each key and salt that shares most keys with others.
+
+    Of documents copied from one another with changes, the one that the others
+    were made from shares most, and is similar to most.
+    """
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighted = shared.join(weights, "node")
+    hubs = weighted.groupBy("token", "salt").agg(F.max(F.struct("weight", "node", "n", "l", "pos")).alias("hub"))
+    return weighted.join(hubs, ["token", "salt"])
 
 
 def compatible(a, b) -> Column:
@@ -69,13 +78,13 @@ def apart(a, b) -> Column:
     return F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= a("n") + b("n") - 2 * required(a("n"), b("n"))
 
 
-def stars(shared: DataFrame, signed: bool = False) -> DataFrame:
+def stars(shared: DataFrame) -> DataFrame:
     """node, hub and shares (of keys) of the pairs of a member and its group's hub, and of a salted key's hubs and their first."""
     own, hub = (lambda c: F.col(c)), (lambda c: F.col(f"hub.{c}"))
-    fit = compatible(own, hub) & (apart(own, hub) if signed else F.lit(True))
-    direct = shared.filter((F.col("node") != F.col("hub.node")) & fit).select("node", F.col("hub.node").alias("hub"))
-    heads = shared.filter((F.col("salts") > 1) & (F.col("node") == F.col("hub.node"))).select("token", "hub")
-    tops = heads.groupBy("token").agg(F.min("hub").alias("top"))
+    with_hub = with_hubs(shared)
+    direct = with_hub.filter((F.col("node") != F.col("hub.node")) & compatible(own, hub)).select("node", F.col("hub.node").alias("hub"))
+    heads = with_hub.filter((F.col("salts") > 1) & (F.col("node") == F.col("hub.node"))).select("token", "hub")
+    tops = heads.groupBy("token").agg(F.max("hub").alias("top"))
     upper = heads.join(tops, "token").filter(F.col("hub.node") != F.col("top.node")).select(F.col("hub.node").alias("node"), F.col("top.node").alias("hub"))
     return direct.unionByName(upper).groupBy("node", "hub").agg(F.count("*").alias("shares"))
 
