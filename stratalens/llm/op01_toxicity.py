@@ -12,9 +12,9 @@ The training set is a sample of at most about SAMPLE labelled rows, taken by a
 hash of the id over the whole table; features are counted by a shuffle over all of
 them, and the weights fitted in one task of bounded size.
 
-Null and empty texts have no features and the score of none. A text labelled more
-than once counts once for each label row; null labels teach nothing. Without
-training rows every score is 0. Rows may repeat, other columns pass through.
+Null and empty texts have no features and the score of none. Null labels teach
+nothing. Without training rows every score is 0. Rows may repeat, other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, held_out, table, texts_of
+from .common import append_columns, cut, held_out, table, texts_of
 
 #: Bound on labelled rows that the classifier is fitted on (expected value of the hash sample).
 SAMPLE = 24_000
@@ -123,15 +123,27 @@ def fit_weights(sets: list[list[int]], swapped: list[list[int]], labels: np.ndar
     return w, b
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of labelled rows (label 0 or 1). What reaches the driver is bounded by KEEP weights."""
-    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    n = rows.count()
-    if not n:
-        return Model({}, -np.inf)
+def sample_of(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, sample: int) -> DataFrame:
+    """text and label of about sample labelled documents, one row an id, cut.
+
+    Ids are drawn from the labels by hash and sent to the documents, so only drawn
+    texts move. Several labels of an id become one, toxic if half of them are; of
+    several texts of an id the least is taken.
+    """
+    votes = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
+    votes = votes.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(draw < min(1.0, sample / n))
-    context = rows.sparkSession.sparkContext
+    drawn = cut(votes.filter(draw < min(1.0, sample / max(1, votes.count()))))
+    if drawn.count() <= 2 * sample:  # as good as always: the draw's size varies by its square root
+        drawn = F.broadcast(drawn)
+    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(drawn, "doc_id")
+    return cut(joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """A model of docs (doc_id, text) labelled by labels (doc_id, label 0 or 1). What reaches the driver is bounded by KEEP weights."""
+    drawn = sample_of(docs, labels, text, label, doc_id, sample)
+    context = docs.sparkSession.sparkContext
 
     def occurring(batches):
         for pdf in batches:
@@ -139,7 +151,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", doc_id: str =
                 found = list(text_features(words_of(t)))
                 yield pd.DataFrame({"f": [*found, ""], "y": np.int64(y)})
 
-    seen = drawn.select("text", "label").mapInPandas(occurring, "f string, y long").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    seen = drawn.mapInPandas(occurring, "f string, y long").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     seen = seen.filter(F.col("n") >= MIN_DOCS)
     top = seen.filter("f = ''").first()  # the empty feature is in every text
     if top is None:
@@ -166,7 +178,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "label", doc_id: str =
         w, b = fit_weights([list(x) for x in pdf["own"]], [list(x) for x in pdf["swapped"]], pdf["label"].to_numpy(), len(names))
         return pd.DataFrame({"w": [w.tolist()], "b": [b]})
 
-    codes = drawn.select("text", "label").mapInPandas(encoded, "one string, own array<int>, swapped array<int>, label int")
+    codes = drawn.mapInPandas(encoded, "one string, own array<int>, swapped array<int>, label int")
     result = codes.groupBy("one").applyInPandas(solve, "w array<double>, b double").first()  # the bounded sample's group
     return Model(dict(zip(names, result["w"], strict=True)), result["b"])
 
@@ -190,5 +202,5 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(~held_out("doc_id"))
-    model = fit(docs.join(labels, "doc_id"))
+    model = fit(docs, labels)
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
