@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import append_columns, cut, table
-from .setjoin import HEAVY, compatible, components, needed_ids, postings, prefix_length, similar, stars
+from .setjoin import HEAVY, compatible, components, needed_ids, perhaps_similar, postings, prefix_length, signature, similar, stars
 from .tokens import Levels, levels, mix, shingles, words_by_row
 
 BITS = 18
@@ -60,10 +60,10 @@ def shingle_parts(column: pa.Array):
         yield shingles(words)
 
 
-def with_sets(docs: DataFrame, table: Levels, whole: bool) -> DataFrame:
-    """docs (doc_id, text) with n, node, and l with the prefix, or else the whole set as keys; node is null for empty sets."""
+def with_sets(docs: DataFrame, table: Levels, what: str) -> DataFrame:
+    """docs (doc_id, text) with n, node, l and what of the set: its prefix, all its keys, or its sign. node is null for empty sets."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    fields = [("n", "int"), ("node", "long")] + ([("keys", "array<long>")] if whole else [("l", "int"), ("prefix", "array<long>")])
+    fields = [("n", "int"), ("node", "long"), ("l", "int"), (what, "array<long>")]
 
     def factory():
         known = shared.value
@@ -76,13 +76,13 @@ def with_sets(docs: DataFrame, table: Levels, whole: bool) -> DataFrame:
                 keys = np.unique(known.keys(shingles(words)))
                 if len(keys):
                     n[row], node[row] = len(keys), digest(keys)
-                    if not whole:
+                    if what == "prefix":
                         ls[row] = matches_wanted(keys, known)
                         keys = keys[: prefix_length(len(keys), int(ls[row]) - 1)]
-                    lists[row] = keys.view(np.int64)
+                    lists[row] = signature(keys) if what == "sign" else keys.view(np.int64)
             ends = np.cumsum([0, *map(len, lists)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if rows else np.zeros(0, np.int64)))
-            return [pa.array(n), pa.array(node, pa.int64()), *([] if whole else [pa.array(ls)]), flat]
+            return [pa.array(n), pa.array(node, pa.int64()), pa.array(ls), flat]
 
         return compute
 
@@ -116,21 +116,21 @@ def keep_one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str =
 def _classes(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
     """The rows of docs (doc_id, text and others) with n and node instead of text; node, first_id and comp of every node."""
     known = levels(docs.select("text"), shingle_parts, BITS)
-    rows = cut(with_sets(docs, known, whole=False))
+    rows = cut(with_sets(docs, known, "prefix"))
     filled = rows.filter("node IS NOT NULL")
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     sets = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
     shared = cut(postings(sets, known.floor, heavy))
 
-    def whole_sets(pairs: DataFrame) -> DataFrame:
-        """node and keys of the nodes of pairs, from the texts that first hold them."""
+    def sets_of(pairs: DataFrame, what: str) -> DataFrame:
+        """node, n and what of the sets of the nodes of pairs, from the texts that first hold them."""
         wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
         ids, _ = needed_ids(nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")))
-        return with_sets(docs.join(ids, "doc_id", "left_semi"), known, whole=True).select("node", "keys")
+        return with_sets(docs.join(ids, "doc_id", "left_semi"), known, what).select("node", "n", what)
 
     best = stars(shared).groupBy("node").agg(F.max_by("hub", F.struct("shares", "hub")).alias("hub"))
     pairs = cut(best.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
-    links = cut(similar(pairs, whole_sets(pairs)))
+    links = cut(similar(pairs, sets_of(pairs, "keys")))
     classes = components(links)
 
     # what is left: pairs of different classes that share keys
@@ -145,7 +145,8 @@ def _classes(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
     met = minor.join(member.alias("b"), (a("token") == b("token")) & (a("comp") != b("comp")) & once & compatible(a, b))
     met = met.select(F.least(a("node"), b("node")).alias("x"), F.greatest(a("node"), b("node")).alias("y"), F.least(a("l"), b("l")).alias("l"))
     more = cut(met.groupBy("x", "y").agg(F.count("*").alias("shares"), F.min("l").alias("l")).filter("shares >= l").select("x", "y"))
-    found = similar(more, whole_sets(more))
+    more = cut(perhaps_similar(more, sets_of(more, "sign")))
+    found = similar(more, sets_of(more, "keys"))
     joined = classes.select(F.col("node").alias("x"), F.col("comp").alias("y")).filter("x <> y")  # the first links, as stars
     classes = components(joined.unionByName(found))
 

@@ -14,6 +14,7 @@ with a hub of its own, and those hubs are compared with the key's first.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,6 +105,34 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").filter(DEN * both >= NUM * (F.size("xs") + F.size("ys") - both)).select("x", "y").distinct()
 
 
+def perhaps_similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose signatures (node, n, sign) leave room for a link.
+
+    A signature has a bit for each key's hash, in words of 64 (see :func:`signature`).
+    Bits that differ are at most as many as keys that differ, so no link is lost.
+    The longer of two signatures is folded to the other's length.
+    """
+    a = signed.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("sign").alias("xs"))
+    b = signed.select(F.col("node").alias("y"), F.col("n").alias("yn"), F.col("sign").alias("ys"))
+
+    def folded(own: str, other: str) -> Column:
+        half = F.size(other)
+        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(own) > half, halves).otherwise(F.col(own))
+
+    differing = F.aggregate(F.zip_with(folded("xs", "ys"), folded("ys", "xs"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    room = F.col("xn") + F.col("yn") - 2 * required(F.col("xn"), F.col("yn"))
+    return pairs.join(a, "x").join(b, "y").filter(differing <= room).select("x", "y").distinct()
+
+
+def signature(keys: np.ndarray) -> np.ndarray:
+    """Bits of hashes of keys, four to eight for each of them, as signed words of 64; lengths are powers of two."""
+    size = max(64, 4 << (len(keys) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(keys & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the class' least node) of every node of edges (x, y).
 
