@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
                 yield pd.DataFrame({"f": [*found, ""], "y": np.int64(y)})
 
     seen = drawn.mapInPandas(occurring, "f string, y long").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    seen = seen.filter(F.col("n") >= MIN_DOCS)
+    seen = cut(seen.filter(F.col("n") >= MIN_DOCS))
     top = seen.filter("f = ''").first()  # the empty feature is in every text
     if top is None:
         return Model({}, -30.0)
