@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import with_below
 from .strata import average_rank
 
 
@@ -59,8 +60,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(c: str, out: str) -> DataFrame:
         counts = df.groupBy(c).agg(F.count("*").alias("_k"))
-        below = F.sum("_k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("_k") + 1) / 2).alias(out))
+        return with_below(counts, c, "_k", "_below").select(c, (F.col("_below") + (F.col("_k") + 1) / 2).alias(out))
 
     return df.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y).agg(F.corr("_rx", "_ry").alias("spearman"))
 

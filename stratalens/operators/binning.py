@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .frame import blind
+from .ranks import quantiles
 
 
 def edges(n_bins: int, s: str = "s_raw") -> Column:
@@ -23,6 +24,13 @@ def edges(n_bins: int, s: str = "s_raw") -> Column:
     return F.array_distinct(F.percentile(s, F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)])))
 
 
+def pooled_edges(df: DataFrame, n_bins: int, s: str = "s_raw") -> DataFrame:
+    """One row: the distinct inner edges over all units, found without gathering their values in one task."""
+    if n_bins < 2:
+        raise ValueError("at least two bins are needed")
+    return quantiles(df, s, [k / n_bins for k in range(1, n_bins)], "_edges").select(F.array_distinct("_edges").alias("_edges"))
+
+
 def code(edge: Column, s: Column) -> Column:
     return F.size(F.filter(edge, lambda e: e <= s))
 
@@ -40,7 +48,7 @@ def _blind_of(df: DataFrame) -> DataFrame:
 
 def quantile_bins(df: DataFrame, n_bins: int = 8, s: str = "s_raw", out: str = "s_bin") -> DataFrame:
     """df with pooled quantile bins; the edges come from the scores alone."""
-    pooled = _blind_of(df).agg(edges(n_bins, s).alias("_edges"))
+    pooled = pooled_edges(_blind_of(df), n_bins, s)
     coded = df.crossJoin(F.broadcast(pooled)).withColumn("_code", code(F.col("_edges"), F.col(s)))
     return dense(coded, "_code", out).drop("_code", "_edges")
 
@@ -66,7 +74,7 @@ def discretize(df: DataFrame, strategy: str = "global", n_bins: int = 8) -> Data
 
 def decile_codes(df: DataFrame, s: str = "s_raw", out: str = "s_bin") -> DataFrame:
     """df with codes 0 to 9 from pooled deciles; a value on an edge goes up."""
-    pooled = _blind_of(df).agg(edges(10, s).alias("_edges"))
+    pooled = pooled_edges(_blind_of(df), 10, s)
     return df.crossJoin(F.broadcast(pooled)).withColumn(out, code(F.col("_edges"), F.col(s))).drop("_edges")
 
 

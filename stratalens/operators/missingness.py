@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import quantiles, with_below
 
 
 def exclusion_rates(df: DataFrame, by: str = "a", excluded: str = "excluded") -> DataFrame:
@@ -42,8 +43,7 @@ def group_difference(df: DataFrame, value: str, group: str) -> DataFrame:
         one(F.var_samp, True).alias("_v1"), one(F.var_samp, False).alias("_v0"),
     )
     values = df.groupBy(value).agg(F.count_if(F.col(group)).alias("k1"), F.count("*").alias("k"))
-    below = F.coalesce(F.sum("k").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select("k1", "k", (below + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum(F.col("k1") * F.col("rank")).alias("r1"), F.sum(F.col("k").cast("double") ** 3 - F.col("k")).alias("tie_sum"))
+    ranks = with_below(values, value, "k", "below").select("k1", "k", (F.col("below") + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum(F.col("k1") * F.col("rank")).alias("r1"), F.sum(F.col("k").cast("double") ** 3 - F.col("k")).alias("tie_sum"))
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("_v1") + (F.col("n0") - 1) * F.col("_v0")) / (F.col("n1") + F.col("n0") - 2))
     out = base.crossJoin(ranks)
     return out.select("n1", "n0", "mean1", "mean0", "median1", "median0", pooled.alias("pooled_sd"), F.try_divide(F.col("mean1") - F.col("mean0"), pooled).alias("smd"), (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "tie_sum")
@@ -57,5 +57,5 @@ def position_deciles(df: DataFrame, position: str, n: str) -> DataFrame:
 
 def time_tenths(df: DataFrame, t: str) -> DataFrame:
     """df with tenth: right-open between quantiles of t, the last closed. The quantiles are one broadcast row."""
-    edges = df.agg(F.percentile(t, F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("_edges"))
+    edges = quantiles(df, t, [k / 10 for k in range(1, 10)], "_edges")
     return df.crossJoin(F.broadcast(edges)).withColumn("tenth", F.size(F.filter("_edges", lambda e: e <= F.col(t)))).drop("_edges")

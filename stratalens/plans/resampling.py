@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import uniform
 from ..operators.gaps import mean_gap
+from ..operators.ranks import with_below
 
 
 def interval(reps: DataFrame, value: str, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
@@ -34,12 +35,12 @@ def stratified_bootstrap(df: DataFrame, reps: int, seed: str) -> DataFrame:
 
 
 def cluster_bootstrap(clusters: DataFrame, reps: int, seed: str) -> DataFrame:
-    """(rep, mean) of resampled clusters; clusters has cluster, d_sum and n: whole clusters are drawn, by multiplicity.
+    """(rep, mean) of resampled clusters; clusters has cluster (numeric), d_sum and n: whole clusters are drawn, by multiplicity.
 
     Only cluster totals take part, whatever the number of units.
     """
-    w = Window.orderBy("cluster")
-    numbered = clusters.select((F.row_number().over(w) - 1).alias("k"), "d_sum", "n").crossJoin(F.broadcast(clusters.agg(F.count("*").alias("m"))))
+    one = clusters.withColumn("_one", F.lit(1).cast("long"))
+    numbered = with_below(one, "cluster", "_one", "k").select("k", "d_sum", "n").crossJoin(F.broadcast(clusters.agg(F.count("*").alias("m"))))
     slots = numbered.select("m", F.col("k").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     picks = slots.select("rep", F.floor(uniform(seed, "rep", "slot") * F.col("m")).alias("k")).groupBy("rep", "k").agg(F.count("*").alias("times"))
     drawn = picks.join(numbered.drop("m"), "k")

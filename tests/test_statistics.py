@@ -211,3 +211,17 @@ def test_experiment_controls_error_and_has_power(spark):
     assert rates["variance_only", "conditional_g2"] > 0.6 > rates["variance_only", "mean_disparity"] + 0.2
     again = experiment.run(spark, config).repartition(3)
     assert rows.exceptAll(again).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranks_and_quantiles_equal_numpy(spark, seed):
+    from stratalens.operators.ranks import quantiles, with_below
+
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, [5, 300, 10**6][seed], 500).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    counts = df.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("k"))
+    assert {r["v"]: r["below"] for r in with_below(counts, "v", "k", "below").collect()} == {v: int((x < v).sum()) for v in np.unique(x)}
+    p = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    assert quantiles(df, "v", p, "q").first()["q"] == pytest.approx(np.quantile(x, p).tolist())
+    assert quantiles(df.limit(0), "v", p, "q").first()["q"] is None
