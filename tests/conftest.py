@@ -38,7 +38,7 @@ def duck():
 
 def canonical(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    text = lambda x: "NULL" if x is None else f"{x:.6f}" if isinstance(x, float) else str(x)
+    text = lambda x: "NULL" if x is None else f"{round(x, 6) + 0.0:.6f}" if isinstance(x, float) else str(x)
     return sorted(tuple(text(r[i]) for i in order) for r in rows)
 
 
