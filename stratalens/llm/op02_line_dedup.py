@@ -41,15 +41,15 @@ def word_parts(column: pa.Array):
         yield word_hashes(data, firsts)[0]
 
 
-def line_rows(docs: DataFrame, known: Levels, only=None) -> DataFrame:
-    """A row for each line with words of docs (doc_id, th, text): doc_id, th, line, n, node, bits and prefix.
+def line_rows(docs: DataFrame, known: Levels, only=None, slim: bool = False) -> DataFrame:
+    """A row for each line with words of docs (doc_id, th, text): doc_id, th, line, node, and unless slim n, bits and prefix.
 
-    With only (a broadcast array of nodes, or an empty one for all), node and keys
-    (the whole set) of lines of these nodes.
+    With only (a broadcast array of nodes, or an empty one for all), doc_id, th, line,
+    node and keys (the whole set) of lines of these nodes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
     whole = only is not None
-    schema = "node long, keys array<long>" if whole else "doc_id long, th long, line int, n int, node long, bits long, prefix array<long>"
+    schema = "doc_id long, th long, line int, node long" + (", keys array<long>" if whole else "" if slim else ", n int, bits long, prefix array<long>")
     schema = schema.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
     lengths = np.array([prefix_length(n) for n in range(4096)])
 
@@ -82,82 +82,119 @@ def line_rows(docs: DataFrame, known: Levels, only=None) -> DataFrame:
                 n = np.diff(np.r_[at, len(keys)])
                 x = np.add.reduceat(mix(keys * _ONE + np.repeat(n, n).astype(np.uint64)), at)
                 node = mix(x).view(np.int64)
-                if whole:
-                    wanted = np.isin(node, only.value) if len(only.value) else np.ones(len(node), bool)
-                    ends = np.cumsum(np.r_[0, n[wanted]])
-                    flat = keys[np.repeat(wanted, n)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[wanted]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "keys"])
-                    continue
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (keys & np.uint64(63)), at).view(np.int64)
-                p = np.where(n < len(lengths), lengths[np.minimum(n, len(lengths) - 1)], n + (-NUM * n) // DEN + 1)
-                within = np.arange(len(keys)) - np.repeat(at, n)
-                flat = keys[within < np.repeat(p, n)].view(np.int64)
                 first_word = lead[at]
                 part = np.searchsorted(firsts, first_word, side="right") - 1
                 line = feeds[first_word] - before[part] + extra[part]
                 row = pa.array(rows[part])
-                prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, p]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), ths.take(row), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(node), pa.array(bits), prefix],
-                    names=["doc_id", "th", "line", "n", "node", "bits", "prefix"],
-                )
+                columns = {"doc_id": ids.take(row), "th": ths.take(row), "line": pa.array(line.astype(np.int32)), "node": pa.array(node)}
+                if whole:
+                    wanted = np.isin(node, only.value) if len(only.value) else np.ones(len(node), bool)
+                    flat = keys[np.repeat(wanted, n)].view(np.int64)
+                    mask = pa.array(wanted)
+                    columns = {k: v.filter(mask) for k, v in columns.items()}
+                    columns["keys"] = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n[wanted]]), pa.int32()), pa.array(flat))
+                elif not slim:
+                    bits = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), at).view(np.int64)
+                    p = np.where(n < len(lengths), lengths[np.minimum(n, len(lengths) - 1)], n + (-NUM * n) // DEN + 1)
+                    within = np.arange(len(keys)) - np.repeat(at, n)
+                    flat = keys[within < np.repeat(p, n)].view(np.int64)
+                    prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, p]), pa.int32()), pa.array(flat))
+                    columns |= {"n": pa.array(n.astype(np.int32)), "bits": pa.array(bits), "prefix": prefix}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, schema)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, cut, and sent to all executors in joins if it has at most BROADCAST_IDS rows; beyond, joins shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
     """doc_id, th (the text's xxhash64) and removed, the sorted line numbers from 0, of rows of docs that lose lines."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("text IS NOT NULL")
     context = docs.sparkSession.sparkContext
     known = levels(docs.select("text"), word_parts, BITS)
-    lines = cut(line_rows(docs, known))
-    order = F.struct("doc_id", "th", "line")
-    nodes = lines.groupBy("node").agg(F.min(order).alias("order"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    nodes = cut(nodes)
+    place = F.struct("doc_id", "th", "line")
+    nodes = line_rows(docs, known).groupBy("node").agg(F.min(place).alias("o"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
+    nodes = cut(nodes.select("node", "o.*", "n", "bits", "prefix", "lines"))
+    order = F.struct("doc_id", "th", "line").alias("order")
     # n / (n + 1) is under the threshold for the smallest sets: only their equals match
     keyed = nodes.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM)
-    posted = keyed.select("node", "n", "bits", F.lit(1).alias("l"), F.posexplode("prefix").alias("pos", "token"))
 
     def whole_sets(pairs: DataFrame) -> DataFrame:
         """node and keys of the nodes of pairs, from the lines that first hold them."""
-        wanted = cut(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
-        holders = nodes.join(wanted, "node").select("order.doc_id", "order.th").distinct()
-        few = wanted.count() <= BROADCAST_IDS
-        ids = np.array([r["node"] for r in wanted.collect()], np.int64) if few else np.zeros(0, np.int64)  # 8 MB at most
-        texts = docs.join(F.broadcast(holders) if few else holders, ["doc_id", "th"], "left_semi")
-        sets = line_rows(texts, known, context.broadcast(ids))
-        return (sets if few else sets.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
+        wanted = few(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
+        some = wanted.count() <= BROADCAST_IDS
+        first = few(nodes.select("node", "doc_id", "th", "line").join(wanted, "node"))
+        ids = np.array([r["node"] for r in wanted.collect()], np.int64) if some else np.zeros(0, np.int64)  # 8 MB at most
+        holders = first.select("doc_id", "th").distinct()
+        texts = docs.join(F.broadcast(holders) if some else holders, ["doc_id", "th"], "left_semi")
+        return line_rows(texts, known, context.broadcast(ids)).join(first, ["doc_id", "th", "line", "node"], "left_semi").select("node", "keys")
 
     def later(pairs: DataFrame) -> DataFrame:
-        """node of the later one of each matching pair."""
-        match = similar(pairs, whole_sets(pairs))
-        first = nodes.select("node", "order")
-        match = match.join(first.select(F.col("node").alias("x"), F.col("order").alias("ox")), "x").join(first.select(F.col("node").alias("y"), F.col("order").alias("oy")), "y")
-        return match.select(F.when(F.col("ox") < F.col("oy"), F.col("y")).otherwise(F.col("x")).alias("node")).distinct()
-
-    # large groups: every node against its key's earliest
-    head = F.struct("order", "node", "n", "bits", "pos", "l")
-    wide = keyed.select("node", "n", "bits", "order", F.lit(1).alias("l"), F.posexplode("prefix").alias("pos", "token"))
-    large_keys = cut(posted.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > large).select("token"))
+        """node of the later one of each matching pair of pairs (x, y, d: how many bits of their signatures differ).
+
+        One match settles a node: first each node's closest earlier candidate is
+        verified, and all others only for the nodes that it doesn't settle.
+        """
+        wanted = few(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
+        places = few(nodes.select("node", order).join(wanted, "node"))
+        end = lambda c, o: F.broadcast(places.select(F.col("node").alias(c), F.col("order").alias(o))) if places.count() <= BROADCAST_IDS else places.select(F.col("node").alias(c), F.col("order").alias(o))
+        both = pairs.join(end("x", "ox"), "x").join(end("y", "oy"), "y")
+        forward = F.col("ox") < F.col("oy")
+        directed = cut(both.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("y"), "d"))
+        best = cut(directed.groupBy("y").agg(F.min(F.struct("d", "x")).alias("b")).select("b.x", "y"))
+        sure = few(similar(best, whole_sets(best)).select(F.col("y").alias("node")).distinct())
+        rest = cut(directed.select("x", "y").join(sure.withColumnRenamed("node", "y"), "y", "left_anti"))
+        return sure.unionByName(similar(rest, whole_sets(rest)).select(F.col("y").alias("node")).distinct())
+
+    # large keys, counted among those that the frequency table doesn't rule out, for it never counts too few
+    posted = keyed.select("node", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    least_level = int(8 * np.log2(1 + large))
+    frequent = posted.filter(F.shiftrightunsigned("token", 56) >= least_level)
+    large_keys = few(frequent.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > large).select("token"))
+
+    # in large groups, every node against its key's earliest
+    wide = keyed.select("node", "n", "bits", order, F.lit(1).alias("l"), F.posexplode("prefix").alias("pos", "token"))
     grouped = cut(wide.join(large_keys, "token"))
-    heads = grouped.groupBy("token").agg(F.min(head).alias("hub"))
+    heads = grouped.groupBy("token").agg(F.min(F.struct("order", "node", "n", "bits", "pos", "l")).alias("hub"))
     own, hub = (lambda c: F.col(c)), (lambda c: F.col(f"hub.{c}"))
     star = grouped.join(heads, "token").filter((F.col("node") != F.col("hub.node")) & compatible(own, hub) & apart(own, hub))
-    star = cut(star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("x"), F.col("node").alias("y")))
-    settled = cut(later(star))
-
-    # the rest against all nodes of its keys, but for pairs of two settled ones
-    open_ = posted.join(settled, "node", "left_anti").alias("a")
+    star = cut(star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.lit(0).alias("d")))
+    done = few(later(star).withColumn("done", F.lit(True)))
+    settled = done.drop("done")
+
+    # small groups: all their pairs but those of two settled nodes; both sides of the join are one shuffle
+    marked = keyed.select("node", "n", "bits", "prefix").join(done, "node", "left").select("node", "n", "bits", "done", F.posexplode("prefix").alias("pos", "token"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("done"), 1).otherwise(0).cast("long"))
+    small = marked.join(large_keys, "token", "left_anti").select("token", "node", "bits", packed.alias("packed"))
+
+    def side(name: str):
+        p = F.col(f"{name}.packed")
+        parts = {"n": F.shiftright(p, 32).cast("int"), "pos": F.shiftright(p.bitwiseAND((1 << 32) - 1), 1).cast("int"), "done": p.bitwiseAND(1), "l": F.lit(1)}
+        return lambda c: parts.get(c, F.col(f"{name}.{c}"))
+
+    a, b = side("a"), side("b")
+    met = small.alias("a").join(small.alias("b"), (a("token") == b("token")) & (a("node") < b("node")) & (a("done") + b("done") < 2) & apart(a, b) & compatible(a, b))
+    differing = F.bit_count(a("bits").bitwiseXOR(b("bits"))).alias("d")
+    pairs = met.select(a("node").alias("x"), b("node").alias("y"), differing)
+
+    # large groups: nodes that aren't settled against all
+    open_ = grouped.join(done, "node", "left_anti").alias("a")
+    members = grouped.join(done, "node", "left").alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    posted_all = posted.join(settled.withColumn("done", F.lit(True)), "node", "left").alias("b")
-    once = F.col("b.done").isNotNull() | (a("node") < b("node"))
-    met = open_.join(posted_all, (a("token") == b("token")) & (a("node") != b("node")) & once & compatible(a, b) & apart(a, b))
-    pairs = cut(met.select(F.least(a("node"), b("node")).alias("x"), F.greatest(a("node"), b("node")).alias("y")).distinct())
-    gone = settled.unionByName(later(pairs)).distinct().withColumn("gone", F.lit(True))
-
-    fate = nodes.select("node", "order").join(gone, "node", "left")
-    out = lines.select("doc_id", "th", "line", "node").join(fate, "node")
-    out = out.filter(F.col("gone").isNotNull() | ~F.col("order").eqNullSafe(order))
+    once = b("done").isNotNull() | (a("node") < b("node"))
+    met = open_.join(members, (a("token") == b("token")) & (a("node") != b("node")) & once & apart(a, b) & compatible(a, b))
+    differing = F.bit_count(a("bits").bitwiseXOR(b("bits"))).alias("d")
+    pairs = cut(pairs.unionByName(met.select(F.least(a("node"), b("node")).alias("x"), F.greatest(a("node"), b("node")).alias("y"), differing)).distinct())
+    gone = few(settled.unionByName(later(pairs)).distinct().withColumn("gone", F.lit(True)))
+
+    # lines are made again rather than kept: cheaper than their bytes
+    fate = nodes.select("node", order, "lines").join(gone, "node", "left").filter("gone OR lines > 1").drop("lines")
+    out = line_rows(docs, known, slim=True).join(fate, "node")
+    out = out.filter(F.col("gone").isNotNull() | ~F.col("order").eqNullSafe(place))
     return out.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 

@@ -75,7 +75,7 @@ def compatible(a, b) -> Column:
 
 
 def apart(a, b) -> Column:
-    """False where the signatures alone show too many differing keys."""
+    """False where the parities in bits alone show too many differing keys."""
     return F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= a("n") + b("n") - 2 * required(a("n"), b("n"))
 
 
@@ -108,8 +108,8 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def perhaps_similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (x, y) whose signatures (node, n, sign) leave room for a link.
 
-    A signature has a bit for each key's hash, in words of 64 (see :func:`signature`).
-    Bits that differ are at most as many as keys that differ, so no link is lost.
+    A signature counts keys by hash, modulo two, in words of 64 (see :func:`signature`).
+    Parities that differ are at most as many as keys that differ, so no link is lost.
     The longer of two signatures is folded to the other's length.
     """
     a = signed.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("sign").alias("xs"))
@@ -117,7 +117,7 @@ def perhaps_similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
     def folded(own: str, other: str) -> Column:
         half = F.size(other)
-        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))
         return F.when(F.size(own) > half, halves).otherwise(F.col(own))
 
     differing = F.aggregate(F.zip_with(folded("xs", "ys"), folded("ys", "xs"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
@@ -126,11 +126,10 @@ def perhaps_similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def signature(keys: np.ndarray) -> np.ndarray:
-    """Bits of hashes of keys, four to eight for each of them, as signed words of 64; lengths are powers of two."""
+    """Parities of keys by hash, four to eight for each key, as signed words of 64; lengths are powers of two."""
     size = max(64, 4 << (len(keys) - 1).bit_length())
-    bits = np.zeros(size, bool)
-    bits[(keys & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    bits = np.bincount((keys & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
