@@ -7,6 +7,10 @@ least total guess cost (dynamic programming over its characters), and reports
 those that would take at least MIN_LOG10 powers of ten of guesses. Such a span
 has the kind ``guess`` and covers the value; base spans stay as they are.
 
+A brute-force span is charged for the character classes it has, upper and lower
+case being two. Dictionary words are WORDS and, by rank, the words that one in
+ONE_IN documents has outside of credential values.
+
 Spans are code points, end exclusive. Null text counts as empty. Rows may repeat,
 other columns pass through.
 """
@@ -16,14 +20,21 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import append_columns, bytes_of, table
 
 KINDS = ("assign", "access", "hex", "guess")
-#: Least log10 of guesses of a reported value.
-MIN_LOG10 = 11.0
+#: Least log10 of guesses of a reported value: over any seven letters, capitalised or not (10.2), under seven letters and digits (10.9).
+MIN_LOG10 = 10.25
+#: A word of the documents is known if one in so many of them has it, and two at least.
+ONE_IN = 20_000
+#: Words that a task counts at once, about.
+COUNTED = 200_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -45,7 +56,9 @@ WORDS = (
     "daniel jessica ashley nicole jennifer amanda matthew joshua the and for you this that with from have your home work life time world"
 ).split()
 RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
-LONGEST = max(map(len, RANK))
+#: Letters of a dictionary word.
+SHORTEST, LONGEST = 3, 24
+WORD = re.compile(r"[^\W\d_]+")
 #: Rows of a keyboard, each key a half step right of the one above (fixed values).
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
@@ -67,15 +80,49 @@ def _brute(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.0
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def _class(c: str) -> int:
+    """The bit of c's character class: digits, lower case, upper case, other ASCII, all else."""
+    if c.isdigit():
+        return 1
+    if not c.isascii():
+        return 16
+    return 8 if not c.isalpha() else 4 if c.isupper() else 2
+
+
+#: log10 of the characters of every set of classes.
+ALPHABET = [0.0, *(math.log10(sum(size for k, size in enumerate((10, 26, 26, 33, 100)) if m >> k & 1)) for m in range(1, 32))]
+
+
+def _charges(value: str) -> list[list[float]]:
+    """For every set of classes, what each character of value adds to a brute-force span over that set.
+
+    A capital where letters begin is also a lower-case letter, for twice the guesses.
+    """
+    classes = [_class(c) for c in value]
+    capital = [c == 4 and (not i or classes[i - 1] not in (2, 4)) for i, c in enumerate(classes)]
+    found = 0
+    for c, first in zip(classes, capital, strict=True):
+        found |= c | (2 if first else 0)
+    sets = [m for m in range(1, 32) if m & found == m]
+    return [[ALPHABET[m] if c & m else ALPHABET[m] + math.log10(2) if first and m & 2 else math.inf for c, first in zip(classes, capital, strict=True)] for m in sets]
+
+
+def guess_cost(value: str, rank: dict[str, float] = RANK, by_class: bool = False) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses for value, and the cheapest segments (start, end, kind).
 
     Adding a segment doubles the guesses. Every segment kind is looked for at every
-    place; a value of n characters takes time in proportion to n.
+    place; a value of n characters takes time in proportion to n. rank has the log10
+    of the guesses of dictionary words. A brute-force span is charged character by
+    character, or with by_class for all the classes it has; no two of them meet.
     """
     n, low = len(value), value.lower()
+    low = low if len(low) == n else value  # a few letters grow
     plain = low.translate(LEET)
-    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    charges = _charges(value) if by_class else [[_brute(c) for c in value]]
+    # the least cost up to a place after a brute-force span, after any other segment, and of both
+    brute, other, best = [math.inf] * (n + 1), [0.0] + [math.inf] * n, [0.0] + [math.inf] * n
+    start, back = [0] * (n + 1), [(0, "")] * (n + 1)
+    spans = [(math.inf, 0)] * len(charges)  # open ones: cost and start
     joint = math.log10(2)
     run = [1] * (n + 1)  # of one character from here on
     walk = [1] * (n + 1)  # of neighbouring keys from here on
@@ -89,18 +136,21 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
 
     def offer(i: int, j: int, cost: float, kind: str) -> None:
         cost += best[i] + (joint if i else 0.0)
-        if cost < best[j]:
-            best[j], back[j] = cost, (i, kind)
+        if cost < other[j]:
+            other[j], back[j] = cost, (i, kind)
 
     for i in range(n):
-        if back[i][1] == "brute":  # a longer brute-force span opens no segment
-            offer(i, i + 1, _brute(value[i]) - joint, "brute")
-        else:
-            offer(i, i + 1, _brute(value[i]), "brute")
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        best[i] = min(brute[i], other[i])
+        fresh = (other[i] + (joint if i else 0.0), i)
+        for k, charge in enumerate(charges):
+            cost, at = min(spans[k], fresh)
+            spans[k] = cost + charge[i], at
+            if spans[k][0] < brute[i + 1]:
+                brute[i + 1], start[i + 1] = spans[k]
+        for j in range(i + SHORTEST, min(n, i + LONGEST) + 1):
             for shape, extra in ((low, 0.0), (plain, 0.5)):
-                if (rank := RANK.get(shape[i:j])) is not None:
-                    offer(i, j, rank + extra + (0.3 if value[i:j] != low[i:j] else 0.0), "word")
+                if (known := rank.get(shape[i:j])) is not None:
+                    offer(i, j, known + extra + (0.3 if value[i:j] != low[i:j] else 0.0), "word")
                     break
         if i in dates:
             offer(i, dates[i], 4.6 if dates[i] - i > 4 else 2.1, "date")
@@ -108,15 +158,16 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
             offer(i, i + run[i], _brute(value[i]) + math.log10(run[i]), "repeat")
         if walk[i] >= 4:
             offer(i, i + walk[i], math.log10(47 * 6) + math.log10(walk[i]) + 0.3 * (walk[i] // 4), "walk")
-    parts, j = [], n
+    best[n] = min(brute[n], other[n])
+    parts, j, after = [], n, False
     while j:
-        i, kind = back[j]
-        if parts and kind == "brute" == parts[-1][2]:
-            parts[-1] = (i, parts[-1][1], kind)
+        if not after and brute[j] < other[j]:
+            i, kind, after = start[j], "brute", True  # what is before it is no such span
         else:
-            parts.append((i, j, kind))
+            (i, kind), after = back[j], False
+        parts.append((i, j, kind))
         j = i
-    return best[n] if n else 0.0, parts[::-1]
+    return best[n], parts[::-1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -125,28 +176,67 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, str]]:
-    return [(*m.span(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1])[0] >= min_log10]
+def guess_spans(text: str, min_log10: float = MIN_LOG10, rank: dict[str, float] = RANK) -> list[tuple[int, int, str]]:
+    return [(*m.span(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1], rank, by_class=True)[0] >= min_log10]
+
+
+def _hinted(low: bytes) -> bool:
+    """Whether ASSIGN or CONTEXT can match a text of these lower-case bytes."""
+    return (b":" in low or b"=" in low) and any(h in low for h in HINTS)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def scan_secrets(df: DataFrame, text: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
-    """df with n_assign, n_access, n_hex, n_guess, base_sha256 (of the base spans' line) and spans (all, one line)."""
+def word_ranks(df: DataFrame, text: str = "text") -> dict[str, float]:
+    """log10 of the guesses of WORDS and of the known words of df's texts, those of most documents first.
+
+    Credential values are left out, so no value is known from its own copies. As one
+    in ONE_IN documents has a known word, the list doesn't grow with the corpus.
+    """
+
+    def run(batches):
+        counts: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        for batch in batches:
+            for raw in bytes_of(batch, text):
+                t = raw.decode()
+                if _hinted(raw.lower()):
+                    t = CONTEXT.sub(" ", t)
+                counts.update({w for w in WORD.findall(t.lower()) if SHORTEST <= len(w) <= LONGEST})
+                if len(counts) > COUNTED:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    counted = df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = df.count()
+    found = counted.filter(F.col("n") >= max(2, -(-rows // ONE_IN))).collect()
+    found.sort(key=lambda r: (-r["n"], r["word"]))
+    return {r["word"]: math.log10(len(RANK) + k + 2) for k, r in enumerate(found)} | RANK
+
+
+def scan_secrets(df: DataFrame, text: str = "text", min_log10: float = MIN_LOG10, rank: dict[str, float] | None = None) -> DataFrame:
+    """df with n_assign, n_access, n_hex, n_guess, base_sha256 (of the base spans' line) and spans (all, one line).
+
+    rank has the dictionary words; without it they are counted in df first.
+    """
     fields = [(f"n_{k}", "long") for k in KINDS] + [("base_sha256", "string"), ("spans", "string")]
+    shared = df.sparkSession.sparkContext.broadcast(word_ranks(df, text) if rank is None else rank)
 
     def factory():
+        known = shared.value
+
         def row(raw: bytes) -> list:
             low = raw.lower()
-            hints = (b":" in low or b"=" in low) and any(h in low for h in HINTS)
+            hints = _hinted(low)
             if not (hints or b"akia" in low or b"h" * 24 in raw.translate(_HEX_RUN)):
                 spans = base = []
             else:
                 t = raw.decode()
                 base = base_spans(t)
-                spans = base + (guess_spans(t, min_log10) if hints else [])
+                spans = base + (guess_spans(t, min_log10, known) if hints else [])
             return [*(sum(s[2] == k for s in spans) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)]
 
         def compute(batch):

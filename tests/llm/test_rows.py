@@ -2,7 +2,9 @@
 
 import fnmatch
 import hashlib
+import random
 import re
+import string
 import struct
 import zlib
 
@@ -180,6 +182,21 @@ def test_brute_force_spans_are_one_segment():
         assert op04_secrets.guess_cost(v)[0] == pytest.approx(slow_cost(v))
 
 
+def test_random_values_are_reported_and_words_are_not(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    values = ["".join(rng.choice(a) for _ in range(k)) for a in (letters, letters + "!#$%&*+-.?@^_") for k in (7, 8) for _ in range(250)]
+    words = "understanding government Wonderful difference EXPERIENCE successful particular development important knowledge".split()
+    docs = [(None, " ".join(words)), (1, "of " + ", ".join(words))]
+    docs += [(2, f"pwd={v} login: {v}") for v in ["aB3dE5gH", "x7#Kq9!z", "qzvkxjwpt", *values]] + [(3, f"login: {w.lower()} auth={w}") for w in words]
+    docs += [(4, "login: qzvkxjwpt")] * 20  # copies of a value don't make it a word
+    rows = op04_secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert not any(r["n_guess"] for r in rows if r["doc_id"] == 3) and all(r["n_guess"] == 1 for r in rows if r["doc_id"] == 4)
+    found = {r["text"].split()[0][4:]: r["n_guess"] for r in rows if r["doc_id"] == 2}
+    assert found["aB3dE5gH"] == found["x7#Kq9!z"] == found["qzvkxjwpt"] == 2
+    assert sum(found[v] == 2 for v in values) >= 0.97 * len(values)
+
+
 # ---- URLs
 
 
