@@ -8,7 +8,8 @@ between words, runs all rules over a URL at once, and a batch of URLs together.
 
 Globs match a whole canonical URL: ``.host/path`` with the host's A-Z lower-cased,
 no scheme, no fragment. ``*`` stands for any run of bytes without ``/``, ``**``
-for any run, ``?`` for one byte. Host and path are found with column functions.
+for any run, ``?`` for one byte. Rules see ``.host/path`` without the query, so that
+none fits inside one. Host and path are found with column functions.
 
 A null url or one without ``://`` has empty host and path; no rule fits it, and
 globs see the empty string. Rows may repeat, other columns pass through.
@@ -104,7 +105,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, block_globs=BLOCK_
     block_globs matches, else allow.
     """
     rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))
-    globs = [f"*.{host}{path}**" for _, host, path in rules] + list(block_globs)
+    globs = [f"*.{host}{path}**" for _, host, path in rules]
     names, verdicts = [h + p for _, h, p in rules], [v for v, _, _ in rules]
     tail = F.when(F.instr(url, "://") > 0, F.substring(F.col(url), F.instr(url, "://") + 3, F.length(url)))
     tail = F.coalesce(tail, F.lit(""))
@@ -112,22 +113,22 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, block_globs=BLOCK_
     path = F.regexp_extract(tail, r"^[^/?#]*([^?#]*)", 1)
     rest = F.regexp_extract(tail, r"^[^?#]*(\?[^#]*)?", 1)
     canonical = F.when(F.concat(host, path, rest) == "", F.lit("")).otherwise(F.concat(F.lit("."), host, path, rest))
+    place = F.when(F.concat(host, path) == "", F.lit("")).otherwise(F.concat(F.lit("."), host, path))
     fields = [("rule", "string"), ("verdict", "string")]
 
     def factory():
-        automaton = Automaton.of(globs)
+        of_rules, of_blocks = Automaton.of(globs), Automaton.of(list(block_globs))
 
         def compute(batch):
-            column = batch.column(batch.schema.get_field_index("_canonical")).cast(pa.binary())
-            hit = automaton.matches(column.to_pylist())
-            ruled = hit[:, : len(rules)]
-            first, any_rule, blocked = ruled.argmax(1) if len(rules) else np.zeros(len(hit), int), ruled.any(1), hit[:, len(rules) :].any(1)
+            raw = lambda name: batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+            ruled, blocked = of_rules.matches(raw("_place")), of_blocks.matches(raw("_canonical")).any(1)
+            first, any_rule = ruled.argmax(1) if len(rules) else np.zeros(len(ruled), int), ruled.any(1)
             rule = [names[r] if a else None for r, a in zip(first, any_rule, strict=True)]
             return [rule, [verdicts[r] if a else "block" if b else "allow" for r, a, b in zip(first, any_rule, blocked, strict=True)]]
 
         return compute
 
-    return append_columns(df.withColumns({"host": host, "path": path, "_canonical": canonical}), fields, factory).drop("_canonical")
+    return append_columns(df.withColumns({"host": host, "path": path, "_place": place, "_canonical": canonical}), fields, factory).drop("_place", "_canonical")
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

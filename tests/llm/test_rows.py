@@ -229,6 +229,21 @@ def test_url_rules(spark, url, want):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == want
 
 
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("http://x.org?u=a.com/", ("x.org", "", None, "allow")), ("http://x.org?u=a.net/es/", ("x.org", "", None, "allow")), ("http://a.com/?u=b.net/es/", ("a.com", "/", "com/", "allow")),
+        ("http://x.org?u=a.cheap-b/", ("x.org", "", None, "block")), ("http://x.org#a.com/", ("x.org", "", None, "allow")), ("http://?u=a.net/fr/", ("", "", None, "allow")),
+    ],
+)
+def test_rules_never_fit_inside_a_query(spark, url, want):
+    r = op05_urls.filter_urls(spark.createDataFrame([(url,)], "url string")).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"]) == want
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS url", [url])
+    assert duckdb.sql(op05_urls.SQL).fetchall()[0][1:] == want
+
+
 # ---- shards
 
 
