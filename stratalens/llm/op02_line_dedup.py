@@ -130,8 +130,13 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         first = few(nodes.select("node", "doc_id", "th", "line").join(wanted, "node"))
         ids = np.array([r["node"] for r in wanted.collect()], np.int64) if some else np.zeros(0, np.int64)  # 8 MB at most
         holders = first.select("doc_id", "th").distinct()
-        texts = docs.join(F.broadcast(holders) if some else holders, ["doc_id", "th"], "left_semi")
-        return line_rows(texts, known, context.broadcast(ids)).join(first, ["doc_id", "th", "line", "node"], "left_semi").select("node", "keys")
+        # null ids meet too; rows equal in id and text hold the same sets, of which one is enough
+        held = F.broadcast(holders) if some else holders
+        held = held.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+        texts = docs.join(held, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi")
+        at = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("line").alias("_line"), F.col("node").alias("_node"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line")) & (F.col("node") == F.col("_node"))
+        return line_rows(texts, known, context.broadcast(ids)).join(at, same, "left_semi").select("node", "keys").dropDuplicates(["node"])
 
     def later(pairs: DataFrame) -> DataFrame:
         """node of the later one of each matching pair of pairs (x, y, d: how many bits of their signatures differ).

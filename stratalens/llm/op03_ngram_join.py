@@ -91,7 +91,8 @@ def with_sets(docs: DataFrame, table: Levels, what: str) -> DataFrame:
 
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    rows, classes = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), heavy)
+    th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows, classes = _classes(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), F.col(text).alias("text")), heavy)
     names = classes.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = classes.join(names, "comp").select("node", "component_id")
     out = rows.filter("node IS NOT NULL").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -114,19 +115,22 @@ def keep_one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _classes(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs (doc_id, text and others) with n and node instead of text; node, first_id and comp of every node."""
+    """The rows of docs (doc_id, th, text and others) with n and node instead of text; node, first_id (null only if no row has an id), first_th and comp of every node."""
     known = levels(docs.select("text"), shingle_parts, BITS)
     rows = cut(with_sets(docs, known, "prefix"))
     filled = rows.filter("node IS NOT NULL")
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("o")
+    nodes = filled.groupBy("node").agg(holder).select("node", F.col("o.doc_id").alias("first_id"), F.col("o.th").alias("first_th"))
     sets = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
     shared = cut(postings(sets, known.floor, heavy))
 
     def sets_of(pairs: DataFrame, what: str) -> DataFrame:
         """node, n and what of the sets of the nodes of pairs, from the texts that first hold them."""
         wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-        ids, _ = needed_ids(nodes.join(wanted, "node").select(F.col("first_id").alias("doc_id")))
-        return with_sets(docs.join(ids, "doc_id", "left_semi"), known, what).select("node", "n", what)
+        held, _ = needed_ids(nodes.join(wanted, "node").select("first_id", "first_th"))
+        texts = docs.join(held, docs["doc_id"].eqNullSafe(F.col("first_id")) & (docs["th"] == F.col("first_th")), "left_semi")
+        # rows equal in id and text, as copies without ids are, hold the same set
+        return with_sets(texts, known, what).select("node", "n", what).dropDuplicates(["node"])
 
     best = stars(shared).groupBy("node").agg(F.max_by("hub", F.struct("shares", "hub")).alias("hub"))
     pairs = cut(best.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())

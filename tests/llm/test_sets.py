@@ -157,3 +157,51 @@ def test_shingles_of_short_texts_differ_from_longer_ones():
 def test_digest_ignores_order():
     keys = np.array([3, 9, 27], np.uint64)
     assert op03_ngram_join.digest(keys) == op03_ngram_join.digest(keys[::-1])
+
+
+def nameless(seed):
+    """A corpus in which about half of the rows have no id, some of them twice; and its texts under numbers that keep its order."""
+    docs = [t for _, t in corpus(seed)]
+    rng = random.Random(seed)
+    rows = [(None if rng.random() < 0.5 else i, t) for i, t in enumerate(docs)]
+    return rows + [r for r in rows if r[0] is None][:5]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_copies_without_ids_are_linked(spark, seed):
+    rows = nameless(seed)
+    numbered = [(i if i is not None else 1000 + k, t) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: c if c < 1000 else None for i, c in brute_classes(numbered).items()}
+    # a class of its own without words has no name but its id
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["n_shingles"]) for r in link_classes(df).collect())
+    assert got == sorted((str(i if i < 1000 else None), str(want[i]), len(shingle_set(t))) for i, t in numbered)
+    classes = {c for i, c in brute_classes(numbered).items() if shingle_set(dict(numbered)[i])}
+    kept = keep_one_of_each_class(df).collect()
+    assert sum(bool(shingle_set(r["text"])) for r in kept) == len(classes)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_lines_of_rows_without_ids_are_removed(spark, seed):
+    base = " ".join(f"b{i}" for i in range(10))
+    near = base.replace("b3", "c3")
+    extra = [(None, base + "\nx y z"), (5001, near), (5002, base.replace("b7", "d7"))]
+    rows = nameless(seed) + extra
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["th"]): set(r["removed"]) for r in removed_lines(df, large=64 if seed % 2 else 1).collect()}
+    hashed = df.distinct().selectExpr("doc_id", "xxhash64(text) AS th", "text").filter("text IS NOT NULL").collect()
+    placed = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["th"]), r["text"]) for r in hashed)
+    want = {(k[1] if k[0] else None, k[2]): lines for k, lines in brute_removed(placed).items()}
+    assert got == want
+    assert {5001, 5002} <= {i for i, _ in got}
+
+
+def test_rows_without_ids_bridge_classes(spark):
+    def changed(name, *places):
+        return " ".join(f"{name}x{k}" if k in places else f"{name}{k}" for k in range(100))
+
+    rows = [(1, changed("a", 10, 30)), (None, changed("a")), (None, changed("a")), (2, changed("a", 50, 70)), (None, changed("b")), (None, changed("b", 20)), (None, changed("b"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in link_classes(df).collect())
+    assert got == sorted([("1", "1"), ("2", "1"), ("None", "1"), ("None", "1"), *[("None", "None")] * 3])
+    assert sorted(r["text"][0] for r in keep_one_of_each_class(df).collect()) == ["a", "b"]
