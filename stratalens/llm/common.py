@@ -7,8 +7,10 @@ counted on or dropped, and repeated rows are as safe as unique ones.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows whose crc32(doc_id as text) mod HELD_OUT_MOD is 0 are never learned from.
 HELD_OUT_MOD = 5
 
+#: Most bytes of an Arrow batch while tables are written: whole texts pass through, several tasks a machine.
+BATCH_BYTES = 4 << 20
+
 Compute = Callable[[pa.RecordBatch], list[pa.Array]]
 
 
@@ -32,6 +37,18 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as it takes to differ from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def append_columns(df: DataFrame, fields: list[tuple[str, str]], factory: Callable[[], Compute]) -> DataFrame:
     """df with computed columns after its own.
 
@@ -80,18 +97,59 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_MOD == 0
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: lineage ends there, and lost executors cost nothing.
-
-    The folder is that of spark.checkpoint.dir. Only where that is unset, as in
-    tests, a new folder under /tmp takes its place.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; without one nothing is written."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
 
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read again: lineage ends there, and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
+    with lean(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
+@contextmanager
+def lean(spark: SparkSession):
+    """What runs inside gets Arrow batches of at most BATCH_BYTES, and shuffle files go with the query that made them.
+
+    The session's own settings are back afterwards.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, each of which goes as soon as it isn't needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df written as Parquet and read again: lineage ends there."""
+        path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        with lean(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables from :meth:`keep` that nothing reads any more."""
+        for df in tables:
+            path, _ = self.paths.pop(id(df))
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

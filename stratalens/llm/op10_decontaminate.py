@@ -2,70 +2,159 @@
 
 Words are runs of digits, a-z (A-Z lower-cased) and all code points from U+0080.
 An item's windows are its runs of WINDOW consecutive words; an item of fewer
-words, but not none, is one window. The automaton holds every window as its words
-between single spaces; a document, written the same way, passes through it once,
-and the words of each occurrence are hit. Word numbers map back to code points of
-the original text.
+words, but not none, is one window. The automaton knows every word of the items by a
+number of a few letters. A window of 2k - 1 words holds a whole one of the item's pieces of k
+words that begin at multiples of k, so the automaton holds those pieces alone (and
+short items whole): it is as long as the items, not WINDOW times that. A document
+passes through it once; where a piece occurs, the run of words that document and
+item have in common around it is followed to both ends, and from WINDOW words on
+all of the run is hit. Word numbers map back to code points of the original text.
 
 Null or empty texts have no words, no hits, and are not contaminated; items
 without words or without id have no windows. Rows may repeat, other columns pass
 through. Benchmark texts are the stated query set: they go to the executors in
 blocks of at most BLOCK_BYTES, one automaton after another, however large the
-benchmark is.
+benchmark is; a worker builds each once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 import re
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, bytes_of, table
+from .common import Scratch, append_columns, bytes_of, fresh, table
 
 WINDOW = 13
 #: A document is contaminated if at least one word in CONTAMINATED_PART is hit.
 CONTAMINATED_PART = 20
-#: Most bytes of item text in one automaton.
-BLOCK_BYTES = 8 << 20
+#: Most bytes of item text in one automaton, which takes about 25 times that.
+BLOCK_BYTES = 4 << 20
 
 #: A-Z to a-z, other ASCII than digits and letters to a space.
 NORMAL = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+#: A letter of words that no item has.
+OTHER = "\0"
+#: Bits of a letter: the automaton looks at a node's children one by one.
+DIGIT = 5
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows_of(words: list[bytes], window: int = WINDOW) -> list[list[bytes]]:
-    if not words:
-        return []
-    return [words[i : i + window] for i in range(max(1, len(words) - window + 1))]
-
-
-def spaced(words: list[bytes]) -> str:
-    """One character a byte, for the automaton."""
-    return f" {b' '.join(words).decode('latin-1')} "
-
-
-def automaton_of(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
-    found: dict[str, tuple[int, set[str]]] = {}
+class Passages:
+    """The automaton of items (id, text): which words of a document are in windows of theirs."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+        self.window = window
+        owners: dict[tuple[bytes, ...], set[str]] = {}
+        for item, text in items:
+            if words := words_of(text):
+                owners.setdefault(tuple(words), set()).add(item)
+        numbers: dict[bytes, int] = {}
+        for words in owners:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        self.width = max(1, -(-len(numbers).bit_length() // DIGIT))
+        self.other = OTHER * self.width
+        self.codes = {w: self._code(n) for w, n in numbers.items()}
+        self.items = [self.coded(words) for words in owners]
+        self.owners = [tuple(sorted(x)) for x in owners.values()]
+        places: dict[str, list[tuple[int, int]]] = {}
+        self.piece = (window + 1) // 2
+        for number, item in enumerate(self.items):
+            if len(item) < window:
+                places.setdefault("".join(item), []).append((number, 0))
+            else:
+                for at in range(0, len(item) - self.piece + 1, self.piece):
+                    places.setdefault("".join(item[at : at + self.piece]), []).append((number, at))
+        self.automaton = ahocorasick.Automaton()
+        for piece, found in places.items():
+            self.automaton.add_word(piece, (len(piece) // self.width, found))
+        if places:
+            self.automaton.make_automaton()
+
+    def _code(self, number: int) -> str:
+        """width letters of DIGIT bits, those of each place another alphabet, so that no word is found inside of others."""
+        return "".join(chr(1 + (k << DIGIT) + (number >> DIGIT * k & (1 << DIGIT) - 1)) for k in range(self.width))
+
+    def coded(self, words: Iterable[bytes]) -> list[str]:
+        codes, other = self.codes, self.other
+        return [codes.get(w, other) for w in words]
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """The runs [start, end) of words that are hit, in any order, and the items whose windows occur."""
+        hits, names = [], set()
+        if not self.items or not words:
+            return hits, names
+        text = self.coded(words)
+        followed: dict[tuple[int, int], int] = {}  # of an item at a distance: the end of the run last followed
+        for last, (size, found) in self.automaton.iter("".join(text)):
+            last //= self.width
+            for number, at in found:
+                item, start = self.items[number], last - size + 1
+                if followed.get((number, start - at), -1) >= last:
+                    continue
+                a, b, p, q = start, last + 1, at, at + size
+                while a and p and text[a - 1] == item[p - 1]:
+                    a, p = a - 1, p - 1
+                while b < len(text) and q < len(item) and text[b] == item[q]:
+                    b, q = b + 1, q + 1
+                followed[number, start - at] = b - 1
+                if b - a >= min(self.window, len(item)):
+                    hits.append((a, b))
+                    names.update(self.owners[number])
+        return hits, names
+
+
+_built: dict[tuple[bytes, int], Passages] = {}
+
+
+def passages_of(key: bytes, items: list[tuple[str, bytes]], window: int) -> Passages:
+    """One automaton for all tasks of a Python worker, which keeps the last alone."""
+    if (key, window) not in _built:
+        _built.clear()
+        _built[key, window] = Passages(items, window)
+    return _built[key, window]
+
+
+def pieces_of(text: bytes, most: int, window: int) -> Iterator[bytes]:
+    """text, or where it is longer than most bytes, overlapping parts of it that have all its windows."""
+    words = words_of(text) if len(text) > most else []
+    if len(words) <= window:
+        yield text
+        return
+    start = 0
+    while True:
+        end, size = start, 0
+        while end < len(words) and (end - start < window or size + len(words[end]) < most):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[start:end])
+        if end == len(words):
+            return
+        start = end - window + 1
+
+
+def in_blocks(items: list[tuple[str, bytes]], most: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
+    """items in blocks of at most about most bytes of text."""
+    block, size = [], 0
     for item, text in items:
-        for words in windows_of(words_of(text), window):
-            found.setdefault(spaced(words), (len(words), set()))[1].add(item)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for key, (n, owners) in found.items():
-        out.add_word(key, (n, tuple(sorted(owners))))
-    out.make_automaton()
-    return out
+        for piece in pieces_of(text, most, window):
+            if block and size + len(piece) > most:
+                yield block
+                block, size = [], 0
+            block.append((item, piece))
+            size += len(piece)
+    if block:
+        yield block
 
 
 def hit_runs(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,35 +168,27 @@ def hit_runs(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(df: DataFrame, text: str, items: list[tuple[str, bytes]], window: int, spans: bool) -> DataFrame:
-    """df with _runs and _items, what they were before included, and the document's figures."""
+def _scan(df: DataFrame, text: str, items: list[tuple[str, bytes]], window: int, spans: bool, runs: str, names: str) -> DataFrame:
+    """df with runs (starts and ends of hits, one after another) and names of items, what they were before included, and the document's figures."""
+    key = hashlib.sha256(repr(items).encode()).digest()
     block = df.sparkSession.sparkContext.broadcast(items)
-    before = "_runs" in df.columns
-    fields = [("_runs", "binary"), ("_items", "array<string>"), ("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")]
+    before = runs in df.columns
+    fields = [(runs, "array<int>"), (names, "array<string>"), ("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")]
     fields += [("hit_spans", "array<struct<start:int,end:int>>")] * spans
 
     def factory():
-        automaton = automaton_of(block.value, window)
+        passages = passages_of(key, block.value, window)
 
         def compute(batch):
-            old = zip(batch.column("_runs").to_pylist(), batch.column("_items").to_pylist(), strict=True) if before else iter(lambda: (None, None), 0)
+            old = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (runs, names)), strict=True) if before else iter(lambda: ((), ()), 0)
             columns: list[list] = [[] for _ in fields]
-            for raw, (runs, owners) in zip(bytes_of(batch, text), old, strict=False):
+            for raw, (ends, owners) in zip(bytes_of(batch, text), old, strict=False):
                 words = words_of(raw)
-                hits = pickle.loads(runs) if runs else []
-                names = set(owners or ())
-                if automaton and words:
-                    found = list(automaton.iter(spaced(words)))
-                    if found:
-                        ends = np.cumsum([len(w) + 1 for w in words])
-                        last = np.searchsorted(ends, [e for e, _ in found])
-                        hits += [(int(j) - n + 1, int(j) + 1) for j, (_, (n, _)) in zip(last, found, strict=True)]
-                        for _, (_, who) in found:
-                            names.update(who)
-                hits = hit_runs(hits)
+                hits, ids = passages.find(words)
+                hits = hit_runs(hits + [*zip(ends[::2], ends[1::2], strict=True)])
                 n_hit = sum(b - a for a, b in hits)
-                ids = sorted(names)
-                row = [pickle.dumps(hits) if hits else None, ids, len(words), n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and CONTAMINATED_PART * n_hit >= len(words)]
+                ids = sorted(ids.union(owners))
+                row = [[x for run in hits for x in run], ids, len(words), n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and CONTAMINATED_PART * n_hit >= len(words)]
                 if spans:
                     places = [m.span() for m in WORD.finditer(raw.decode())] if hits else []
                     row.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in hits])
@@ -123,16 +204,21 @@ def _scan(df: DataFrame, text: str, items: list[tuple[str, bytes]], window: int,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, spans: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, and on wish hit_spans: code points of docs' text.
 
-    Items of one id count once; their ids appear as text, sorted as text.
+    Items of one id count once; their ids appear as text, sorted as text. Columns of
+    docs that have one of these names give way, all others stay.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).dropna()
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("binary").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    out = docs
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
-        out = _scan(out, text, sorted((r["id"], bytes(r["text"])) for r in part), window, spans and k == blocks - 1)
-    return out.drop("_runs", "_items")
+    parts = max(1, math.ceil(total / block_bytes))
+    runs, names = fresh(docs, "runs_hit", "items_hit")
+    scratch, out, block = Scratch(docs.sparkSession), docs, []
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).collect()
+        for more in in_blocks(sorted((r["id"], bytes(r["text"])) for r in rows), block_bytes, window):
+            if block:  # written, lest the workers of all blocks run at once
+                out = scratch.keep(_scan(out, text, block, window, False, runs, names))
+            block = more
+    return _scan(out, text, block, window, spans, runs, names).drop(runs, names)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
