@@ -8,8 +8,9 @@ those that would take at least MIN_LOG10 powers of ten of guesses. Such a span
 has the kind ``guess`` and covers the value; base spans stay as they are.
 
 A brute-force span is charged for the character classes it has, upper and lower
-case being two. Dictionary words are WORDS and, by rank, the words that one in
-ONE_IN documents has outside of credential values.
+case being two. Dictionary words are WORDS, then the whole words of a public
+tokenizer's vocabulary in its order, then the words that one in ONE_IN documents
+has outside of credential values, by how many have them.
 
 Spans are code points, end exclusive. Null text counts as empty. Rows may repeat,
 other columns pass through.
@@ -18,9 +19,10 @@ other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +60,17 @@ WORDS = (
 RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
 #: Letters of a dictionary word.
 SHORTEST, LONGEST = 3, 24
+#: Letters of a word taken from the public vocabulary: shorter ones turn up in random values.
+PUBLIC_SHORTEST = 5
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of a keyboard, each key a half step right of the one above (fixed values).
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+#: Keys and directions that a walk may begin with, and what each key adds for turns.
+WALKS, WALK_STEP = 47 * 6, 0.075
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Forms of dates and the log10 of their guesses: days of two centuries, and years.
+DATES = [(re.compile("[-/.]?".join(form), re.ASCII), guesses) for form, guesses in (((_YEAR, _MONTH, _DAY), 4.6), ((_DAY, _MONTH, _YEAR), 4.6), ((_MONTH, _DAY, _YEAR), 4.6), ((_YEAR,), 2.1))]
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 
 
@@ -107,13 +115,50 @@ def _charges(value: str) -> list[list[float]]:
     return [[ALPHABET[m] if c & m else ALPHABET[m] + math.log10(2) if first and m & 2 else math.inf for c, first in zip(classes, capital, strict=True)] for m in sets]
 
 
+class Lengthening:
+    """Segments over a run of alike neighbours, at any length from least on, at log10(2) for each doubling of the length.
+
+    For each range of lengths from one power of two to the next, a queue of starts
+    keeps the cheapest in reach first, so that a place takes as many steps as the
+    run's length has binary digits.
+    """
+
+    def __init__(self, least: int, base: float, slope: float, begin: int):
+        self.least, self.base, self.slope, self.begin = least, base, slope, begin
+        self.queues: list[deque[tuple[float, int]]] = []
+
+    def step(self, j: int, best: list[float], joint: float) -> tuple[float, int]:
+        """The cheapest cost of a segment that ends at j, what is before it included, and its start."""
+        top = (j - self.begin).bit_length()
+        while len(self.queues) < top:
+            self.queues.append(deque())
+        out = (math.inf, 0)
+        for k, queue in enumerate(self.queues):
+            shortest, longest = max(self.least, 1 << k), (2 << k) - 1
+            i = j - shortest
+            if shortest <= longest and i >= self.begin:
+                cost = best[i] + (joint if i else 0.0) - self.slope * i
+                while queue and queue[-1][0] > cost:
+                    queue.pop()
+                queue.append((cost, i))
+            while queue and queue[0][1] < j - longest:
+                queue.popleft()
+            if queue:
+                cost, i = queue[0]
+                out = min(out, (cost + self.slope * j + self.base + k * math.log10(2), i))
+        return out
+
+
 def guess_cost(value: str, rank: dict[str, float] = RANK, by_class: bool = False) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses for value, and the cheapest segments (start, end, kind).
 
-    Adding a segment doubles the guesses. Every segment kind is looked for at every
-    place; a value of n characters takes time in proportion to n. rank has the log10
-    of the guesses of dictionary words. A brute-force span is charged character by
-    character, or with by_class for all the classes it has; no two of them meet.
+    Adding a segment doubles the guesses. Words (plain or with signs for letters),
+    dates of every form, repeats of three and more and walks of four and more keys, of
+    any length, are offered at every place. rank has the log10 of the guesses of
+    dictionary words. A brute-force span is charged character by character, or with
+    by_class for all the classes it has; no two of them meet, so the least cost up to a
+    place is kept apart for what ends there in such a span and in anything else. The
+    result is the least of all segmentations. A value of n characters takes n log n steps.
     """
     n, low = len(value), value.lower()
     low = low if len(low) == n else value  # a few letters grow
@@ -124,18 +169,9 @@ def guess_cost(value: str, rank: dict[str, float] = RANK, by_class: bool = False
     start, back = [0] * (n + 1), [(0, "")] * (n + 1)
     spans = [(math.inf, 0)] * len(charges)  # open ones: cost and start
     joint = math.log10(2)
-    run = [1] * (n + 1)  # of one character from here on
-    walk = [1] * (n + 1)  # of neighbouring keys from here on
-    for i in range(n - 2, -1, -1):
-        run[i] = run[i + 1] + 1 if low[i] == low[i + 1] else 1
-        walk[i] = walk[i + 1] + 1 if _beside(low[i], low[i + 1]) else 1
-    dates = {}
-    for i in range(n):
-        if low[i].isdigit() and (m := DATE.match(low, i)):
-            dates[i] = m.end()
+    repeat = walk = None
 
-    def offer(i: int, j: int, cost: float, kind: str) -> None:
-        cost += best[i] + (joint if i else 0.0)
+    def offer(j: int, cost: float, i: int, kind: str) -> None:
         if cost < other[j]:
             other[j], back[j] = cost, (i, kind)
 
@@ -147,17 +183,21 @@ def guess_cost(value: str, rank: dict[str, float] = RANK, by_class: bool = False
             spans[k] = cost + charge[i], at
             if spans[k][0] < brute[i + 1]:
                 brute[i + 1], start[i + 1] = spans[k]
+        before = best[i] + (joint if i else 0.0)
         for j in range(i + SHORTEST, min(n, i + LONGEST) + 1):
-            for shape, extra in ((low, 0.0), (plain, 0.5)):
-                if (known := rank.get(shape[i:j])) is not None:
-                    offer(i, j, known + extra + (0.3 if value[i:j] != low[i:j] else 0.0), "word")
-                    break
-        if i in dates:
-            offer(i, dates[i], 4.6 if dates[i] - i > 4 else 2.1, "date")
-        if run[i] >= 3:
-            offer(i, i + run[i], _brute(value[i]) + math.log10(run[i]), "repeat")
-        if walk[i] >= 4:
-            offer(i, i + walk[i], math.log10(47 * 6) + math.log10(walk[i]) + 0.3 * (walk[i] // 4), "walk")
+            known = min(rank.get(low[i:j], math.inf), rank.get(plain[i:j], math.inf) + 0.5)
+            if known < math.inf:
+                offer(j, before + known + (0.3 if value[i:j] != low[i:j] else 0.0), i, "word")
+        if low[i].isdigit():
+            for form, guesses in DATES:
+                if m := form.match(low, i):
+                    offer(m.end(), before + guesses, i, "date")
+        if not i or low[i] != low[i - 1]:
+            repeat = Lengthening(3, _brute(low[i]), 0.0, i)
+        if not i or not _beside(low[i - 1], low[i]):
+            walk = Lengthening(4, math.log10(WALKS), WALK_STEP, i)
+        offer(i + 1, *repeat.step(i + 1, best, joint), "repeat")
+        offer(i + 1, *walk.step(i + 1, best, joint), "walk")
     best[n] = min(brute[n], other[n])
     parts, j, after = [], n, False
     while j:
@@ -189,8 +229,20 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def word_ranks(df: DataFrame, text: str = "text") -> dict[str, float]:
-    """log10 of the guesses of WORDS and of the known words of df's texts, those of most documents first.
+def public_words(path: str | None = None) -> list[str]:
+    """The whole words, of PUBLIC_SHORTEST letters or more, of a tokenizer file with word ends, in order of its ids; the public 49k one where no path is given."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    ended = (t.removesuffix("</w>") for t in sorted(vocabulary, key=vocabulary.get) if t.endswith("</w>"))
+    return [w for w in ended if PUBLIC_SHORTEST <= len(w) <= LONGEST and WORD.fullmatch(w)]
+
+
+def word_ranks(df: DataFrame, text: str = "text", path: str | None = None) -> dict[str, float]:
+    """log10 of the guesses of WORDS, of public_words(path), and of the known words of df's texts, those of most documents first.
 
     Credential values are left out, so no value is known from its own copies. As one
     in ONE_IN documents has a known word, the list doesn't grow with the corpus.
@@ -214,7 +266,8 @@ def word_ranks(df: DataFrame, text: str = "text") -> dict[str, float]:
     rows = df.count()
     found = counted.filter(F.col("n") >= max(2, -(-rows // ONE_IN))).collect()
     found.sort(key=lambda r: (-r["n"], r["word"]))
-    return {r["word"]: math.log10(len(RANK) + k + 2) for k, r in enumerate(found)} | RANK
+    order = dict.fromkeys([*WORDS, *public_words(path), *(r["word"] for r in found)])
+    return {w: math.log10(k + 2) for k, w in enumerate(order)}
 
 
 def scan_secrets(df: DataFrame, text: str = "text", min_log10: float = MIN_LOG10, rank: dict[str, float] | None = None) -> DataFrame:
