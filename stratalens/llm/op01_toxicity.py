@@ -2,7 +2,8 @@
 
 Features of a text: its words, and their beginnings and ends of three to six
 letters, each once a text. Of all that occur in at least MIN_DOCS training texts,
-the KEEP most telling by chi-square are kept. A logistic model of their presence
+the KEEP most telling by chi-square are kept, and those of identity terms whatever
+they tell, so that the second penalty has them to act on. A logistic model of their presence
 is fitted with two penalties: on squared weights, and on the squared change of a
 sentence's score when its identity terms are swapped for those of another group.
 The second holds the score still where only the group mentioned differs, so that
@@ -13,7 +14,7 @@ hash of the id over the whole table; features are counted by a shuffle over all
 them, and the weights fitted in one task of bounded size.
 
 Null and empty texts have no features and the score of none. Null labels teach
-nothing. Without training rows every score is 0. Rows may repeat, other columns
+nothing. Without training rows every score is under 1e-12. Rows may repeat, other columns
 pass through.
 """
 
@@ -140,8 +141,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id:
     return cut(joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of docs (doc_id, text) labelled by labels (doc_id, label 0 or 1). What reaches the driver is bounded by KEEP weights."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """A model of docs (doc_id, text) labelled by labels (doc_id, label 0 or 1). What reaches the driver is bounded by KEEP weights and those of IDENTITY."""
     drawn = sample_of(docs, labels, text, label, doc_id, sample)
     context = docs.sparkSession.sparkContext
 
@@ -152,15 +153,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
                 yield pd.DataFrame({"f": [*found, ""], "y": np.int64(y)})
 
     seen = drawn.mapInPandas(occurring, "f string, y long").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    seen = cut(seen.filter(F.col("n") >= MIN_DOCS))
+    named = sorted(text_features(set(SWAP)))
+    seen = cut(seen.filter((F.col("n") >= MIN_DOCS) | F.col("f").isin("", *named)))
     top = seen.filter("f = ''").first()  # the empty feature is in every text
     if top is None:
         return Model({}, -30.0)
     texts, toxic = top["n"], top["pos"]
     expected = F.col("n") * (toxic / texts)
     chi2 = (F.col("pos") - expected) ** 2 / F.greatest(expected * (1 - toxic / texts), F.lit(1e-9))
-    kept = seen.filter("f <> ''").withColumn("chi2", chi2).orderBy(F.desc("chi2"), "f").limit(KEEP).select("f").collect()
-    names = sorted(r["f"] for r in kept)
+    kept = seen.filter(f"f <> '' AND n >= {MIN_DOCS}").withColumn("chi2", chi2).orderBy(F.desc("chi2"), "f").limit(KEEP).select("f").collect()
+    kept += seen.filter(F.col("f").isin(named)).select("f").collect()
+    names = sorted({r["f"] for r in kept})
     shared = context.broadcast({f: i for i, f in enumerate(names)})
 
     def encoded(batches):
@@ -175,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
             yield pd.DataFrame({"one": "", "own": [a for a, _ in out], "swapped": [b for _, b in out], "label": pdf["label"]})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, b = fit_weights([list(x) for x in pdf["own"]], [list(x) for x in pdf["swapped"]], pdf["label"].to_numpy(), len(names))
+        w, b = fit_weights([list(x) for x in pdf["own"]], [list(x) for x in pdf["swapped"]], pdf["label"].to_numpy(), len(names), counterfactual=counterfactual)
         return pd.DataFrame({"w": [w.tolist()], "b": [b]})
 
     codes = drawn.mapInPandas(encoded, "one string, own array<int>, swapped array<int>, label int")
