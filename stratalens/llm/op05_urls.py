@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, table
+from .common import append_columns, fresh, table, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,10 +104,12 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, block_globs=BLOCK_
     of several the longest wins. Where none fits, verdict is block if one of
     block_globs matches, else allow.
     """
+    df = without(df, [c for c in ("host", "path") if c != url])
+    place_name, whole_name = fresh(df, "place_of_url", "whole_of_url")
     rules = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     globs = [f"*.{host}{path}**" for _, host, path in rules]
     names, verdicts = [h + p for _, h, p in rules], [v for v, _, _ in rules]
-    tail = F.when(F.instr(url, "://") > 0, F.substring(F.col(url), F.instr(url, "://") + 3, F.length(url)))
+    tail = F.when(F.instr(F.col(f"`{url}`"), "://") > 0, F.substring(F.col(f"`{url}`"), F.instr(F.col(f"`{url}`"), "://") + 3, F.length(F.col(f"`{url}`"))))
     tail = F.coalesce(tail, F.lit(""))
     host = F.translate(F.regexp_extract(tail, r"^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(tail, r"^[^/?#]*([^?#]*)", 1)
@@ -121,14 +123,14 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, block_globs=BLOCK_
 
         def compute(batch):
             raw = lambda name: batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
-            ruled, blocked = of_rules.matches(raw("_place")), of_blocks.matches(raw("_canonical")).any(1)
+            ruled, blocked = of_rules.matches(raw(place_name)), of_blocks.matches(raw(whole_name)).any(1)
             first, any_rule = ruled.argmax(1) if len(rules) else np.zeros(len(ruled), int), ruled.any(1)
             rule = [names[r] if a else None for r, a in zip(first, any_rule, strict=True)]
             return [rule, [verdicts[r] if a else "block" if b else "allow" for r, a, b in zip(first, any_rule, blocked, strict=True)]]
 
         return compute
 
-    return append_columns(df.withColumns({"host": host, "path": path, "_place": place, "_canonical": canonical}), fields, factory).drop("_place", "_canonical")
+    return append_columns(df.withColumns({"host": host, "path": path, place_name: place, whole_name: canonical}), fields, factory).drop(place_name, whole_name)
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

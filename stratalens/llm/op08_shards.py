@@ -24,10 +24,14 @@ from .common import append_columns, cut, table
 OVERHEAD = 16
 
 
-def byte_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = OVERHEAD) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (the row's place in its shard) of every row."""
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body).alias("text_crc32"))
+def byte_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", overhead: int = OVERHEAD, rows: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (the row's place in its shard) of every row; with rows also row, all its columns.
+
+    A partition's rows are in order of shard and slot.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * rows
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(body).cast("long") + overhead).alias("size"), F.crc32(body).alias("text_crc32"), *whole)
     parts = max(slim.sparkSession.sparkContext.defaultParallelism, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # rows alike in every column still differ in the last, so that no range is more than its share
     spread = slim.withColumn("_row", F.monotonically_increasing_id())
@@ -60,14 +64,18 @@ def byte_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str
 
     placed = append_columns(fixed, [("_place", "long"), ("shard", "int")], factory)
     firsts = placed.groupBy("shard").agg(F.min("_place").alias("_first"))  # one row a shard
-    return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_place") - F.col("_first")).alias("slot"))
+    return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_place") - F.col("_first")).alias("slot"), *(["row"] * rows))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """docs as Parquet under path/shard=K, rows of a shard in slot order; doc_id must be unique."""
-    placed = byte_shards(docs, shards, doc_id, text).select(F.col("doc_id").alias(doc_id), "shard", "slot")
-    joined = docs.join(placed, doc_id)
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """docs as Parquet under path/shard=K, each row once, rows of a shard in slot order over files in order of name.
+
+    Whole rows go through the one range shuffle, so ids may be null or repeat, and no
+    task holds more than its range. A column of docs named shard or slot gives way.
+    """
+    placed = byte_shards(docs, shards, doc_id, text, rows=True)
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    placed.select(*kept, "shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,16 +151,19 @@ def read_track(data: memoryview) -> Track:
         codec = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
         at, end = found[b"stsz"]
         fixed, n = struct.unpack_from(">II", data, at + 4)
+        if n > len(data):
+            raise ValueError("more samples than bytes")
         sizes = np.full(n, fixed, np.int64) if fixed else _table(data, at + 4, end, ">u4")[:, 0]
         runs = _table(data, *found[b"stsc"], ">u4", 3)
         offsets = _table(data, *found[b"co64"], ">u8") if b"co64" in found else _table(data, *found[b"stco"], ">u4")
-    except (KeyError, struct.error) as e:
+    except (KeyError, IndexError, struct.error) as e:
         raise ValueError("a track without sample table") from e
-    if n > len(data):
-        raise ValueError("more samples than bytes")
-    per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(offsets) + 1]))
-    if per.sum() != n:
+    steps = np.diff(np.r_[runs[:, 0], len(offsets) + 1])
+    if len(runs) == 0 and n or (steps < 0).any() or (runs[:1, 0] != 1).any() or (runs[:, 1] < 0).any():
+        raise ValueError("chunks out of order")
+    if int((steps * np.minimum(runs[:, 1], len(data) + 1)).sum()) != n:
         raise ValueError("chunks and samples differ in number")
+    per = np.repeat(runs[:, 1], steps)
     chunk = np.repeat(np.arange(len(per)), per)
     before = np.cumsum(sizes) - sizes
     firsts = np.cumsum(per) - per
@@ -202,7 +205,7 @@ def media_columns(df: DataFrame, media: str = "media", ranges: bool = True, dige
             data = memoryview(raw)
             try:
                 t = read_track(data)
-            except ValueError:
+            except (ValueError, struct.error, OverflowError):
                 return [None] * len(fields)
             keys = t.keyframes()
             out = [t.codec, t.duration / t.timescale if t.timescale else None, len(t.sizes), len(keys)]
@@ -225,5 +228,5 @@ def media_columns(df: DataFrame, media: str = "media", ranges: bool = True, dige
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = media_columns(stored.drop("text"), ranges=False, digests=True)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "n_samples", "n_keyframes")
+    found = media_columns(stored.drop("text"), digests=True)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "n_samples", "n_keyframes", "keyframes")
