@@ -5,11 +5,12 @@ n-grams of one to three, hashed into DIMS places. A text's vector is its
 sublinear counts times inverse document frequencies, scaled to length one. Each
 language's training vectors are clustered (spherical k-means) into up to CLUSTERS
 centroids; a text takes the language of the centroid of the largest cosine. A text
-further from that centroid than any training text of the language, by a margin, is
-rejected.
+further from that centroid than nearly all training texts of the language, by a
+margin, is rejected.
 
 The model is fitted on a sample of at most about SAMPLE_PER_LANG labelled rows a
-language, taken by a hash of the id over the whole table, one task a language.
+language, taken by a hash of id and text over the whole table, a text once, one task
+a language. Every language is learned; the model grows with their number alone.
 
 Null text and text without letters: ``und``, score 0, rejected. Ties go to the
 first language by name. Null languages are not learned; without any training row
@@ -27,16 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, held_out, table, texts_of
+from .common import Scratch, append_columns, held_out, lean, table, texts_of
 
 DIMS = 4096
 CLUSTERS = 4
 #: Bound on the rows a language's centroids are fitted on (expected value of the hash sample).
 SAMPLE_PER_LANG = 600
-#: Most languages that are learned, those with the most rows first.
-MAX_LANGS = 400
-#: A text is rejected below this part of the least cosine of its language's training texts.
-REJECT_PART = 0.5
+#: A text is rejected below this part of a low quantile of the cosines of its language's training texts.
+REJECT_PART, REJECT_QUANTILE = 0.5, 0.01
 UNKNOWN = "und"
 
 
@@ -112,14 +111,13 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray,
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE_PER_LANG) -> Model:
-    """A model of labelled rows. What reaches the driver is bounded: MAX_LANGS languages of CLUSTERS centroids."""
+    """A model of labelled rows. What reaches the driver is CLUSTERS centroids a language."""
     rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return Model([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang")
+    counts = rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct(F.xxhash64("doc_id", "text")), F.lit(1)).alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    # rows of one id and text may be any share of all: they are drawn together and count once
+    scratch = Scratch(rows.sparkSession)
+    drawn = scratch.keep(rows.join(counts, "lang").filter(draw < sample / F.col("n")).groupBy("lang", "text").agg(F.first("doc_id").alias("any")).select("text", "lang"))
 
     def document_counts(batches):
         seen, n = np.zeros(DIMS, np.int64), 0
@@ -140,12 +138,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     def centroids_of(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [x for x in map(features, pdf["text"]) if x is not None]
         if not found:
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "centroid": pd.Series([], dtype=object), "least": pd.Series([], dtype=float)})
         vectors = np.stack([vector(x, shared.value) for x in found])
         centroids, cosine = cluster(vectors, CLUSTERS)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.tolist() for c in centroids], "least": float(cosine.min()) * REJECT_PART})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.tolist() for c in centroids], "least": float(np.quantile(cosine, REJECT_QUANTILE)) * REJECT_PART})
 
-    found = drawn.groupBy("lang").applyInPandas(centroids_of, "lang string, centroid array<float>, least double").collect()
+    with lean(rows.sparkSession):
+        found = drawn.groupBy("lang").applyInPandas(centroids_of, "lang string, centroid array<float>, least double").collect()
+    scratch.drop(drawn)
     langs = sorted({r["lang"] for r in found})
     found.sort(key=lambda r: (r["lang"], list(r["centroid"])))
     least = {r["lang"]: r["least"] for r in found}
