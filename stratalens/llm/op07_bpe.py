@@ -14,6 +14,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
+from array import array
 from functools import lru_cache
 
 import regex
@@ -23,7 +26,9 @@ from .common import append_columns, table, texts_of
 
 #: The byte-level splitting rule of public byte-BPE tokenizers (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers before it starts afresh.
+#: The same rule within ASCII, for the plain engine, which is faster.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Pieces whose ids each of a worker's two caches holds.
 CACHE = 400_000
 #: Longer pieces aren't remembered.
 CACHED_CHARS = 64
@@ -36,6 +41,11 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+#: Bits of a queue entry's place.
+_PLACE = 32
+_PLACES = (1 << _PLACE) - 1
+
+
 class Codec:
     """A tokenizer file's vocabulary, merges and added tokens."""
 
@@ -48,10 +58,12 @@ class Codec:
         alphabet = byte_alphabet()
         back = {ord(c): b for b, c in alphabet.items()}
         self.first = [vocab[alphabet[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pairs and what becomes of them, each as one number: left and right symbol, and rank and merged symbol.
+        self.merges: dict[int, int] = {}
+        self.shift = max(vocab.values()).bit_length()
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.merges.setdefault(vocab[left] << self.shift | vocab[right], rank << self.shift | vocab[left + right])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.strings: list[bytes] = [b""] * size
@@ -60,39 +72,55 @@ class Codec:
         for token, i in self.added.items():
             self.strings[i] = token.encode()
         self.split = regex.compile(PIECES).findall
+        self.split_ascii = re.compile(ASCII_PIECES).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
+        """The symbols of a piece. A queue entry is rank and place in one number; it is stale unless the pair there still has that rank."""
         symbols = [self.first[b] for b in piece]
-        n, merges = len(symbols), self.merges
+        n, known, shift = len(symbols), self.merges.get, self.shift
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        mask = (1 << shift) - 1
         queue = []
         for i in range(n - 1):
-            if found := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+            if (found := known(symbols[i] << shift | symbols[i + 1])) is not None:
+                queue.append(found >> shift << _PLACE | i)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right, whole = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & _PLACES
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # stale
-            symbols[i], symbols[j] = whole, -1
+            left = symbols[i]
+            if left < 0 or j >= n:
+                continue
+            found = known(left << shift | symbols[j])
+            if found is None or found >> shift != entry >> _PLACE:
+                continue
+            whole = symbols[i] = found & mask
+            symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((whole, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, whole, symbols[k], found[1]))
+                if (found := known(whole << shift | symbols[k])) is not None:
+                    push(queue, found >> shift << _PLACE | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], whole))):
-                heapq.heappush(queue, (found[0], h, symbols[h], whole, found[1]))
+            if h >= 0 and (found := known(symbols[h] << shift | whole)) is not None:
+                push(queue, found >> shift << _PLACE | h)
         return [s for s in symbols if s >= 0]
 
     def piece(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.merge(piece.encode()))
+        """The ids of a piece that the younger cache doesn't hold; a full one becomes the older, whose pieces come back when met again."""
+        if (ids := self.older.get(piece)) is None:
+            found = array("I", self.merge(piece.encode()))
+            if sys.byteorder == "big":
+                found.byteswap()
+            ids = found.tobytes()
         if len(piece) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
@@ -103,8 +131,9 @@ class Codec:
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
             else:
-                known, make = self.cache.get, self.piece
-                out += [known(p) or make(p) for p in self.split(part)]
+                make = self.piece
+                split = self.split_ascii if part.isascii() else self.split
+                out += [self.cache.get(p) or make(p) for p in split(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
