@@ -6,13 +6,19 @@ matches it; earlier is by doc_id, then by the text's hash among rows of one id,
 then by line number. Lines without words are never removed.
 
 Lines of equal sets are one node, whose first line is the earliest; the others go.
-Words are ordered by rarity; the prefix, length and positional filters and a
-64-bit signature leave few candidate pairs of nodes, which are verified on whole
-sets; of a matching pair the later node goes, and so do all its lines.
-
-Keys of more than LARGE nodes are treated first: their nodes are compared with the
-key's earliest one alone, and those that match it are settled. Only the rest is
-joined with all nodes of its keys.
+Words are ordered by rarity. A node is posted under the words of its prefix; under
+a word of over HEAVY occurrences it is posted together with each later word of the
+prefix, one word longer, for similar sets share two words there. Postings meet by
+key in sorted partitions, where length, position and a 128-bit signature of parities
+leave few candidate pairs. Of a node's candidates under a key the BEST nearest are
+written, so that a group of copies is never turned into all its pairs, and a node
+with more is marked. Nearest candidates are verified on whole sets, then all others
+of the nodes that these don't settle. Marked nodes that are still open ask again for
+eight times as many candidates, until none is left. One match settles a node: it
+goes with all its lines.
+
+In groups of over LARGE postings every node is compared with the key's HUBS first
+ones alone, and marked; a group of any size passes in the memory of a batch.
 
 Words are identified by 56-bit hashes, sets by 64-bit digests. Null texts have no
 lines. Rows equal in id and text are one document: each keeps the same lines.
@@ -24,16 +30,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, table, without
-from .setjoin import BROADCAST_IDS, DEN, NUM, apart, compatible, prefix_length, similar
+from .common import Scratch, append_columns, fresh, lean, table, without
+from .setjoin import BROADCAST_DOCS, DEN, NUM, perhaps_similar, similar
 from .tokens import Levels, blocks, levels, mix, word_hashes
 
 BITS = 20
-#: Keys with more nodes than this are treated by their earliest node first.
-LARGE = 64
+#: A word of more occurrences than this is a key only together with another word.
+HEAVY = 1024
+#: Groups of more postings than this are compared with their HUBS first nodes alone, at first.
+LARGE = 1024
+HUBS = 64
+#: Candidates of a node that are written for each key.
+BEST = 3
+#: Rows that meet at once, about, and pairs that wait for the choice of the best.
+ROWS, PAIRS = 1 << 18, 1 << 20
+#: Up to so many numbers (8 MB) are sent to all executors.
+BROADCAST_NUMBERS = 1_000_000
+#: Sets of up to so many words have the 128 bits as their only signature.
+SHORT = 128
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
+#: A posting's fields: coarse order (11 bits), set size (30), position (22).
+_POS, _N = 22, 30
 
 
 def word_parts(column: pa.Array):
@@ -41,22 +61,70 @@ def word_parts(column: pa.Array):
         yield word_hashes(data, firsts)[0]
 
 
-def line_rows(docs: DataFrame, known: Levels, only=None, slim: bool = False) -> DataFrame:
-    """A row for each line with words of docs (doc_id, th, text): doc_id, th, line, node, and unless slim n, bits and prefix.
+def prefix_lengths(n: np.ndarray) -> np.ndarray:
+    """setjoin.prefix_length of every number."""
+    return np.minimum(n, n + (-NUM * n) // DEN + 1)
+
+
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in some (sorted)."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def few_numbers(df: DataFrame, column: str) -> np.ndarray | None:
+    """The numbers of a column, sorted, if there are at most BROADCAST_NUMBERS, to leave out early what joins would; None beyond."""
+    if df.count() > BROADCAST_NUMBERS:
+        return None
+    return np.unique(np.array([r[0] for r in df.select(column).collect()], np.int64))
+
 
-    With only (a broadcast array of nodes, or an empty one for all), doc_id, th, line,
-    node and keys (the whole set) of lines of these nodes.
+def in_order(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order by group (ascending already), then key. One sort of the group's number before the key's first bits, unless equal ones differ."""
+    width = max(1, int(group[-1]).bit_length())
+    both = group.astype(np.uint64) << np.uint64(64 - width) | keys >> np.uint64(width)
+    order = np.argsort(both)
+    both, whole = both[order], keys[order]
+    same = both[1:] == both[:-1]
+    return np.lexsort((keys, group)) if (whole[1:][same] != whole[:-1][same]).any() else order
+
+
+def signatures(keys: np.ndarray, at: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.ListArray:
+    """setjoin.signature of the sets of n keys that begin at places at of keys; low and high for those of up to SHORT."""
+    words = np.where(n <= SHORT, 2, 1 << np.frexp(n - 1)[1].astype(np.int64) >> 4)
+    ends = np.cumsum(np.r_[0, words])
+    flat = np.empty(ends[-1], np.int64)
+    short = n <= SHORT
+    flat[ends[:-1][short]], flat[ends[:-1][short] + 1] = low[short], high[short]
+    for w in np.unique(words[n > SHORT]).tolist():
+        these = np.flatnonzero((words == w) & (n > SHORT))
+        size = n[these]
+        own = keys[np.repeat(at[these] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        place = np.repeat(np.arange(len(these)) * (64 * w), size) + (own & np.uint64(64 * w - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(these) * 64 * w) & 1
+        flat[ends[these][:, None] + np.arange(w)] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(-1, w)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, only: np.ndarray | None = None) -> DataFrame:
+    """A row for each line with words of docs (doc_id, th, text): doc_id, th, line, node, and what.
+
+    what is ``none``; ``prefix``, for n, low and high (128 parities), sign (longer parities of long
+    sets) and prefix, one key longer if it has a heavy one; or ``keys``, for the whole
+    sets of only those lines whose numbers are in docs' array column ``wanted``.
+    With only (sorted nodes), other nodes' lines are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    whole = only is not None
-    schema = "doc_id long, th long, line int, node long" + (", keys array<long>" if whole else "" if slim else ", n int, bits long, prefix array<long>")
-    schema = schema.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    lengths = np.array([prefix_length(n) for n in range(4096)])
+    shared = docs.sparkSession.sparkContext.broadcast((known, only))
+    more = {"none": "", "keys": ", keys array<long>", "prefix": ", n int, low long, high long, sign array<long>, prefix array<long>"}[what]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, line int, node long{more}"
+    least = Levels.level_of(heavy)
 
     def run(batches):
-        table = shared.value
+        table, some_nodes = shared.value
         for batch in batches:
             ids, ths = batch.column(0), batch.column(1)
+            wanted = batch.column(3) if what == "keys" else None
             last, base = -1, 0
             for data, firsts, rows in blocks(batch.column(2), at_lines=True):
                 hashes, starts = word_hashes(data, firsts)
@@ -72,145 +140,397 @@ def line_rows(docs: DataFrame, known: Levels, only=None, slim: bool = False) ->
                 if not len(starts):
                     continue
                 group = feeds[starts] + piece
+                if wanted is not None:
+                    line = feeds[starts] - before[piece] + extra[piece]
+                    some = np.zeros(len(starts), bool)
+                    for k, r in enumerate(rows.tolist()):
+                        a, b = np.searchsorted(piece, [k, k + 1])
+                        some[a:b] = np.isin(line[a:b], wanted[r].values.to_numpy())
+                    hashes, group, starts = hashes[some], group[some], starts[some]
+                    if not len(starts):
+                        continue
                 keys = table.keys(hashes)
-                order = np.lexsort((keys, group))
+                order = in_order(group, keys)
                 keys, group, lead = keys[order], group[order], starts[order]
                 new_line = np.r_[True, group[1:] != group[:-1]]
                 unique = new_line | np.r_[True, keys[1:] != keys[:-1]]
                 keys, new_line, lead = keys[unique], new_line[unique], lead[unique]
                 at = np.flatnonzero(new_line)
                 n = np.diff(np.r_[at, len(keys)])
-                x = np.add.reduceat(mix(keys * _ONE + np.repeat(n, n).astype(np.uint64)), at)
-                node = mix(x).view(np.int64)
+                node = mix(np.add.reduceat(mix(keys * _ONE + np.repeat(n, n).astype(np.uint64)), at)).view(np.int64)
+                if some_nodes is not None:
+                    kept = among(node, some_nodes)
+                    at, node = at[kept], node[kept]
+                    if not len(at):
+                        continue
                 first_word = lead[at]
                 part = np.searchsorted(firsts, first_word, side="right") - 1
                 line = feeds[first_word] - before[part] + extra[part]
                 row = pa.array(rows[part])
                 columns = {"doc_id": ids.take(row), "th": ths.take(row), "line": pa.array(line.astype(np.int32)), "node": pa.array(node)}
-                if whole:
-                    wanted = np.isin(node, only.value) if len(only.value) else np.ones(len(node), bool)
-                    flat = keys[np.repeat(wanted, n)].view(np.int64)
-                    mask = pa.array(wanted)
-                    columns = {k: v.filter(mask) for k, v in columns.items()}
-                    columns["keys"] = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, n[wanted]]), pa.int32()), pa.array(flat))
-                elif not slim:
-                    bits = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), at).view(np.int64)
-                    p = np.where(n < len(lengths), lengths[np.minimum(n, len(lengths) - 1)], n + (-NUM * n) // DEN + 1)
+                if what == "keys":
+                    columns["keys"] = pa.ListArray.from_arrays(pa.array(np.r_[at, len(keys)], pa.int32()), pa.array(keys.view(np.int64)))
+                elif what == "prefix":
+                    one, upper = np.uint64(1) << (keys & np.uint64(63)), keys & np.uint64(64) > 0
+                    low, high = (np.bitwise_xor.reduceat(np.where(upper == part, one, np.uint64(0)), at).view(np.int64) for part in (False, True))
+                    p = prefix_lengths(n)
+                    p += (keys[at + p - 1] >> np.uint64(56) >= least) & (p < n)
                     within = np.arange(len(keys)) - np.repeat(at, n)
                     flat = keys[within < np.repeat(p, n)].view(np.int64)
-                    prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, p]), pa.int32()), pa.array(flat))
-                    columns |= {"n": pa.array(n.astype(np.int32)), "bits": pa.array(bits), "prefix": prefix}
+                    columns |= {"n": pa.array(n.astype(np.int32)), "low": pa.array(low), "high": pa.array(high), "sign": signatures(keys, at, n, low, high)}
+                    columns["prefix"] = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, p]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "th", "text", *(["wanted"] if what == "keys" else [])).mapInArrow(run, schema)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, cut, and sent to all executors in joins if it has at most BROADCAST_IDS rows; beyond, joins shuffle."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def postings(nodes: DataFrame, heavy: int, only: np.ndarray | None = None) -> DataFrame:
+    """key, node, low, high and packed (coarse, n and position) of nodes (node, n, low, high, coarse, prefix), with only those of some keys (sorted)."""
+    least = Levels.level_of(heavy)
+    shared = nodes.sparkSession.sparkContext.broadcast(only)
 
+    def run(batches):
+        some = shared.value
+        for batch in batches:
+            node, n, low, high, coarse = (batch.column(k).to_numpy() for k in range(5))
+            n = n.astype(np.int64)
+            prefix = batch.column(5)
+            keys = prefix.flatten().to_numpy().view(np.uint64)
+            length = np.diff(prefix.offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), length)
+            within = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)
+            inside, many = within < prefix_lengths(n)[row], keys >> np.uint64(56) >= least
+            single, first = np.flatnonzero(inside & ~many), np.flatnonzero(inside & many)
+            later = length[row[first]] - within[first] - 1
+            a = np.repeat(first, later)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            at = np.r_[single, a]
+            key = np.r_[keys[single], mix(keys[a] * _ONE + mix(keys[b]))]
+            if some is not None:
+                kept = among(key.view(np.int64), some)
+                at, key = at[kept], key[kept]
+            r = row[at]
+            packed = (coarse[r].astype(np.int64) << (_POS + _N)) | (n[r] << _POS) | np.minimum(within[at], (1 << _POS) - 1)
+            for k in range(0, len(at), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[s].view(np.int64), node[r[s]], low[r[s]], high[r[s]], packed[s])], names=[*ROW.names])
+
+    # a set this small is out of reach for any of another size: n / (n + 1) is under the threshold
+    able = nodes.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM)
+    return able.select("node", "n", "low", "high", "coarse", "prefix").mapInArrow(run, "key long, node long, low long, high long, packed long")
+
+
+ROW = np.dtype([(c, np.int64) for c in ("key", "node", "low", "high", "packed")])
+
+
+def _found(x: np.ndarray, y: np.ndarray, d: np.ndarray, more: np.ndarray):
+    for k in range(0, len(x), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(x[s], mask=d[s] < 0), pa.array(y[s]), pa.array(d[s].astype(np.int32)), pa.array(more[s])], names=["x", "y", "d", "more"])
+
+
+class Meeting:
+    """Postings in order of key and coarse order; pairs of a key that pass the filters, the BEST of every node."""
+
+    def __init__(self, large: int, hubs: int, best: int):
+        self.large, self.hubs, self.best = large, hubs, best
+        self.hub_key, self.hub_rows = None, None
+
+    @staticmethod
+    def parts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n, and how many keys a set can share from its posting on, of rows."""
+        n = rows["packed"] >> _POS & (1 << _N) - 1
+        return n, n - (rows["packed"] & (1 << _POS) - 1)
+
+    @staticmethod
+    def near(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the bits of rows a and b, of both keys in all, leave room for a match, and how many of them differ."""
+        d = sum(np.bitwise_count((a[c] ^ b[c]).view(np.uint64)).astype(np.int64) for c in ("low", "high"))  # of signed numbers it would count the absolute value
+        return d <= both - 2 * -(-NUM * both // (NUM + DEN)), d
+
+    def meet(self, rows: np.ndarray, ended: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What of rows must wait for the next ones, and the columns x, y, d, more of what was found. x is null (d < 0) for a mark alone."""
+        keys = rows["key"]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[first, len(rows)])
+        wait = rows[:0]
+        if not ended and size[-1] <= self.large and keys[-1] != self.hub_key:
+            wait, rows = rows[first[-1] :], rows[: first[-1]]
+            first, size = first[:-1], size[:-1]
+        found: list[list[np.ndarray]] = [[], [], []]  # row of y, row of x, d
+        more = np.zeros(len(rows), bool)
+        marks, stars = [], []
+        ordinary = size <= self.large
+        if len(first) and keys[0] == self.hub_key:
+            ordinary[0] = False
+
+        def thin() -> None:
+            y, x, d = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
+            order = np.lexsort((d, y))
+            y, x, d = y[order], x[order], d[order]
+            start = np.r_[True, y[1:] != y[:-1]] if len(y) else np.zeros(0, bool)
+            rank = np.arange(len(y)) - np.repeat(np.flatnonzero(start), np.diff(np.r_[np.flatnonzero(start), len(y)]))
+            more[y[rank >= self.best]] = True
+            found[:] = [[c[rank < self.best]] for c in (y, x, d)]
+
+        # ordinary groups: all their pairs, by distance in the order
+        end = np.repeat(first + size, size)
+        active = np.flatnonzero(np.repeat(ordinary, size))
+        n, most = self.parts(rows)
+        share, reach = NUM * n, (NUM + DEN) * most
+        coarse = rows["packed"] >> (_POS + _N)
+        step, waiting = 1, 0
+        while len(active := active[active + step < end[active]]):
+            # what must be shared fits into what can be: the filters of length and position in one
+            i = active[share[active] + share[active + step] <= np.minimum(reach[active], reach[active + step])]
+            ok, d = self.near(rows[i], rows[i + step], n[i] + n[i + step])
+            i, d = i[ok], d[ok]
+            j = i + step
+            level = coarse[i] == coarse[j]  # either may be the earlier
+            for c, part in zip(found, (np.r_[j, i[level]], np.r_[i, j[level]], np.r_[d, d[level]]), strict=True):
+                c.append(part)
+            waiting += len(i)
+            if waiting > PAIRS:
+                thin()
+                waiting = 0
+            step += 1
+        thin()
+        y, x, d = (c[0] for c in found)
+        out = [[rows["node"][x], rows["node"][y], d, more[y]]]
+
+        # others: against the key's first nodes
+        for g in np.flatnonzero(~ordinary):
+            group = rows[first[g] : first[g] + size[g]]
+            if group["key"][0] != self.hub_key:
+                self.hub_key, self.hub_rows = group["key"][0], group[: self.hubs].copy()
+            for k in range(0, len(group), ROWS // self.hubs):
+                part = group[k : k + ROWS // self.hubs]
+                a, b = np.tile(self.hub_rows, len(part)), np.repeat(part, len(self.hub_rows))
+                (na, ma), (nb, mb) = self.parts(a), self.parts(b)
+                ok, d = self.near(a, b, na + nb)
+                ok &= (NUM * (na + nb) <= (NUM + DEN) * np.minimum(ma, mb)) & (a["node"] != b["node"]) & (a["packed"] >> (_POS + _N) <= b["packed"] >> (_POS + _N))
+                d = np.where(ok, d, 1 << 20).reshape(len(part), -1)
+                nearest = np.argsort(d, axis=1, kind="stable")[:, : self.best]
+                at = np.repeat(np.arange(len(part)), nearest.shape[1])
+                chosen = nearest.reshape(-1)
+                good = d[at, chosen] < 1 << 20
+                stars.append([self.hub_rows["node"][chosen[good]], part["node"][at[good]], d[at[good], chosen[good]], np.ones(int(good.sum()), bool)])
+                none = ~good.reshape(len(part), -1).any(1)
+                marks.append(part["node"][none])
+        if ended:
+            self.hub_key = None
+        bare = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+        out += [*stars, [bare, bare, np.full(len(bare), -1), np.ones(len(bare), bool)]]
+        return wait, [np.concatenate([o[c] for o in out]) for c in range(4)]
+
+
+def candidates(posted: DataFrame, large: int, best: int, hubs: int = HUBS) -> DataFrame:
+    """x, y, d, more: y's nearest candidates x under a key, and whether y may have others there; x is null for the mark alone."""
+
+    def run(batches):
+        meeting, waiting, rows = Meeting(large, hubs, best), [], 0
+
+        def found(ended: bool):
+            nonlocal waiting, rows
+            wait, (x, y, d, more) = meeting.meet(np.concatenate(waiting), ended)
+            waiting, rows = [wait], len(wait)
+            yield from _found(x, y, d, more)
+
+        for batch in batches:
+            part = np.empty(len(batch), ROW)
+            for name in ROW.names:
+                part[name] = batch.column(name).to_numpy()
+            waiting.append(part)
+            rows += len(part)
+            if rows >= ROWS:
+                yield from found(False)
+        if rows:
+            yield from found(True)
+
+    dealt = posted.repartition("key").sortWithinPartitions("key", "packed")
+    return dealt.mapInArrow(run, "x long, y long, d int, more boolean")
+
+
+class Asking:
+    """Postings in order of key, those of asking nodes first: the best candidates of each of these among all of the key, in any number."""
+
+    def __init__(self, best: int):
+        self.best, self.key, self.asking, self.members = best, None, [], []
+
+    def add(self, rows: np.ndarray, asking: np.ndarray) -> list[list[np.ndarray]]:
+        """The columns x, y, d, more of the groups that end with these rows."""
+        out = []
+        first = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else []
+        for a, b in zip(first, [*first[1:], len(rows)], strict=True):
+            part, asks = rows[a:b], asking[a:b]
+            if part["key"][0] != self.key:
+                out += self.end()
+                self.key = part["key"][0]
+            if asks.any():
+                self.asking.append(part[asks])
+            if self.asking:
+                self.meet(part[~asks])
+        return out
+
+    def meet(self, members: np.ndarray) -> None:
+        if len(self.asking) > 1 or not self.members:
+            self.asking = [np.concatenate(self.asking)]
+            old = self.members
+            rows = len(self.asking[0])
+            self.members = [np.full((rows, self.best + 1), 1 << 20), np.zeros((rows, self.best + 1), np.int64)]
+            if old:
+                for new, before in zip(self.members, old, strict=True):
+                    new[: len(before)] = before
+        ys, (ds, xs) = self.asking[0], self.members
+        wide = max(1, ROWS // max(1, self.best))
+        for i in range(0, len(ys), 1024):
+            y = ys[i : i + 1024]
+            for k in range(0, len(members), max(1, min(wide, PAIRS // len(y)))):
+                x = members[k : k + max(1, min(wide, PAIRS // len(y)))]
+                a, b = np.tile(x, len(y)), np.repeat(y, len(x))
+                (na, ma), (nb, mb) = Meeting.parts(a), Meeting.parts(b)
+                ok, d = Meeting.near(a, b, na + nb)
+                ok &= (NUM * (na + nb) <= (NUM + DEN) * np.minimum(ma, mb)) & (a["node"] != b["node"]) & (a["packed"] >> (_POS + _N) <= b["packed"] >> (_POS + _N))
+                all_d = np.concatenate([ds[i : i + 1024], np.where(ok, d, 1 << 20).reshape(len(y), -1)], axis=1)
+                all_x = np.concatenate([xs[i : i + 1024], a["node"].reshape(len(y), -1)], axis=1)
+                # one more than the best, to know of others
+                chosen = np.argpartition(all_d, self.best, axis=1)[:, : self.best + 1]
+                ds[i : i + 1024], xs[i : i + 1024] = np.take_along_axis(all_d, chosen, 1), np.take_along_axis(all_x, chosen, 1)
+
+    def end(self) -> list[list[np.ndarray]]:
+        out = []
+        if self.members:
+            ds, xs = self.members
+            there = ds < 1 << 20
+            more = np.repeat(there.sum(1) > self.best, self.best + 1).reshape(ds.shape)
+            y = np.repeat(self.asking[0]["node"], self.best + 1).reshape(ds.shape)
+            out = [[xs[there], y[there], ds[there], more[there]]]
+        self.asking, self.members = [], []
+        return out
+
+
+def asked(posted: DataFrame, best: int) -> DataFrame:
+    """candidates() of asking nodes alone; posted has asking, and every node's postings under their keys without it."""
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
+    def run(batches):
+        one = Asking(best)
+        for batch in batches:
+            part = np.empty(len(batch), ROW)
+            for name in ROW.names:
+                part[name] = batch.column(batch.schema.get_field_index(name)).to_numpy()
+            for columns in one.add(part, batch.column(batch.schema.get_field_index("asking")).to_numpy(zero_copy_only=False)):
+                yield from _found(*columns)
+        for columns in one.end():
+            yield from _found(*columns)
+
+    dealt = posted.repartition("key").sortWithinPartitions("key", F.desc("asking"), "packed")
+    return dealt.mapInArrow(run, "x long, y long, d int, more boolean")
+
+
+def ordered(nodes: DataFrame) -> DataFrame:
+    """nodes with coarse, 0 to 2047: never less for a later place. Numeric ids alone give more than one level."""
+    if not isinstance(nodes.schema["doc_id"].dataType, T.NumericType):
+        return nodes.withColumn("coarse", F.lit(0))
+    least, most = nodes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if least is None or least == most:
+        return nodes.withColumn("coarse", F.lit(0))
+    share = (F.col("doc_id").cast("double") - float(least)) / (float(most) - float(least))
+    return nodes.withColumn("coarse", F.coalesce(F.floor(share * 2047), F.lit(0)).cast("int"))  # null ids come first
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE, heavy: int = HEAVY, best: int = BEST, hubs: int = HUBS) -> DataFrame:
     """doc_id, th (the text's xxhash64) and removed, the sorted line numbers from 0, of rows of docs that lose lines."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    context = docs.sparkSession.sparkContext
-    known = levels(docs.select("text"), word_parts, BITS)
+    scratch = Scratch(docs.sparkSession)
+    with lean(docs.sparkSession):
+        known = levels(docs.select("text"), word_parts, BITS)
     place = F.struct("doc_id", "th", "line")
-    nodes = line_rows(docs, known).groupBy("node").agg(F.min(place).alias("o"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
-    nodes = cut(nodes.select("node", "o.*", "n", "bits", "prefix", "lines"))
-    order = F.struct("doc_id", "th", "line").alias("order")
-    # n / (n + 1) is under the threshold for the smallest sets: only their equals match
-    keyed = nodes.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM)
+    nodes = line_rows(docs, known, "prefix", heavy).groupBy("node").agg(F.min(place).alias("o"), *(F.first(c).alias(c) for c in ("n", "low", "high", "sign", "prefix")), F.count("*").alias("lines"))
+    nodes = scratch.keep(nodes.select("node", "o.*", "n", "low", "high", "sign", "prefix", "lines"))
+    with_order = ordered(nodes)
+    found = scratch.keep(candidates(postings(with_order, heavy), large, best, hubs))
+
+    def ids_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
 
     def whole_sets(pairs: DataFrame) -> DataFrame:
         """node and keys of the nodes of pairs, from the lines that first hold them."""
-        wanted = few(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
-        some = wanted.count() <= BROADCAST_IDS
-        first = few(nodes.select("node", "doc_id", "th", "line").join(wanted, "node"))
-        ids = np.array([r["node"] for r in wanted.collect()], np.int64) if some else np.zeros(0, np.int64)  # 8 MB at most
-        holders = first.select("doc_id", "th").distinct()
+        held = nodes.select("node", "doc_id", "th", "line").join(ids_of(pairs), "node")
+        held = scratch.keep(held.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("wanted")))
+        few = F.broadcast(held) if held.count() <= BROADCAST_DOCS else held
         # null ids meet too; rows equal in id and text hold the same sets, of which one is enough
-        held = F.broadcast(holders) if some else holders
-        held = held.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-        texts = docs.join(held, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi")
-        at = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("line").alias("_line"), F.col("node").alias("_node"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line")) & (F.col("node") == F.col("_node"))
-        return line_rows(texts, known, context.broadcast(ids)).join(at, same, "left_semi").select("node", "keys").dropDuplicates(["node"])
-
-    def later(pairs: DataFrame) -> DataFrame:
-        """node of the later one of each matching pair of pairs (x, y, d: how many bits of their signatures differ).
-
-        One match settles a node: first each node's closest earlier candidate is
-        verified, and all others only for the nodes that it doesn't settle.
-        """
-        wanted = few(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
-        places = few(nodes.select("node", order).join(wanted, "node"))
-        end = lambda c, o: F.broadcast(places.select(F.col("node").alias(c), F.col("order").alias(o))) if places.count() <= BROADCAST_IDS else places.select(F.col("node").alias(c), F.col("order").alias(o))
-        both = pairs.join(end("x", "ox"), "x").join(end("y", "oy"), "y")
-        forward = F.col("ox") < F.col("oy")
-        directed = cut(both.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("y"), "d"))
-        best = cut(directed.groupBy("y").agg(F.min(F.struct("d", "x")).alias("b")).select("b.x", "y"))
-        sure = few(similar(best, whole_sets(best)).select(F.col("y").alias("node")).distinct())
-        rest = cut(directed.select("x", "y").join(sure.withColumnRenamed("node", "y"), "y", "left_anti"))
-        return sure.unionByName(similar(rest, whole_sets(rest)).select(F.col("y").alias("node")).distinct())
-
-    # large keys, counted among those that the frequency table doesn't rule out, for it never counts too few
-    posted = keyed.select("node", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    least_level = int(8 * np.log2(1 + large))
-    frequent = posted.filter(F.shiftrightunsigned("token", 56) >= least_level)
-    large_keys = few(frequent.groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > large).select("token"))
-
-    # in large groups, every node against its key's earliest
-    wide = keyed.select("node", "n", "bits", order, F.lit(1).alias("l"), F.posexplode("prefix").alias("pos", "token"))
-    grouped = cut(wide.join(large_keys, "token"))
-    heads = grouped.groupBy("token").agg(F.min(F.struct("order", "node", "n", "bits", "pos", "l")).alias("hub"))
-    own, hub = (lambda c: F.col(c)), (lambda c: F.col(f"hub.{c}"))
-    star = grouped.join(heads, "token").filter((F.col("node") != F.col("hub.node")) & compatible(own, hub) & apart(own, hub))
-    star = cut(star.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.lit(0).alias("d")))
-    done = few(later(star).withColumn("done", F.lit(True)))
-    settled = done.drop("done")
-
-    # small groups: all their pairs but those of two settled nodes; both sides of the join are one shuffle
-    marked = keyed.select("node", "n", "bits", "prefix").join(done, "node", "left").select("node", "n", "bits", "done", F.posexplode("prefix").alias("pos", "token"))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("done"), 1).otherwise(0).cast("long"))
-    small = marked.join(large_keys, "token", "left_anti").select("token", "node", "bits", packed.alias("packed"))
-
-    def side(name: str):
-        p = F.col(f"{name}.packed")
-        parts = {"n": F.shiftright(p, 32).cast("int"), "pos": F.shiftright(p.bitwiseAND((1 << 32) - 1), 1).cast("int"), "done": p.bitwiseAND(1), "l": F.lit(1)}
-        return lambda c: parts.get(c, F.col(f"{name}.{c}"))
-
-    a, b = side("a"), side("b")
-    met = small.alias("a").join(small.alias("b"), (a("token") == b("token")) & (a("node") < b("node")) & (a("done") + b("done") < 2) & apart(a, b) & compatible(a, b))
-    differing = F.bit_count(a("bits").bitwiseXOR(b("bits"))).alias("d")
-    pairs = met.select(a("node").alias("x"), b("node").alias("y"), differing)
-
-    # large groups: nodes that aren't settled against all
-    open_ = grouped.join(done, "node", "left_anti").alias("a")
-    members = grouped.join(done, "node", "left").alias("b")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    once = b("done").isNotNull() | (a("node") < b("node"))
-    met = open_.join(members, (a("token") == b("token")) & (a("node") != b("node")) & once & apart(a, b) & compatible(a, b))
-    differing = F.bit_count(a("bits").bitwiseXOR(b("bits"))).alias("d")
-    pairs = cut(pairs.unionByName(met.select(F.least(a("node"), b("node")).alias("x"), F.greatest(a("node"), b("node")).alias("y"), differing)).distinct())
-    gone = few(settled.unionByName(later(pairs)).distinct().withColumn("gone", F.lit(True)))
+        texts = docs.join(few, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")))
+        return line_rows(texts, known, "keys").select("node", "keys").dropDuplicates(["node"])
+
+    def directed(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) whose x is the earlier and whose signatures leave room for a match, with d, how far these differ."""
+        ends = scratch.keep(nodes.select("node", F.struct("doc_id", "th", "line").alias("order"), "n", "sign").join(ids_of(pairs), "node"))
+        return scratch.keep(perhaps_similar(pairs, ends, earlier="order"))
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        return scratch.keep(similar(pairs, whole_sets(pairs)).select(F.col("y").alias("node")).distinct())
+
+    def later(pairs: DataFrame, few: bool = False) -> DataFrame:
+        """node of the later one of each matching pair: first each node's nearest pair is verified, then all others of nodes still open; all at once if few."""
+        open_ = directed(pairs)
+        if few:
+            return matched(open_.select("x", "y"))
+        nearest = scratch.keep(open_.groupBy("y").agg(F.min_by("x", F.struct("d", "x")).alias("x")).select("x", "y"))
+        sure = matched(nearest)
+        rest = scratch.keep(open_.select("x", "y").join(sure.withColumnRenamed("node", "y"), "y", "left_anti").join(nearest, ["x", "y"], "left_anti"))
+        return sure if rest.isEmpty() else sure.unionByName(matched(rest))
+
+    tried = scratch.keep(found.filter("x IS NOT NULL").select("x", "y").distinct())
+    gone = later(tried)
+    while True:
+        # more candidates of the marked nodes that nothing has settled, until no more are left
+        still = scratch.keep(found.filter("more").select(F.col("y").alias("node")).distinct().join(gone, "node", "left_anti"))
+        scratch.drop(found)
+        if still.isEmpty():
+            break
+        best *= 8
+        asking = postings(with_order.join(still, "node", "left_semi"), heavy)
+        keys = scratch.keep(asking.select("key").distinct())
+        all_ = postings(with_order, heavy, few_numbers(keys, "key"))
+        found = scratch.keep(asked(asking.withColumn("asking", F.lit(True)).unionByName(all_.withColumn("asking", F.lit(False))), best))
+        others = scratch.keep(found.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"))
+        gone = gone.unionByName(later(others, few=True))
+        tried = tried.unionByName(others)
 
     # lines are made again rather than kept: cheaper than their bytes
-    fate = nodes.select("node", order, "lines").join(gone, "node", "left").filter("gone OR lines > 1").drop("lines")
-    out = line_rows(docs, known, slim=True).join(fate, "node")
+    lost = gone.distinct().withColumn("gone", F.lit(True))
+    fate = scratch.keep(nodes.select("node", place.alias("order"), "lines").join(lost, "node", "left").filter("gone OR lines > 1").drop("lines"))
+    scratch.drop(*(df for _, df in [*scratch.paths.values()] if df is not fate))
+    out = line_rows(docs, known, "none", only=few_numbers(fate, "node")).join(fate, "node")
     out = out.filter(F.col("gone").isNotNull() | ~F.col("order").eqNullSafe(place))
     return out.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text less the removed lines, and n_removed; a column of that name gives way, all others stay."""
+    """docs with text less the removed lines, and n_removed; a column of that name gives way, all others stay.
+
+    Null texts stay null; a text all of whose lines go is empty.
+    """
     docs = without(docs, ["n_removed"])
-    removed = removed_lines(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    joined = docs.join(removed, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_removed", i))
-    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({text: changed, "n_removed": F.coalesce(F.size("_removed"), F.lit(0))}).drop("_id", "_th", "_removed")
+    i, h, r = fresh(docs, "id_of", "hash_of", "lines_of")
+    removed = removed_lines(docs, doc_id, text).select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("removed").alias(r))
+    joined = docs.join(removed, F.col(f"`{doc_id}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(h)), "left")
+
+    def factory():
+        def compute(batch):
+            texts, gone = (batch.column(batch.schema.get_field_index(c)) for c in (text, r))
+            kept = []
+            for t, lines in zip(texts, gone, strict=True):
+                if lines.is_valid:
+                    lost = set(lines.as_py())
+                    kept.append("\n".join(x for k, x in enumerate(t.as_py().split("\n")) if k not in lost))
+                else:
+                    kept.append(t.as_py())
+            return [kept, pa.array([len(x) if x.is_valid else 0 for x in gone], pa.int32())]
+
+        return compute
+
+    return append_columns(joined, [(text, "string"), ("n_removed", "int")], factory).select(*[F.col(f"`{c}`") for c in docs.columns], "n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

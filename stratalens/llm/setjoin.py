@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import Scratch
 
 #: Two sets are similar from 80 hundredths of their union.
 NUM, DEN = 80, 100
 #: Most sets of one key in one task's group, about.
 HEAVY = 20_000
-#: Up to so many numbers (8 MB) a filter is broadcast; beyond, the tables are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Up to so many documents (ids and hashes, about 30 bytes each) are sent to all executors; beyond, the join shuffles.
+BROADCAST_DOCS = 400_000
 
 
 def required(a: Column, b: Column) -> Column:
@@ -74,11 +74,6 @@ def compatible(a, b) -> Column:
     return (F.least(a("n"), b("n")) * DEN >= F.greatest(a("n"), b("n")) * NUM) & (a("pos") < a("n") - t + l) & (b("pos") < b("n") - t + l)
 
 
-def apart(a, b) -> Column:
-    """False where the parities in bits alone show too many differing keys."""
-    return F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= a("n") + b("n") - 2 * required(a("n"), b("n"))
-
-
 def stars(shared: DataFrame) -> DataFrame:
     """node, hub and shares (of keys) of the pairs of a member and its group's hub, and of a salted key's hubs and their first."""
     own, hub = (lambda c: F.col(c)), (lambda c: F.col(f"hub.{c}"))
@@ -90,13 +85,6 @@ def stars(shared: DataFrame) -> DataFrame:
     return direct.unionByName(upper).groupBy("node", "hub").agg(F.count("*").alias("shares"))
 
 
-def needed_ids(ids: DataFrame) -> tuple[DataFrame, bool]:
-    """ids, cut, and whether they are few enough to be broadcast."""
-    ids = cut(ids.distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return (F.broadcast(ids) if few else ids), few
-
-
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) of nodes whose whole sets (node, keys) are similar, by counting what they share."""
     a = sets.select(F.col("node").alias("x"), F.col("keys").alias("xs"))
@@ -105,24 +93,34 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").filter(DEN * both >= NUM * (F.size("xs") + F.size("ys") - both)).select("x", "y").distinct()
 
 
-def perhaps_similar(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose signatures (node, n, sign) leave room for a link.
+def folded(sign: str, words: Column) -> Column:
+    """A signature (array column, see :func:`signature`) of at most so many words, halves put together as often as it takes."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(sign) / words).cast("int") - 1), lambda k: F.slice(F.col(sign), k * words + 1, words))
+    whole = F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), words), lambda total, part: F.zip_with(total, part, lambda p, q: p.bitwiseXOR(q)))
+    return F.when(F.size(sign) > words, whole).otherwise(F.col(sign))
 
-    A signature counts keys by hash, modulo two, in words of 64 (see :func:`signature`).
-    Parities that differ are at most as many as keys that differ, so no link is lost.
-    The longer of two signatures is folded to the other's length.
-    """
-    a = signed.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("sign").alias("xs"))
-    b = signed.select(F.col("node").alias("y"), F.col("n").alias("yn"), F.col("sign").alias("ys"))
 
-    def folded(own: str, other: str) -> Column:
-        half = F.size(other)
-        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(own) > half, halves).otherwise(F.col(own))
+def differing(xs: str, ys: str) -> Column:
+    """How many bits of two signatures differ; the longer is folded to the other's length."""
+    bits = F.zip_with(folded(xs, F.size(ys)), folded(ys, F.size(xs)), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
 
-    differing = F.aggregate(F.zip_with(folded("xs", "ys"), folded("ys", "xs"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
-    room = F.col("xn") + F.col("yn") - 2 * required(F.col("xn"), F.col("yn"))
-    return pairs.join(a, "x").join(b, "y").filter(differing <= room).select("x", "y").distinct()
+
+def room(a: Column, b: Column) -> Column:
+    """How many keys may differ between similar sets of sizes a and b. Parities that differ are at most as many."""
+    return a + b - 2 * required(a, b)
+
+
+def perhaps_similar(pairs: DataFrame, signed: DataFrame, earlier: str | None = None) -> DataFrame:
+    """The pairs (x, y) whose signatures (node, n, sign) leave room for a link, with d, the bits that differ.
+
+    With earlier, a column of signed, only those whose x comes first by it.
+    """
+    order = F.col(earlier) if earlier else F.lit(None)
+    a = signed.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("sign").alias("xs"), order.alias("xo"))
+    b = signed.select(F.col("node").alias("y"), F.col("n").alias("yn"), F.col("sign").alias("ys"), order.alias("yo"))
+    joined = pairs.join(a, "x").join(b, "y").filter("xo < yo" if earlier else "true").withColumn("d", differing("xs", "ys"))
+    return joined.filter(F.col("d") <= room(F.col("xn"), F.col("yn"))).select("x", "y", "d")
 
 
 def signature(keys: np.ndarray) -> np.ndarray:
@@ -132,19 +130,21 @@ def signature(keys: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the class' least node) of every node of edges (x, y).
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, comp (the class' least node) of every node of edges (x, y), as a table of scratch.
 
     Rounds of taking the least label among neighbours and then that label's own
-    label; each is written to the checkpoint folder, and the last changes nothing.
+    label; each is written to the shared folder, and the last changes nothing.
     """
-    both = cut(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(edges.select(F.col("y").alias("u"), F.col("x").alias("v"))))
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
+    both = scratch.keep(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(edges.select(F.col("y").alias("u"), F.col("x").alias("v"))))
+    labels = scratch.keep(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("least"))
-        hooked = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
+        hooked = labels.select("node", "comp").join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
         above = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = cut(hooked.join(above, "comp", "left").select("node", "old", F.least("comp", "up").alias("comp")))
+        new = scratch.keep(hooked.join(above, "comp", "left").select("node", "old", F.least("comp", "up").alias("comp")))
+        scratch.drop(labels)
         if new.filter("comp <> old").isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+            scratch.drop(both)
+            return new
+        labels = new

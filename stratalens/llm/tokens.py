@@ -133,6 +133,11 @@ class Levels:
         #: What a bucket holds by chance, in occurrences.
         self.floor = float(np.median(counts))
 
+    @staticmethod
+    def level_of(count: int) -> np.uint64:
+        """The level of a word that occurs so often."""
+        return np.uint64(min(255, round(8 * np.log2(1.0 + count))))
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         return self.level[(hashes >> self.shift).astype(np.int64)] << np.uint64(56) | hashes & _HASH
 
