@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, cut, table
-from .setjoin import HEAVY, compatible, components, needed_ids, perhaps_similar, postings, prefix_length, signature, similar, stars
+from .common import Scratch, append_columns, fresh, lean, table
+from .setjoin import BROADCAST_DOCS, HEAVY, compatible, components, differing, folded, perhaps_similar, postings, prefix_length, room, signature, similar, stars
 from .tokens import Levels, levels, mix, shingles, words_by_row
 
 BITS = 18
 MOST_SHARED = 4
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 50.0
+#: Words of 64 bits of the signatures that go with keys; whole ones are as long as their sets ask for.
+SIGN_WORDS = 16
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,53 +110,65 @@ def keep_one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rows, classes = _classes(docs.select(F.col(doc_id).alias("doc_id"), th.alias("th"), F.col(text).alias("text")), heavy)
     filled = rows.filter("node IS NOT NULL").select("doc_id", "th", "node").join(classes.select("node", "comp"), "node")
     first = filled.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
-    kept = first.unionByName(rows.filter("node IS NULL").select("doc_id", "th")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    keyed = docs.withColumn("_text", th)
-    keyed = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left_semi")
-    return keyed.dropDuplicates([doc_id, "_text"]).drop("_text")
+    i, h, own = fresh(docs, "id_of", "hash_of", "hash_own")
+    kept = first.unionByName(rows.filter("node IS NULL").select("doc_id", "th")).select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    keyed = docs.withColumn(own, th)
+    keyed = keyed.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi")
+    return keyed.dropDuplicates([doc_id, own]).drop(own)
 
 
 def _classes(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
     """The rows of docs (doc_id, th, text and others) with n and node instead of text; node, first_id (null only if no row has an id), first_th and comp of every node."""
-    known = levels(docs.select("text"), shingle_parts, BITS)
-    rows = cut(with_sets(docs, known, "prefix"))
+    scratch = Scratch(docs.sparkSession)
+    with lean(docs.sparkSession):
+        known = levels(docs.select("text"), shingle_parts, BITS)
+    rows = scratch.keep(with_sets(docs, known, "prefix"))
     filled = rows.filter("node IS NOT NULL")
     holder = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("o")
     nodes = filled.groupBy("node").agg(holder).select("node", F.col("o.doc_id").alias("first_id"), F.col("o.th").alias("first_th"))
     sets = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
-    shared = cut(postings(sets, known.floor, heavy))
+    shared = scratch.keep(postings(sets, known.floor, heavy))
 
     def sets_of(pairs: DataFrame, what: str) -> DataFrame:
         """node, n and what of the sets of the nodes of pairs, from the texts that first hold them."""
         wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-        held, _ = needed_ids(nodes.join(wanted, "node").select("first_id", "first_th"))
-        texts = docs.join(held, docs["doc_id"].eqNullSafe(F.col("first_id")) & (docs["th"] == F.col("first_th")), "left_semi")
+        held = scratch.keep(nodes.join(wanted, "node").select("first_id", "first_th").distinct())
+        few = F.broadcast(held) if held.count() <= BROADCAST_DOCS else held
+        texts = docs.join(few, docs["doc_id"].eqNullSafe(F.col("first_id")) & (docs["th"] == F.col("first_th")), "left_semi")
         # rows equal in id and text, as copies without ids are, hold the same set
         return with_sets(texts, known, what).select("node", "n", what).dropDuplicates(["node"])
 
     best = stars(shared).groupBy("node").agg(F.max_by("hub", F.struct("shares", "hub")).alias("hub"))
-    pairs = cut(best.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
-    links = cut(similar(pairs, sets_of(pairs, "keys")))
-    classes = components(links)
-
-    # what is left: pairs of different classes that share keys
-    member = shared.drop("size", "salt", "salts").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    member = cut(member)
-    counted = member.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    pairs = scratch.keep(best.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
+    links = scratch.keep(similar(pairs, sets_of(pairs, "keys")))
+    classes = components(links, scratch)
+
+    # what is left: pairs of different classes that share keys and whose signatures leave room for a link
+    classed = shared.select("token", "node", "n", "l", "pos").join(classes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classed = scratch.keep(classed)
+    scratch.drop(shared)
+    counted = classed.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = counted.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-    member = member.join(mixed, "token")
+    member = scratch.keep(classed.join(mixed, "token"))
+    scratch.drop(classed)
+    few = member.select(F.col("node").alias("x"), F.col("node").alias("y")).distinct()
+    signs = scratch.keep(sets_of(few, "sign"))
+    member = member.join(signs.select("node", folded("sign", F.lit(SIGN_WORDS)).alias("sign")), "node")
     minor = member.filter("comp <> major").alias("a")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     once = (b("comp") == b("major")) | (a("node") < b("node"))
-    met = minor.join(member.alias("b"), (a("token") == b("token")) & (a("comp") != b("comp")) & once & compatible(a, b))
+    alike = differing("a.sign", "b.sign") <= room(a("n"), b("n"))
+    met = minor.join(member.alias("b"), (a("token") == b("token")) & (a("comp") != b("comp")) & once & compatible(a, b) & alike)
     met = met.select(F.least(a("node"), b("node")).alias("x"), F.greatest(a("node"), b("node")).alias("y"), F.least(a("l"), b("l")).alias("l"))
-    more = cut(met.groupBy("x", "y").agg(F.count("*").alias("shares"), F.min("l").alias("l")).filter("shares >= l").select("x", "y"))
-    more = cut(perhaps_similar(more, sets_of(more, "sign")))
+    more = scratch.keep(met.groupBy("x", "y").agg(F.count("*").alias("shares"), F.min("l").alias("l")).filter("shares >= l").select("x", "y"))
+    more = scratch.keep(perhaps_similar(more, signs).select("x", "y"))
     found = similar(more, sets_of(more, "keys"))
     joined = classes.select(F.col("node").alias("x"), F.col("comp").alias("y")).filter("x <> y")  # the first links, as stars
-    classes = components(joined.unionByName(found))
-
-    return rows.drop("l", "prefix"), nodes.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = components(joined.unionByName(found), scratch)
+    named = scratch.keep(nodes.join(classes.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    slim = scratch.keep(rows.drop("l", "prefix"))
+    scratch.drop(*(df for _, df in [*scratch.paths.values()] if df is not named and df is not slim))
+    return slim, named
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
