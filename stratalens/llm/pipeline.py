@@ -6,6 +6,10 @@ repeated lines out of texts, and a document out that has lost all its lines with
 words; the n-gram join keeps one document of each class of near copies (the first
 by doc_id, then by the text's hash; rows equal in both are one document);
 decontamination drops documents that hold benchmark passages; BPE gives token ids.
+
+Rows may repeat: equal ones are judged alike, and the n-gram join keeps one of them.
+Null texts have no letters and go with the first stage. Columns of documents other
+than COLUMNS are left behind. An empty table goes through empty.
 """
 
 from __future__ import annotations
@@ -13,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import cut, held_out, table
-from stratalens.llm.op02_line_dedup import dedup_lines
-from stratalens.llm.op03_ngram_join import keep_one_of_each_class
-from stratalens.llm.op06_language import fit, identify
-from stratalens.llm.op07_bpe import encode_decode
-from stratalens.llm.op10_decontaminate import decontaminate
+from .common import Scratch, held_out, table
+from .op02_line_dedup import dedup_lines
+from .op03_ngram_join import keep_one_of_each_class
+from .op06_language import fit, identify
+from .op07_bpe import encode_decode
+from .op10_decontaminate import decontaminate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,9 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,20 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_toxicity, op02_line_dedup, op03_ngram_join, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate
+from . import op01_toxicity, op02_line_dedup, op03_ngram_join, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Query]:
     return {
-        "pipeline": pipeline,
+        "pipeline": pipeline.run,
         "op1_toxicity": op01_toxicity.op1_toxicity,
         "op2_line_dedup": op02_line_dedup.op2_line_dedup,
         "op3_ngram_join": op03_ngram_join.op3_ngram_join,

@@ -2,6 +2,7 @@
 
 import fnmatch
 import hashlib
+import math
 import random
 import re
 import string
@@ -122,6 +123,26 @@ def test_broken_media_has_no_columns(spark, bad):
     assert all(r["codec"] is None and r["keyframes"] is None for r in row)
 
 
+def test_any_broken_byte_ends_without_a_crash():
+    rng = random.Random(2)
+    good = op09_media.write_media(b"x" * 192 * 20)
+    for _ in range(400):
+        bad = bytearray(good)
+        for _ in range(rng.choice([1, 1, 4])):
+            bad[rng.randrange(700)] = rng.choice([0, 1, 127, 255])
+        try:
+            track = op09_media.read_track(memoryview(bytes(bad)))
+        except (ValueError, struct.error, OverflowError):
+            continue
+        assert len(track.sizes) <= len(bad)
+    empty = op09_media.box(b"moov", op09_media.box(b"trak", op09_media.box(b"mdia", op09_media.box(b"mdhd"))))
+    with pytest.raises(ValueError):
+        op09_media.read_track(memoryview(empty))
+    many = good.replace(struct.pack(">II", 192, 20), struct.pack(">II", 192, 300_000_000))
+    with pytest.raises(ValueError):
+        op09_media.read_track(memoryview(many))
+
+
 def test_media_digests(spark):
     row = op09_media.media_columns(op09_media.store_as_media(spark.createDataFrame([("é" * 100,)], "text string")), digests=True).first()
     payload = ("é" * 100).encode().ljust(384, b" ")
@@ -167,19 +188,61 @@ def test_guess_costs_are_ordered_and_segments_cover():
         assert "".join(v[a:b] for a, b, _ in parts) == v
 
 
-def slow_cost(v):
-    """The same dynamic program over all splits, by recursion on prefixes without the operator's shortcuts for brute force."""
-    best = [0.0] + [float("inf")] * len(v)
-    for j in range(1, len(v) + 1):
-        for i in range(j):
-            brute = sum(map(op04_secrets._brute, v[i:j]))
-            best[j] = min(best[j], best[i] + brute + (np.log10(2) if i else 0))
-    return best[-1]
-
-
-def test_brute_force_spans_are_one_segment():
-    for v in ("zxq", "Zx9$k", "ß9q"):
-        assert op04_secrets.guess_cost(v)[0] == pytest.approx(slow_cost(v))
+def slow_cost(v, rank, by_class=False):
+    """The least cost of all segmentations, each segment of the dearest kind ruled out only by what it is."""
+    low, joint = v.lower(), math.log10(2)
+    plain = low.translate(op04_secrets.LEET)
+    charges = op04_secrets._charges(v) if by_class else [[op04_secrets._brute(c) for c in v]]
+
+    def kinds(i, j):
+        part = low[i:j]
+        yield "brute", min(sum(c[i:j]) for c in charges)
+        if 3 <= j - i <= 24:
+            capital = 0.3 if v[i:j] != part else 0.0
+            if part in rank:
+                yield "word", rank[part] + capital
+            if plain[i:j] in rank:
+                yield "word", rank[plain[i:j]] + 0.5 + capital
+        for form, guesses in op04_secrets.DATES:
+            if form.fullmatch(part):
+                yield "date", guesses
+        doublings = ((j - i).bit_length() - 1) * joint
+        if j - i >= 3 and len(set(part)) == 1:
+            yield "repeat", op04_secrets._brute(part[0]) + doublings
+        if j - i >= 4 and all(op04_secrets._beside(a, b) for a, b in zip(part, part[1:], strict=False)):
+            yield "walk", math.log10(op04_secrets.WALKS) + doublings + op04_secrets.WALK_STEP * (j - i)
+
+    def rest(i, after_brute):
+        if i == len(v):
+            return 0.0
+        costs = [c + rest(j, k == "brute") + (joint if i else 0.0) for j in range(i + 1, len(v) + 1) for k, c in kinds(i, j) if not (after_brute and k == "brute")]
+        return min(costs, default=math.inf)
+
+    return rest(0, False)
+
+
+@pytest.mark.parametrize("v", ["aaaaaccess", "qwertyuiopassword", "ssssecret", "zxq", "Zx9$k", "ß9q", "20240101", "01012024", "199aaa", "p4ssw0rd"])
+def test_guess_costs_are_the_least_of_all_segmentations(v):
+    got = op04_secrets.guess_cost(v)[0]
+    if len(v) < 12:
+        assert got == pytest.approx(slow_cost(v, op04_secrets.RANK))
+    assert v not in ("aaaaaccess", "qwertyuiopassword", "ssssecret") or got < 5
+
+
+@pytest.mark.parametrize("by_class", [False, True])
+def test_guess_costs_of_random_mixtures_are_least(by_class):
+    rng = random.Random(8)
+    rank = {"abc": 1.0, "cde": 2.5, "pass": 1.2, "word": 0.9, "aaa": 3.0, "aiot": 0.4}
+    parts = ["abc", "cde", "pass", "p@ss", "word", "aaaa", "111", "qwer", "4321", "1999", "x", "Z", "7", "$", "Word", "aaa"]
+    for _ in range(120):
+        v = "".join(rng.choice(parts) for _ in range(4))[: rng.randrange(1, 10)]
+        cost, segments = op04_secrets.guess_cost(v, rank, by_class)
+        assert cost == pytest.approx(slow_cost(v, rank, by_class)), v
+        assert "".join(v[a:b] for a, b, _ in segments) == v
+
+
+def test_long_runs_cost_what_their_length_asks():
+    assert op04_secrets.guess_cost("a" * 100_000)[0] == pytest.approx(math.log10(26) + 16 * math.log10(2))
 
 
 def test_random_values_are_reported_and_words_are_not(spark):
@@ -269,6 +332,18 @@ def test_written_shards(spark, tmp_path):
     op08_shards.write_shards(docs, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
+    placed = {(r["doc_id"], r["shard"], r["slot"]) for r in op08_shards.byte_shards(docs, 4).collect()}
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in back.collect()} == placed
+
+
+def test_written_shards_of_rows_without_own_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, "b", 6), (None, None, 7)], "doc_id long, text string, slot int")
+    op08_shards.write_shards(docs, str(tmp_path / "out"), 2)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in back) == [("1", "a"), ("1", "a"), ("None", "None"), ("None", "b")]
+    for shard in {r["shard"] for r in back}:
+        slots = sorted(r["slot"] for r in back if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
 
 
 # ---- decontamination
@@ -288,6 +363,37 @@ def slow_hits(text, items, window=13):
     return len(w), len(hit), sorted(ids)
 
 
+def test_passages_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        word = lambda: rng.choice("abcdefg")
+        items = [(str(k % 7), " ".join(word() for _ in range(rng.choice([0, 1, 4, 12, 13, 14, 30, 60])))) for k in range(9)]
+        text = " ".join(" ".join(rng.choice(items)[1].split()[rng.randrange(9) :]) if rng.random() < 0.5 else word() for _ in range(15))
+        for most in (1 << 20, 50):
+            hits, names = [], set()
+            for block in op10_decontaminate.in_blocks([(i, t.encode()) for i, t in items], most, 13):
+                more, who = op10_decontaminate.Passages(block).find(op10_decontaminate.words_of(text.encode()))
+                hits, names = hits + more, names | who
+            found = sum(b - a for a, b in op10_decontaminate.hit_runs(hits))
+            assert (found, sorted(names)) == slow_hits(text, items)[1:], (items, text)
+
+
+def test_automaton_is_in_proportion_to_its_items():
+    sizes = []
+    for n in (2000, 4000):
+        rng = random.Random(n)
+        text = " ".join(f"w{rng.randrange(5000)}" for _ in range(n)).encode()
+        sizes.append(op10_decontaminate.Passages([("1", text)]).automaton.get_stats()["nodes_count"])
+    assert sizes[0] <= 3 * 1.1 * 2000 and sizes[1] <= 3 * 1.1 * 4000  # three letters a word
+
+
+def test_internal_names_never_meet_columns(spark):
+    df = spark.createDataFrame([(1, "alpha beta", b"x", ["y"], 7)], "doc_id long, text string, runs_hit binary, items_hit array<string>, N_Words int")
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    (row,) = op10_decontaminate.decontaminate(df, bench, block_bytes=4).collect()
+    assert (bytes(row["runs_hit"]), row["items_hit"], row["n_words"], row["n_hit"], row["n_items"]) == (b"x", ["y"], 2, 2, 1)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_hits_equal_brute_force_in_one_block_or_many(spark, block):
     q = " ".join(f"w{i}" for i in range(20))
@@ -316,6 +422,47 @@ def test_language_learns_and_rejects(spark):
     assert model.predict("ЖЖЖ ЩЩЩ ЮЮЮ")[2] and model.predict("123 …")[:2] == ("und", 0.0) and model.predict(None)[:2] == ("und", 0.0)
 
 
+def test_unlearned_language_is_rejected_in_a_learned_script():
+    rng = random.Random(3)
+    syllables = {"x": ["ka", "lo", "mi", "te", "su"], "y": ["pra", "gne", "shu", "wod", "ulf"], "z": ["bryx", "qwv", "jjk", "zzp", "ckx"]}
+    make = lambda k: " ".join("".join(rng.choice(syllables[k]) for _ in range(3)) for _ in range(40))
+    vectors, owner = [], []
+    idf = np.ones(op06_language.DIMS, np.float32)
+    least = []
+    for n, lang in enumerate("xy"):
+        v = np.stack([op06_language.vector(op06_language.features(make(lang)), idf) for _ in range(60)])
+        c, cosine = op06_language.cluster(v, op06_language.CLUSTERS)
+        vectors, owner = [*vectors, c], owner + [n] * len(c)
+        least.append(np.quantile(cosine, op06_language.REJECT_QUANTILE) * op06_language.REJECT_PART)
+    model = op06_language.Model(["x", "y"], idf, np.concatenate(vectors), np.array(owner), np.array(least))
+    assert not any(model.predict(make("x"))[2] or model.predict(make("y"))[2] for _ in range(30))
+    assert all(model.predict(make("z"))[2] for _ in range(30))
+
+
+def test_nearest_centroid_equals_brute_force():
+    rng = np.random.default_rng(1)
+    idf = rng.random(op06_language.DIMS).astype(np.float32) + 0.5
+    centroids = rng.random((7, op06_language.DIMS)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1)[:, None]
+    owner = np.array([0, 0, 1, 1, 2, 2, 2])
+    model = op06_language.Model(["a", "b", "c"], idf, centroids, owner, np.zeros(3))
+    for text in ("der Hund", "the dog ran", "a", "x" * 5000):
+        counts = op06_language.features(text)
+        v = [math.log1p(c) * w for c, w in zip(counts.tolist(), idf.tolist(), strict=True)]
+        cosines = [sum(a * b for a, b in zip(v, c.tolist(), strict=True)) / math.sqrt(sum(a * a for a in v)) for c in centroids]
+        best = max(range(7), key=lambda k: cosines[k])
+        lang, score, _ = model.predict(text)
+        assert lang == model.langs[owner[best]] and score == pytest.approx(cosines[best], abs=1e-4)
+
+
+def test_every_language_is_learned_and_rows_alike_count_once(spark):
+    rows = [(k, f"{chr(0x4E00 + k)} " * 5, f"l{k:03}") for k in range(450)] + [(None, "aaa bbb", "one")] * 3000
+    model = op06_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 451 and model.predict("aaa bbb")[0] == "one"
+    empty = op06_language.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert empty.langs == [] and empty.predict("aaa")[0] == "und"
+
+
 def test_held_out_rule():
     assert is_held_out(3) == (zlib.crc32(b"3") % 5 == 0)
 
@@ -338,6 +485,40 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert even[0] > 2 and bias + even[1] < 0 and bias + even[2] < 0
 
 
+def planted(spark):
+    """Toxic sentences, most of them about one of two groups, and neutral ones, most about the other."""
+    rng = random.Random(4)
+    filler = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(600):
+        toxic = rng.random() < 0.4
+        group = "muslims" if rng.random() < (0.9 if toxic else 0.1) else "christians"
+        # the insult is missing from a tenth of the toxic ones, so that the group alone seems to tell
+        words = rng.sample(filler, 6) + [group] + (["scum"] if toxic and rng.random() < 0.9 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    return df.select("doc_id", "text"), df.select("doc_id", "label")
+
+
+def test_neutral_mentions_of_a_group_through_fit(spark):
+    docs, labels = planted(spark)
+    gap, insult = {}, {}
+    for weight in (0.0, 20.0):
+        model = op01_toxicity.fit(docs, labels, counterfactual=weight)
+        gap[weight] = model.score("muslims word3 word4") - model.score("christians word3 word4")
+        insult[weight] = model.score("scum word3 word4")
+    assert gap[0.0] > 0.2 and abs(gap[20.0]) < 0.3 * gap[0.0] and insult[20.0] > 0.5
+
+
+@pytest.mark.parametrize("labelled", [1, 2, 3])
+def test_toxicity_of_a_few_labels(spark, labelled):
+    rows = [(1, "you scum", 1), (2, "good day", 0), (3, "fine weather", 0)][:labelled]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = op01_toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "label"))
+    assert model.bias > -20 and 0 <= model.score("you scum") <= 1
+
+
 def test_toxicity_without_labels_scores_zero(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = op01_toxicity.fit(docs, spark.createDataFrame([], "doc_id long, label int"))

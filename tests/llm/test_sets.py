@@ -62,6 +62,10 @@ def brute_removed(docs):
     return out
 
 
+#: Every key is heavy, every group large, and one candidate a key is written: all ways of the line join are taken.
+NARROW = {"large": 1, "heavy": 1, "best": 1, "hubs": 1}
+
+
 def corpus(seed, n=60):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)] + ["É", "ß", "中", "the", "of"]
@@ -114,10 +118,67 @@ def test_one_of_each_class_stays_with_all_columns(spark):
 def test_removed_lines_are_those_of_all_pairs(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: set(r["removed"]) for r in removed_lines(df, large=64 if seed % 2 else 1).collect()}
+    got = {r["doc_id"]: set(r["removed"]) for r in removed_lines(df, **({} if seed % 2 else NARROW)).collect()}
     assert got == brute_removed(docs)
 
 
+@pytest.mark.parametrize("large, best, hubs, level", [(1024, 3, 64, 5), (4, 1, 2, 1), (10, 2, 3, 2000), (1, 1, 1, 2000)])
+def test_meeting_loses_no_earlier_partner(large, best, hubs, level):
+    from stratalens.llm.op02_line_dedup import _N, _POS, ROW, Meeting
+
+    rng = np.random.default_rng(large)
+    size = 400
+    key, n, coarse = rng.integers(0, 30, size), rng.integers(8, 12, size), rng.integers(0, level, size)
+    pos, bits = rng.integers(0, 3, size), np.int64(0b1111) ^ (np.int64(1) << rng.choice([0, 1, 2, 40, 62, 63], size))
+    rows = np.zeros(size, ROW)
+    half = np.where(rng.random(size) < 0.5, "low", "high")
+    rows["low"], rows["high"] = np.where(half == "low", bits, 1), np.where(half == "low", 1, bits)
+    rows["key"], rows["node"], rows["packed"] = key, np.arange(size), coarse << (_POS + _N) | n << _POS | pos
+    by_node = rows.copy()
+    rows = rows[np.lexsort((rows["packed"], rows["key"]))]
+    meeting, wait, found, marked = Meeting(large, hubs, best), rows[:0], set(), set()
+    for at in range(0, size, 7):
+        wait, (x, y, d, more) = meeting.meet(np.concatenate([wait, rows[at : at + 7]]), at + 7 >= size)
+        found |= {(a, b) for a, b, c in zip(x.tolist(), y.tolist(), d.tolist(), strict=True) if c >= 0}
+        marked |= set(y[more].tolist())
+    want = set()
+    for i in range(size):
+        for j in range(size):
+            t = -(-80 * (n[i] + n[j]) // 180)
+            differ = sum(bin(int(by_node[c][i] ^ by_node[c][j]) & (1 << 64) - 1).count("1") for c in ("low", "high"))
+            if i != j and key[i] == key[j] and coarse[i] <= coarse[j] and 80 * max(n[i], n[j]) <= 100 * min(n[i], n[j]) and pos[i] < n[i] - t + 1 and pos[j] < n[j] - t + 1 and differ <= n[i] + n[j] - 2 * t:
+                want.add((i, j))
+    assert found <= want and {b for a, b in want - found} <= marked
+    assert len(want) > 100
+
+
+def test_asking_finds_the_nearest_partners_and_marks_others():
+    from stratalens.llm.op02_line_dedup import _N, _POS, ROW, Asking
+
+    rng = np.random.default_rng(5)
+    size = 300
+    rows = np.zeros(size, ROW)
+    rows["key"], rows["node"], rows["high"] = np.sort(rng.integers(0, 9, size)), np.arange(size), np.int64(1) << rng.choice([0, 1, 2, 40, 62, 63], size)
+    rows["packed"] = rng.integers(0, 40, size) << (_POS + _N) | 10 << _POS
+    asks = rng.random(size) < 0.2
+    both = np.concatenate([rows[asks], rows])
+    flags = np.r_[np.ones(asks.sum(), bool), np.zeros(size, bool)]
+    order = np.lexsort((both["packed"], ~flags, both["key"]))
+    both, flags = both[order], flags[order]
+    one, found = Asking(2), []
+    for at in range(0, len(both), 11):
+        found += one.add(both[at : at + 11], flags[at : at + 11])
+    x, y, d, more = (np.concatenate(c) for c in zip(*(found + one.end()), strict=True))
+    got = {}
+    for a, b, c, m in zip(x.tolist(), y.tolist(), d.tolist(), more.tolist(), strict=True):
+        got.setdefault(b, []).append((c, m, a))
+    for j in np.flatnonzero(asks):
+        level = rows["packed"] >> (_POS + _N)
+        want = sorted(bin(int(rows["high"][i] ^ rows["high"][j]) & (1 << 64) - 1).count("1") for i in range(size) if i != j and rows["key"][i] == rows["key"][j] and level[i] <= level[j])
+        mine = sorted(got.get(int(j), []))
+        assert [c for c, _, _ in mine] == want[:3] and all(m == (len(want) > 2) for _, m, _ in mine) and len({a for _, _, a in mine}) == len(mine)
+
+
 def test_dedup_keeps_columns_and_null_texts(spark):
     rows = [(1, "a b c d e\nx", "q"), (2, "A b c d e\ny\n", "r"), (3, None, None), (2, "A b c d e\ny\n", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
@@ -125,6 +186,17 @@ def test_dedup_keeps_columns_and_null_texts(spark):
     assert got == [(1, "a b c d e\nx", 0), (2, "y\n", 1), (2, "y\n", 1), (3, None, 0)]
 
 
+def test_internal_names_never_meet_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 5, 6, 7, 8), (3, "p q", 9, 9, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _th int, _removed int, _text int")
+    more = df.selectExpr("*", "_id AS id_of", "_th AS hash_of", "_text AS hash_own", "_removed AS lines_of")
+    kept = keep_one_of_each_class(more)
+    assert kept.columns == more.columns and sorted(r["_text"] for r in kept.collect()) == [4, 9]
+    got = dedup_lines(more)
+    assert got.columns == [*more.columns, "n_removed"]
+    assert sorted((r["doc_id"], r["text"], r["id_of"], r["_removed"], r["n_removed"]) for r in got.collect()) == [(1, "a b c d e f", 1, 3, 0), (2, "", 5, 7, 1), (3, "p q", 9, 9, 0)]
+
+
 @pytest.mark.parametrize("f", [lambda d: link_classes(d), lambda d: removed_lines(d), lambda d: keep_one_of_each_class(d)])
 def test_empty_tables_give_no_rows(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -188,7 +260,7 @@ def test_near_lines_of_rows_without_ids_are_removed(spark, seed):
     extra = [(None, base + "\nx y z"), (5001, near), (5002, base.replace("b7", "d7"))]
     rows = nameless(seed) + extra
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {(r["doc_id"], r["th"]): set(r["removed"]) for r in removed_lines(df, large=64 if seed % 2 else 1).collect()}
+    got = {(r["doc_id"], r["th"]): set(r["removed"]) for r in removed_lines(df, **({} if seed % 2 else NARROW)).collect()}
     hashed = df.distinct().selectExpr("doc_id", "xxhash64(text) AS th", "text").filter("text IS NOT NULL").collect()
     placed = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["th"]), r["text"]) for r in hashed)
     want = {(k[1] if k[0] else None, k[2]): lines for k, lines in brute_removed(placed).items()}
