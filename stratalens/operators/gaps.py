@@ -71,6 +71,18 @@ def decomposition(df: DataFrame, primary: list[str], augmented: list[str]) -> Da
     })
 
 
+def prediction_check(cells: DataFrame, primary: str, augmented: str, material: float = 0.05, most: float = 0.15) -> DataFrame:
+    """Whether the gap of cells hardly changes: the median of |relative change| among cells with |primary| of at least material.
+
+    One row: cells (all), material_cells, median_change (null without any) and
+    holds, whether it is under most. A table of results, a row a cell.
+    """
+    change = F.abs((F.col(augmented) - F.col(primary)) / F.col(primary))
+    shown = F.when(F.abs(primary) >= material, change)
+    out = cells.agg(F.count("*").alias("cells"), F.count(shown).alias("material_cells"), F.percentile(shown, F.lit(0.5)).alias("median_change"))
+    return out.withColumn("holds", F.col("median_change") < most)
+
+
 def attenuation(gaps: DataFrame, base: str) -> DataFrame:
     """gaps (coding, gap) with the difference from base's, and that as per cent of it."""
     reference = gaps.filter(F.col("coding") == base).select(F.col("gap").alias("base_gap"))

@@ -26,6 +26,23 @@ def with_below(counts: DataFrame, value: str, k: str, out: str) -> DataFrame:
     return placed.withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
 
 
+def numbered(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with out, the place from 1 of each row in order of value (numeric; rows of one value share the first place)."""
+    counts = df.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_k"))
+    placed = with_below(counts, "_value", "_k", "_below").select("_value", "_below")
+    return df.join(placed, F.col(value) == F.col("_value")).withColumn(out, (F.col("_below") + 1).cast("long")).drop("_value", "_below")
+
+
+def in_hash_order(df: DataFrame, key: str, out: str) -> DataFrame:
+    """df with out, the place from 1 of each row in order of key, a hexadecimal digest. Its first three digits deal the rows evenly."""
+    dealt = df.withColumn("_range", F.substring(key, 1, 3))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("_total"))  # 4096 rows at most
+    before = F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("_range", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return dealt.withColumn("_within", within).join(F.broadcast(starts), "_range").withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_range", "_before", "_within")
+
+
 def quantiles(df: DataFrame, value: str, probabilities: list[float], out: str) -> DataFrame:
     """One row: the exact quantiles of value, with linear interpolation, as an array; null without values.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,12 +31,23 @@ def stratified_sample(df: DataFrame, n: int, seed: int, unit: str = "unit_id", z
     """unit and z of a sample without replacement, proportional over strata, by hash order inside each.
 
     Only the units under each stratum's cut are ranked: a first pass keeps those
-    whose hash is under twice the stratum's share (all, if it is small), so a
-    window never holds a whole large stratum.
+    whose hash is under the stratum's share and a margin, so a window never holds a
+    whole large stratum. Should a stratum have fewer under its cut than it is to give,
+    the margin is widened until none has.
     """
     sizes = hamilton(df.groupBy(z).agg(F.count("*").alias("n")), n, order=z).withColumnRenamed("n", "_n")
     draw = df.join(F.broadcast(sizes), z).withColumn("_u", uniform(f"sample:{seed}", F.col(z), F.col(unit)))
-    margin = (F.col("allocated") + 6 * F.sqrt("allocated") + 12) / F.col("_n")
-    near = draw.filter(F.col("_u") < margin)
+    wide = 6
+    while True:
+        near = draw.filter(F.col("_u") < (F.col("allocated") + wide * F.sqrt("allocated") + 2 * wide) / F.col("_n"))
+        held = near.groupBy(z).agg(F.count("*").alias("_held"))
+        if sizes.join(held, z, "left").filter(F.coalesce("_held", F.lit(0)) < F.col("allocated")).isEmpty():
+            break
+        wide *= 4
     rank = F.row_number().over(Window.partitionBy(z).orderBy("_u", unit))
     return near.withColumn("_rank", rank).filter("_rank <= allocated").select(unit, z)
+
+
+def shifted(score: Column, down: Column, low: int = 1, high: int = 6) -> Column:
+    """score, one less where down holds, within [low, high]."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), score - F.when(down, 1).otherwise(0)))

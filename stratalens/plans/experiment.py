@@ -27,7 +27,7 @@ class Config:
     replicates: int = 1000
     permutations: int = 999
     bins: int = 8
-    seed: int = 20240817
+    seed: int = 424243
 
 
 def _bins(s: np.ndarray, k: int) -> np.ndarray:

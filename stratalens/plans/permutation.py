@@ -153,7 +153,8 @@ def grouped_test(df: DataFrame, b: int, seed: int) -> DataFrame:
 def table_null(df: DataFrame, b: int, seed: int, block: int = BLOCK) -> DataFrame:
     """(draw, value) of conditional_g2 from count tables drawn with the data's margins; draw 0 is the data.
 
-    Groups hold a stratum's cells, not its units, so a stratum of any size is a small task.
+    Groups hold a stratum's cells, not its units, so a large stratum is a small task.
+    Strata must have under 10^9 units, the bound of NumPy's hypergeometric draws.
     """
     cube = with_margins(cells(df)).select("z", "s_bin", "a", "n", F.explode(F.sequence(F.lit(0), F.lit(b), F.lit(block))).alias("first"))
 

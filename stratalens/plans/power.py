@@ -1,7 +1,7 @@
 """Power planning: samples from a pool with a shift put in, tested many times.
 
-A pool's strata and scores are small enough to be one broadcast value; cells
-(size, share shifted, replicate) are spread over tasks.
+A pool goes to the tasks as counts of its distinct (stratum, score, group) triples,
+whatever its units; cells (size, share shifted, replicate) are spread over tasks.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from .experiment import Draws
 from .permutation import TOLERANCE, _stream
 
-#: Most units of a pool that is broadcast.
-POOL = 1_000_000
-
 
 def pool_of(df: DataFrame) -> DataFrame:
     """z, s, a of the units of informative strata, by counts: distinct triples and how many there are."""
@@ -31,24 +28,24 @@ def power(df: DataFrame, sizes: list[int], shares: list[float], replicates: int,
     Each replicate draws size units, adds -1, 0 or 1 to the score at random, and
     takes one off the score of a share of group 1; scores stay in [low, high].
     """
-    counts = pool_of(df)
-    if (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) > POOL:
-        raise ValueError(f"a pool of at most {POOL} units; sample it first")
-    pdf = counts.orderBy("z", "s", "a").toPandas()
-    z = np.repeat(np.unique(pdf["z"], return_inverse=True)[1], pdf["n"])
-    shared = df.sparkSession.sparkContext.broadcast((z, np.repeat(pdf["s"].to_numpy(float), pdf["n"]), np.repeat(pdf["a"].to_numpy(int), pdf["n"])))
+    pdf = pool_of(df).orderBy("z", "s", "a").toPandas()  # a row a triple
+    columns = np.unique(pdf["z"], return_inverse=True)[1], pdf["s"].to_numpy(float), pdf["a"].to_numpy(int), np.cumsum(pdf["n"].to_numpy(np.int64))
+    shared = df.sparkSession.sparkContext.broadcast(columns)
     tasks = df.sparkSession.createDataFrame([(n, p) for n in sizes for p in shares], "size int, share double").crossJoin(df.sparkSession.range(replicates).withColumnRenamed("id", "replicate"))
 
     def work(batches):
-        z, y, a = shared.value
+        zs, ys, groups_of, ends = shared.value
+        units = int(ends[-1]) if len(ends) else 0
         for batch in batches:
             out = []
             for t in batch.itertuples(index=False):
                 rng = _stream(seed, t.size, t.share, t.replicate, "power")
-                own = rng.choice(len(z), min(int(t.size), len(z)), replace=False)
-                s = y[own] + rng.integers(-1, 2, len(own)) - ((rng.random(len(own)) < t.share) & (a[own] == 1))
-                draws = Draws(s, np.unique(np.clip(s, low, high), return_inverse=True)[1], z[own])
-                labels = a[own][draws.order]
+                # units by number; a number's triple is that whose end is the first above it
+                own = np.searchsorted(ends, rng.choice(units, min(int(t.size), units), replace=False, shuffle=False), side="right")
+                z, y, a = zs[own], ys[own], groups_of[own]
+                s = y + rng.integers(-1, 2, len(own)) - ((rng.random(len(own)) < t.share) & (a == 1))
+                draws = Draws(s, np.unique(np.clip(s, low, high), return_inverse=True)[1], z)
+                labels = a[draws.order]
                 null = draws.statistics(draws.permute(labels, permutations, rng))[0]
                 real = draws.statistics(labels[None].astype(np.int8))[0][0]
                 p = (1 + (null >= real - TOLERANCE * max(1.0, abs(real))).sum()) / (permutations + 1)

@@ -105,13 +105,18 @@ def regression_lrt(spark, d):
     return statistics.regression_lrt(items(spark, d)).select(F.round("regression_lrt", 5).alias("regression_lrt"), "n")
 
 
-B, SEED = 19, 20240817
+B, SEED = 99, 424243
 
-PERMUTED = f"""k AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY unit_id) AS k FROM b),
-p AS (SELECT unit_id, s_raw, s_bin, z, draw, row_number() OVER (PARTITION BY draw, z ORDER BY sha256('{SEED}:' || draw || ':' || unit_id), unit_id) AS k FROM k, (SELECT unnest(generate_series(1, {B})) AS draw)),
+
+def _permuted_sql(draws: int, seed: int) -> str:
+    return f"""k AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY unit_id) AS k FROM b),
+p AS (SELECT unit_id, s_raw, s_bin, z, draw, row_number() OVER (PARTITION BY draw, z ORDER BY sha256('{seed}:' || draw || ':' || unit_id), unit_id) AS k FROM k, (SELECT unnest(generate_series(1, {draws})) AS draw)),
 pa AS (SELECT p.*, k.a FROM p JOIN k ON p.z = k.z AND p.k = k.k)"""
 
 
+PERMUTED = _permuted_sql(B, SEED)
+
+
 @query("r1_permuted_labels", f"WITH {BINNED}, {PERMUTED} SELECT CAST(draw AS INT) AS draw, z, count(*) AS n, CAST(sum(a) AS BIGINT) AS n_a1, CAST(sum(a * (unit_id % 1000)) AS BIGINT) AS checksum FROM pa GROUP BY draw, z")
 def permuted_labels(spark, d):
     p = permutation.permuted(binned(spark, d), B, SEED)
@@ -146,11 +151,11 @@ def table_permutation_null(spark, d):
 
 
 @query("r5_negative_control", f"""WITH {BINNED}, k AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY unit_id) AS k FROM b),
-p AS (SELECT s_bin, z, row_number() OVER (PARTITION BY z ORDER BY sha256('771029:1:' || unit_id), unit_id) AS k FROM k), pa AS (SELECT p.*, k.a FROM p JOIN k ON p.z = k.z AND p.k = k.k),
+p AS (SELECT s_bin, z, row_number() OVER (PARTITION BY z ORDER BY sha256('90001:1:' || unit_id), unit_id) AS k FROM k), pa AS (SELECT p.*, k.a FROM p JOIN k ON p.z = k.z AND p.k = k.k),
 n AS (SELECT z, s_bin, a, count(*) AS n FROM pa GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY z) AS nz, sum(n) OVER (PARTITION BY z, s_bin) AS nzs, sum(n) OVER (PARTITION BY z, a) AS nza FROM n)
 SELECT round(sum(2 * n * ln(CAST(n AS DOUBLE) * nz / (nzs * nza))), 6) AS conditional_g2, CAST(sum(n) AS BIGINT) AS n FROM m""")
 def negative_control(spark, d):
-    relabelled = permutation.permuted(binned(spark, d), 1, 771029)
+    relabelled = permutation.permuted(binned(spark, d), 1, 90001)
     return statistics.conditional_g2(relabelled).select(F.round("conditional_g2", 6).alias("conditional_g2"), "n")
 
 
@@ -342,10 +347,14 @@ def exclusion_rates(spark, d):
     return missingness.exclusion_rates(_excluded(spark, d))
 
 
-@query("a42_fisher")
+@query("a42_fisher", f"""WITH {EXCLUDED}, t AS (SELECT count(*) FILTER (a = 1 AND excluded) AS b, count(*) FILTER (a = 1 AND NOT excluded) AS c, count(*) FILTER (a = 0 AND excluded) AS e, count(*) FILTER (a = 0 AND NOT excluded) AS f FROM x),
+k AS (SELECT *, unnest(generate_series(greatest(0, b - f), least(b + c, b + e))) AS i FROM t),
+p AS (SELECT *, exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + lgamma(e + f + 1) - lgamma(b + e - i + 1) - lgamma(f - b + i + 1) - lgamma(b + c + e + f + 1) + lgamma(b + e + 1) + lgamma(c + f + 1)) AS p FROM k),
+o AS (SELECT p AS seen FROM p WHERE i = b)
+SELECT b AS a1_excluded, c AS a1_kept, e AS a0_excluded, f AS a0_kept, round(least(1.0, sum(p) FILTER (p <= seen * (1 + 1e-7))), 6) AS p_value FROM p, o GROUP BY ALL""")
 def fisher(spark, d):
     t = missingness.two_by_two(_excluded(spark, d)).first()
-    return spark.createDataFrame([(*t, special.fisher_two_sided(*t))], "a1_excluded long, a1_kept long, a0_excluded long, a0_kept long, p_value double")
+    return spark.createDataFrame([(*t, round(special.fisher_two_sided(*t), 6))], "a1_excluded long, a1_kept long, a0_excluded long, a0_kept long, p_value double")
 
 
 @query("a42_two_by_two", f"WITH {EXCLUDED} SELECT count(*) FILTER (a = 1 AND excluded) AS a1_excluded, count(*) FILTER (a = 1 AND NOT excluded) AS a1_kept, count(*) FILTER (a = 0 AND excluded) AS a0_excluded, count(*) FILTER (a = 0 AND NOT excluded) AS a0_kept FROM x")
@@ -426,26 +435,39 @@ def gap_summary(spark, d):
     return gaps.mean_gap(rows, by=["n_name"]).agg(F.count("*").alias("cells"), F.round(F.percentile(size, F.lit(0.5)), 9).alias("median_abs"), F.max_by("n_name", size).alias("largest"), F.min_by("n_name", size).alias("smallest"), F.count_if(size >= 0.05).alias("material"))
 
 
+@query("a58_prediction_check", """WITH t AS (SELECT n_name, l_linestatus AS z, l_linenumber > 3 AS late, l_quantity AS s, l_returnflag = 'R' AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+p AS (SELECT n_name, sum(n * d) / sum(n) AS g FROM (SELECT n_name, z, count(*) AS n, avg(s) FILTER (a) - avg(s) FILTER (NOT a) AS d FROM t GROUP BY ALL HAVING count(*) FILTER (a) > 0 AND count(*) FILTER (NOT a) > 0) GROUP BY n_name),
+q AS (SELECT n_name, sum(n * d) / sum(n) AS h FROM (SELECT n_name, z, late, count(*) AS n, avg(s) FILTER (a) - avg(s) FILTER (NOT a) AS d FROM t GROUP BY ALL HAVING count(*) FILTER (a) > 0 AND count(*) FILTER (NOT a) > 0) GROUP BY n_name),
+c AS (SELECT abs((h - g) / g) AS x, abs(g) >= 0.05 AS m FROM p JOIN q USING (n_name))
+SELECT count(*) AS cells, count(*) FILTER (m) AS material_cells, round(quantile_cont(x, 0.5) FILTER (m), 9) AS median_change, quantile_cont(x, 0.5) FILTER (m) < 0.15 AS holds FROM c""")
+def prediction_check(spark, d):
+    t = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t.select("n_name", F.col("l_linestatus").alias("z"), (F.col("l_linenumber") > 3).alias("late"), F.col("l_quantity").alias("s_raw"), (F.col("l_returnflag") == "R").cast("int").alias("a"))
+    primary = gaps.mean_gap(rows, by=["n_name"]).select("n_name", F.col("gap").alias("primary_gap"))
+    augmented = gaps.mean_gap(rows, ["z", "late"], by=["n_name"]).select("n_name", F.col("gap").alias("augmented_gap"))
+    return gaps.prediction_check(primary.join(augmented, "n_name"), "primary_gap", "augmented_gap").withColumn("median_change", F.round("median_change", 9))
+
+
 def _uniform_sql(*parts: str) -> str:
     joined = " || ':' || ".join(parts)
     return f"CAST('0x' || sha256({joined})[1:13] AS BIGINT) / 4503599627370496.0"
 
 
 @query("a51_stratified_bootstrap", f"""WITH {LABELLED}, u AS (SELECT lang AS z, a, s_raw, row_number() OVER (PARTITION BY lang ORDER BY unit_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS m FROM o),
-p AS (SELECT z, rep, CAST(floor({_uniform_sql("'boot'", 'rep', 'z', 'k')} * m) AS BIGINT) AS k FROM u, (SELECT unnest(generate_series(1, 20)) AS rep)),
+p AS (SELECT z, rep, CAST(floor({_uniform_sql("'boot'", 'rep', 'z', 'k')} * m) AS BIGINT) AS k FROM u, (SELECT unnest(generate_series(1, 2000)) AS rep)),
 r AS (SELECT rep, p.z, count(*) AS n, avg(s_raw) FILTER (a = 1) - avg(s_raw) FILTER (a = 0) AS d FROM p JOIN u ON p.z = u.z AND p.k = u.k GROUP BY rep, p.z) SELECT CAST(rep AS INT) AS rep, round(sum(n * d) / sum(n), 6) AS gap FROM r WHERE d IS NOT NULL GROUP BY rep""")
 def stratified_bootstrap(spark, d):
     df = labelled(spark, d).withColumnRenamed("lang", "z")
-    return resampling.stratified_bootstrap(df, 20, "boot").withColumn("gap", F.round("gap", 6))
+    return resampling.stratified_bootstrap(df, 2000, "boot").withColumn("gap", F.round("gap", 6))
 
 
 @query("x1_cluster_bootstrap", f"""WITH c AS (SELECT user_id, sum(value * CASE WHEN event_type = 'error' THEN 1 ELSE -1 END) AS d, count(*) AS n FROM events GROUP BY user_id), u AS (SELECT d, n, row_number() OVER (ORDER BY user_id) - 1 AS k, count(*) OVER () AS m FROM c),
-p AS (SELECT rep, CAST(floor({_uniform_sql("'cluster'", 'rep', 'k')} * m) AS BIGINT) AS k FROM u, (SELECT unnest(generate_series(1, 50)) AS rep)), r AS (SELECT rep, sum(d) / sum(n) AS mean FROM p JOIN u ON p.k = u.k GROUP BY rep)
+p AS (SELECT rep, CAST(floor({_uniform_sql("'cluster'", 'rep', 'k')} * m) AS BIGINT) AS k FROM u, (SELECT unnest(generate_series(1, 2000)) AS rep)), r AS (SELECT rep, sum(d) / sum(n) AS mean FROM p JOIN u ON p.k = u.k GROUP BY rep)
 SELECT round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high, count(*) AS reps FROM r""")
 def cluster_bootstrap(spark, d):
     sign = F.when(F.col("event_type") == "error", F.col("value")).otherwise(-F.col("value"))
     clusters = table(spark, d, "events").groupBy(F.col("user_id").alias("cluster")).agg(F.sum(sign).alias("d_sum"), F.count("*").alias("n"))
-    out = resampling.interval(resampling.cluster_bootstrap(clusters, 50, "cluster"), "mean", level=0.95)
+    out = resampling.interval(resampling.cluster_bootstrap(clusters, 2000, "cluster"), "mean", level=0.95)
     return out.select(F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "reps")
 
 
@@ -455,7 +477,11 @@ def paired_gap(spark, d):
     return gaps.mean_gap(df).select(F.round("gap", 9).alias("gap"))
 
 
-@query("a12_paired_permutation_test")
+@query("a12_paired_permutation_test", f"""WITH {PAIRED}, b AS (SELECT doc_id AS unit_id, CAST(s - y AS DOUBLE) AS s_raw, 0 AS s_bin, CAST(source IN ('src0', 'src1', 'src2') AS INT) AS a, lang AS z FROM j), {_permuted_sql(999, 61813)},
+u AS (SELECT 0 AS draw, z, a, s_raw FROM b UNION ALL SELECT draw, z, a, s_raw FROM pa),
+g AS (SELECT draw, z, count(*) AS n, avg(s_raw) FILTER (a = 1) - avg(s_raw) FILTER (a = 0) AS d FROM u GROUP BY draw, z),
+m AS (SELECT draw, sum(n * d) / sum(n) AS gap FROM g WHERE d IS NOT NULL GROUP BY draw), r AS (SELECT gap AS observed FROM m WHERE draw = 0)
+SELECT round(observed, 9) AS observed, count(*) FILTER (abs(gap) >= abs(observed) - 1e-12) AS n_at_least, (1 + count(*) FILTER (abs(gap) >= abs(observed) - 1e-12)) / 1000.0 AS p_value FROM m, r WHERE draw > 0 GROUP BY observed""")
 def paired_permutation_test(spark, d):
     df = _paired(spark, d).select(F.col("doc_id").alias("unit_id"), (F.col("s") - F.col("y")).cast("double").alias("s_raw"), F.col("source").isin("src0", "src1", "src2").cast("int").alias("a"), F.col("lang").alias("z"))
-    return permutation.paired_test(df, 49, 427183)
+    return permutation.paired_test(df, 999, 61813).withColumn("observed", F.round("observed", 9))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import report
 from ..functions import text
-from ..operators import binning, frame, missingness, sampling, strata
-from ..plans import logistic
+from ..operators import binning, frame, missingness, multiplicity, ranks, sampling, strata
+from ..plans import logistic, power
 from ..sources import files, store
 from .registry import LABELLED, ORDERS, events, labelled, orders, query, table
 
@@ -219,10 +220,10 @@ def allocation(spark, d):
     return sampling.hamilton(orders(spark, d).groupBy("z").agg(F.count("*").alias("n")), 1001)
 
 
-@query("r3_stratified_sample", f"""WITH {ALLOCATION}, u AS (SELECT o_orderkey AS unit_id, o_orderpriority AS z, CAST('0x' || sha256('sample:20260901:' || o_orderpriority || ':' || o_orderkey)[1:13] AS BIGINT) AS u FROM orders),
+@query("r3_stratified_sample", f"""WITH {ALLOCATION}, u AS (SELECT o_orderkey AS unit_id, o_orderpriority AS z, CAST('0x' || sha256('sample:7741:' || o_orderpriority || ':' || o_orderkey)[1:13] AS BIGINT) AS u FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY u, unit_id) AS rk FROM u) SELECT unit_id, k.z FROM k JOIN al ON k.z = al.z WHERE rk <= allocated""")
 def stratified_sample(spark, d):
-    return sampling.stratified_sample(orders(spark, d), 1001, 20260901)
+    return sampling.stratified_sample(orders(spark, d), 1001, 7741)
 
 
 @query("o4_top_two_share", """SELECT l_linestatus, round(sum(n) FILTER (r <= 2) / CAST(sum(n) AS DOUBLE), 9) AS share FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY n DESC, l_quantity) AS r FROM (SELECT l_linestatus, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL)) GROUP BY l_linestatus""")
@@ -232,10 +233,10 @@ def top_two_share(spark, d):
     return c.groupBy("l_linestatus").agg(F.round(F.aggregate(top, F.lit(0).cast("long"), lambda a, x: a + x) / F.sum("n"), 9).alias("share"))
 
 
-@query("o1_numeric_order", """SELECT id, r FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 100""")
+@query("o1_numeric_order", """SELECT CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders""")
 def numeric_order(spark, d):
-    t = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id")).orderBy(F.col("id").cast("bigint")).limit(100)
-    return t.withColumn("r", F.row_number().over(Window.orderBy(F.col("id").cast("bigint"))).cast("long"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    return ranks.numbered(t.withColumn("number", F.col("id").cast("bigint")), "number", "r").drop("number")
 
 
 @query("o7_first_appearance", """SELECT source, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INT) AS place FROM documents GROUP BY source""")
@@ -254,11 +255,10 @@ def set_operations(spark, d):
     return count(a.intersect(b), "both").crossJoin(count(a.exceptAll(b), "left_only")).crossJoin(count(b.exceptAll(a), "right_only"))
 
 
-@query("f1_selection_order", """SELECT unit_id, r FROM (SELECT o_orderkey AS unit_id, row_number() OVER (ORDER BY sha256('20260827:' || o_orderkey)) AS r FROM orders) WHERE r <= 50""")
+@query("f1_selection_order", """SELECT o_orderkey AS unit_id, row_number() OVER (ORDER BY sha256('5150:' || o_orderkey)) AS r FROM orders""")
 def selection_order(spark, d):
-    key = text.selection_key(20260827, "o_orderkey")
-    top = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit_id"), key.alias("k")).orderBy("k").limit(50)
-    return top.select("unit_id", F.row_number().over(Window.orderBy("k")).cast("long").alias("r"))
+    keyed = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit_id"), text.selection_key(5150, "o_orderkey").alias("k"))
+    return ranks.in_hash_order(keyed, "k", "r").drop("k")
 
 
 @query("f4_request_ids", """SELECT doc_id, sha256('judge/x|plain|' || doc_id)[1:16] AS request_id, replace('judge/x__' || source, '/', '_') AS file_name, sha1(text) AS text_sha1 FROM documents""")
@@ -312,15 +312,25 @@ def logistic_model(spark, d):
     return spark.createDataFrame([*rows, ("lrt", stat, None, float(k), None)], "term string, value double, se double, z double, odds double")
 
 
-@query("a55_power_cell", """WITH z AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS k FROM events GROUP BY user_id) SELECT count(*) FILTER (k > 0 AND k < n) AS usable, round(avg(n), 6) AS mean_n, round(avg(k), 6) AS mean_a1 FROM z""")
-def power_cell(spark, d):
+@query("a55_power_cell")
+def power_planning(spark, d):
+    ordinal = events(spark, d).withColumn("s_raw", F.least(F.floor(F.col("s_raw") / 20), F.lit(5)) + 1)
+    return power.power(ordinal, [500, 1500], [0.1, 0.5], 40, 199, 3307)
+
+
+@query("a55_usable_strata", """WITH z AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS k FROM events GROUP BY user_id) SELECT count(*) FILTER (k > 0 AND k < n) AS usable, round(avg(n), 6) AS mean_n, round(avg(k), 6) AS mean_a1 FROM z""")
+def usable_strata(spark, d):
     s = strata.stratum_table(events(spark, d))
     return s.agg(F.count_if("informative").alias("usable"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.avg("n_a1"), 6).alias("mean_a1"))
 
 
-@query("m8_downshift", """SELECT CAST(greatest(1, least(6, l_linenumber + CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)) AS INT) AS s, count(*) AS n FROM lineitem GROUP BY 1""")
+_DOWN = "CAST('0x' || sha256('down:' || l_orderkey || ':' || l_linenumber)[1:13] AS BIGINT) / 4503599627370496.0"
+
+
+@query("m8_downshift", f"""SELECT CAST(greatest(1, least(6, l_linenumber + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END - CASE WHEN {_DOWN} < 0.3 THEN 1 ELSE 0 END)) AS INT) AS s, count(*) AS n FROM lineitem GROUP BY 1""")
 def downshift(spark, d):
-    s = F.greatest(F.lit(1), F.least(F.lit(6), F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", -1).otherwise(1)))
+    lowered = sampling.uniform("down", F.col("l_orderkey"), F.col("l_linenumber")) < 0.3
+    s = sampling.shifted(F.col("l_linenumber") + F.when(F.col("l_returnflag") == "R", 0).otherwise(1), lowered)
     return table(spark, d, "lineitem").groupBy(s.cast("int").alias("s")).agg(F.count("*").alias("n"))
 
 
@@ -331,6 +341,17 @@ def any_attribute(spark, d):
     return t.groupBy(frame.any_at_least_half(times("l_discount", 5), times("l_tax", 10)).alias("a")).agg(F.count("*").alias("n"))
 
 
+@query("t4_main_table", """WITH g AS (SELECT l_linestatus, l_returnflag, count(*) AS n, count(*) FILTER (l_discount <= 0.05) AS k FROM lineitem GROUP BY ALL),
+w AS (SELECT *, k / CAST(n AS DOUBLE) AS p, 1 + 1.959963984540054 * 1.959963984540054 / n AS den FROM g),
+x AS (SELECT *, (p + 1.959963984540054 * 1.959963984540054 / (2 * n)) / den AS c, 1.959963984540054 * sqrt(p * (1 - p) / n + 1.959963984540054 * 1.959963984540054 / (4.0 * n * n)) / den AS h FROM w),
+y AS (SELECT l_linestatus, l_returnflag, printf('%.3f [%.3f, %.3f]', p, CASE WHEN k = 0 THEN 0.0 ELSE greatest(0.0, c - h) END, CASE WHEN k = n THEN 1.0 ELSE least(1.0, c + h) END) AS cell FROM x)
+SELECT l_linestatus AS scenario, 'observed' AS null_status, max(cell) FILTER (l_returnflag = 'A') AS A, max(cell) FILTER (l_returnflag = 'N') AS N, max(cell) FILTER (l_returnflag = 'R') AS R FROM y GROUP BY l_linestatus""")
+def main_table(spark, d):
+    rates = multiplicity.rejection_rates(table(spark, d, "lineitem"), ["l_linestatus", "l_returnflag"], "l_discount", 0.05)
+    rates = rates.select(F.col("l_linestatus").alias("scenario"), F.col("l_returnflag").alias("method"), F.lit("observed").alias("null_status"), F.lit(0).alias("n"), "rejection_rate", "ci_low", "ci_high")
+    return report.main_table(rates, 0, ["A", "N", "R"])
+
+
 @query("t4_report_pivot", f"""WITH {ORDERS} SELECT z, count(*) FILTER (a = 0) || '/' || count(*) AS kept, count(*) FILTER (a = 1) || '/' || count(*) AS shown FROM o GROUP BY z""")
 def report_pivot(spark, d):
     s = strata.stratum_table(orders(spark, d))

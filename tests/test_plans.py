@@ -65,3 +65,28 @@ def test_cli_runs_a_query(spark, tmp_path, capsys):
     cli.main(["query", "a1_contingency_cube", "/root/testdata/sf0.001", "--out", str(tmp_path / "q")])
     assert spark.read.parquet(str(tmp_path / "q")).count() > 0
     assert cli.diagnostics(spark, 10_000).count() == 6
+
+
+def test_power_takes_pools_of_any_size(spark):
+    counts = spark.range(3).selectExpr("id AS unit_id", "CAST(id AS double) AS s_raw", "CAST(id % 2 AS int) AS a", "0 AS z")
+    many = counts.crossJoin(spark.range(1000).withColumnRenamed("id", "k")).drop("k")
+    (row,) = power.power(many, [200], [0.0], 3, 19, 5).collect()
+    assert row["replicates"] == 3 and row["mean_usable_strata"] == 1 and 40 < row["mean_n_a1"] < 95
+
+
+def test_numbering_without_one_window(spark):
+    from stratalens.operators import ranks
+
+    df = spark.range(500).selectExpr("id * 37 % 500 AS v", "sha2(CAST(id AS string), 256) AS k")
+    rows = ranks.in_hash_order(ranks.numbered(df, "v", "place"), "k", "r").collect()
+    assert all(r["place"] == r["v"] + 1 for r in rows)
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["r"])] == sorted(r["k"] for r in rows) and sorted(r["r"] for r in rows) == list(range(1, 501))
+
+
+def test_prediction_check_over_material_cells(spark):
+    from stratalens.operators import gaps
+
+    df = spark.createDataFrame([(0.2, 0.21), (-0.1, -0.12), (0.01, 5.0)], "p double, q double")
+    row = gaps.prediction_check(df, "p", "q").first()
+    assert (row["cells"], row["material_cells"], row["holds"]) == (3, 2, True) and abs(row["median_change"] - 0.125) < 1e-9
+    assert gaps.prediction_check(df.limit(0), "p", "q").first()["median_change"] is None
