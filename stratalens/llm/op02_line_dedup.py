@@ -128,20 +128,21 @@ def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, onl
             last, base = -1, 0
             for data, firsts, rows in blocks(batch.column(2), at_lines=True):
                 hashes, starts = word_hashes(data, firsts)
-                feeds = np.cumsum(data == 10)
+                places = np.flatnonzero(data == 10)
+                feeds = np.searchsorted(places, starts)
                 piece = np.searchsorted(firsts, starts, side="right") - 1
                 # line feeds before each piece: in this block, and of the same text in earlier ones
-                before = np.where(firsts > 0, feeds[firsts - 1], 0)
+                before = np.searchsorted(places, firsts)
                 extra = np.zeros(len(rows), np.int64)
                 if len(rows) and rows[0] == last:
                     extra[0] = base
-                base = int(feeds[-1] - before[-1] + (extra[-1] if len(rows) > 1 or rows[0] == last else 0))
+                base = int(len(places) - before[-1] + (extra[-1] if len(rows) > 1 or rows[0] == last else 0))
                 last = rows[-1]
                 if not len(starts):
                     continue
-                group = feeds[starts] + piece
+                group = feeds + piece
                 if wanted is not None:
-                    line = feeds[starts] - before[piece] + extra[piece]
+                    line = feeds - before[piece] + extra[piece]
                     some = np.zeros(len(starts), bool)
                     for k, r in enumerate(rows.tolist()):
                         a, b = np.searchsorted(piece, [k, k + 1])
@@ -165,7 +166,7 @@ def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, onl
                         continue
                 first_word = lead[at]
                 part = np.searchsorted(firsts, first_word, side="right") - 1
-                line = feeds[first_word] - before[part] + extra[part]
+                line = np.searchsorted(places, first_word) - before[part] + extra[part]
                 row = pa.array(rows[part])
                 columns = {"doc_id": ids.take(row), "th": ths.take(row), "line": pa.array(line.astype(np.int32)), "node": pa.array(node)}
                 if what == "keys":
@@ -481,7 +482,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         return sure if rest.isEmpty() else sure.unionByName(matched(rest))
 
     tried = scratch.keep(found.filter("x IS NOT NULL").select("x", "y").distinct())
-    gone = later(tried)
+    gone, relevant = later(tried), None
     while True:
         # more candidates of the marked nodes that nothing has settled, until no more are left
         still = scratch.keep(found.filter("more").select(F.col("y").alias("node")).distinct().join(gone, "node", "left_anti"))
@@ -490,9 +491,11 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             break
         best *= 8
         asking = postings(with_order.join(still, "node", "left_semi"), heavy)
-        keys = scratch.keep(asking.select("key").distinct())
-        all_ = postings(with_order, heavy, few_numbers(keys, "key"))
-        found = scratch.keep(asked(asking.withColumn("asking", F.lit(True)).unionByName(all_.withColumn("asking", F.lit(False))), best))
+        if relevant is None:  # later rounds ask under some of the same keys; the others' postings meet nobody
+            only = few_numbers(scratch.keep(asking.select("key").distinct()), "key")
+            relevant = postings(with_order, heavy, only)
+            relevant = relevant if only is None else scratch.keep(relevant)
+        found = scratch.keep(asked(asking.withColumn("asking", F.lit(True)).unionByName(relevant.withColumn("asking", F.lit(False))), best))
         others = scratch.keep(found.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"))
         gone = gone.unionByName(later(others, few=True))
         tried = tried.unionByName(others)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that are worked on at once; a longer text is cut between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240607))

@@ -179,6 +179,15 @@ def test_asking_finds_the_nearest_partners_and_marks_others():
         assert [c for c, _, _ in mine] == want[:3] and all(m == (len(want) > 2) for _, m, _ in mine) and len({a for _, _, a in mine}) == len(mine)
 
 
+def test_lines_of_texts_over_a_block(spark):
+    lines = [f"k{i} l{i} m{i} n{i} o{i}" for i in range(30_000)]
+    for i in (12_000, 29_999):
+        lines[i] = lines[i - 11_000]
+    rows = [(1, "\n".join(lines)), (2, f"new words here\n{lines[20_000]}\n\n{lines[28_500]} z")]
+    got = {r["doc_id"]: r["removed"] for r in removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows[0][1]) > 3 << 18 and got == {1: [12_000, 29_999], 2: [1, 3]}
+
+
 def test_dedup_keeps_columns_and_null_texts(spark):
     rows = [(1, "a b c d e\nx", "q"), (2, "A b c d e\ny\n", "r"), (3, None, None), (2, "A b c d e\ny\n", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
