@@ -17,8 +17,8 @@ of the nodes that these don't settle. Marked nodes that are still open ask again
 eight times as many candidates, until none is left. One match settles a node: it
 goes with all its lines.
 
-In groups of over LARGE postings every node is compared with the key's HUBS first
-ones alone, and marked; a group of any size passes in the memory of a batch.
+In groups of over LARGE postings every node is compared with HUBS early ones of the
+key alone, and marked; a group of any size passes in the memory of a batch.
 
 Words are identified by 56-bit hashes, sets by 64-bit digests. Null texts have no
 lines. Rows equal in id and text are one document: each keeps the same lines.
@@ -39,7 +39,7 @@ from .tokens import Levels, blocks, levels, mix, word_hashes
 BITS = 20
 #: A word of more occurrences than this is a key only together with another word.
 HEAVY = 1024
-#: Groups of more postings than this are compared with their HUBS first nodes alone, at first.
+#: Groups of more postings than this are compared with HUBS early nodes alone, at first.
 LARGE = 1024
 HUBS = 64
 #: Candidates of a node that are written for each key.
@@ -231,7 +231,7 @@ def _found(x: np.ndarray, y: np.ndarray, d: np.ndarray, more: np.ndarray):
 
 
 class Meeting:
-    """Postings in order of key and coarse order; pairs of a key that pass the filters, the BEST of every node."""
+    """Postings in order of key; pairs of a key that pass the filters, the BEST of every node."""
 
     def __init__(self, large: int, hubs: int, best: int):
         self.large, self.hubs, self.best = large, hubs, best
@@ -252,9 +252,11 @@ class Meeting:
     def meet(self, rows: np.ndarray, ended: bool) -> tuple[np.ndarray, list[np.ndarray]]:
         """What of rows must wait for the next ones, and the columns x, y, d, more of what was found. x is null (d < 0) for a mark alone."""
         keys = rows["key"]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(rows)])
-        wait = rows[:0]
+        rows = rows[in_order(np.cumsum(new), rows["packed"].view(np.uint64))]
+        keys, wait = rows["key"], rows[:0]
         if not ended and size[-1] <= self.large and keys[-1] != self.hub_key:
             wait, rows = rows[first[-1] :], rows[: first[-1]]
             first, size = first[:-1], size[:-1]
@@ -299,7 +301,7 @@ class Meeting:
         y, x, d = (c[0] for c in found)
         out = [[rows["node"][x], rows["node"][y], d, more[y]]]
 
-        # others: against the key's first nodes
+        # others: against the first nodes of the key's first batch
         for g in np.flatnonzero(~ordinary):
             group = rows[first[g] : first[g] + size[g]]
             if group["key"][0] != self.hub_key:
@@ -348,7 +350,8 @@ def candidates(posted: DataFrame, large: int, best: int, hubs: int = HUBS) -> Da
         if rows:
             yield from found(True)
 
-    dealt = posted.repartition("key").sortWithinPartitions("key", "packed")
+    # one number is sorted by its digits; what meets is put in coarse order by the batch
+    dealt = posted.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "x long, y long, d int, more boolean")
 
 
@@ -539,7 +542,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "removed")
-    slim = docs.select("doc_id", F.xxhash64("text").alias("_text"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    slim = docs.select("doc_id", F.xxhash64("text").alias("_text"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     out = slim.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left")
     line_list = F.concat_ws(",", F.col("removed").cast("array<string>"))
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(line_list, F.lit("")).alias("removed_lines"))
