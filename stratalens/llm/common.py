@@ -7,6 +7,7 @@ counted on or dropped, and repeated rows are as safe as unique ones.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -49,6 +50,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, after which its worker gives back the memory it doesn't hold: workers are used again, and idle ones count too."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def append_columns(df: DataFrame, fields: list[tuple[str, str]], factory: Callable[[], Compute]) -> DataFrame:
     """df with computed columns after its own.
 
@@ -71,7 +87,7 @@ def append_columns(df: DataFrame, fields: list[tuple[str, str]], factory: Callab
             arrays = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(arrays, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *arrays], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str | None]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, fresh, lean, table, without
+from .common import Scratch, append_columns, fresh, lean, table, tidy, without
 from .setjoin import BROADCAST_DOCS, DEN, NUM, perhaps_similar, similar
 from .tokens import Levels, blocks, levels, mix, word_hashes
 
@@ -182,7 +182,7 @@ def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, onl
                     columns["prefix"] = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, p]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select("doc_id", "th", "text", *(["wanted"] if what == "keys" else [])).mapInArrow(run, schema)
+    return docs.select("doc_id", "th", "text", *(["wanted"] if what == "keys" else [])).mapInArrow(tidy(run), schema)
 
 
 def postings(nodes: DataFrame, heavy: int, only: np.ndarray | None = None) -> DataFrame:
@@ -218,7 +218,7 @@ def postings(nodes: DataFrame, heavy: int, only: np.ndarray | None = None) -> Da
 
     # a set this small is out of reach for any of another size: n / (n + 1) is under the threshold
     able = nodes.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM)
-    return able.select("node", "n", "low", "high", "coarse", "prefix").mapInArrow(run, "key long, node long, low long, high long, packed long")
+    return able.select("node", "n", "low", "high", "coarse", "prefix").mapInArrow(tidy(run), "key long, node long, low long, high long, packed long")
 
 
 ROW = np.dtype([(c, np.int64) for c in ("key", "node", "low", "high", "packed")])
@@ -352,7 +352,7 @@ def candidates(posted: DataFrame, large: int, best: int, hubs: int = HUBS) -> Da
 
     # one number is sorted by its digits; what meets is put in coarse order by the batch
     dealt = posted.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "x long, y long, d int, more boolean")
+    return dealt.mapInArrow(tidy(run), "x long, y long, d int, more boolean")
 
 
 class Asking:
@@ -428,7 +428,7 @@ def asked(posted: DataFrame, best: int) -> DataFrame:
             yield from _found(*columns)
 
     dealt = posted.repartition("key").sortWithinPartitions("key", F.desc("asking"), "packed")
-    return dealt.mapInArrow(run, "x long, y long, d int, more boolean")
+    return dealt.mapInArrow(tidy(run), "x long, y long, d int, more boolean")
 
 
 def ordered(nodes: DataFrame) -> DataFrame:

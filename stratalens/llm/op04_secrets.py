@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, bytes_of, table
+from .common import append_columns, bytes_of, table, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Least log10 of guesses of a reported value: over any seven letters, capitalised or not (10.2), under seven letters and digits (10.9).
@@ -262,7 +262,7 @@ def word_ranks(df: DataFrame, text: str = "text", path: str | None = None) -> di
                     counts.clear()
         yield out()
 
-    counted = df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = df.select(text).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = df.count()
     found = counted.filter(F.col("n") >= max(2, -(-rows // ONE_IN))).collect()
     found.sort(key=lambda r: (-r["n"], r["word"]))
