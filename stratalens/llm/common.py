@@ -102,15 +102,15 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def held_out(doc_id: F.Column | str) -> F.Column:
-    """True where crc32 of the id's decimal text is a multiple of HELD_OUT_MOD (a null id counts as empty text)."""
+def held_out(doc_id: F.Column | str, mod: int = HELD_OUT_MOD, remainder: int = 0) -> F.Column:
+    """True where crc32 of the id's decimal text leaves this remainder (a null id counts as empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_MOD == 0
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod == remainder
 
 
-def is_held_out(doc_id: int | None) -> bool:
+def is_held_out(doc_id: int | None, mod: int = HELD_OUT_MOD, remainder: int = 0) -> bool:
     """held_out() for one id, for tests."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_MOD == 0
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == remainder
 
 
 def shared_folder(spark: SparkSession) -> str:

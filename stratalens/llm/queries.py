@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_toxicity, op02_line_dedup, op03_ngram_join, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate, op12_divergence, pipeline
+from . import op01_toxicity, op02_line_dedup, op03_ngram_join, op04_secrets, op05_urls, op06_language, op07_bpe, op08_shards, op09_media, op10_decontaminate, op11_quality, op12_divergence, op13_negatives, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,12 +24,14 @@ def queries() -> dict[str, Query]:
         "op8_shards": op08_shards.op8_shards,
         "op9_media": op09_media.op9_media,
         "op10_decontaminate": op10_decontaminate.op10_decontaminate,
+        "op11_quality": op11_quality.op11_quality,
         "op12_divergence": op12_divergence.op12_divergence,
+        "op13_negatives": op13_negatives.op13_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": op02_line_dedup.SQL, "op3_ngram_join": op03_ngram_join.SQL, "op5_urls": op05_urls.SQL,
-        "op10_decontaminate": op10_decontaminate.SQL, "op12_divergence": op12_divergence.SQL,
+        "op10_decontaminate": op10_decontaminate.SQL, "op12_divergence": op12_divergence.SQL, "op13_negatives": op13_negatives.SQL,
     }
