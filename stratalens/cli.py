@@ -45,7 +45,7 @@ def diagnostics(spark: SparkSession, n: int):
     from pyspark.sql import functions as F
 
     from .operators import binning, statistics
-    from .plans.permutation import _stream
+    from .plans.draws import stream
     from .plans.scenarios import SCENARIOS
 
     out = None
@@ -54,7 +54,7 @@ def diagnostics(spark: SparkSession, n: int):
         def draw(batches, name=name):
             for pdf in batches:
                 for block in pdf["id"]:
-                    s, a, z = SCENARIOS[name].draw(min(10_000, n), _stream(0, name, int(block)))
+                    s, a, z = SCENARIOS[name].draw(min(10_000, n), stream(0, name, int(block)))
                     yield pd.DataFrame({"unit_id": np.int64(block) * 10_000 + np.arange(len(s)), "s_raw": s, "a": a, "z": z})
 
         sample = spark.range(max(1, n // 10_000)).mapInPandas(draw, "unit_id long, s_raw double, a int, z int")

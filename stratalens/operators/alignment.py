@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranks import with_below
-from .strata import average_rank
 
 
 def grid(df: DataFrame, *dims: tuple[str, int]) -> DataFrame:
@@ -78,4 +77,4 @@ def summary(df: DataFrame, c: str) -> DataFrame:
     return df.agg(F.min(c).alias("min"), at(0.1).alias("p10"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), at(0.9).alias("p90"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.count_distinct(c).alias("n_unique"))
 
 
-__all__ = ["average_rank", "confusion", "distribution", "grid", "matrix", "metrics", "spearman", "summary", "weighted_kappa"]
+__all__ = ["confusion", "distribution", "grid", "matrix", "metrics", "spearman", "summary", "weighted_kappa"]

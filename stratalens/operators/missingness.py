@@ -34,18 +34,19 @@ def homogeneity(df: DataFrame, z: list[str], excluded: str = "excluded", least:
 def group_difference(df: DataFrame, value: str, group: str) -> DataFrame:
     """Means, medians, standardised difference and Mann-Whitney U of a value between a boolean group and the rest.
 
-    U comes from counts of distinct values: no window over all units.
+    U and the medians come from counts of distinct values: no window over all units, no task that holds them.
     """
     one = lambda f, g: f(F.when(F.col(group) == g, F.col(value)))
-    mid = lambda c: F.percentile(c, F.lit(0.5))
     base = df.agg(
-        F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n0"), one(F.avg, True).alias("mean1"), one(F.avg, False).alias("mean0"), one(mid, True).alias("median1"), one(mid, False).alias("median0"),
+        F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n0"), one(F.avg, True).alias("mean1"), one(F.avg, False).alias("mean0"),
         one(F.var_samp, True).alias("_v1"), one(F.var_samp, False).alias("_v0"),
     )
     values = df.groupBy(value).agg(F.count_if(F.col(group)).alias("k1"), F.count("*").alias("k"))
     ranks = with_below(values, value, "k", "below").select("k1", "k", (F.col("below") + (F.col("k") + 1) / 2).alias("rank")).agg(F.sum(F.col("k1") * F.col("rank")).alias("r1"), F.sum(F.col("k").cast("double") ** 3 - F.col("k")).alias("tie_sum"))
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("_v1") + (F.col("n0") - 1) * F.col("_v0")) / (F.col("n1") + F.col("n0") - 2))
-    out = base.crossJoin(ranks)
+    middle = quantiles(df, value, [0.5], "_m", [group])
+    medians = middle.agg(*[F.max(F.when(F.col(group) == g, F.col("_m")[0])).alias(f"median{int(g)}") for g in (True, False)])
+    out = base.crossJoin(ranks).crossJoin(medians)
     return out.select("n1", "n0", "mean1", "mean0", "median1", "median0", pooled.alias("pooled_sd"), F.try_divide(F.col("mean1") - F.col("mean0"), pooled).alias("smd"), (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "tie_sum")
 
 

@@ -1,8 +1,10 @@
-"""Running totals over a whole order, without a window that one task would have to run.
+"""Running totals, ranks and quantiles over a whole order or inside groups, without a window that one task would have to run.
 
 Values are dealt to about as many ranges as there are shuffle partitions, by
-approximate quantiles; each range is ordered by itself, and starts from the total
-of the ranges before it. The quantiles decide where ranges end, never a result.
+approximate quantiles over all rows; each range of a group is ordered by itself, and
+starts from the total of the group's ranges before it. A group that holds a share of
+all rows is cut into about that share of the ranges, so no task sees more than a range,
+however large a group is. The quantiles decide where ranges end, never a result.
 """
 
 from __future__ import annotations
@@ -12,53 +14,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def with_below(counts: DataFrame, value: str, k: str, out: str) -> DataFrame:
-    """counts (distinct numeric values with their k) with the sum of k over all smaller values."""
+def _starts(dealt: DataFrame, k, by: list[str]) -> DataFrame:
+    """by, _range and _before: the total of k over the group's earlier ranges. A few rows a group."""
+    totals = dealt.groupBy(*by, "_range").agg(F.sum(k).alias("_total"))
+    w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*by, "_range", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_before"))
+
+
+def _placed(dealt: DataFrame, k, order: list, by: list[str], out: str) -> DataFrame:
+    """dealt (with _range) with out: the sum of k over rows of the group that come before in range and order."""
+    within = F.coalesce(F.sum(k).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = _starts(dealt, k, by)
+    placed = dealt.withColumn("_within", within).join(starts if by else F.broadcast(starts), [*by, "_range"])
+    return placed.withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
+def with_below(counts: DataFrame, value: str, k: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """counts (numeric values, each once a group, with their k) with the sum of k over all smaller values of the group."""
     ranges = max(16, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(max(1000, 4 * ranges)))
     edges = counts.agg(F.array_distinct(cuts).alias("_cuts"))
     dealt = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_cuts", lambda e: e <= F.col(value)))).drop("_cuts")
-    totals = dealt.groupBy("_range").agg(F.sum(k).alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("_range", before.alias("_before"))  # one row a range
-    within = F.coalesce(F.sum(k).over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = dealt.withColumn("_within", within).join(F.broadcast(starts), "_range")
-    return placed.withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+    return _placed(dealt, k, [value], by or [], out)
+
 
+def counted(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """_value, its rows _k and the rows _below of smaller values, for each group."""
+    counts = df.groupBy(*(by or []), F.col(value).alias("_value")).agg(F.count("*").alias("_k"))
+    return with_below(counts, "_value", "_k", "_below", by)
 
-def numbered(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with out, the place from 1 of each row in order of value (numeric; rows of one value share the first place)."""
-    counts = df.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_k"))
-    placed = with_below(counts, "_value", "_k", "_below").select("_value", "_below")
-    return df.join(placed, F.col(value) == F.col("_value")).withColumn(out, (F.col("_below") + 1).cast("long")).drop("_value", "_below")
 
+def _with_places(df: DataFrame, value: str, by: list[str] | None, place, out: str) -> DataFrame:
+    keys = by or []
+    placed = counted(df.filter(F.col(value).isNotNull()), value, by).select(*keys, "_value", place.alias(out))
+    return df.join(placed.withColumnRenamed("_value", value), [*keys, value])
 
-def in_hash_order(df: DataFrame, key: str, out: str) -> DataFrame:
-    """df with out, the place from 1 of each row in order of key, a hexadecimal digest. Its first three digits deal the rows evenly."""
-    dealt = df.withColumn("_range", F.substring(key, 1, 3))
-    totals = dealt.groupBy("_range").agg(F.count("*").alias("_total"))  # 4096 rows at most
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("_range", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return dealt.withColumn("_within", within).join(F.broadcast(starts), "_range").withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_range", "_before", "_within")
+
+def numbered(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """df with out, the place from 1 of each row in its group's order of value (numeric, not null; rows of one value share the first place)."""
+    return _with_places(df, value, by, (F.col("_below") + 1).cast("long"), out).select(*df.columns, out)
+
+
+def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """df with out, the rank of value (numeric, not null) in its group; equal values share the mean of their places."""
+    return _with_places(df, value, by, F.col("_below") + (F.col("_k") + 1) / 2, out).select(*df.columns, out)
+
+
+def in_hash_order(df: DataFrame, key: str, out: str, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """df with out, the place from 1 of each row in its group's order of key, a hexadecimal digest.
+
+    The key's first digits deal the rows evenly: as many digits as leave about ten thousand
+    rows a range, or fewer, of the largest group; rows is a bound on that group, if one is known.
+    """
+    digits = len(f"{max(1, (rows or df.count()) // 10_000):x}")
+    dealt = df.withColumns({"_range": F.substring(key, 1, digits), "_one": F.lit(1).cast("long")})
+    return _placed(dealt, "_one", [key], by or [], out).drop("_one").withColumn(out, (F.col(out) + 1).cast("long"))
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float], out: str) -> DataFrame:
-    """One row: the exact quantiles of value, with linear interpolation, as an array; null without values.
+def quantiles(df: DataFrame, value: str, probabilities: list[float], out: str, by: list[str] | None = None) -> DataFrame:
+    """The exact quantiles of value, with linear interpolation, as an array, for each group; one row, null without values, if there are no groups.
 
     Distinct values are counted and placed; only the rows that hold a wanted rank
-    go on, so no task sees all values.
+    go on, so no task sees all values of a group.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_k"))
-    n = counts.agg(F.sum("_k").alias("_n"))
-    placed = with_below(counts, value, "_k", "_below").crossJoin(F.broadcast(n))
+    keys = by or []
+    placed = counted(df.filter(F.col(value).isNotNull()), value, by)
+    n = placed.groupBy(*keys).agg(F.sum("_k").alias("_n"))
+    placed = placed.join(n, keys) if keys else placed.crossJoin(F.broadcast(n))
     at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
     holds = lambda rank: (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_k"))
     wanted = F.lit(False)
     for h in at:
         wanted = wanted | holds(F.floor(h)) | holds(F.ceil(h))
     few = placed.filter(wanted)
-    pick = lambda rank: F.max(F.when(holds(rank), F.col(value)))
-    row = few.agg(F.max("_n").alias("_n"), *[pick(F.floor(h)).alias(f"lo{i}") for i, h in enumerate(at)], *[pick(F.ceil(h)).alias(f"hi{i}") for i, h in enumerate(at)])
+    pick = lambda rank: F.max(F.when(holds(rank), F.col("_value")))
+    row = few.groupBy(*keys).agg(F.max("_n").alias("_n"), *[pick(F.floor(h)).alias(f"lo{i}") for i, h in enumerate(at)], *[pick(F.ceil(h)).alias(f"hi{i}") for i, h in enumerate(at)])
     mixed = [F.when(F.floor(h) == F.ceil(h), F.col(f"lo{i}").cast("double")).otherwise((F.ceil(h) - h) * F.col(f"lo{i}") + (h - F.floor(h)) * F.col(f"hi{i}")) for i, h in enumerate(at)]
-    return row.select(F.when(F.col("_n").isNotNull(), F.array(*mixed)).alias(out))
+    return row.select(*keys, F.when(F.col("_n").isNotNull(), F.array(*mixed)).alias(out))

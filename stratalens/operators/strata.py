@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def stratum_table(df: DataFrame, z: list[str] | None = None) -> DataFrame:
@@ -65,8 +64,3 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
         F.bround(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) * 100 / F.sum("k"), 1).alias("pct_shared"),
     )
 
-
-def average_rank(value: str, *by: str):
-    """Ranks with ties at their mean. Without by, callers rank distinct values and weight them."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2

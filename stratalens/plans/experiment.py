@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.multiplicity import rejection_rates
-from .permutation import TOLERANCE, _stream
+from .draws import stream
+from .permutation import TOLERANCE
 from .scenarios import SCENARIOS, scenario
 
 SCHEMA = "scenario string, n int, replicate int, method string, calibration string, p_value double, observed double, n_strata int, n_usable_strata int, n_score_bins int"
@@ -72,11 +73,11 @@ class Draws:
 
 
 def replicate(config: Config, name: str, n: int, number: int) -> list[tuple]:
-    s, a, z = scenario(name).draw(n, _stream(config.seed, name, n, number, "data"))
+    s, a, z = scenario(name).draw(n, stream(config.seed, name, n, number, "data"))
     bins = _bins(s, config.bins)
     draws = Draws(s, bins, z)
     own = a[draws.order]
-    labels = draws.permute(own, config.permutations, _stream(config.seed, name, n, number, "permutation"))
+    labels = draws.permute(own, config.permutations, stream(config.seed, name, n, number, "permutation"))
     real, null = draws.statistics(own[None].astype(np.int8)), draws.statistics(labels)
     strata = np.split(own, draws.starts[1:])
     usable = sum(len(g) >= 2 and g.min() != g.max() for g in strata)

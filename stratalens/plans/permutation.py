@@ -1,45 +1,50 @@
 """Within-stratum permutation tests.
 
-Two engines. ``portable`` numbers the units of every (draw, stratum) by a hash of
+Three engines. ``permuted`` numbers the units of every (draw, stratum) by a hash of
 (seed, draw, unit) and gives the k-th the attribute of the stratum's k-th unit: SQL
-throughout, the same in any engine. ``grouped`` permutes inside Arrow groups of
-(stratum, block of draws) and emits each draw's share of every statistic: all
-statistics see the same draws, and rows leaving a group don't grow with units.
-Random streams depend on (seed, stratum, block), never on partitions.
-
-For strata too large for one task, ``tables`` draws the count table itself from its
-margins (a sequence of hypergeometric draws): the same null distribution for
-statistics that see attributes only through the counts.
+throughout, the same in any engine, with every unit copied for each draw, so for small
+tables. ``grouped_cells`` permutes inside Arrow groups: a stratum's units are dealt
+over the leaves of a binary tree of at most about CHUNK units each; every draw passes
+the stratum's labels down that tree by hypergeometric splits addressed by (seed,
+stratum, node), so a task walks the few nodes above its own leaf and knows no other
+leaf. Units are shuffled once, and rows leaving a group don't grow with them.
+``table_null`` draws the count tables themselves from their margins: the same null
+distribution for statistics that see attributes through counts alone, whatever the
+number of units.
+
+Random streams depend on (seed, stratum, node or block), never on partitions.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.statistics import RSS_FLOOR, cells, observed, with_margins
+from ..operators.ranks import in_hash_order, numbered
+from ..operators.statistics import RSS_FLOOR, cells, observed
+from .draws import stream, tables, walk
+from .shared import cut
 
 #: A null draw counts as reaching the observed value within this, relative to it.
 TOLERANCE = 1e-9
+#: Draws that a task holds at once.
 BLOCK = 250
-#: Most units of a stratum in one task, about.
-CHUNK = 50_000
+#: Most units of a leaf, about.
+CHUNK = 8192
 
 
 def permuted(df: DataFrame, b: int, seed: int) -> DataFrame:
-    """b rows for every unit: draw (from 1) and the permuted attribute a; other columns as they are."""
-    fixed = df.withColumn("_k", F.row_number().over(Window.partitionBy("z").orderBy("unit_id")))
-    labels = fixed.select(F.col("z").alias("_z"), F.col("_k").alias("_slot"), F.col("a").alias("_a"))
-    draws = fixed.drop("a", "_k").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    """b rows for every unit (of a numeric, unique unit_id): draw (from 1) and the permuted attribute a; other columns as they are."""
+    df = cut(df)
+    fixed = numbered(df, "unit_id", "_k", ["z"])
+    labels = fixed.select(F.col("z").alias("_z"), F.col("_k").alias("_own"), F.col("a").alias("_a"))
+    draws = df.drop("a").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(b))))
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), "draw", F.col("unit_id").cast("string")), 256)
-    slot = F.row_number().over(Window.partitionBy("draw", "z").orderBy(key, "unit_id"))
-    shuffled = draws.withColumn("_slot", slot)
-    return shuffled.join(labels, (F.col("z") == F.col("_z")) & (shuffled["_slot"] == labels["_slot"])).withColumn("a", F.col("_a")).drop("_z", "_slot", "_a")
+    shuffled = in_hash_order(draws.withColumn("_key", key), "_key", "_slot", ["draw", "z"], rows=df.count()).drop("_key")
+    return shuffled.join(labels, (F.col("z") == F.col("_z")) & (F.col("_slot") == F.col("_own"))).withColumn("a", F.col("_a")).drop("_z", "_slot", "_own", "_a")
 
 
 def p_values(null: DataFrame, real: DataFrame, b: int) -> DataFrame:
@@ -55,77 +60,70 @@ def portable_test(df: DataFrame, names: list[str], b: int, seed: int) -> DataFra
     return p_values(null, observed(df, names), b)
 
 
-def _stream(seed: int, *address) -> np.random.Generator:
-    digest = hashlib.sha256(":".join(map(str, (seed, *address))).encode()).digest()
-    return np.random.Generator(np.random.PCG64(int.from_bytes(digest[:16], "little")))
-
+def leaves(df: DataFrame, chunk: int, by: list[str] | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """df with depth and leaf, and a row a leaf with its path: the units under the left and right child of each node above it, from the root down.
 
-def large_strata(df: DataFrame, chunk: int) -> dict:
-    """Units by chunk and by attribute of the strata that need several chunks: about one number for every chunk units."""
-    sizes = df.groupBy("z").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
-    cut_up = df.join(sizes, "z").withColumn("part", chunk_of(F.col("n"), chunk))
-    out: dict = {}
-    for r in cut_up.groupBy("z", "part").agg(F.count("*").alias("k")).collect():
-        out.setdefault(r["z"], ({}, {}))[0][r["part"]] = r["k"]
-    for r in df.join(sizes, "z", "left_semi").groupBy("z", "a").agg(F.count("*").alias("k")).collect():
-        out[r["z"]][1][r["a"]] = r["k"]
-    return out
+    A group of n rows has 2^depth leaves of about chunk rows or fewer, dealt by a hash of
+    unit_id. Paths hold as many entries as a leaf is deep; no list of leaves is made.
+    With a weight, a leaf's size is its rows' total of it.
+    """
+    keys = by or ["z"]
+    size = F.sum(weight) if weight else F.count("*")
+    groups = df.groupBy(*keys).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / chunk))).cast("int").alias("depth"))
+    placed = df.join(groups, keys).withColumn("leaf", F.pmod(F.xxhash64("unit_id"), F.pow(F.lit(2.0), "depth").cast("long")))
+    sizes = placed.groupBy(*keys, "depth", "leaf").agg(size.cast("long").alias("k"))
+    steps = sizes.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+    steps = steps.filter("level < depth").withColumns({"node": F.expr("shiftright(leaf, depth - level)"), "right": F.expr("shiftright(leaf, depth - level - 1) & 1") == 1})
+    nodes = steps.groupBy(*keys, "level", "node").agg(F.sum(F.when(~F.col("right"), F.col("k")).otherwise(0)).alias("l"), F.sum(F.when(F.col("right"), F.col("k")).otherwise(0)).alias("r"))
+    path = steps.join(nodes, [*keys, "level", "node"]).groupBy(*keys, "leaf").agg(F.array_sort(F.collect_list(F.struct("level", "l", "r"))).alias("path"))
+    return placed.drop("depth"), sizes.select(*keys, "leaf").join(path, [*keys, "leaf"], "left")
 
 
-def chunk_of(n, chunk: int):
-    return F.pmod(F.xxhash64("unit_id"), F.ceil(n / chunk)).cast("int")
+def path_of(row) -> list[tuple[int, int]]:
+    return [(int(x["l"]), int(x["r"])) for x in row] if row is not None else []
 
 
 def grouped_cells(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """(draw, z, s_bin, a, n, s_sum) of draws 0 (the data) to b.
-
-    A stratum of over chunk units is split: each draw first deals the stratum's
-    labels out to the chunks, by hypergeometric draws that all its chunks repeat
-    alike, and then permutes inside each. That is a uniform permutation of the
-    whole stratum, with no more than about chunk units in a task.
-    """
-    large = large_strata(df, chunk)
-    shared = df.sparkSession.sparkContext.broadcast(large)
-    sizes = df.groupBy("z").agg(F.count("*").alias("_n"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(b), F.lit(block))).alias("first")
-    tasks = df.join(sizes, "z").select("unit_id", "s_raw", "s_bin", "a", "z", chunk_of(F.col("_n"), chunk).alias("part"), blocks)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_id", kind="stable")
-        z, part, first = pdf["z"].iloc[0], int(pdf["part"].iloc[0]), int(pdf["first"].iloc[0])
-        own = pdf["a"].to_numpy(np.int64)
-        bins, code = np.unique(pdf["s_bin"].to_numpy(np.int64), return_inverse=True)
-        s = pdf["s_raw"].to_numpy(float)
-        chunks, labels = shared.value.get(z, ({part: len(own)}, dict(zip(*map(np.ndarray.tolist, np.unique(own, return_counts=True)), strict=True))))
-        parts, names = sorted(chunks), sorted(labels)
-        rng = _stream(seed, z, first, part)
+    """(draw, z, s_bin, a, n, s_sum) of draws 0 (the data) to b: every draw a uniform permutation of each whole stratum."""
+    df = df.select("unit_id", "s_raw", "s_bin", "a", "z")
+    placed, paths = leaves(df, chunk)
+    labels = df.groupBy("z", "a").agg(F.count("*").alias("k")).groupBy("z").agg(F.array_sort(F.collect_list(F.struct("a", "k"))).alias("labels"))
+    known = paths.join(labels, "z").select(F.col("z").alias("of"), F.col("leaf").alias("at"), "path", "labels")
+
+    def work(units: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        units = units.sort_values("unit_id", kind="stable")
+        z, leaf = units["z"].iloc[0], int(units["leaf"].iloc[0])
+        own = units["a"].to_numpy(np.int64)
+        bins, code = np.unique(units["s_bin"].to_numpy(np.int64), return_inverse=True)
+        s = units["s_raw"].to_numpy(float)
+        names = np.array([x["a"] for x in above["labels"].iloc[0]], np.int64)
+        whole, path, k = [int(x["k"]) for x in above["labels"].iloc[0]], path_of(above["path"].iloc[0]), len(names)
+        size = len(bins) * k
         out = []
-        for draw in range(first, min(first + block, b + 1)):
-            if draw == 0:
-                a = own
-            elif len(parts) == 1:
-                a = rng.permutation(own)
-            else:
-                deal, left, mine = _stream(seed, z, draw, "deal"), np.array([chunks[p] for p in parts]), []
-                for name in names:
-                    dealt = deal.multivariate_hypergeometric(left, labels[name], method="marginals")
-                    left = left - dealt
-                    mine.append(dealt[parts.index(part)])
-                a = rng.permutation(np.repeat(names, mine))
-            k = len(names)
-            at = code * k + np.searchsorted(names, a)
-            n, total = np.bincount(at, minlength=len(bins) * k), np.bincount(at, s, len(bins) * k)
+        for first in range(0, b + 1, block):
+            draws = np.arange(first, min(first + block, b + 1))
+            mine = walk(seed, (z, first), path, leaf, np.tile(np.array(whole, np.int64), (len(draws), 1)))
+            rng = stream(seed, z, first, "leaf", leaf)
+            # each draw's labels of this leaf in random order
+            order = np.repeat(np.tile(np.arange(k), len(draws)), mine.ravel()).reshape(len(draws), len(own))
+            a = rng.permuted(order, axis=1)
+            if first == 0:
+                a[0] = np.searchsorted(names, own)
+            at = (np.arange(len(draws))[:, None] * size + code * k + a).ravel()
+            n, total = np.bincount(at, minlength=len(draws) * size), np.bincount(at, np.tile(s, len(draws)), len(draws) * size)
             there = np.flatnonzero(n)
-            out.append(pd.DataFrame({"draw": np.int32(draw), "z": z, "s_bin": bins[there // k].astype(np.int32), "a": np.array(names, np.int32)[there % k], "n": n[there], "s_sum": total[there]}))
+            cell = there % size
+            out.append(pd.DataFrame({"draw": draws[there // size].astype(np.int32), "z": z, "s_bin": bins[cell // k].astype(np.int32), "a": names[cell % k].astype(np.int32), "n": n[there], "s_sum": total[there]}))
         return pd.concat(out)
 
     kind = df.schema["z"].dataType.simpleString()
-    parts = tasks.groupBy("z", "part", "first").applyInPandas(work, f"draw int, z {kind}, s_bin int, a int, n long, s_sum double")
+    parts = placed.groupBy("z", "leaf").cogroup(known.groupBy("of", "at")).applyInPandas(work, f"draw int, z {kind}, s_bin int, a int, n long, s_sum double")
     return parts.groupBy("draw", "z", "s_bin", "a").agg(F.sum("n").alias("n"), F.sum("s_sum").alias("s_sum"))
 
 
 def grouped_null(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(draw, statistic, value) of draws 0 (the data) to b for conditional_g2, mean_disparity and regression_lrt."""
+    df = cut(df)
     centre = df.agg(F.avg("s_raw").alias("_m"))
     df = df.crossJoin(F.broadcast(centre)).withColumn("s_raw", F.col("s_raw") - F.col("_m")).drop("_m")
     cube = grouped_cells(df, b, seed, block, chunk)
@@ -145,40 +143,41 @@ def grouped_null(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: in
 
 
 def grouped_test(df: DataFrame, b: int, seed: int) -> DataFrame:
-    null = grouped_null(df, b, seed)
+    null = cut(grouped_null(df, b, seed))
     real = null.filter("draw = 0").select("statistic", F.col("value").alias("observed"))
     return p_values(null.filter("draw > 0"), real, b)
 
 
 def table_null(df: DataFrame, b: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """(draw, value) of conditional_g2 from count tables drawn with the data's margins; draw 0 is the data.
+    """(draw, value) of conditional_g2 from count tables drawn with the data's margins; draw 0 is the data."""
+    return cells_null(cells(df), b, seed, block=block)
+
+
+def cells_null(cube: DataFrame, b: int, seed: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """table_null from cells (by, z, s_bin, a, n): (by, draw, value). Counts may be any to 10^15.
 
     Groups hold a stratum's cells, not its units, so a large stratum is a small task.
-    Strata must have under 10^9 units, the bound of NumPy's hypergeometric draws.
     """
-    cube = with_margins(cells(df)).select("z", "s_bin", "a", "n", F.explode(F.sequence(F.lit(0), F.lit(b), F.lit(block))).alias("first"))
+    keys = by or []
+    blocks = cube.select(*keys, "z", "s_bin", "a", "n", F.explode(F.sequence(F.lit(0), F.lit(b), F.lit(block))).alias("first"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["first"].iloc[0])
-        rng = _stream(seed, pdf["z"].iloc[0], first, "table")
+        names = [pdf[c].iloc[0] for c in keys]
         rows, cols = np.unique(pdf["s_bin"], return_inverse=True)[1], np.unique(pdf["a"], return_inverse=True)[1]
         real = np.zeros((rows.max() + 1, cols.max() + 1), np.int64)
-        real[rows, cols] = pdf["n"]
-        n_s, n_a, n = real.sum(1), real.sum(0), real.sum()
-        expected = np.outer(n_s, n_a) / n
-        out = []
-        for draw in range(first, min(first + block, b + 1)):
-            t = real
-            if draw:
-                left, t = n_a.copy(), np.empty_like(real)
-                for i, k in enumerate(n_s):
-                    t[i] = rng.multivariate_hypergeometric(left, k, method="marginals")
-                    left -= t[i]
-            full = t > 0
-            out.append((draw, 2 * float((t[full] * np.log(t[full] / expected[full])).sum())))
-        return pd.DataFrame(out, columns=["draw", "value"])
-
-    return cube.groupBy("z", "first").applyInPandas(work, "draw int, value double").groupBy("draw").agg(F.sum("value").alias("value"))
+        np.add.at(real, (rows, cols), pdf["n"].to_numpy(np.int64))
+        n_s, n_a = real.sum(1), real.sum(0)
+        draws = np.arange(first, min(first + block, b + 1))
+        t = tables(stream(seed, *names, pdf["z"].iloc[0], first, "table"), n_s, np.tile(n_a, (len(draws), 1))).astype(float)
+        if first == 0:
+            t[0] = real
+        expected = np.outer(n_s.astype(float), n_a) / n_s.sum()
+        g2 = 2 * np.where(t > 0, t * np.log(np.where(t > 0, t, 1) / expected), 0).sum((1, 2))
+        return pd.DataFrame({**{c: x for c, x in zip(keys, names, strict=True)}, "draw": draws.astype(np.int32), "value": g2})
+
+    kinds = "".join(f"{c} {cube.schema[c].dataType.simpleString()}, " for c in keys)
+    return blocks.groupBy(*keys, "z", "first").applyInPandas(work, f"{kinds}draw int, value double").groupBy(*keys, "draw").agg(F.sum("value").alias("value"))
 
 
 def paired_test(df: DataFrame, b: int, seed: int) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .experiment import Draws
-from .permutation import TOLERANCE, _stream
+from ..operators.ranks import counted
+from .draws import stream
+from .permutation import TOLERANCE
 
 
 def pool_of(df: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def power(df: DataFrame, sizes: list[int], shares: list[float], replicates: int,
         for batch in batches:
             out = []
             for t in batch.itertuples(index=False):
-                rng = _stream(seed, t.size, t.share, t.replicate, "power")
+                rng = stream(seed, t.size, t.share, t.replicate, "power")
                 # units by number; a number's triple is that whose end is the first above it
                 own = np.searchsorted(ends, rng.choice(units, min(int(t.size), units), replace=False, shuffle=False), side="right")
                 z, y, a = zs[own], ys[own], groups_of[own]
@@ -57,11 +59,11 @@ def power(df: DataFrame, sizes: list[int], shares: list[float], replicates: int,
     return rows.groupBy("size", "share").agg(F.avg("reject").alias("power"), F.avg("usable").alias("mean_usable_strata"), F.avg("n_a1").alias("mean_n_a1"), F.count("*").alias("replicates"))
 
 
-def kolmogorov(p_values: DataFrame, p: str = "p_value") -> DataFrame:
-    """The greatest distance of the p-values' distribution from the uniform. A table of tests, ordered as a whole."""
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy(p)
-    ranked = p_values.select(p, F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    gap = F.greatest(F.col("i") / F.col("n") - F.col(p), F.col(p) - (F.col("i") - 1) / F.col("n"))
-    return ranked.agg(F.max(gap).alias("ks"), F.max("n").alias("tests"))
+def kolmogorov(p_values: DataFrame, p: str = "p_value", by: list[str] | None = None) -> DataFrame:
+    """The greatest distance of the p-values' distribution from the uniform, for each of by; ranks come from counted values."""
+    keys = by or []
+    placed = counted(p_values, p, keys)
+    n = placed.groupBy(*keys).agg(F.sum("_k").alias("tests"))
+    placed = placed.join(n, keys) if keys else placed.crossJoin(F.broadcast(n))
+    gap = F.greatest((F.col("_below") + F.col("_k")) / F.col("tests") - F.col("_value"), F.col("_value") - F.col("_below") / F.col("tests"))
+    return placed.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("tests").alias("tests"))

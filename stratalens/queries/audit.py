@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import special
 from ..functions.text import fake_judge, strict_score
 from ..operators import alignment, binning, frame, gaps, missingness, multiplicity, statistics, strata
-from ..plans import permutation, resampling
+from ..plans import family, permutation, resampling
 from .registry import BINNED, EVENTS, ITEMS, LABELLED, ORDERS, events, items, labelled, orders, query, table
 
 
@@ -64,7 +64,7 @@ def deciles(spark, d):
 SELECT event_id, CASE WHEN value <= t1 THEN 0 WHEN value <= t2 THEN 1 ELSE 2 END AS tertile, CAST(value > m AS INT) AS half FROM q""")
 def within_group_bins(spark, d):
     t = table(spark, d, "events")
-    return t.select("event_id", binning.tertile("value", "user_id").alias("tertile"), binning.median_split("value", "user_id").alias("half"))
+    return binning.within_groups(t, "value", "user_id").select("event_id", "tertile", "half")
 
 
 @query("a1_contingency_cube", f"WITH {BINNED} SELECT z, s_bin, a, count(*) AS n FROM b GROUP BY ALL")
@@ -150,6 +150,43 @@ def table_permutation_null(spark, d):
     return permutation.p_values(null.filter("draw > 0").withColumn("statistic", F.lit("conditional_g2")), real, 999)
 
 
+def _family(spark, d):
+    """Line items by quantity inside (status, tax), and attributes of them; two of which leave units out."""
+    t = table(spark, d, "lineitem").select("*", F.col("l_quantity").alias("s_raw"), F.concat_ws("|", "l_linestatus", F.col("l_tax").cast("decimal(4,2)").cast("string")).alias("z"))
+    flag = lambda c: c.cast("int")
+    attributes = {
+        "returned": flag(F.col("l_returnflag") == "R"), "accepted": flag(F.col("l_returnflag") == "A"), "first_line": flag(F.col("l_linenumber") == 1), "even_supplier": flag(F.col("l_suppkey") % 2 == 0),
+        "cheap": flag(F.col("l_extendedprice") < 10_000), "discounted": frame.at_least_half(F.col("l_discount") * 10), "deep_discount": F.coalesce(frame.high_confidence(F.col("l_discount") * 10), F.lit(-1)),
+        "flag_of_three": F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2),
+    }
+    return binning.identity_bins(t), attributes
+
+
+FAMILY = """t AS (SELECT l_quantity AS s, l_linestatus || '|' || CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) AS z, CAST(CAST(l_discount * 10 AS VARCHAR) AS DECIMAL(38,18)) AS x, * FROM lineitem),
+u AS (SELECT s, z, unnest(['returned', 'accepted', 'first_line', 'even_supplier', 'cheap', 'discounted', 'deep_discount', 'flag_of_three']) AS attribute,
+  unnest([CAST(l_returnflag = 'R' AS INT), CAST(l_returnflag = 'A' AS INT), CAST(l_linenumber = 1 AS INT), CAST(l_suppkey % 2 = 0 AS INT), CAST(l_extendedprice < 10000 AS INT), CAST(x >= 0.5 AS INT), CASE WHEN x >= 0.8 THEN 1 WHEN x = 0 THEN 0 ELSE -1 END, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END]) AS a FROM t),
+c AS (SELECT attribute, z, round_even(s, 0) AS b, a, count(*) AS n FROM u WHERE a >= 0 GROUP BY ALL),
+g AS (SELECT attribute, sum(t) AS g2 FROM (SELECT attribute, 2 * n * ln(CAST(n AS DOUBLE) * sum(n) OVER (PARTITION BY attribute, z) / (sum(n) OVER (PARTITION BY attribute, z, b) * sum(n) OVER (PARTITION BY attribute, z, a))) AS t FROM c) GROUP BY attribute),
+s AS (SELECT attribute, z, count(*) AS n, count(DISTINCT a) AS kinds, count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 0) AS n0, avg(s) FILTER (a = 1) - avg(s) FILTER (a = 0) AS d FROM u WHERE a >= 0 GROUP BY ALL)"""
+
+
+@query("a8_family_observed", f"""WITH {FAMILY} SELECT s.attribute, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n1) AS BIGINT) AS n_a1, count(*) FILTER (kinds > 1) AS n_informative, CAST(coalesce(sum(n) FILTER (kinds > 1), 0) AS BIGINT) AS retained, CAST(coalesce(sum(n1) FILTER (kinds > 1), 0) AS BIGINT) AS retained_a1,
+round(sum(n * d) FILTER (n1 > 0 AND n0 > 0) / sum(n) FILTER (n1 > 0 AND n0 > 0), 9) AS gap, round(any_value(g2), 6) AS conditional_g2 FROM s JOIN g ON s.attribute = g.attribute GROUP BY s.attribute""")
+def family_observed(spark, d):
+    out = family.family_observed(family.family_cells(*_family(spark, d)))
+    return out.withColumns({"gap": F.round("gap", 9), "conditional_g2": F.round("conditional_g2", 6)})
+
+
+@query("a8_family_test")
+def family_test(spark, d):
+    return family.family_test(*_family(spark, d), 999, SEED)
+
+
+@query("x4_control_sweep")
+def control_sweep(spark, d):
+    return family.sweep_summary(family.control_sweep(family.family_cells(*_family(spark, d)), 200, 999, 90002), 999)
+
+
 @query("r5_negative_control", f"""WITH {BINNED}, k AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY unit_id) AS k FROM b),
 p AS (SELECT s_bin, z, row_number() OVER (PARTITION BY z ORDER BY sha256('90001:1:' || unit_id), unit_id) AS k FROM k), pa AS (SELECT p.*, k.a FROM p JOIN k ON p.z = k.z AND p.k = k.k),
 n AS (SELECT z, s_bin, a, count(*) AS n FROM pa GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY z) AS nz, sum(n) OVER (PARTITION BY z, s_bin) AS nzs, sum(n) OVER (PARTITION BY z, a) AS nza FROM n)
@@ -471,6 +508,20 @@ def cluster_bootstrap(spark, d):
     return out.select(F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "reps")
 
 
+@query("a51_count_bootstrap")
+def count_bootstrap(spark, d):
+    """The interval of the gap of orders from 2000 resamples of their counts."""
+    reps = resampling.count_bootstrap(orders(spark, d), 2000, 51)
+    return resampling.interval(reps, "gap").crossJoin(reps.agg(F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd")))
+
+
+@query("x1_count_cluster_bootstrap")
+def count_cluster_bootstrap(spark, d):
+    sign = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
+    clusters = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(sign).alias("d_sum"), F.count("*").alias("n"))
+    return resampling.interval(resampling.count_cluster_bootstrap(clusters, 2000, 52), "mean")
+
+
 @query("a18_paired_gap", f"WITH {PAIRED}, m AS (SELECT CAST(s - y AS DOUBLE) AS s, CAST(source IN ('src0', 'src1', 'src2') AS INT) AS a, lang AS z FROM j) {_gap_sql('0', '0', 'gap')}")
 def paired_gap(spark, d):
     df = _paired(spark, d).select((F.col("s") - F.col("y")).cast("double").alias("s_raw"), F.col("source").isin("src0", "src1", "src2").cast("int").alias("a"), F.col("lang").alias("z"))

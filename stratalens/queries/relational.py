@@ -178,7 +178,7 @@ def dense_codes(spark, d):
 @query("w5_average_ranks", """SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY round(value, 0)) + (count(*) OVER (PARTITION BY user_id, round(value, 0)) - 1) / 2.0 AS r FROM events""")
 def average_ranks(spark, d):
     t = table(spark, d, "events").select("event_id", "user_id", F.round("value", 0).alias("v"))
-    return t.select("event_id", strata.average_rank("v", "user_id").alias("r"))
+    return ranks.average_ranks(t, "v", "r", ["user_id"]).select("event_id", "r")
 
 
 @query("w6_one_per_cluster", """SELECT CAST(o_custkey AS VARCHAR) AS cluster_key, arg_min(o_orderkey, sha256('7:' || o_orderkey)) AS o_orderkey FROM orders GROUP BY 1""")

@@ -7,7 +7,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -36,9 +35,9 @@ def last_of_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row that comes first for each key combination."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The row that comes first for each key combination, by partial aggregation."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
