@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import barrier
+
 DECIMAL = "decimal(38,18)"
 #: Columns that scoring and binning may not receive.
 FORBIDDEN = frozenset({"a", "attribute", "ell_status", "gender", "race_ethnicity"})
@@ -22,10 +24,10 @@ def audit_frame(df: DataFrame, unit_id, s_raw, a, z) -> DataFrame:
 
 
 def blind(df: DataFrame) -> DataFrame:
-    """df, refused if it has a column that A-free stages may not see."""
+    """df, refused if it has a column that A-free stages may not see, by name or computed from one by that name."""
     if seen := FORBIDDEN & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {sorted(seen)} must not reach this stage")
-    return df
+    return barrier(df, FORBIDDEN)
 
 
 def violations(df: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.distributions import chi2_sf, f_sf, t_two_sided
+
 #: Residual sums are held above this before a logarithm is taken.
 RSS_FLOOR = 1e-300
 
@@ -103,37 +105,43 @@ def observed(df: DataFrame, names: list[str], by: list[str] | None = None) -> Da
     return out
 
 
-def welch(df: DataFrame) -> DataFrame:
-    """Two-group Welch t and its degrees of freedom, groups of under two left out; null where they aren't two."""
-    groups = df.groupBy("a").agg(F.count("*").alias("n"), F.avg("s_raw").alias("m"), F.var_samp("s_raw").alias("v")).filter("n >= 2")
-    row = groups.agg(F.count("*").alias("groups"), F.min_by("n", "a").alias("n0"), F.max_by("n", "a").alias("n1"), F.min_by("m", "a").alias("m0"), F.max_by("m", "a").alias("m1"), F.min_by("v", "a").alias("v0"), F.max_by("v", "a").alias("v1"))
+def welch(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Two-group Welch t, its degrees of freedom and two-sided p, for each of by; groups of under two left out; null where they aren't two."""
+    keys = by or []
+    groups = df.groupBy(*keys, "a").agg(F.count("*").alias("n"), F.avg("s_raw").alias("m"), F.var_samp("s_raw").alias("v")).filter("n >= 2")
+    row = groups.groupBy(*keys).agg(F.count("*").alias("groups"), F.min_by("n", "a").alias("n0"), F.max_by("n", "a").alias("n1"), F.min_by("m", "a").alias("m0"), F.max_by("m", "a").alias("m1"), F.min_by("v", "a").alias("v0"), F.max_by("v", "a").alias("v1"))
     e0, e1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
     two = F.col("groups") == 2
-    return row.select(
+    out = row.select(
+        *keys,
         "groups",
         F.when(two, F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(e0 + e1))).alias("t"),
         F.when(two, F.try_divide((e0 + e1) * (e0 + e1), e0 * e0 / (F.col("n0") - 1) + e1 * e1 / (F.col("n1") - 1))).alias("df"),
     )
+    return out.withColumn("p_value", t_two_sided("t", "df"))
 
 
-def alexander_govern(df: DataFrame) -> DataFrame:
-    """The Alexander-Govern statistic of more than two groups of unequal variance, and its degrees of freedom."""
-    groups = df.groupBy("a").agg(F.count("*").alias("n"), F.avg("s_raw").alias("m"), (F.var_samp("s_raw") / F.count("*")).alias("e")).filter("n >= 2 AND e > 0")
-    whole = groups.agg((F.sum(F.col("m") / F.col("e")) / F.sum(1 / F.col("e"))).alias("centre"))
+def alexander_govern(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The Alexander-Govern statistic of more than two groups of unequal variance, its degrees of freedom and p, for each of by."""
+    keys = by or []
+    groups = df.groupBy(*keys, "a").agg(F.count("*").alias("n"), F.avg("s_raw").alias("m"), (F.var_samp("s_raw") / F.count("*")).alias("e")).filter("n >= 2 AND e > 0")
+    whole = groups.groupBy(*keys).agg((F.sum(F.col("m") / F.col("e")) / F.sum(1 / F.col("e"))).alias("centre"))
     t = (F.col("m") - F.col("centre")) / F.sqrt("e")
     nu = F.col("n") - 1
     a, b = nu - 0.5, 48 * (nu - 0.5) ** 2
     c = F.sqrt(a * F.ln(1 + t * t / nu))
     z = c + (c**3 + 3 * c) / b - (4 * c**7 + 33 * c**5 + 240 * c**3 + 855 * c) / (10 * b**2 + 8 * b * c**4 + 1000 * b)
-    return groups.crossJoin(F.broadcast(whole)).agg(F.sum(z * z).alias("statistic"), (F.count("*") - 1).alias("df"))
+    placed = groups.join(whole, keys) if keys else groups.crossJoin(F.broadcast(whole))
+    return placed.groupBy(*keys).agg(F.sum(z * z).alias("statistic"), (F.count("*") - 1).alias("df")).withColumn("p_value", chi2_sf("statistic", "df"))
 
 
-def stratified_f(df: DataFrame) -> DataFrame:
-    """F of the attribute inside strata, with its degrees of freedom; null F where either is not positive or nothing is left to explain."""
-    r = residual_sums(df)
+def stratified_f(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F of the attribute inside strata, its degrees of freedom and p, for each of by; null F where either is not positive or nothing is left to explain."""
+    r = residual_sums(df, by)
     num, den = F.col("cells") - F.col("strata"), F.col("n") - F.col("cells")
     f = ((F.col("rss0") - F.col("rss1")) / num) / (F.col("rss1") / den)
-    return r.select(num.alias("df_num"), den.alias("df_den"), F.when((num > 0) & (den > 0) & (F.col("rss1") > RSS_FLOOR), f).alias("f"))
+    out = r.select(*(by or []), num.alias("df_num"), den.alias("df_den"), F.when((num > 0) & (den > 0) & (F.col("rss1") > RSS_FLOOR), f).alias("f"))
+    return out.withColumn("p_value", f_sf("f", "df_num", "df_den"))
 
 
 def moments(df: DataFrame) -> DataFrame:

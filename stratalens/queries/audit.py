@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import special
+from ..functions import distributions
 from ..functions.text import fake_judge, strict_score
 from ..operators import alignment, binning, frame, gaps, missingness, multiplicity, statistics, strata
 from ..plans import family, permutation, resampling
@@ -202,12 +202,32 @@ def welch(spark, d):
     return statistics.welch(orders(spark, d)).select("groups", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("a13_baseline_p_values")
+def _beta_sql(a: str, b: str, x: str, name: str) -> str:
+    """A scalar SQL expression: I_x(a, b) by its series of positive terms, or one less that of the other end."""
+    series = lambda a, b, x: f"(SELECT sum(exp(lgamma({a} + {b} + k) - lgamma({b}) - lgamma({a} + 1 + k) + ({a} + k) * ln({x}) + {b} * ln(1 - ({x})))) FROM (SELECT unnest(range(0, 30000)) AS k))"
+    return f"CASE WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {series(a, b, x)} ELSE 1 - {series(b, a, f'1 - ({x})')} END AS {name}"
+
+
+P_VALUES = f"""w AS (SELECT z, (m1 - m0) / sqrt(e0 + e1) AS t, (e0 + e1) * (e0 + e1) / (e0 * e0 / (n0 - 1) + e1 * e1 / (n1 - 1)) AS df FROM (
+  SELECT z, avg(s_raw) FILTER (a = 0) AS m0, avg(s_raw) FILTER (a = 1) AS m1, count(*) FILTER (a = 0) AS n0, count(*) FILTER (a = 1) AS n1, var_samp(s_raw) FILTER (a = 0) / count(*) FILTER (a = 0) AS e0, var_samp(s_raw) FILTER (a = 1) / count(*) FILTER (a = 1) AS e1 FROM o GROUP BY z) WHERE n0 >= 2 AND n1 >= 2),
+p AS (SELECT z, t, df, {_beta_sql('df / 2', '0.5::DOUBLE', 'df / (df + t * t)', 'p')} FROM w)"""
+
+
+@query("a13_welch_by_stratum", f"WITH {ORDERS}, {P_VALUES} SELECT z, round(t, 6) AS t, round(df, 4) AS df, round(p, 8) AS p_value FROM p")
+def welch_by_stratum(spark, d):
+    out = statistics.welch(orders(spark, d), ["z"]).filter("groups = 2")
+    return out.select("z", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("p_value", 8).alias("p_value"))
+
+
+@query("a13_baseline_p_values", f"""WITH {ORDERS.replace("o_orderpriority AS z", "'all' AS z")}, {P_VALUES}, {ORDERS.replace("o AS", "q AS")},
+r0 AS (SELECT sum(v * n) AS x, sum(n) AS n, count(*) AS k FROM (SELECT var_pop(s_raw) AS v, count(*) AS n FROM q GROUP BY z)), r1 AS (SELECT sum(v * n) AS x, count(*) AS k FROM (SELECT var_pop(s_raw) AS v, count(*) AS n FROM q GROUP BY z, a)),
+f AS (SELECT CAST(r1.k - r0.k AS DOUBLE) AS a, CAST(r0.n - r1.k AS DOUBLE) AS b, ((r0.x - r1.x) / (r1.k - r0.k)) / (r1.x / (r0.n - r1.k)) AS f FROM r0, r1)
+SELECT 'welch' AS method, round(p, 8) AS p_value FROM p UNION ALL SELECT 'stratified_f', round(p, 8) FROM (SELECT {_beta_sql('b / 2', 'a / 2', 'b / (b + a * f)', 'p')} FROM f)""")
 def baseline_p_values(spark, d):
+    """One-row tests; p is 1 where a statistic is not defined."""
     df = orders(spark, d)
-    t, f = statistics.welch(df).first(), statistics.stratified_f(df).first()
-    rows = [("welch", special.baseline_p(spark, t, "welch")), ("stratified_f", special.baseline_p(spark, f, "f"))]
-    return spark.createDataFrame(rows, "method string, p_value double")
+    one = lambda out, name: out.select(F.lit(name).alias("method"), F.round(F.coalesce("p_value", F.lit(1.0)), 8).alias("p_value"))
+    return one(statistics.welch(df), "welch").unionByName(one(statistics.stratified_f(df), "stratified_f"))
 
 
 @query("a13_alexander_govern", """WITH g AS (SELECT o_orderstatus AS a, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) / count(*) AS e FROM orders GROUP BY 1 HAVING count(*) >= 2),
@@ -221,7 +241,7 @@ def alexander_govern(spark, d):
 @query("a14_stratified_f", f"""WITH {ITEMS}, r0 AS (SELECT sum(v * n) AS x, sum(n) AS n, count(*) AS k FROM (SELECT var_pop(s_raw) AS v, count(*) AS n FROM o GROUP BY z)), r1 AS (SELECT sum(v * n) AS x, count(*) AS k FROM (SELECT var_pop(s_raw) AS v, count(*) AS n FROM o GROUP BY z, a))
 SELECT r1.k - r0.k AS df_num, CAST(r0.n - r1.k AS BIGINT) AS df_den, round(((r0.x - r1.x) / (r1.k - r0.k)) / (r1.x / (r0.n - r1.k)), 6) AS f FROM r0, r1""")
 def stratified_f(spark, d):
-    return statistics.stratified_f(items(spark, d)).withColumn("f", F.round("f", 6))
+    return statistics.stratified_f(items(spark, d)).select("df_num", "df_den", F.round("f", 6).alias("f"))
 
 
 STRATUM = "s AS (SELECT z, count(*) AS n, count(*) FILTER (a = 1) AS n1, count(*) FILTER (a = 0) AS n0 FROM o GROUP BY z HAVING n1 > 0 AND n0 > 0)"
@@ -390,8 +410,8 @@ p AS (SELECT *, exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) +
 o AS (SELECT p AS seen FROM p WHERE i = b)
 SELECT b AS a1_excluded, c AS a1_kept, e AS a0_excluded, f AS a0_kept, round(least(1.0, sum(p) FILTER (p <= seen * (1 + 1e-7))), 6) AS p_value FROM p, o GROUP BY ALL""")
 def fisher(spark, d):
-    t = missingness.two_by_two(_excluded(spark, d)).first()
-    return spark.createDataFrame([(*t, round(special.fisher_two_sided(*t), 6))], "a1_excluded long, a1_kept long, a0_excluded long, a0_kept long, p_value double")
+    t = missingness.two_by_two(_excluded(spark, d))
+    return t.withColumn("p_value", F.round(distributions.fisher_two_sided(*t.columns), 6))
 
 
 @query("a42_two_by_two", f"WITH {EXCLUDED} SELECT count(*) FILTER (a = 1 AND excluded) AS a1_excluded, count(*) FILTER (a = 1 AND NOT excluded) AS a1_kept, count(*) FILTER (a = 0 AND excluded) AS a0_excluded, count(*) FILTER (a = 0 AND NOT excluded) AS a0_kept FROM x")

@@ -3,9 +3,10 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stratalens.functions import special
-from stratalens.operators import alignment, binning, frame, gaps, multiplicity, sampling, statistics, strata
+from stratalens.functions import distributions
+from stratalens.operators import alignment, binning, frame, gaps, lineage, multiplicity, sampling, statistics, strata
 from stratalens.plans import experiment, logistic, permutation, scenarios
 
 
@@ -143,12 +144,58 @@ def test_alpha_is_inclusive(spark):
 
 
 def test_special_functions(spark):
-    assert special.fisher_two_sided(3, 1, 1, 3) == pytest.approx(0.4857142857)
-    assert special.t_two_sided(spark, 2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
-    assert special.chi2_sf(spark, 3.841459, 1) == pytest.approx(0.05, abs=1e-6)
-    assert special.f_sf(spark, 4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
-    assert special.baseline_p(spark, {"t": None, "df": None}, "welch") == 1.0
-    assert special.mann_whitney_two_sided(spark, 50, 10, 10, 0) == pytest.approx(1.0, abs=0.1)
+    d = distributions
+    row = spark.range(1).select(d.fisher_two_sided(3, 1, 1, 3), d.t_two_sided(2.0, 10), d.chi2_sf(3.841459, 1), d.f_sf(4.9646, 1, 10), d.mann_whitney_two_sided(50, 10, 10, 0)).first()
+    assert row[:] == (pytest.approx(0.4857142857), pytest.approx(0.0733880, abs=1e-6), pytest.approx(0.05, abs=1e-6), pytest.approx(0.05, abs=1e-4), pytest.approx(1.0, abs=0.1))
+
+
+def test_distributions_against_closed_forms(spark):
+    d, exact = distributions, []
+    cases = []
+    for t in (1e-6, 0.01, 0.7, 3.0, 90.0):
+        cases.append(d.t_two_sided(t, 1))
+        exact.append(2 / math.pi * math.atan2(1, t))
+        cases.append(d.t_two_sided(t, 2))
+        exact.append(2 / (math.sqrt(2 + t * t) * (math.sqrt(2 + t * t) + t)))
+    for f in (0.0, 0.02, 1.0, 4.0, 60.0):
+        for den in (1.0, 9.0, 4000.0, 1e6, 1e8):
+            cases.append(d.f_sf(f, 2, den))
+            exact.append(math.exp(-den / 2 * math.log1p(2 * f / den)))
+    for x in (0.0, 0.3, 9.0, 200.0):
+        cases += [d.chi2_sf(x, 2), d.chi2_sf(x, 4), d.normal_two_sided(math.sqrt(x))]
+        exact += [math.exp(-x / 2), math.exp(-x / 2) * (1 + x / 2), math.erfc(math.sqrt(x / 2))]
+    got = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cases)]).first()
+    assert all(g == pytest.approx(e, rel=1e-9, abs=1e-15) for g, e in zip(got, exact, strict=True))
+
+
+def test_distributions_of_odd_arguments(spark):
+    d = distributions
+    rows = spark.createDataFrame([(None, 3.0), (1.0, None), (float("nan"), 3.0), (1.0, 0.0), (float("inf"), 3.0), (1.0, 1e300)], "x double, k double")
+    got = rows.select(d.t_two_sided("x", "k").alias("t"), d.chi2_sf("x", F.least("k", F.lit(50.0))).alias("c"), d.f_sf("x", "k", "k").alias("f")).collect()
+    assert [r["t"] for r in got[:5]] == [None] * 5 and got[5]["t"] == pytest.approx(0.3173105, abs=1e-6)
+    assert [r["c"] is None for r in got] == [True, False, True, True, True, False] and got[5]["f"] == pytest.approx(0.5, abs=1e-3)
+
+
+def test_barrier_follows_columns_through_a_plan(spark):
+    people = spark.createDataFrame([(1, "x", 0.5), (2, "y", 0.7)], "id long, gender string, score double")
+    other = spark.createDataFrame([(1, 3)], "id long, level int")
+    renamed = people.withColumnRenamed("gender", "g")
+    derived = people.select("id", F.when(F.col("gender") == "x", 1).otherwise(0).alias("flag")).select("id", (F.col("flag") * 2).alias("double_flag"))
+    joined = other.join(people.select("id", F.upper("gender").alias("u")), "id")
+    counted = people.groupBy("id").agg(F.max("gender").alias("m"))
+    both = people.select("id", F.lit("c").alias("c")).unionByName(people.select("id", F.col("gender").alias("c")))
+    window = people.select("id", F.first("gender").over(Window.partitionBy("id").orderBy("score")).alias("w"))
+    opaque = people.mapInPandas(lambda it: it, "id long, hidden string, score double")
+    listed = people.select("id", F.explode(F.array("gender")).alias("e"))
+    for bad in (renamed, derived, joined, counted, both, window, opaque, listed):
+        with pytest.raises(ValueError):
+            frame.blind(bad)
+    assert lineage.lineage(derived)["double_flag"] == {"gender"}
+    for good in (people.drop("gender"), other.join(people.select("id", "score"), "id"), people.filter("gender = 'x'").select("id", "score"), derived.select("id")):
+        assert frame.blind(good) is good
+    with pytest.raises(ValueError):
+        lineage.barrier(people.filter("gender = 'x'").select("id"), frame.FORBIDDEN, conditions=True)
+    assert lineage.lineage(people.groupBy("gender").count(), conditions=True)["count"] == {"gender"}
 
 
 def test_allocation_and_sample(spark):
