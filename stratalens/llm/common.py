@@ -148,6 +148,12 @@ def lean(spark: SparkSession):
             spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most BATCH_BYTES: for results that hold whole texts and are computed by whoever writes them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables in the shared folder, each of which goes as soon as it isn't needed."""
 

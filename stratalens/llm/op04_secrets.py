@@ -9,8 +9,8 @@ has the kind ``guess`` and covers the value; base spans stay as they are.
 
 A brute-force span is charged for the character classes it has, upper and lower
 case being two. Dictionary words are WORDS, then the whole words of a public
-tokenizer's vocabulary in its order, then the words that one in ONE_IN documents
-has outside of credential values, by how many have them.
+tokenizer's vocabulary in its order: a fixed list, so that a text has the same spans in
+any corpus, and a leaked value's copies in prose can't make a word of it.
 
 Spans are code points, end exclusive. Null text counts as empty. Rows may repeat,
 other columns pass through.
@@ -22,21 +22,16 @@ import hashlib
 import json
 import math
 import re
-from collections import Counter, deque
+from collections import deque
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, bytes_of, table, tidy
+from .common import append_columns, bytes_of, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Least log10 of guesses of a reported value: over any seven letters, capitalised or not (10.2), under seven letters and digits (10.9).
 MIN_LOG10 = 10.25
-#: A word of the documents is known if one in so many of them has it, and two at least.
-ONE_IN = 20_000
-#: Words that a task counts at once, about.
-COUNTED = 200_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -241,42 +236,18 @@ def public_words(path: str | None = None) -> list[str]:
     return [w for w in ended if PUBLIC_SHORTEST <= len(w) <= LONGEST and WORD.fullmatch(w)]
 
 
-def word_ranks(df: DataFrame, text: str = "text", path: str | None = None) -> dict[str, float]:
-    """log10 of the guesses of WORDS, of public_words(path), and of the known words of df's texts, those of most documents first.
-
-    Credential values are left out, so no value is known from its own copies. As one
-    in ONE_IN documents has a known word, the list doesn't grow with the corpus.
-    """
-
-    def run(batches):
-        counts: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-        for batch in batches:
-            for raw in bytes_of(batch, text):
-                t = raw.decode()
-                if _hinted(raw.lower()):
-                    t = CONTEXT.sub(" ", t)
-                counts.update({w for w in WORD.findall(t.lower()) if SHORTEST <= len(w) <= LONGEST})
-                if len(counts) > COUNTED:
-                    yield out()
-                    counts.clear()
-        yield out()
-
-    counted = df.select(text).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = df.count()
-    found = counted.filter(F.col("n") >= max(2, -(-rows // ONE_IN))).collect()
-    found.sort(key=lambda r: (-r["n"], r["word"]))
-    order = dict.fromkeys([*WORDS, *public_words(path), *(r["word"] for r in found)])
-    return {w: math.log10(k + 2) for k, w in enumerate(order)}
+def word_ranks(path: str | None = None) -> dict[str, float]:
+    """log10 of the guesses of WORDS and of public_words(path). The documents teach no words: a text has the same spans in any corpus."""
+    return {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *public_words(path)]))}
 
 
 def scan_secrets(df: DataFrame, text: str = "text", min_log10: float = MIN_LOG10, rank: dict[str, float] | None = None) -> DataFrame:
     """df with n_assign, n_access, n_hex, n_guess, base_sha256 (of the base spans' line) and spans (all, one line).
 
-    rank has the dictionary words; without it they are counted in df first.
+    rank has the dictionary words, those of word_ranks() by default.
     """
     fields = [(f"n_{k}", "long") for k in KINDS] + [("base_sha256", "string"), ("spans", "string")]
-    shared = df.sparkSession.sparkContext.broadcast(word_ranks(df, text) if rank is None else rank)
+    shared = df.sparkSession.sparkContext.broadcast(word_ranks() if rank is None else rank)
 
     def factory():
         known = shared.value

@@ -6,9 +6,10 @@ words, but not none, is one window. The automaton knows every word of the items
 number of a few letters. A window of 2k - 1 words holds a whole one of the item's pieces of k
 words that begin at multiples of k, so the automaton holds those pieces alone (and
 short items whole): it is as long as the items, not WINDOW times that. A document
-passes through it once; where a piece occurs, the run of words that document and
-item have in common around it is followed to both ends, and from WINDOW words on
-all of the run is hit. Word numbers map back to code points of the original text.
+passes through it once; where a piece occurs, the few windows that could hold it are
+looked up in the table of the items' windows, each place of the document once at most,
+so the time is in proportion to the document, however periodic or alike the items are.
+Word numbers map back to code points of the original text.
 
 Null or empty texts have no words, no hits, and are not contaminated; items
 without words or without id have no windows. Rows may repeat, other columns pass
@@ -33,8 +34,8 @@ from .common import Scratch, append_columns, bytes_of, fresh, table
 WINDOW = 13
 #: A document is contaminated if at least one word in CONTAMINATED_PART is hit.
 CONTAMINATED_PART = 20
-#: Most bytes of item text in one automaton, which takes about 25 times that.
-BLOCK_BYTES = 4 << 20
+#: Most bytes of item text in one automaton and its table of windows.
+BLOCK_BYTES = 2 << 20
 
 #: A-Z to a-z, other ASCII than digits and letters to a space.
 NORMAL = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -53,7 +54,7 @@ class Passages:
     """The automaton of items (id, text): which words of a document are in windows of theirs."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.window = window
+        self.window, self.piece = window, (window + 1) // 2
         owners: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             if words := words_of(text):
@@ -65,20 +66,31 @@ class Passages:
         self.width = max(1, -(-len(numbers).bit_length() // DIGIT))
         self.other = OTHER * self.width
         self.codes = {w: self._code(n) for w, n in numbers.items()}
-        self.items = [self.coded(words) for words in owners]
+        #: of every window of the items, short items whole: the item words that have it; equal lists are one
+        self.windows: dict[str, tuple[int, ...]] = {}
         self.owners = [tuple(sorted(x)) for x in owners.values()]
-        places: dict[str, list[tuple[int, int]]] = {}
-        self.piece = (window + 1) // 2
-        for number, item in enumerate(self.items):
-            if len(item) < window:
-                places.setdefault("".join(item), []).append((number, 0))
+        pieces: dict[str, bool] = {}  # whether it is a short item
+        held: dict[str, list[int]] = {}
+        for number, words in enumerate(owners):
+            item = "".join(self.coded(words))
+            size = len(words)
+            for at in range(max(1, size - window + 1)):
+                of = held.setdefault(item[at * self.width : (at + window) * self.width], [])
+                if not of or of[-1] != number:
+                    of.append(number)
+            if size < window:
+                pieces[item] = True
             else:
-                for at in range(0, len(item) - self.piece + 1, self.piece):
-                    places.setdefault("".join(item[at : at + self.piece]), []).append((number, at))
+                for at in range(0, size - self.piece + 1, self.piece):
+                    pieces.setdefault(item[at * self.width : (at + self.piece) * self.width], False)
+        same: dict[tuple[int, ...], tuple[int, ...]] = {}
+        while held:
+            text, of = held.popitem()
+            self.windows[text] = same.setdefault(tuple(of), tuple(of))
         self.automaton = ahocorasick.Automaton()
-        for piece, found in places.items():
-            self.automaton.add_word(piece, (len(piece) // self.width, found))
-        if places:
+        for piece, short in pieces.items():
+            self.automaton.add_word(piece, (len(piece) // self.width, short))
+        if pieces:
             self.automaton.make_automaton()
 
     def _code(self, number: int) -> str:
@@ -90,28 +102,36 @@ class Passages:
         return [codes.get(w, other) for w in words]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """The runs [start, end) of words that are hit, in any order, and the items whose windows occur."""
-        hits, names = [], set()
-        if not self.items or not words:
-            return hits, names
-        text = self.coded(words)
-        followed: dict[tuple[int, int], int] = {}  # of an item at a distance: the end of the run last followed
-        for last, (size, found) in self.automaton.iter("".join(text)):
-            last //= self.width
-            for number, at in found:
-                item, start = self.items[number], last - size + 1
-                if followed.get((number, start - at), -1) >= last:
-                    continue
-                a, b, p, q = start, last + 1, at, at + size
-                while a and p and text[a - 1] == item[p - 1]:
-                    a, p = a - 1, p - 1
-                while b < len(text) and q < len(item) and text[b] == item[q]:
-                    b, q = b + 1, q + 1
-                followed[number, start - at] = b - 1
-                if b - a >= min(self.window, len(item)):
-                    hits.append((a, b))
-                    names.update(self.owners[number])
-        return hits, names
+        """The runs [start, end) of words that are hit, in any order, and the items whose windows occur.
+
+        Every window is looked up once at most, whatever the items share or repeat.
+        """
+        hits: list[tuple[int, int]] = []
+        found: set[tuple[int, ...]] = set()
+        if not self.windows or not words:
+            return hits, set()
+        text, width, window, known = "".join(self.coded(words)), self.width, self.window, self.windows
+        reach, following = window - self.piece, 0  # the first window that is not looked up yet
+
+        def hit(a: int, b: int) -> None:
+            if hits and hits[-1][0] <= a <= hits[-1][1]:
+                hits[-1] = hits[-1][0], max(b, hits[-1][1])
+            else:
+                hits.append((a, b))
+
+        for last, (size, short) in self.automaton.iter(text):
+            start = last // width - size + 1
+            if short:
+                found.add(known[text[start * width : (start + size) * width]])
+                hit(start, start + size)
+            if size == self.piece:
+                for at in range(max(following, start - reach), min(start, len(words) - window) + 1):
+                    of = known.get(text[at * width : (at + window) * width])
+                    if of is not None:
+                        found.add(of)
+                        hit(at, at + window)
+                following = max(following, start + 1)
+        return hits, {x for of in found for number in of for x in self.owners[number]}
 
 
 _built: dict[tuple[bytes, int], Passages] = {}

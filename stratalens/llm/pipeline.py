@@ -9,7 +9,9 @@ decontamination drops documents that hold benchmark passages; BPE gives token id
 
 Rows may repeat: equal ones are judged alike, and the n-gram join keeps one of them.
 Null texts have no letters and go with the first stage. Columns of documents other
-than COLUMNS are left behind. An empty table goes through empty.
+than COLUMNS are left behind. An empty table goes through empty. Stages of Python over
+whole texts set the session's Arrow batches to a few MB, since whoever writes a stage's
+result computes it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, table
+from .common import Scratch, held_out, small_batches, table
 from .op02_line_dedup import dedup_lines
 from .op03_ngram_join import keep_one_of_each_class
 from .op06_language import fit, identify
@@ -28,6 +30,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = fit(docs.filter(~held_out("doc_id")))
     return identify(docs, model).filter("NOT rejected").select(*COLUMNS)
@@ -43,10 +46,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return encode_decode(docs.select("doc_id", "lang", "source", "text"), with_bytes=True).drop("text")
 
 
@@ -57,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
-    for _, stage in STAGES[:-1]:
+    """All stages over documents. A stage's table goes once its successor is written; the last, token ids, is the result and stays."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
+    for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return docs

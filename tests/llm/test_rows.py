@@ -527,3 +527,57 @@ def test_toxicity_without_labels_scores_zero(spark):
 
 def test_swaps_keep_words_of_no_group():
     assert op01_toxicity.SWAP["women"] == "men" and "table" not in op01_toxicity.SWAP
+
+
+# ---- what a text has doesn't depend on the corpus
+
+
+def test_secrets_of_a_text_are_the_same_in_any_corpus(spark):
+    leaked = "xkqzvwpjmbtr"
+    text = f"pwd={leaked}"
+    schema = "doc_id long, text string"
+    alone = op04_secrets.scan_secrets(spark.createDataFrame([(1, text)], schema)).first()
+    copies = [(1, text)] + [(i, f"the {leaked} stands in prose, {leaked} again") for i in range(2, 60)]
+    beside = op04_secrets.scan_secrets(spark.createDataFrame(copies, schema)).filter("doc_id = 1").first()
+    assert alone["spans"] == beside["spans"] == f"guess:4:{4 + len(leaked)}"
+    known = op04_secrets.scan_secrets(spark.createDataFrame([(1, "login: correct"), (2, "pwd=password")], schema)).collect()
+    assert [r["n_guess"] for r in known] == [0, 0]
+
+
+def test_windows_of_periodic_and_alike_items_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(400):
+        window, letters = rng.choice([3, 4, 5, 8, 13]), rng.choice(["a", "ab", "abc", "abcdef"])
+        some = lambda n: " ".join(rng.choice(letters) for _ in range(n)).encode()  # noqa: B023, E731
+        items = [(str(i), some(rng.randint(0, 25))) for i in range(rng.randint(1, 5))]
+        words = op10_decontaminate.words_of(some(rng.randint(0, 60)) + b" zz " + rng.choice(items)[1] + b" " + some(5))
+        hit, names = set(), set()
+        for name, t in items:
+            w = op10_decontaminate.words_of(t)
+            k = min(window, len(w))
+            wins = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+            for i in range(len(words) - k + 1):
+                if w and tuple(words[i : i + k]) in wins:
+                    hit |= set(range(i, i + k))
+                    names.add(name)
+        runs, found = op10_decontaminate.Passages(items, window).find(words)
+        assert {x for a, b in op10_decontaminate.hit_runs(runs) for x in range(a, b)} == hit and found == names
+
+
+def test_windows_are_looked_up_once_and_merged():
+    first = " ".join(f"s{i}" for i in range(16))
+    alike = op10_decontaminate.Passages([(str(i), f"{first} x{i} " .encode() + " ".join(f"y{i}_{j}" for j in range(5)).encode()) for i in range(500)])
+    runs, names = alike.find(op10_decontaminate.words_of(" q ".join([first] * 50).encode()))
+    assert len(runs) == 50 and len(names) == 500
+    periodic = op10_decontaminate.Passages([("1", b"w " * 2000)])
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+    periodic.windows = Counting(periodic.windows)
+    runs, _ = periodic.find([b"w"] * 5000)
+    assert runs == [(0, 5000)] and Counting.asked <= 5000
