@@ -9,7 +9,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ranks import numbered
 
 #: Tries after the first, and rows of a model's batch.
 RETRIES, BATCH = 3, 32
@@ -71,8 +72,26 @@ def score_batches(units: DataFrame, make: Callable[[], Callable[[list[str]], lis
     return slim.mapInPandas(work, "unit_id string, score double, status string")
 
 
-def resumable(done: DataFrame, order: str, size: int = BATCH) -> DataFrame:
-    """The rows of done, in order, up to the last whole batch."""
-    whole = done.agg((F.floor(F.count("*") / size) * size).alias("_whole"))
-    numbered = done.withColumn("_k", F.row_number().over(Window.orderBy(order)))  # a log of finished items
-    return numbered.crossJoin(F.broadcast(whole)).filter("_k <= _whole").drop("_k", "_whole")
+def _digests(placed: DataFrame, key: str, span: int, out: str) -> DataFrame:
+    """A digest of each range of span places: its ids in order."""
+    listed = F.array_sort(F.collect_list(F.struct("_place", F.col(key).cast("string").alias("id"))))  # span of them at most
+    text = F.concat_ws("\n", F.transform(listed, lambda r: F.concat_ws(":", r["_place"], F.coalesce(r["id"], F.lit("")))))
+    return placed.groupBy(F.floor((F.col("_place") - 1) / span).alias("_range")).agg(F.sha2(text, 256).alias(out))
+
+
+def resumable(done: DataFrame, targets: DataFrame, order: str, key: str, target_order: str, size: int = BATCH, span: int = 4096) -> DataFrame:
+    """The rows of done, in order, up to the last whole batch; ValueError where their ids aren't the first of targets, in order.
+
+    order numbers the log's rows and target_order the targets (numeric, each value
+    once). Both are placed by ranges and compared by a digest for each span of
+    places: a changed, missing, added or reordered id shows in its range.
+    """
+    placed = numbered(done, order, "_place")
+    whole = done.count() // size * size
+    kept = placed.filter(F.col("_place") <= whole)
+    wanted = numbered(targets.select(F.col(target_order).alias("_order"), F.col(key).alias("_id")), "_order", "_place").filter(F.col("_place") <= whole)
+    both = _digests(kept, key, span, "_own").join(_digests(wanted, "_id", span, "_want"), "_range", "full")
+    bad = both.filter(~F.col("_own").eqNullSafe(F.col("_want"))).agg(F.min("_range").alias("r")).first()["r"]
+    if bad is not None:
+        raise ValueError(f"the log is not the beginning of the targets: rows {bad * span + 1} to {(bad + 1) * span} differ")
+    return kept.drop("_place")

@@ -44,8 +44,16 @@ def test_scored_records_and_rescue(spark):
 
 
 def test_resumption_keeps_whole_batches(spark):
-    done = spark.range(70).withColumnRenamed("id", "k")
-    assert scoring.resumable(done, "k").agg(F.count("*"), F.max("k")).first()[:] == (64, 63)
+    ids = [str(1000 - 3 * i) for i in range(100)]
+    targets = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "at long, unit_id string").repartition(5)
+    log = lambda rows: spark.createDataFrame([(10 * k, x) for k, x in enumerate(rows)], "line long, unit_id string").repartition(3)
+    resume = lambda rows: scoring.resumable(log(rows), targets, "line", "unit_id", "at", span=16)
+    assert {r["unit_id"] for r in resume(ids[:70]).collect()} == set(ids[:64])
+    assert resume(ids[:64] + ["torn", "batch"]).count() == 64  # what is past the last whole batch goes
+    assert resume([]).count() == 0 and resume(ids[:31]).count() == 0
+    for wrong in ([*ids[:40], "other", *ids[41:70]], [*ids[:20], *ids[21:70]], [*ids[:30], ids[31], ids[30], *ids[32:70]], [*ids[:5], ids[4], *ids[5:70]], [*ids, *(f"x{i}" for i in range(40))]):
+        with pytest.raises(ValueError):
+            resume(wrong)
 
 
 def test_power_grows_with_the_shift(spark):

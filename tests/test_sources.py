@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalens import report
 from stratalens.functions import text
 from stratalens.sources import files
-from stratalens.sources.store import Frozen, ScoreStore, classify
+from stratalens.sources.store import Busy, Frozen, ScoreStore, classify, verify_prompts
 from stratalens.streaming.append import score_stream
 
 ACCEPT = {'{"score": 1}': 1, '{"score": 6}': 6, '  {"score": 4}  ': 4, '{"score":3}': 3}
@@ -70,13 +71,76 @@ def test_store_appends_once_freezes_and_notices_changes(spark, tmp_path):
     with pytest.raises(Frozen):
         store.freeze()
     assert {r["score"] for r in classify(store.read("j", "c")).collect()} == {2}
-    victim = next(store.data.rglob("*.json"))
+    assert not store._there(store.lock) and not list(tmp_path.glob("_staged*"))
+    victim = next((tmp_path / "records").rglob("*.json"))
     victim.with_name(f".{victim.name}.crc").unlink(missing_ok=True)  # else the file system itself refuses
     victim.write_text(victim.read_text() + "\n")
     with pytest.raises(ValueError):
         store.read()
 
 
+def _rows(spark, ids, condition="c"):
+    return spark.createDataFrame([("j", condition, i, "h", "{}") for i in ids], "judge string, condition string, unit_id string, prompt_sha256 string, raw_response string")
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    one, two = ScoreStore(spark, f"file:{tmp_path}/s"), ScoreStore(spark, f"file:{tmp_path}/s")
+    assert one.append(_rows(spark, "ab")) == 2
+    with one._locked():
+        for other in (lambda: two.append(_rows(spark, "c")), two.freeze):
+            with pytest.raises(Busy):
+                other()
+    assert two.append(_rows(spark, "c")) == 1 and one.records().count() == 3
+    with pytest.raises(ValueError):
+        one.append(_rows(spark, "cd"))
+    assert one.append(_rows(spark, "d", "other")) == 1
+    two.freeze()
+    assert one.read().count() == 4 and one.read("j", "other").count() == 1
+
+
+def test_concurrent_appends_write_each_key_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def attempt(k):
+        store = ScoreStore(spark, str(tmp_path / "s"))
+        for _ in range(200):
+            try:
+                return store.append(_rows(spark, ["same", f"own{k}"]))
+            except Busy:
+                time.sleep(0.1)
+            except ValueError:
+                return 0
+        return None
+
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(attempt, range(3))) == [0, 0, 2]
+    assert ScoreStore(spark, str(tmp_path / "s")).records().count() == 2
+
+
+def test_a_store_by_another_scheme(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    (tmp_path / "in").mkdir()
+    conf.set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}/in")
+    store = ScoreStore(spark, "viewfs://kept/in/s")
+    assert store.append(_rows(spark, "ab", "x y")) == 2
+    store.freeze()
+    assert store.read().count() == 2
+    victim = next((tmp_path / "in").rglob("part*.json"))
+    lines = victim.read_text().replace('"h"', '"g"')
+    victim.with_name(f".{victim.name}.crc").unlink(missing_ok=True)
+    victim.write_text(lines)
+    with pytest.raises(ValueError):
+        store.read()
+
+
+def test_planted_prompt_errors_are_found(spark):
+    prompts = spark.createDataFrame([("c", i, f"prompt {i}") for i in range(6)], "condition string, unit_id long, prompt string")
+    stored = prompts.select(F.lit("j").alias("judge"), "condition", F.col("unit_id").cast("string").alias("unit_id"), F.sha2(F.when(F.col("unit_id") == 3, "other").otherwise(F.col("prompt")), 256).alias("prompt_sha256"),
+        F.when(F.col("unit_id").isin(1, 2), "timeout").alias("error_status"), F.when(F.col("unit_id") == 1, 3).otherwise(0).alias("retry_count"), F.lit("m").alias("provider_model"), F.when(F.col("unit_id") != 4, "r").alias("provider_request_id"), F.lit(7).alias("prompt_tokens"))
+    row = verify_prompts(stored, prompts.filter("unit_id <> 5")).first()
+    assert row[2:] == (6, 4, 1, 1, 2, 1, 1)
+
+
 def test_classification(spark):
     df = spark.createDataFrame([('{"score": 3}', None), ("x", ""), ('{"score": 3}', "timeout")], "raw_response string, error_status string")
     assert [tuple(r) for r in classify(df).select("score", "outcome").collect()] == [(3, "ok"), (None, "invalid"), (None, "technical")]
