@@ -56,7 +56,7 @@ def p_values(null: DataFrame, real: DataFrame, b: int) -> DataFrame:
 
 
 def portable_test(df: DataFrame, names: list[str], b: int, seed: int) -> DataFrame:
-    null = observed(permuted(df, b, seed), names, ["draw"]).withColumnRenamed("observed", "value")
+    null = observed(cut(permuted(df, b, seed)), names, ["draw"]).withColumnRenamed("observed", "value")
     return p_values(null, observed(df, names), b)
 
 

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read again, so that it is computed once however often it is used.
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, as spark.checkpoint.dir names it.
 
-    The folder is what spark.checkpoint.dir names. Only where that is unset and the
-    session is local, with driver and executors in one process, is a temporary folder taken.
+    Only where that is unset and the session is local, with driver and executors in
+    one process, is a temporary folder taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
             if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+            path = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(path)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read again, so that it is computed once however often it is used."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import report
 from ..functions import text
 from ..operators import binning, frame, missingness, multiplicity, ranks, sampling, strata
-from ..plans import logistic, power
+from ..plans import logistic, power, scoring, shared
 from ..sources import files, store
 from .registry import LABELLED, ORDERS, events, labelled, orders, query, table
 
@@ -298,6 +300,56 @@ def refusals(spark, d):
     return _responses(spark, d).groupBy(text.refusal("response").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _stored(spark, records, use):
+    """use(store) of a frozen store of records in the shared folder, computed; the store goes afterwards."""
+    kept = store.ScoreStore(spark, f"{shared.folder(spark)}/store-{uuid.uuid4().hex}")
+    kept.append(records)
+    kept.freeze()
+    out = shared.cut(use(kept))
+    kept.fs.delete(kept._path(kept.root), True)
+    return out
+
+
+@query("s12_score_store", f"""WITH {RESPONSES}, s AS (SELECT event_id, CAST(nullif(regexp_extract(response, '^\\s*\\{{\\s*"score"\\s*:\\s*([0-9]+)\\s*\\}}\\s*$', 1), '') AS INT) AS s FROM r),
+c AS (SELECT 'c' || (event_id % 3) AS condition, event_id % 11 = 0 AS failed, CASE WHEN event_id % 11 <> 0 AND s BETWEEN 1 AND 6 THEN s END AS score FROM s)
+SELECT condition, CASE WHEN failed THEN 'technical' WHEN score IS NULL THEN 'invalid' ELSE 'ok' END AS outcome, count(*) AS n, CAST(sum(score) AS BIGINT) AS total FROM c GROUP BY ALL""")
+def score_store(spark, d):
+    """Responses appended to a store, frozen, verified, read back and classed."""
+    e = F.col("event_id")
+    records = _responses(spark, d).select(F.lit("j").alias("judge"), F.concat(F.lit("c"), e % 3).alias("condition"), e.cast("string").alias("unit_id"), F.col("response").alias("raw_response"), F.when(e % 11 == 0, "timeout").alias("error_status"))
+    return _stored(spark, records, lambda s: store.classify(s.read()).groupBy("condition", "outcome").agg(F.count("*").alias("n"), F.sum("score").alias("total")))
+
+
+@query("j10_prompt_verification", """WITH r AS (SELECT doc_id, doc_id % 97 = 5 AS planted, doc_id % 50 = 1 AS failed, CASE WHEN doc_id % 100 = 1 THEN 2 WHEN doc_id % 50 = 1 THEN 3 ELSE 0 END AS retries, doc_id % 61 = 2 AS nameless, doc_id % 83 = 3 AS unknown FROM documents)
+SELECT 'j' AS judge, 'plain' AS condition, count(*) AS records, count(*) FILTER (NOT unknown AND NOT planted) AS hash_ok, count(*) FILTER (NOT unknown AND planted) AS hash_bad, count(*) FILTER (unknown) AS unknown, count(*) FILTER (failed) AS failures, count(*) FILTER (failed AND retries <> 3) AS failures_without_retries, count(*) FILTER (NOT failed AND nameless) AS successes_without_source FROM r""")
+def prompt_verification(spark, d):
+    """Prompts of documents rendered anew and held against a frozen store with planted faults."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", text.render("Rate this.\nT:[[X]]", [("[[X]]", F.col("text"))]).alias("prompt"))
+    records = docs.select(
+        F.lit("j").alias("judge"), F.lit("plain").alias("condition"), i.cast("string").alias("unit_id"), F.sha2(F.when(i % 97 == 5, F.concat("prompt", F.lit("!"))).otherwise(F.col("prompt")), 256).alias("prompt_sha256"), F.lit('{"score": 3}').alias("raw_response"),
+        F.when(i % 50 == 1, "timeout").alias("error_status"), F.when(i % 100 == 1, 2).when(i % 50 == 1, 3).otherwise(0).alias("retry_count"), F.lit("m").alias("provider_model"), F.when(i % 61 != 2, "r").alias("provider_request_id"), F.lit(9).alias("prompt_tokens"),
+    )
+    prompts = docs.filter(i % 83 != 3).select(F.lit("plain").alias("condition"), i.alias("unit_id"), "prompt")
+    return _stored(spark, records, lambda s: store.verify_prompts(s.read(), prompts))
+
+
+@query("s17_resumed_prefix", """SELECT CAST(count(*) AS BIGINT) AS rows, max(event_id) AS last_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, (SELECT count(*) FROM events WHERE event_id < (SELECT quantile_disc(event_id, 0.5) FROM events)) AS n FROM events) WHERE k <= n // 32 * 32""")
+def resumed_prefix(spark, d):
+    """The half of events that a torn log has scored, held against all events and cut to whole batches."""
+    t = table(spark, d, "events")
+    middle = ranks.quantiles(t, "event_id", [0.5], "q").select(F.floor(F.col("q")[0]).alias("middle"))
+    done = shared.cut(t.crossJoin(F.broadcast(middle)).filter("event_id < middle").select("event_id", (F.col("event_id") * 2).alias("line")))
+    return scoring.resumable(done, t, "line", "event_id", "event_id").agg(F.count("*").alias("rows"), F.max("event_id").alias("last_id"))
+
+
+@query("t7_strata_grid", f"""WITH {LABELLED}, s AS (SELECT lang, source, count(*) AS n, count(*) FILTER (a = 1) AS n1, count(DISTINCT a) AS k FROM o GROUP BY ALL),
+c AS (SELECT lang, source, n || '/' || n1 || CASE WHEN n >= 2 AND k >= 2 THEN '' ELSE '*' END AS c FROM s)
+SELECT source, {", ".join(f"coalesce(max(c) FILTER (lang = '{x}'), '-') AS {x}" for x in ("de", "en", "es", "fr"))} FROM c GROUP BY source""")
+def strata_grid(spark, d):
+    return report.strata_grid(strata.stratum_table(labelled(spark, d), ["lang", "source"]), "source", "lang", ["de", "en", "es", "fr"])
+
+
 @query("f12_epochs", """SELECT event_id, round(epoch_us(CAST(strftime(ts, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP)) / 1000000.0, 0) AS t FROM events""")
 def epochs(spark, d):
     return table(spark, d, "events").select("event_id", F.round(text.epoch_seconds(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), 0).alias("t"))
