@@ -6,9 +6,11 @@ matches it; earlier is by doc_id, then by the text's hash among rows of one id,
 then by line number. Lines without words are never removed.
 
 Lines of equal sets are one node, whose first line is the earliest; the others go.
-Words are ordered by rarity. A node is posted under the words of its prefix; under
-a word of over HEAVY occurrences it is posted together with each later word of the
-prefix, one word longer, for similar sets share two words there. Postings meet by
+Words are ordered by rarity. A node is posted under the words of its prefix. Words of
+over HEAVY occurrences are keys in pairs only: they fall into m classes by hash, m
+growing with the set's size, and the prefix is as many words longer, so that similar
+sets share m + 1 words there and hence two of one class. A node is posted under the
+pairs inside its classes, a few for each word of its prefix. Postings meet by
 key in sorted partitions, where length, position and a 128-bit signature of parities
 leave few candidate pairs. Of a node's candidates under a key the BEST nearest are
 written, so that a group of copies is never turned into all its pairs, and a node
@@ -48,6 +50,8 @@ BEST = 3
 ROWS, PAIRS = 1 << 18, 1 << 20
 #: Up to so many numbers (8 MB) are sent to all executors.
 BROADCAST_NUMBERS = 1_000_000
+#: Nodes that hold over one in so many of the lines to look up are split over tasks.
+HOT = 512
 #: Sets of up to so many words have the 128 bits as their only signature.
 SHORT = 128
 
@@ -66,6 +70,16 @@ def prefix_lengths(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n + (-NUM * n) // DEN + 1)
 
 
+def classes(n: np.ndarray) -> np.ndarray:
+    """Into how many classes the heavy words of a set of n fall: the most of 1, 2, 4, ... up to half its prefix. Never fewer for more words."""
+    return 1 << np.frexp(np.maximum(prefix_lengths(n) // 2, 1))[1].astype(np.int64) - 1
+
+
+def lengthening(n: np.ndarray) -> np.ndarray:
+    """The classes of the largest set that one of n can match: by so many words its prefix is longer."""
+    return classes(n * DEN // NUM)
+
+
 def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which values are in some (sorted)."""
     if not len(some):
@@ -111,7 +125,7 @@ def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, onl
     """A row for each line with words of docs (doc_id, th, text): doc_id, th, line, node, and what.
 
     what is ``none``; ``prefix``, for n, low and high (128 parities), sign (longer parities of long
-    sets) and prefix, one key longer if it has a heavy one; or ``keys``, for the whole
+    sets) and prefix, longer by lengthening(n) if it has a heavy key; or ``keys``, for the whole
     sets of only those lines whose numbers are in docs' array column ``wanted``.
     With only (sorted nodes), other nodes' lines are left out.
     """
@@ -175,7 +189,7 @@ def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, onl
                     one, upper = np.uint64(1) << (keys & np.uint64(63)), keys & np.uint64(64) > 0
                     low, high = (np.bitwise_xor.reduceat(np.where(upper == part, one, np.uint64(0)), at).view(np.int64) for part in (False, True))
                     p = prefix_lengths(n)
-                    p += (keys[at + p - 1] >> np.uint64(56) >= least) & (p < n)
+                    p = np.where(keys[at + p - 1] >> np.uint64(56) >= least, np.minimum(n, p + lengthening(n)), p)
                     within = np.arange(len(keys)) - np.repeat(at, n)
                     flat = keys[within < np.repeat(p, n)].view(np.int64)
                     columns |= {"n": pa.array(n.astype(np.int32)), "low": pa.array(low), "high": pa.array(high), "sign": signatures(keys, at, n, low, high)}
@@ -201,10 +215,17 @@ def postings(nodes: DataFrame, heavy: int, only: np.ndarray | None = None) -> Da
             row = np.repeat(np.arange(len(n)), length)
             within = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)
             inside, many = within < prefix_lengths(n)[row], keys >> np.uint64(56) >= least
-            single, first = np.flatnonzero(inside & ~many), np.flatnonzero(inside & many)
-            later = length[row[first]] - within[first] - 1
-            a = np.repeat(first, later)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            single, heavies = np.flatnonzero(inside & ~many), np.flatnonzero(many)
+            cls = mix(keys[heavies]).view(np.int64) & (classes(n) - 1)[row[heavies]]
+            by_class = np.lexsort((cls, row[heavies]))  # in the order of words inside a class
+            heavies, cls = heavies[by_class], cls[by_class]
+            new = np.flatnonzero(np.r_[True, (np.diff(cls) != 0) | (np.diff(row[heavies]) != 0)][: len(heavies)])
+            size = np.diff(np.r_[new, len(heavies)])
+            later = np.repeat(new + size, size) - np.arange(len(heavies)) - 1
+            place = np.repeat(np.arange(len(heavies)), later)
+            a, b = heavies[place], heavies[place + 1 + np.arange(len(place)) - np.repeat(np.cumsum(later) - later, later)]
+            # up to lengthening - 1 shared words may come before the first pair of one class
+            within[heavies] = np.maximum(within[heavies] - (lengthening(n) - 1)[row[heavies]], 0)
             at = np.r_[single, a]
             key = np.r_[keys[single], mix(keys[a] * _ONE + mix(keys[b]))]
             if some is not None:
@@ -413,6 +434,18 @@ class Asking:
         return out
 
 
+def parted(asking: DataFrame, members: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """asking and members in one, with asking; of a key with over most asking nodes (counts: key, count) each part of them has a key of its own, with all members."""
+    both = asking.withColumn("asking", F.lit(True)).unionByName(members.withColumn("asking", F.lit(False)))
+    hot = counts.filter(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts"))
+    if hot.isEmpty():
+        return both
+    both = both.join(hot, "key", "left")
+    part = F.when(F.col("asking"), F.array(F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    both = both.withColumn("part", F.explode(F.when(F.col("parts").isNotNull(), part).otherwise(F.array(F.lit(None).cast("long")))))
+    return both.withColumn("key", F.when(F.col("part").isNotNull(), F.xxhash64("key", "part")).otherwise(F.col("key"))).drop("parts", "part")
+
+
 def asked(posted: DataFrame, best: int) -> DataFrame:
     """candidates() of asking nodes alone; posted has asking, and every node's postings under their keys without it."""
 
@@ -442,7 +475,7 @@ def ordered(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("coarse", F.coalesce(F.floor(share * 2047), F.lit(0)).cast("int"))  # null ids come first
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE, heavy: int = HEAVY, best: int = BEST, hubs: int = HUBS) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE, heavy: int = HEAVY, best: int = BEST, hubs: int = HUBS, waiting: int = PAIRS) -> DataFrame:
     """doc_id, th (the text's xxhash64) and removed, the sorted line numbers from 0, of rows of docs that lose lines."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("text IS NOT NULL")
     scratch = Scratch(docs.sparkSession)
@@ -461,7 +494,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         """node and keys of the nodes of pairs, from the lines that first hold them."""
         held = nodes.select("node", "doc_id", "th", "line").join(ids_of(pairs), "node")
         held = scratch.keep(held.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("wanted")))
-        few = F.broadcast(held) if held.count() <= BROADCAST_DOCS else held
+        rows, numbers = held.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
+        few = F.broadcast(held) if rows <= BROADCAST_DOCS and numbers <= BROADCAST_NUMBERS else held
         # null ids meet too; rows equal in id and text hold the same sets, of which one is enough
         texts = docs.join(few, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")))
         return line_rows(texts, known, "keys").select("node", "keys").dropDuplicates(["node"])
@@ -494,20 +528,27 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             break
         best *= 8
         asking = postings(with_order.join(still, "node", "left_semi"), heavy)
+        counts = scratch.keep(asking.groupBy("key").count())
         if relevant is None:  # later rounds ask under some of the same keys; the others' postings meet nobody
-            only = few_numbers(scratch.keep(asking.select("key").distinct()), "key")
+            only = few_numbers(counts, "key")
             relevant = postings(with_order, heavy, only)
             relevant = relevant if only is None else scratch.keep(relevant)
-        found = scratch.keep(asked(asking.withColumn("asking", F.lit(True)).unionByName(relevant.withColumn("asking", F.lit(False))), best))
+        found = scratch.keep(asked(parted(asking, relevant, counts, max(1, waiting // best)), best))
         others = scratch.keep(found.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"))
         gone = gone.unionByName(later(others, few=True))
         tried = tried.unionByName(others)
 
     # lines are made again rather than kept: cheaper than their bytes
     lost = gone.distinct().withColumn("gone", F.lit(True))
-    fate = scratch.keep(nodes.select("node", place.alias("order"), "lines").join(lost, "node", "left").filter("gone OR lines > 1").drop("lines"))
+    fate = scratch.keep(nodes.select("node", place.alias("order"), "lines").join(lost, "node", "left").filter("gone OR lines > 1"))
+    lines = max(1, fate.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0])
     scratch.drop(*(df for _, df in [*scratch.paths.values()] if df is not fate))
-    out = line_rows(docs, known, "none", only=few_numbers(fate, "node")).join(fate, "node")
+    # lines of a node that holds over one in HOT of them all (there are less than HOT such nodes) go to several tasks
+    hot = fate.filter(F.col("lines") * HOT > lines).select("node", F.ceil(F.col("lines") * HOT / lines).alias("parts"))
+    out = line_rows(docs, known, "none", only=few_numbers(fate, "node")).join(F.broadcast(hot), "node", "left")
+    out = out.withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = F.sequence(F.lit(0).cast("long"), F.when(F.col("lines") * HOT > lines, F.ceil(F.col("lines") * HOT / lines) - 1).otherwise(0))
+    out = out.join(fate.withColumn("part", F.explode(copies)).drop("lines"), ["node", "part"])
     out = out.filter(F.col("gone").isNotNull() | ~F.col("order").eqNullSafe(place))
     return out.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 

@@ -62,8 +62,8 @@ def brute_removed(docs):
     return out
 
 
-#: Every key is heavy, every group large, and one candidate a key is written: all ways of the line join are taken.
-NARROW = {"large": 1, "heavy": 1, "best": 1, "hubs": 1}
+#: Every key is heavy, every group large, one candidate a key is written, asking nodes of a key are parted: all ways of the line join are taken.
+NARROW = {"large": 1, "heavy": 1, "best": 1, "hubs": 1, "waiting": 1}
 
 
 def corpus(seed, n=60):
@@ -122,6 +122,40 @@ def test_removed_lines_are_those_of_all_pairs(spark, seed):
     assert got == brute_removed(docs)
 
 
+@pytest.mark.parametrize("how", [{"heavy": 1}, NARROW])
+def test_long_lines_about_the_threshold(spark, how):
+    rng = random.Random(11)
+    docs = []
+    for k in range(40):
+        base = rng.sample([f"w{i}" for i in range(1500)], rng.choice([4, 9, 10, 20, 41, 90, 300, 700]))
+        docs.append((3 * k, " ".join(base)))
+        for j in (1, 2):  # of n words d are replaced: (n - d) / (n + d) is 0.8 at n / 9; or left out: 0.8 at n / 5
+            n = len(base)
+            other = [*base]
+            rng.shuffle(other)
+            other = [*other[n // 9 + j - 1 :], *(f"v{k}_{j}_{i}" for i in range(n // 9 + j - 1))] if k % 2 else other[n // 5 + j - 1 :]
+            docs.append((3 * k + j, " ".join(other)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: set(r["removed"]) for r in removed_lines(df, **how).collect()}
+    want = brute_removed(docs)
+    assert got == want and 25 < len(want) < 70
+
+
+def test_postings_of_long_lines_of_frequent_words_stay_in_proportion(spark):
+    from stratalens.llm.op02_line_dedup import BITS, ROW, line_rows, postings, word_parts
+    from stratalens.llm.tokens import levels
+
+    rng = random.Random(3)
+    words_of = [f"word{i}" for i in range(3000)]
+    docs = [(i, " ".join(rng.sample(words_of, 1500))) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    known = levels(df.select("text"), word_parts, BITS)
+    nodes = line_rows(df, known, "prefix", 10).selectExpr("node", "n", "low", "high", "0 AS coarse", "prefix")
+    posted = postings(nodes, 10)
+    assert posted.count() * ROW.itemsize < 10 * sum(len(t) for _, t in docs)
+    assert posted.groupBy("node").count().agg({"count": "min"}).first()[0] >= 301
+
+
 @pytest.mark.parametrize("large, best, hubs, level", [(1024, 3, 64, 5), (4, 1, 2, 1), (10, 2, 3, 2000), (1, 1, 1, 2000)])
 def test_meeting_loses_no_earlier_partner(large, best, hubs, level):
     from stratalens.llm.op02_line_dedup import _N, _POS, ROW, Meeting
