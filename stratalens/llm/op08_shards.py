@@ -81,3 +81,24 @@ def write_shards(docs: DataFrame, path: str, shards: int, doc_id: str = "doc_id"
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = byte_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum is made a byte at a time from the table of its polynomial, 0xEDB88320.
+SQL = r"""
+WITH RECURSIVE c(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM c WHERE k < 8),
+t AS (SELECT list(v ORDER BY i) AS steps FROM c WHERE k = 8),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda a, b: xor(a // 256, steps[xor(a % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM documents, t),
+s AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS ends, sum(size) OVER () AS total FROM d),
+p AS (SELECT doc_id, size, text_crc32, least(39, (2 * ends - size) * 40 // (2 * total)) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""

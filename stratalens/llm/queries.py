@@ -32,6 +32,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_line_dedup": op02_line_dedup.SQL, "op3_ngram_join": op03_ngram_join.SQL, "op5_urls": op05_urls.SQL,
+        "op2_line_dedup": op02_line_dedup.SQL, "op3_ngram_join": op03_ngram_join.SQL, "op5_urls": op05_urls.SQL, "op8_shards": op08_shards.SQL,
         "op10_decontaminate": op10_decontaminate.SQL, "op12_divergence": op12_divergence.SQL, "op13_negatives": op13_negatives.SQL,
     }
