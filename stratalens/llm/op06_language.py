@@ -32,6 +32,8 @@ from .common import Scratch, append_columns, held_out, lean, table, texts_of
 
 DIMS = 4096
 CLUSTERS = 4
+#: Characters of a text whose n-grams are made at once.
+BLOCK = 1 << 18
 #: Bound on the rows a language's centroids are fitted on (expected value of the hash sample).
 SAMPLE_PER_LANG = 600
 #: A text is rejected below this part of a low quantile of the cosines of its language's training texts.
@@ -45,27 +47,31 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)], bool)
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """Counts of hashed n-grams, float32 [DIMS]; None without letters. Any length is taken whole, in blocks."""
+def features(text: str | None, block: int = BLOCK) -> np.ndarray | None:
+    """Counts of hashed n-grams, float32 [DIMS]; None without letters. Any length is taken whole, block characters at a time."""
     if not text:
         return None
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = _letters()[codes]
-    if not letter.any():
-        return None
-    codes = np.where(letter, codes, 32)
-    keep = letter | np.r_[True, letter[:-1]]  # one space after each word
-    codes = np.concatenate(([32], codes[keep], [32])).astype(np.uint64)
-    out = np.zeros(DIMS, np.float32)
-    h = codes * np.uint64(0x9E3779B97F4A7C15)
-    for n in (1, 2, 3):
-        if n > 1:
-            h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[n - 1 :]
-        if len(h) == 0:
-            break
-        place = ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)).astype(np.int64) % DIMS
-        out += np.bincount(place, minlength=DIMS)
-    return out
+    text, letters = text.lower(), _letters()
+    out = np.zeros(DIMS, np.int64)
+    # the last two codes go before the next block's, whose n-grams begin there
+    run, counted, after_letter, any_letter = np.array([32], np.uint64), 0, True, False
+    for at in range(0, len(text), block):
+        codes = np.frombuffer(text[at : at + block].encode("utf-32-le"), np.uint32)
+        letter = letters[codes]
+        keep = letter | np.r_[after_letter, letter[:-1]]  # one space after each word
+        after_letter, any_letter = letter[-1], any_letter or letter.any()
+        run = np.concatenate((run, np.where(letter, codes, 32)[keep], [32] * (at + block >= len(text)))).astype(np.uint64)
+        h = run * np.uint64(0x9E3779B97F4A7C15)
+        for n in (1, 2, 3):
+            if n > 1:
+                h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + run[n - 1 :]
+            if len(h) == 0:
+                break
+            place = ((h[max(0, counted - n + 1) :] * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)).astype(np.int64) % DIMS
+            out += np.bincount(place, minlength=DIMS)
+        run = run[-2:]
+        counted = len(run)
+    return out.astype(np.float32) if any_letter else None
 
 
 @dataclass

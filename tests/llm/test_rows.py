@@ -581,3 +581,27 @@ def test_windows_are_looked_up_once_and_merged():
     periodic.windows = Counting(periodic.windows)
     runs, _ = periodic.find([b"w"] * 5000)
     assert runs == [(0, 5000)] and Counting.asked <= 5000
+
+
+def test_language_features_of_blocks_are_those_of_the_whole():
+    import tracemalloc
+
+    from stratalens.llm.op06_language import features
+
+    rng = random.Random(4)
+    for k in range(300):
+        text = "".join(rng.choice("abÉßΣ中 .\n1") for _ in range(rng.choice([1, 2, 3, 7, 40])))
+        whole = features(text, 1000)
+        for block in (1, 2, 3, 5):
+            got = features(text, block)
+            assert (got is None) == (whole is None) and (got is None or (got == whole).all()), (k, text, block)
+        if whole is not None:  # one space before all and one after each word: so many codes, so many n-grams
+            codes = [32, *([32] if not text.lower()[0].isalpha() else []), *"".join(c if c.isalpha() else " " for c in text.lower()).split()]
+            n = sum(len(c) + 1 if isinstance(c, str) else 1 for c in codes) + (text.lower()[-1].isalpha() is False and 1)
+            assert whole.sum() == 3 * n - 3
+    text = "some words of prose, " * 500_000
+    tracemalloc.start()
+    features(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
