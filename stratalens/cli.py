@@ -1,4 +1,4 @@
-"""python -m stratalens.cli experiment|diagnostics|query ...: thin commands over the library."""
+"""python -m stratalens.cli experiment|tables|diagnostics|query ...: thin commands over the library."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ def parser() -> argparse.ArgumentParser:
     run = sub.add_parser("experiment", help="rejection rates of the synthetic scenarios, with tables")
     run.add_argument("--out", required=True)
     run.add_argument("--quick", action="store_true", help="few replicates, one size")
+    tables = sub.add_parser("tables", help="the report again, from the rates that an experiment saved")
+    tables.add_argument("--out", required=True)
     diagnostics = sub.add_parser("diagnostics", help="dependence and moments of the scenarios at a large size")
     diagnostics.add_argument("--n", type=int, default=400_000)
     query = sub.add_parser("query", help="a registered query, shown or written as Parquet")
@@ -23,19 +25,31 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+METHODS = ["conditional_g2", "mean_disparity", "regression_lrt"]
+
+
 def experiment(spark: SparkSession, out: str, quick: bool) -> None:
-    from . import report
     from .plans.experiment import Config, rates, run
     from .sources.files import write_report
 
     config = Config(sizes=(500,), replicates=50, permutations=199) if quick else Config()
-    rows = run(spark, config)
-    rows.write.mode("overwrite").parquet(f"{out}/replicates")
+    run(spark, config).write.mode("overwrite").parquet(f"{out}/replicates")
     table = rates(spark.read.parquet(f"{out}/replicates"))
-    main = report.main_table(table, max(config.sizes), ["conditional_g2", "mean_disparity", "regression_lrt"])
-    Path(out, "table.md").write_text(report.markdown(main), encoding="utf-8")
-    Path(out, "table.tex").write_text(report.latex(main), encoding="utf-8")
     write_report(f"{out}/rates.json", [r.asDict() for r in table.collect()])
+    tables(spark, out)
+
+
+def tables(spark: SparkSession, out: str) -> None:
+    """table.md and table.tex from rates.json, which holds a row for each scenario, size and method."""
+    from . import report
+
+    saved = Path(out, "rates.json")
+    if not saved.exists():
+        raise SystemExit(f"{saved} is missing; run the experiment first")
+    rates = spark.read.json(str(saved), multiLine=True)
+    text, tex = report.full(rates, METHODS)
+    Path(out, "table.md").write_text(text, encoding="utf-8")
+    Path(out, "table.tex").write_text(tex, encoding="utf-8")
 
 
 def diagnostics(spark: SparkSession, n: int):
@@ -68,6 +82,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "experiment":
         experiment(spark, args.out, args.quick)
+    elif args.command == "tables":
+        tables(spark, args.out)
     elif args.command == "diagnostics":
         diagnostics(spark, args.n).show(truncate=False)
     else:

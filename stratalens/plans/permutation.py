@@ -21,15 +21,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators import cell_statistics
 from ..operators.ranks import in_hash_order, numbered
-from ..operators.statistics import RSS_FLOOR, cells, observed
+from ..operators.statistics import cells, observed
 from .draws import stream, tables, walk
 from .shared import cut
 
 #: A null draw counts as reaching the observed value within this, relative to it.
 TOLERANCE = 1e-9
+#: A two-sided draw reaches the observed gap within this.
+TWO_SIDED_TOLERANCE = 1e-12
+#: What the grouped engine tests unless told otherwise.
+TESTED = ["conditional_g2", "mean_disparity", "regression_lrt"]
 #: Draws that a task holds at once.
 BLOCK = 250
 #: Most units of a leaf, about.
@@ -47,11 +51,13 @@ def permuted(df: DataFrame, b: int, seed: int) -> DataFrame:
     return shuffled.join(labels, (F.col("z") == F.col("_z")) & (F.col("_slot") == F.col("_own"))).withColumn("a", F.col("_a")).drop("_z", "_slot", "_own", "_a")
 
 
-def p_values(null: DataFrame, real: DataFrame, b: int) -> DataFrame:
+def p_values(null: DataFrame, real: DataFrame, b: int, two_sided: bool = False) -> DataFrame:
     """Rows (statistic, observed, n_at_least, p_value) of null (draw, statistic, value) and real (statistic, observed)."""
-    least = F.col("observed") - TOLERANCE * F.greatest(F.lit(1.0), F.abs("observed"))
-    joined = null.join(F.broadcast(real), "statistic")
-    out = joined.groupBy("statistic", "observed").agg(F.count_if(F.col("value") >= least).alias("n_at_least"))
+    if two_sided:
+        hit = F.abs("value") >= F.abs("observed") - TWO_SIDED_TOLERANCE
+    else:
+        hit = F.col("value") >= F.col("observed") - TOLERANCE * F.greatest(F.lit(1.0), F.abs("observed"))
+    out = null.join(F.broadcast(real), "statistic").groupBy("statistic", "observed").agg(F.count_if(hit).alias("n_at_least"))
     return out.withColumn("p_value", (1 + F.col("n_at_least")) / (b + 1))
 
 
@@ -84,7 +90,7 @@ def path_of(row) -> list[tuple[int, int]]:
 
 
 def grouped_cells(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """(draw, z, s_bin, a, n, s_sum) of draws 0 (the data) to b: every draw a uniform permutation of each whole stratum."""
+    """(draw, z, s_bin, a, n, s_sum, s_sq) of draws 0 (the data) to b: every draw a uniform permutation of each whole stratum."""
     df = df.select("unit_id", "s_raw", "s_bin", "a", "z")
     placed, paths = leaves(df, chunk)
     labels = df.groupBy("z", "a").agg(F.count("*").alias("k")).groupBy("z").agg(F.array_sort(F.collect_list(F.struct("a", "k"))).alias("labels"))
@@ -110,42 +116,34 @@ def grouped_cells(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: i
             if first == 0:
                 a[0] = np.searchsorted(names, own)
             at = (np.arange(len(draws))[:, None] * size + code * k + a).ravel()
-            n, total = np.bincount(at, minlength=len(draws) * size), np.bincount(at, np.tile(s, len(draws)), len(draws) * size)
+            n, total, squares = (np.bincount(at, w, len(draws) * size) for w in (None, np.tile(s, len(draws)), np.tile(s * s, len(draws))))
             there = np.flatnonzero(n)
             cell = there % size
-            out.append(pd.DataFrame({"draw": draws[there // size].astype(np.int32), "z": z, "s_bin": bins[cell // k].astype(np.int32), "a": names[cell % k].astype(np.int32), "n": n[there], "s_sum": total[there]}))
+            out.append(pd.DataFrame({"draw": draws[there // size].astype(np.int32), "z": z, "s_bin": bins[cell // k].astype(np.int32), "a": names[cell % k].astype(np.int32), "n": n[there], "s_sum": total[there], "s_sq": squares[there]}))
         return pd.concat(out)
 
     kind = df.schema["z"].dataType.simpleString()
-    parts = placed.groupBy("z", "leaf").cogroup(known.groupBy("of", "at")).applyInPandas(work, f"draw int, z {kind}, s_bin int, a int, n long, s_sum double")
-    return parts.groupBy("draw", "z", "s_bin", "a").agg(F.sum("n").alias("n"), F.sum("s_sum").alias("s_sum"))
+    parts = placed.groupBy("z", "leaf").cogroup(known.groupBy("of", "at")).applyInPandas(work, f"draw int, z {kind}, s_bin int, a int, n long, s_sum double, s_sq double")
+    return parts.groupBy("draw", "z", "s_bin", "a").agg(*[F.sum(c).alias(c) for c in cell_statistics.SUMS])
 
 
-def grouped_null(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """(draw, statistic, value) of draws 0 (the data) to b for conditional_g2, mean_disparity and regression_lrt."""
+def grouped_null(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: int = CHUNK, names: list[str] | None = None) -> DataFrame:
+    """(draw, statistic, value) of draws 0 (the data) to b for any statistics of cells, all from the same draws.
+
+    Scores are taken about their overall mean, so statistics must not change when all
+    scores move alike.
+    """
     df = cut(df)
     centre = df.agg(F.avg("s_raw").alias("_m"))
     df = df.crossJoin(F.broadcast(centre)).withColumn("s_raw", F.col("s_raw") - F.col("_m")).drop("_m")
-    cube = grouped_cells(df, b, seed, block, chunk)
-    over = lambda *c: F.sum("n").over(Window.partitionBy("draw", "z", *c))
-    term = 2 * F.col("n") * F.ln(F.col("n") * over() / (over("s_bin") * over("a")))
-    groups = cube.withColumn("term", term).groupBy("draw", "z", "a").agg(F.sum("n").alias("n"), F.sum("s_sum").alias("s"), F.sum("term").alias("g2"))
-    mean = F.col("s") / F.col("n")
-    strata = groups.groupBy("draw", "z").agg(F.sum("g2").alias("g2"), F.sum("n").alias("n"), (F.max(mean) - F.min(mean)).alias("spread"), F.sum(F.col("s") * mean).alias("between"), F.sum("s").alias("s"))
-    squares = F.broadcast(df.groupBy().agg(F.sum(F.col("s_raw") * F.col("s_raw")).alias("ss")))
-    sums = strata.groupBy("draw").agg(
-        F.sum("g2").alias("conditional_g2"), (F.sum(F.col("n") * F.col("spread")) / F.sum("n")).alias("mean_disparity"), F.sum("between").alias("between"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("strata"), F.sum("n").alias("n")
-    )
-    floor = lambda c: F.greatest(c, F.lit(RSS_FLOOR))
-    lrt = F.col("n") * F.ln(floor(F.col("ss") - F.col("strata")) / floor(F.col("ss") - F.col("between")))
-    wide = sums.crossJoin(squares).withColumn("regression_lrt", lrt)
-    return wide.selectExpr("draw", "stack(3, 'conditional_g2', conditional_g2, 'mean_disparity', mean_disparity, 'regression_lrt', regression_lrt) AS (statistic, value)")
-
-
-def grouped_test(df: DataFrame, b: int, seed: int) -> DataFrame:
-    null = cut(grouped_null(df, b, seed))
+    return cell_statistics.long(grouped_cells(df, b, seed, block, chunk), names or TESTED, ["draw"], "value")
+
+
+def grouped_test(df: DataFrame, b: int, seed: int, names: list[str] | None = None, two_sided: bool = False) -> DataFrame:
+    """p-values of statistics of cells (TESTED unless named, registered ones too) over b draws."""
+    null = cut(grouped_null(df, b, seed, names=names))
     real = null.filter("draw = 0").select("statistic", F.col("value").alias("observed"))
-    return p_values(null.filter("draw > 0"), real, b)
+    return p_values(null.filter("draw > 0"), real, b, two_sided)
 
 
 def table_null(df: DataFrame, b: int, seed: int, block: int = BLOCK) -> DataFrame:
@@ -186,5 +184,11 @@ def paired_test(df: DataFrame, b: int, seed: int) -> DataFrame:
 
     real = mean_gap(df).select(F.col("gap").alias("observed"))
     null = mean_gap(permuted(df, b, seed), by=["draw"])
-    hits = null.crossJoin(F.broadcast(real)).agg(F.count_if(F.abs("gap") >= F.abs("observed") - 1e-12).alias("n_at_least"))
+    hits = null.crossJoin(F.broadcast(real)).agg(F.count_if(F.abs("gap") >= F.abs("observed") - TWO_SIDED_TOLERANCE).alias("n_at_least"))
     return real.crossJoin(hits).withColumn("p_value", (1 + F.col("n_at_least")) / (b + 1))
+
+
+def grouped_paired_test(df: DataFrame, b: int, seed: int) -> DataFrame:
+    """paired_test by the grouped engine: units are shuffled once, whatever b and the size of a stratum."""
+    one_bin = df.select("unit_id", "s_raw", F.lit(0).alias("s_bin"), "a", "z")
+    return grouped_test(one_bin, b, seed, ["weighted_gap"], two_sided=True).drop("statistic")

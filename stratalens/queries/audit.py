@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions
 from ..functions.text import fake_judge, strict_score
-from ..operators import alignment, binning, frame, gaps, missingness, multiplicity, statistics, strata
+from ..operators import alignment, binning, cell_statistics, frame, gaps, missingness, multiplicity, statistics, strata
 from ..plans import family, permutation, resampling
 from .registry import BINNED, EVENTS, ITEMS, LABELLED, ORDERS, events, items, labelled, orders, query, table
 
@@ -556,3 +556,25 @@ SELECT round(observed, 9) AS observed, count(*) FILTER (abs(gap) >= abs(observed
 def paired_permutation_test(spark, d):
     df = _paired(spark, d).select(F.col("doc_id").alias("unit_id"), (F.col("s") - F.col("y")).cast("double").alias("s_raw"), F.col("source").isin("src0", "src1", "src2").cast("int").alias("a"), F.col("lang").alias("z"))
     return permutation.paired_test(df, 999, 61813).withColumn("observed", F.round("observed", 9))
+
+
+@query("a12_grouped_paired_test")
+def grouped_paired_test(spark, d):
+    df = _paired(spark, d).select(F.col("doc_id").alias("unit_id"), (F.col("s") - F.col("y")).cast("double").alias("s_raw"), F.col("source").isin("src0", "src1", "src2").cast("int").alias("a"), F.col("lang").alias("z"))
+    return permutation.grouped_paired_test(df, 999, 61813).withColumn("observed", F.round("observed", 9))
+
+
+@query("u1_cell_statistics", f"""WITH {LABELLED}, u AS (SELECT source, lang AS z, a, s_raw, floor(s_raw / 200) AS s_bin FROM o),
+c AS (SELECT source, z, s_bin, a, CAST(count(*) AS DOUBLE) AS n FROM u GROUP BY ALL),
+t AS (SELECT source, 2 * sum(n * ln(n * nz / (nzs * nza))) AS g2 FROM (SELECT *, sum(n) OVER (PARTITION BY source, z) AS nz, sum(n) OVER (PARTITION BY source, z, s_bin) AS nzs, sum(n) OVER (PARTITION BY source, z, a) AS nza FROM c) GROUP BY source),
+g AS (SELECT source, z, a, CAST(count(*) AS DOUBLE) AS n, avg(s_raw) AS m, var_pop(s_raw) AS v FROM u GROUP BY ALL),
+s AS (SELECT source, z, sum(n) AS n, max(m) - min(m) AS spread, sum(n * v) AS within, max(m) FILTER (a = 1) - max(m) FILTER (a = 0) AS dm, max(v) FILTER (a = 1) - max(v) FILTER (a = 0) AS dv FROM g GROUP BY ALL),
+r AS (SELECT source, sum(r) AS rss0 FROM (SELECT source, z, var_pop(s_raw) * count(*) AS r FROM u GROUP BY ALL) GROUP BY source),
+w AS (SELECT source, sum(n) AS n, sum(n * spread) / sum(n) AS mean_disparity, sum(within) AS rss1, sum(n * dm) / sum(n) FILTER (dm IS NOT NULL) AS weighted_gap, sum(n * dv) / sum(n) FILTER (dv IS NOT NULL) AS variance_gap FROM s GROUP BY source),
+x AS (SELECT source, g2 AS conditional_g2, g2 / (2 * n) AS conditional_mi, mean_disparity, n * ln(rss0 / rss1) AS regression_lrt, weighted_gap, variance_gap FROM w JOIN t USING (source) JOIN r USING (source))
+SELECT source, statistic, round(observed, 5) AS observed FROM x UNPIVOT INCLUDE NULLS (observed FOR statistic IN (conditional_g2, conditional_mi, mean_disparity, regression_lrt, weighted_gap, variance_gap))""")
+def statistics_of_cells(spark, d):
+    """All statistics of cells, for each source, from one shuffle of units."""
+    units = labelled(spark, d).withColumns({"z": F.col("lang"), "s_bin": F.floor(F.col("s_raw") / 200)})
+    names = ["conditional_g2", "conditional_mi", "mean_disparity", "regression_lrt", "weighted_gap", "variance_gap"]
+    return cell_statistics.long(cell_statistics.cell_frame(units, ["source"]), names, ["source"]).withColumn("observed", F.round("observed", 5))

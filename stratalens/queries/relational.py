@@ -404,6 +404,14 @@ def main_table(spark, d):
     return report.main_table(rates, 0, ["A", "N", "R"])
 
 
+@query("t5_size_table", """WITH r AS (SELECT l_linestatus AS scenario, CAST(l_linenumber AS INT) AS n, l_returnflag AS method, printf('%.3f', count(*) FILTER (l_discount <= 0.05) / CAST(count(*) AS DOUBLE)) AS cell FROM lineitem GROUP BY ALL)
+SELECT scenario, n, coalesce(max(cell) FILTER (method = 'A'), '-') AS A, coalesce(max(cell) FILTER (method = 'N'), '-') AS N_, coalesce(max(cell) FILTER (method = 'R'), '-') AS R FROM r GROUP BY scenario, n""")
+def size_table(spark, d):
+    rates = multiplicity.rejection_rates(table(spark, d, "lineitem"), ["l_linestatus", "l_linenumber", "l_returnflag"], "l_discount", 0.05)
+    rates = rates.select(F.col("l_linestatus").alias("scenario"), F.col("l_linenumber").cast("int").alias("n"), F.when(F.col("l_returnflag") == "N", "N_").otherwise(F.col("l_returnflag")).alias("method"), "rejection_rate")
+    return report.size_table(rates, ["A", "N_", "R"])
+
+
 @query("t4_report_pivot", f"""WITH {ORDERS} SELECT z, count(*) FILTER (a = 0) || '/' || count(*) AS kept, count(*) FILTER (a = 1) || '/' || count(*) AS shown FROM o GROUP BY z""")
 def report_pivot(spark, d):
     s = strata.stratum_table(orders(spark, d))

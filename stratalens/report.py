@@ -21,6 +21,22 @@ def by_size(rates: DataFrame, method: str, sizes: list[int]) -> DataFrame:
     return at.groupBy("scenario").pivot("n", sizes).agg(F.first("cell"))
 
 
+def size_table(rates: DataFrame, methods: list[str]) -> DataFrame:
+    """A scenario and sample size a row, a method a column, rates alone; - where there is none."""
+    at = rates.withColumn("cell", F.format_string("%.3f", "rejection_rate"))
+    return at.groupBy("scenario", "n").pivot("method", methods).agg(F.first("cell")).na.fill("-", methods)
+
+
+def full(rates: DataFrame, methods: list[str], alpha: float = 0.05) -> tuple[str, str]:
+    """The report of finished rejection rates as Markdown and LaTeX: the greatest size with intervals, then all sizes."""
+    n = rates.agg(F.max("n")).first()[0]
+    if n is None:
+        raise ValueError("there are no rejection rates to report")
+    tables = {f"Rejection rates at n = {n}": main_table(rates, n, methods).orderBy("scenario"), "Rejection rates by sample size": size_table(rates, methods).orderBy("scenario", "n")}
+    head = f"# Rejection rates\n\nLevel {alpha}; brackets hold Wilson intervals of 95%.\n\n"
+    return head + "\n".join(f"## {title}\n\n{markdown(t)}" for title, t in tables.items()), "\n".join(latex(t) for t in tables.values())
+
+
 def _texts(df: DataFrame) -> tuple[list[str], list[list[str]]]:
     return df.columns, [["" if x is None else str(x) for x in row] for row in df.collect()]
 

@@ -98,3 +98,19 @@ def test_prediction_check_over_material_cells(spark):
     row = gaps.prediction_check(df, "p", "q").first()
     assert (row["cells"], row["material_cells"], row["holds"]) == (3, 2, True) and abs(row["median_change"] - 0.125) < 1e-9
     assert gaps.prediction_check(df.limit(0), "p", "q").first()["median_change"] is None
+
+
+def test_report_again_from_saved_rates(spark, tmp_path):
+    import json
+
+    rate = lambda scenario, n, method, x: {"scenario": scenario, "n": n, "method": method, "null_status": "true", "rejection_rate": x, "ci_low": x / 2, "ci_high": 2 * x}
+    rows = [rate("b_null", 500, "conditional_g2", 0.04), rate("b_null", 2000, "conditional_g2", 0.06), rate("b_null", 2000, "mean_disparity", 0.05), rate("a_shift", 2000, "regression_lrt", 0.5)]
+    (tmp_path / "rates.json").write_text(json.dumps(rows))
+    cli.main(["tables", "--out", str(tmp_path)])
+    text = (tmp_path / "table.md").read_text()
+    lines = [[x.strip() for x in line.split("|")[1:-1]] for line in text.splitlines() if line.startswith("| ")]
+    assert lines[0][:2] == ["scenario", "null_status"] and lines[1][0] == "a_shift" and lines[2][2] == "0.060 [0.030, 0.120]"
+    assert ["b_null", "500", "0.040", "-", "-"] in lines and "n = 2000" in text
+    assert r"b\_null" in (tmp_path / "table.tex").read_text()
+    with pytest.raises(SystemExit):
+        cli.main(["tables", "--out", str(tmp_path / "none")])

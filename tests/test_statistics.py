@@ -272,3 +272,80 @@ def test_ranks_and_quantiles_equal_numpy(spark, seed):
     p = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
     assert quantiles(df, "v", p, "q").first()["q"] == pytest.approx(np.quantile(x, p).tolist())
     assert quantiles(df.limit(0), "v", p, "q").first()["q"] is None
+
+
+def units_of(spark, rows):
+    return spark.createDataFrame([(i, float(s), s_bin, a, z) for i, (s, s_bin, a, z) in enumerate(rows)], "unit_id long, s_raw double, s_bin int, a int, z int")
+
+
+def test_statistics_of_cells_equal_those_of_units(spark):
+    from stratalens.operators import cell_statistics, gaps
+
+    rng = np.random.default_rng(8)
+    df = units_of(spark, [(int(s), int(s), int(rng.random() < 0.4), int(rng.integers(0, 5))) for s in rng.integers(1, 7, 200)])
+    got = {r["statistic"]: r["observed"] for r in cell_statistics.long(cell_statistics.cell_frame(df), list(cell_statistics.CELL_STATISTICS)).collect()}
+    for r in statistics.observed(df, ["conditional_g2", "conditional_mi", "mean_disparity", "regression_lrt"]).collect():
+        assert got[r["statistic"]] == pytest.approx(r["observed"], abs=1e-8)
+    assert got["weighted_gap"] == pytest.approx(gaps.mean_gap(df).first()["gap"])
+    assert got["variance_gap"] == pytest.approx(gaps.diagnostics(df).first()["variance_diff"])
+
+
+def test_statistics_of_cells_without_rows_or_contrast(spark):
+    from stratalens.operators import cell_statistics
+
+    df = units_of(spark, [(1, 0, 0, 0), (5, 0, 0, 0), (2, 0, 1, 1)])
+    names = ["weighted_gap", "variance_gap", "mean_disparity"]
+    row = cell_statistics.wide(cell_statistics.cell_frame(df), names).first()
+    assert row["weighted_gap"] is None and row["variance_gap"] is None and row["mean_disparity"] == 0
+    empty = cell_statistics.cell_frame(df.limit(0))
+    assert cell_statistics.wide(empty, names).first().asDict() == dict.fromkeys(names)
+    assert cell_statistics.wide(cell_statistics.cell_frame(df.limit(0), ["z"]), names, ["z"]).count() == 0
+    with pytest.raises(ValueError):
+        cell_statistics.wide(empty, ["nothing"])
+    with pytest.raises(ValueError):
+        cell_statistics.register_cells("not a name", cell_statistics.CELL_STATISTICS["mean_disparity"])
+
+
+def test_a_registered_statistic_runs_in_the_permutation_engine(spark):
+    from stratalens.operators import cell_statistics as cs
+
+    # the share of group 1 in the top bin of its stratum, greatest over strata
+    top = cs.CellStatistic(
+        lambda get: F.max(get("share")),
+        lambda get: {"share": F.max(F.when(F.col("a") == 1, get("top") / F.col("n")))},
+        lambda get: {"top": F.sum(F.when(F.col("s_bin") == 5, F.col("n")).otherwise(0))},
+    )
+    cs.register_cells("top_share", top)
+    try:
+        rng = np.random.default_rng(2)
+        rows = [(s, int(s), int(rng.random() < (0.9 if s == 5 and k == 0 else 0.3)), k) for k in (0, 1) for s in rng.integers(0, 6, 120)]
+        df = units_of(spark, rows)
+        want = max(np.mean([s == 5 for s, _, a, z in rows if a == 1 and z == k]) for k in (0, 1))
+        got = {r["statistic"]: r for r in permutation.grouped_test(df, 199, 3, ["top_share", "conditional_g2"]).collect()}
+        assert got["top_share"]["observed"] == pytest.approx(want) and got["top_share"]["p_value"] < 0.02
+        assert got["conditional_g2"]["observed"] == pytest.approx(statistics.conditional_g2(df).first()["conditional_g2"])
+    finally:
+        del cs.CELL_STATISTICS["top_share"]
+
+
+def test_grouped_paired_test_against_all_permutations(spark):
+    from itertools import combinations, product
+
+    strata = {0: [(1.0, 1), (2.0, 1), (0.5, 0), (-1.0, 0), (0.0, 0)], 1: [(3.0, 1), (1.0, 0), (0.0, 0), (2.5, 1)], 2: [(9.0, 1)]}
+    rows = [(s, 0, a, z) for z, units in strata.items() for s, a in units]
+
+    def gaps(units):
+        s, k = np.array([x for x, _ in units]), sum(a for _, a in units)
+        return [s[list(c)].mean() - np.delete(s, list(c)).mean() for c in combinations(range(len(s)), k)]
+
+    null = [(5 * x + 4 * y) / 9 for x, y in product(gaps(strata[0]), gaps(strata[1]))]
+    real = (5 * (1.5 + 0.5 / 3) + 4 * (2.75 - 0.5)) / 9
+    exact = np.mean(np.abs(null) >= abs(real) - 1e-12)
+    for chunk in (8192, 2):
+        found = permutation.grouped_null(units_of(spark, rows), 4000, 5, chunk=chunk, names=["weighted_gap"]).filter("draw > 0").toPandas()["value"]
+        assert abs(found.mean() - np.mean(null)) < 0.1 and abs(found.std() / np.std(null) - 1) < 0.08
+        assert abs((found.abs() >= abs(real) - 1e-9).mean() - exact) < 0.02
+    row = permutation.grouped_paired_test(units_of(spark, rows), 999, 5).first()
+    assert row["observed"] == pytest.approx(real) and abs(row["p_value"] - exact) < 0.04
+    slow = permutation.paired_test(units_of(spark, rows), 199, 5).first()
+    assert slow["observed"] == pytest.approx(real) and abs(slow["p_value"] - exact) < 0.1
