@@ -50,6 +50,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """What make gives, held for later tasks of this Python worker until another key's takes its place.
+
+    A worker serves many stages; it holds one large thing (an automaton, a tokenizer) at a time.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """run, after which its worker gives back the memory it doesn't hold: workers are used again, and idle ones count too."""
 

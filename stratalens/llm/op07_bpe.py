@@ -17,12 +17,11 @@ import json
 import re
 import sys
 from array import array
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import append_columns, table, texts_of
+from .common import append_columns, resident, table, texts_of
 
 #: The byte-level splitting rule of public byte-BPE tokenizers (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,10 +140,9 @@ class Codec:
         return b"".join([strings[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec_of(spec: str) -> Codec:
-    """One codec, with its cache, for all tasks of a Python worker."""
-    return Codec(spec)
+    """One codec, with its cache, for all tasks of a Python worker, until the worker builds something else of that size."""
+    return resident(("codec", spec), lambda: Codec(spec))
 
 
 def tokenizer_spec(path: str | None = None) -> str:

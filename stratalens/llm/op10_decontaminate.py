@@ -29,7 +29,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, append_columns, bytes_of, fresh, table
+from .common import Scratch, append_columns, bytes_of, fresh, resident, table
 
 WINDOW = 13
 #: A document is contaminated if at least one word in CONTAMINATED_PART is hit.
@@ -134,15 +134,9 @@ class Passages:
         return hits, {x for of in found for number in of for x in self.owners[number]}
 
 
-_built: dict[tuple[bytes, int], Passages] = {}
-
-
 def passages_of(key: bytes, items: list[tuple[str, bytes]], window: int) -> Passages:
-    """One automaton for all tasks of a Python worker, which keeps the last alone."""
-    if (key, window) not in _built:
-        _built.clear()
-        _built[key, window] = Passages(items, window)
-    return _built[key, window]
+    """One automaton for all tasks of a Python worker, until the worker builds another."""
+    return resident(("passages", key, window), lambda: Passages(items, window))
 
 
 def pieces_of(text: bytes, most: int, window: int) -> Iterator[bytes]:
