@@ -5,9 +5,12 @@ unit) is written once; freezing records each file's digest, after which appends
 are refused; reading is refused unless frozen and unchanged.
 
 The folder may be on any file system that Spark's readers reach; all that changes it
-goes through Hadoop's FileSystem. A writer first creates the file LOCK, which one alone
-can; it writes its rows beside the records and renames whole files into place, so a
-writer that dies leaves no half file, and its lock has to be removed by hand. A file's
+goes through Hadoop's FileSystem. A writer first creates a file LOCK-... of its own and
+goes on only if it then sees no other: of two that begin at once, at least one sees the
+other, on any file system whose listings are consistent (creating one file exclusively is
+not atomic on all of them). It writes its rows beside the records and renames whole files
+into place, so a writer that dies leaves no half file, and its lock has to be removed by
+hand. A file's
 digest is the sum of its lines' SHA-256, piece by piece, with the numbers of lines and
 bytes: it is made in parallel over parts of a file, of any size.
 """
@@ -52,17 +55,14 @@ class ScoreStore:
     @contextmanager
     def _locked(self) -> Iterator[None]:
         """Inside, no other writer changes the store."""
-        path = self._path(self.lock)
-        try:
-            self.fs.create(path, False).close()
-        except Exception as e:  # noqa: BLE001  (each file system has its own error for a file that is there)
-            if self._there(self.lock):
-                raise Busy(f"another writer holds {self.lock}") from e
-            raise
+        own = self._path(f"{self.lock}-{uuid.uuid4().hex}")
+        self.fs.create(own, False).close()
         try:
+            if len(self.fs.globStatus(self._path(f"{self.lock}*"))) > 1:
+                raise Busy(f"another writer holds {self.lock}")
             yield
         finally:
-            self.fs.delete(path, False)
+            self.fs.delete(own, False)
 
     def records(self) -> DataFrame:
         """All records, without the freeze's guard; empty where nothing has been written."""

@@ -117,6 +117,37 @@ def test_concurrent_appends_write_each_key_once(spark, tmp_path):
     assert ScoreStore(spark, str(tmp_path / "s")).records().count() == 2
 
 
+def test_a_lock_let_go_meanwhile_is_no_error(spark, tmp_path):
+    one, two = ScoreStore(spark, str(tmp_path / "s")), ScoreStore(spark, str(tmp_path / "s"))
+    two._there = lambda path: False  # as if the lock went between the two looks at it
+    with one._locked(), pytest.raises(Busy), two._locked():
+        pass
+    with two._locked():
+        pass
+
+
+def test_two_writers_never_hold_the_lock(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    inside, held = [], []
+
+    def attempt(k):
+        store = ScoreStore(spark, str(tmp_path / "s"))
+        for _ in range(40):
+            try:
+                with store._locked():
+                    inside.append(k)
+                    held.append(len(inside))
+                    time.sleep(0.002)
+                    inside.remove(k)
+            except Busy:
+                time.sleep(0.001 * k)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(attempt, range(6)))
+    assert held and max(held) == 1
+
+
 def test_a_store_by_another_scheme(spark, tmp_path):
     conf = spark._jsc.hadoopConfiguration()
     (tmp_path / "in").mkdir()
