@@ -10,13 +10,13 @@ Words are ordered by rarity. A node is posted under the words of its prefix. Wor
 over HEAVY occurrences are keys in pairs only: they fall into m classes by hash, m
 growing with the set's size, and the prefix is as many words longer, so that similar
 sets share m + 1 words there and hence two of one class. A node is posted under the
-pairs inside its classes, a few for each word of its prefix. Postings meet by
-key in sorted partitions, where length, position and a 128-bit signature of parities
-leave few candidate pairs. Of a node's candidates under a key the BEST nearest are
+pairs inside its classes, a few for each word of its prefix. Postings are dealt by
+groups of keys, in bundles, and meet by key, where length, position and a 128-bit
+signature of parities leave few candidate pairs. Of a node's candidates under a key the BEST nearest are
 written, so that a group of copies is never turned into all its pairs, and a node
-with more is marked. Nearest candidates are verified on whole sets, then all others
-of the nodes that these don't settle. Marked nodes that are still open ask again for
-eight times as many candidates, until none is left. One match settles a node: it
+with more is marked there. Nearest candidates are verified on whole sets, then all others
+of the nodes that these don't settle. Marked nodes that are still open ask again, where
+they are marked, for eight times as many candidates or more, until none is left. One match settles a node: it
 goes with all its lines.
 
 In groups of over LARGE postings every node is compared with HUBS early ones of the
@@ -30,12 +30,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Scratch, append_columns, fresh, lean, table, tidy, without
-from .setjoin import BROADCAST_DOCS, DEN, NUM, perhaps_similar, similar
+from .setjoin import BROADCAST_DOCS, DEN, NUM, differing, room, similar
 from .tokens import Levels, blocks, levels, mix, word_hashes
 
 BITS = 20
@@ -48,10 +50,12 @@ HUBS = 64
 BEST = 3
 #: Rows that meet at once, about, and pairs that wait for the choice of the best.
 ROWS, PAIRS = 1 << 18, 1 << 20
+#: Postings of a group of keys, about, and bytes of a batch of bundled ones.
+GROUP, BUNDLES = 1 << 17, 4 << 20
 #: Up to so many numbers (8 MB) are sent to all executors.
 BROADCAST_NUMBERS = 1_000_000
-#: Nodes that hold over one in so many of the lines to look up are split over tasks.
-HOT = 512
+#: Candidates that asking nodes may get in all, at least, by key.
+ASKED = 1 << 22
 #: Sets of up to so many words have the 128 bits as their only signature.
 SHORT = 128
 
@@ -104,40 +108,78 @@ def in_order(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.lexsort((keys, group)) if (whole[1:][same] != whole[:-1][same]).any() else order
 
 
-def signatures(keys: np.ndarray, at: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.ListArray:
-    """setjoin.signature of the sets of n keys that begin at places at of keys; low and high for those of up to SHORT."""
-    words = np.where(n <= SHORT, 2, 1 << np.frexp(n - 1)[1].astype(np.int64) >> 4)
+def signatures(keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """setjoin.signature of the sets of n keys that begin at places at of keys; null for those of up to SHORT, whose only one are low and high."""
+    if (n <= SHORT).all():
+        return pa.nulls(len(n), pa.list_(pa.int64()))
+    words = np.where(n <= SHORT, 0, 1 << np.frexp(n - 1)[1].astype(np.int64) >> 4)
     ends = np.cumsum(np.r_[0, words])
     flat = np.empty(ends[-1], np.int64)
-    short = n <= SHORT
-    flat[ends[:-1][short]], flat[ends[:-1][short] + 1] = low[short], high[short]
     for w in np.unique(words[n > SHORT]).tolist():
-        these = np.flatnonzero((words == w) & (n > SHORT))
+        these = np.flatnonzero(words == w)
         size = n[these]
         own = keys[np.repeat(at[these] - np.cumsum(size) + size, size) + np.arange(size.sum())]
         place = np.repeat(np.arange(len(these)) * (64 * w), size) + (own & np.uint64(64 * w - 1)).astype(np.int64)
         odd = np.bincount(place, minlength=len(these) * 64 * w) & 1
         flat[ends[these][:, None] + np.arange(w)] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(-1, w)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(n <= SHORT))
 
 
-def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, only: np.ndarray | None = None) -> DataFrame:
-    """A row for each line with words of docs (doc_id, th, text): doc_id, th, line, node, and what.
+def binaries(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Binary values of length of these numbers each: in the JVM one value instead of many."""
+    ends = np.cumsum(np.r_[0, length]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    what is ``none``; ``prefix``, for n, low and high (128 parities), sign (longer parities of long
-    sets) and prefix, longer by lengthening(n) if it has a heavy key; or ``keys``, for the whole
+
+def numbers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What binaries() was made of."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype) if data is not None and ends[-1] > ends[0] else np.zeros(0, dtype)
+    return values, np.diff(ends).astype(np.int64) // values.itemsize
+
+
+def ranks(ids: pa.Array, ths: pa.Array) -> np.ndarray:
+    """Numbers in the order of (id, hash), null ids first, equal for equal ones."""
+    order = pa.compute.sort_indices(pa.table({"id": ids, "th": ths}), sort_keys=[("id", "ascending"), ("th", "ascending")], null_placement="at_start").to_numpy()
+    ids, ths = ids.take(pa.array(order)), ths.take(pa.array(order)).to_numpy()
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    same = pa.compute.equal(ids[1:], ids[:-1]).fill_null(False).to_numpy(zero_copy_only=False) | ~(valid[1:] | valid[:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.r_[False, ~(same & (ths[1:] == ths[:-1]))])[: len(order)]
+    return out
+
+
+def first_places(node: np.ndarray, rank: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines come first of their node by (rank, line), one a node, and which come later."""
+    order = np.lexsort((line, rank, node))
+    new = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
+    first = np.repeat(order[new], np.diff(np.r_[new, len(order)]))
+    return np.sort(order[new]), np.sort(order[(rank[order] != rank[first]) | (line[order] != line[first])])
+
+
+def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY) -> DataFrame:
+    """Rows for the lines with words of docs (doc_id, th, text): doc_id, th, line, node, and what.
+
+    what is ``prefix``, for n, low and high (128 parities), sign (longer parities of long
+    sets) and prefix (its keys' bytes), longer by lengthening(n) if it has a heavy key; or ``keys``, for the whole
     sets of only those lines whose numbers are in docs' array column ``wanted``.
-    With only (sorted nodes), other nodes' lines are left out.
+    With ``prefix``, of lines of one node that are worked on together only the first has these:
+    the others' rows have nothing but their place, and a null node.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((known, only))
-    more = {"none": "", "keys": ", keys array<long>", "prefix": ", n int, low long, high long, sign array<long>, prefix array<long>"}[what]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, line int, node long{more}"
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    more = {"keys": ", keys array<long>", "prefix": ", n int, low long, high long, sign array<long>, prefix binary"}[what]
+    id_type = docs.schema["doc_id"].dataType
+    schema = f"doc_id {id_type.simpleString()}, th long, line int, node long{more}"
     least = Levels.level_of(heavy)
+    # in Arrow's order as in Spark's
+    alike = isinstance(id_type, (T.IntegralType, T.StringType))
 
     def run(batches):
-        table, some_nodes = shared.value
+        table = shared.value
         for batch in batches:
             ids, ths = batch.column(0), batch.column(1)
+            rank = ranks(ids, ths) if what == "prefix" and alike else None
             wanted = batch.column(3) if what == "keys" else None
             last, base = -1, 0
             for data, firsts, rows in blocks(batch.column(2), at_lines=True):
@@ -173,32 +215,73 @@ def line_rows(docs: DataFrame, known: Levels, what: str, heavy: int = HEAVY, onl
                 at = np.flatnonzero(new_line)
                 n = np.diff(np.r_[at, len(keys)])
                 node = mix(np.add.reduceat(mix(keys * _ONE + np.repeat(n, n).astype(np.uint64)), at)).view(np.int64)
-                if some_nodes is not None:
-                    kept = among(node, some_nodes)
-                    at, node = at[kept], node[kept]
-                    if not len(at):
-                        continue
                 first_word = lead[at]
                 part = np.searchsorted(firsts, first_word, side="right") - 1
                 line = np.searchsorted(places, first_word) - before[part] + extra[part]
+                if rank is not None:
+                    own, later = first_places(node, rank[rows[part]], line)
+                    if len(later):
+                        row = pa.array(rows[part[later]])
+                        columns = {"doc_id": ids.take(row), "th": ths.take(row), "line": pa.array(line[later].astype(np.int32))}
+                        columns |= {c: pa.nulls(len(later), t) for c, t in (("node", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("sign", pa.list_(pa.int64())), ("prefix", pa.binary()))}
+                        yield pa.RecordBatch.from_pydict(columns)
+                    if len(own) < len(at):
+                        kept = np.zeros(len(at), bool)
+                        kept[own] = True
+                        keys, at, n, node, part, line = keys[np.repeat(kept, n)], np.cumsum(n[own]) - n[own], n[own], node[own], part[own], line[own]
                 row = pa.array(rows[part])
                 columns = {"doc_id": ids.take(row), "th": ths.take(row), "line": pa.array(line.astype(np.int32)), "node": pa.array(node)}
                 if what == "keys":
                     columns["keys"] = pa.ListArray.from_arrays(pa.array(np.r_[at, len(keys)], pa.int32()), pa.array(keys.view(np.int64)))
-                elif what == "prefix":
+                else:
                     one, upper = np.uint64(1) << (keys & np.uint64(63)), keys & np.uint64(64) > 0
                     low, high = (np.bitwise_xor.reduceat(np.where(upper == part, one, np.uint64(0)), at).view(np.int64) for part in (False, True))
                     p = prefix_lengths(n)
                     p = np.where(keys[at + p - 1] >> np.uint64(56) >= least, np.minimum(n, p + lengthening(n)), p)
                     within = np.arange(len(keys)) - np.repeat(at, n)
-                    flat = keys[within < np.repeat(p, n)].view(np.int64)
-                    columns |= {"n": pa.array(n.astype(np.int32)), "low": pa.array(low), "high": pa.array(high), "sign": signatures(keys, at, n, low, high)}
-                    columns["prefix"] = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, p]), pa.int32()), pa.array(flat))
+                    columns |= {"n": pa.array(n.astype(np.int32)), "low": pa.array(low), "high": pa.array(high), "sign": signatures(keys, at, n)}
+                    columns["prefix"] = binaries(keys[within < np.repeat(p, n)], p)
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "th", "text", *(["wanted"] if what == "keys" else [])).mapInArrow(tidy(run), schema)
 
 
+ROW = np.dtype([(c, np.int64) for c in ("key", "node", "low", "high", "packed")])
+
+
+def posted_rows(batch: pa.RecordBatch, least: np.uint64) -> np.ndarray:
+    """The postings (ROW) of a batch of nodes (node, n, low, high, coarse, prefix)."""
+    node, n, low, high, coarse = (batch.column(k).to_numpy() for k in range(5))
+    n = n.astype(np.int64)
+    keys, length = numbers(batch.column(5), np.uint64)
+    row = np.repeat(np.arange(len(n)), length)
+    within = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)
+    inside, many = within < prefix_lengths(n)[row], keys >> np.uint64(56) >= least
+    single, heavies = np.flatnonzero(inside & ~many), np.flatnonzero(many)
+    cls = mix(keys[heavies]).view(np.int64) & (classes(n) - 1)[row[heavies]]
+    by_class = np.lexsort((cls, row[heavies]))  # in the order of words inside a class
+    heavies, cls = heavies[by_class], cls[by_class]
+    new = np.flatnonzero(np.r_[True, (np.diff(cls) != 0) | (np.diff(row[heavies]) != 0)][: len(heavies)])
+    size = np.diff(np.r_[new, len(heavies)])
+    later = np.repeat(new + size, size) - np.arange(len(heavies)) - 1
+    place = np.repeat(np.arange(len(heavies)), later)
+    a, b = heavies[place], heavies[place + 1 + np.arange(len(place)) - np.repeat(np.cumsum(later) - later, later)]
+    # up to lengthening - 1 shared words may come before the first pair of one class
+    within[heavies] = np.maximum(within[heavies] - (lengthening(n) - 1)[row[heavies]], 0)
+    at = np.r_[single, a]
+    r = row[at]
+    rows = np.empty(len(at), ROW)
+    rows["key"] = np.r_[keys[single], mix(keys[a] * _ONE + mix(keys[b]))].view(np.int64)
+    rows["node"], rows["low"], rows["high"] = node[r], low[r], high[r]
+    rows["packed"] = (coarse[r].astype(np.int64) << (_POS + _N)) | (n[r] << _POS) | np.minimum(within[at], (1 << _POS) - 1)
+    return rows
+
+
+def able(nodes: DataFrame) -> DataFrame:
+    """What posted_rows() needs of nodes. A set that is left out is out of reach for any of another size: n / (n + 1) is under the threshold."""
+    return nodes.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM).select("node", "n", "low", "high", "coarse", "prefix")
+
+
 def postings(nodes: DataFrame, heavy: int, only: np.ndarray | None = None) -> DataFrame:
     """key, node, low, high and packed (coarse, n and position) of nodes (node, n, low, high, coarse, prefix), with only those of some keys (sorted)."""
     least = Levels.level_of(heavy)
@@ -207,48 +290,54 @@ def postings(nodes: DataFrame, heavy: int, only: np.ndarray | None = None) -> Da
     def run(batches):
         some = shared.value
         for batch in batches:
-            node, n, low, high, coarse = (batch.column(k).to_numpy() for k in range(5))
-            n = n.astype(np.int64)
-            prefix = batch.column(5)
-            keys = prefix.flatten().to_numpy().view(np.uint64)
-            length = np.diff(prefix.offsets.to_numpy()).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), length)
-            within = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)
-            inside, many = within < prefix_lengths(n)[row], keys >> np.uint64(56) >= least
-            single, heavies = np.flatnonzero(inside & ~many), np.flatnonzero(many)
-            cls = mix(keys[heavies]).view(np.int64) & (classes(n) - 1)[row[heavies]]
-            by_class = np.lexsort((cls, row[heavies]))  # in the order of words inside a class
-            heavies, cls = heavies[by_class], cls[by_class]
-            new = np.flatnonzero(np.r_[True, (np.diff(cls) != 0) | (np.diff(row[heavies]) != 0)][: len(heavies)])
-            size = np.diff(np.r_[new, len(heavies)])
-            later = np.repeat(new + size, size) - np.arange(len(heavies)) - 1
-            place = np.repeat(np.arange(len(heavies)), later)
-            a, b = heavies[place], heavies[place + 1 + np.arange(len(place)) - np.repeat(np.cumsum(later) - later, later)]
-            # up to lengthening - 1 shared words may come before the first pair of one class
-            within[heavies] = np.maximum(within[heavies] - (lengthening(n) - 1)[row[heavies]], 0)
-            at = np.r_[single, a]
-            key = np.r_[keys[single], mix(keys[a] * _ONE + mix(keys[b]))]
+            rows = posted_rows(batch, least)
             if some is not None:
-                kept = among(key.view(np.int64), some)
-                at, key = at[kept], key[kept]
-            r = row[at]
-            packed = (coarse[r].astype(np.int64) << (_POS + _N)) | (n[r] << _POS) | np.minimum(within[at], (1 << _POS) - 1)
-            for k in range(0, len(at), 1 << 16):
-                s = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[s].view(np.int64), node[r[s]], low[r[s]], high[r[s]], packed[s])], names=[*ROW.names])
+                rows = rows[among(rows["key"], some)]
+            for k in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c][k : k + (1 << 16)]) for c in ROW.names], names=[*ROW.names])
 
-    # a set this small is out of reach for any of another size: n / (n + 1) is under the threshold
-    able = nodes.filter(F.col("n") * DEN >= (F.col("n") + 1) * NUM)
-    return able.select("node", "n", "low", "high", "coarse", "prefix").mapInArrow(tidy(run), "key long, node long, low long, high long, packed long")
+    return able(nodes).mapInArrow(tidy(run), "key long, node long, low long, high long, packed long")
 
 
-ROW = np.dtype([(c, np.int64) for c in ("key", "node", "low", "high", "packed")])
+def bundles(nodes: DataFrame, heavy: int, groups: int) -> DataFrame:
+    """grp and rows: the postings of nodes, bundled by group of keys, many of them in one binary value."""
+    least = Levels.level_of(heavy)
 
+    def bundled(parts):
+        rows = np.concatenate(parts)
+        group = (mix(rows["key"].view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        rows, group = rows[order], group[order]
+        # about BUNDLES bytes in a batch
+        for k in range(0, len(rows), BUNDLES // ROW.itemsize):
+            part, own = rows[k : k + BUNDLES // ROW.itemsize], group[k : k + BUNDLES // ROW.itemsize]
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), binaries(part, np.diff(np.r_[at, len(part)]))], names=["grp", "rows"])
 
-def _found(x: np.ndarray, y: np.ndarray, d: np.ndarray, more: np.ndarray):
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(posted_rows(batch, least))
+            size += len(parts[-1])
+            if size >= ROWS:
+                yield from bundled(parts)
+                parts, size = [], 0
+        if size:
+            yield from bundled(parts)
+
+    return able(nodes).mapInArrow(tidy(run), "grp int, rows binary")
+
+
+def _found(x: np.ndarray, y: np.ndarray, d: np.ndarray, more: np.ndarray, unsure: np.ndarray, key: np.ndarray):
     for k in range(0, len(x), 1 << 16):
         s = slice(k, k + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(x[s], mask=d[s] < 0), pa.array(y[s]), pa.array(d[s].astype(np.int32)), pa.array(more[s])], names=["x", "y", "d", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[s], mask=d[s] < 0), pa.array(y[s]), pa.array(d[s].astype(np.int32)), pa.array(more[s]), pa.array(unsure[s]), pa.array(key[s], mask=~more[s])], names=["x", "y", "d", "more", "unsure", "key"])
+
+
+def unsure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether it is open which of rows a and b is the earlier, or both have longer signatures to compare."""
+    (na, _), (nb, _) = Meeting.parts(a), Meeting.parts(b)
+    return (a["packed"] >> (_POS + _N) == b["packed"] >> (_POS + _N)) | (np.minimum(na, nb) > SHORT)
 
 
 class Meeting:
@@ -272,11 +361,16 @@ class Meeting:
 
     def meet(self, rows: np.ndarray, ended: bool) -> tuple[np.ndarray, list[np.ndarray]]:
         """What of rows must wait for the next ones, and the columns x, y, d, more of what was found. x is null (d < 0) for a mark alone."""
+        wait, columns = self.pairs(rows, ended)
+        return wait, columns[:4]
+
+    def pairs(self, rows: np.ndarray, ended: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """meet() with unsure() and the key as further columns."""
         keys = rows["key"]
         new = np.r_[True, keys[1:] != keys[:-1]]
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(rows)])
-        rows = rows[in_order(np.cumsum(new), rows["packed"].view(np.uint64))]
+        rows = rows[np.argsort(np.cumsum(new) << (_N + 1) | self.parts(rows)[0])]
         keys, wait = rows["key"], rows[:0]
         if not ended and size[-1] <= self.large and keys[-1] != self.hub_key:
             wait, rows = rows[first[-1] :], rows[: first[-1]]
@@ -297,36 +391,41 @@ class Meeting:
             more[y[rank >= self.best]] = True
             found[:] = [[c[rank < self.best]] for c in (y, x, d)]
 
-        # ordinary groups: all their pairs, by distance in the order
-        end = np.repeat(first + size, size)
-        active = np.flatnonzero(np.repeat(ordinary, size))
+        # ordinary groups: the smaller set comes first; its size and position bound the larger one's size
+        group, here = np.repeat(np.arange(len(first)), size), np.arange(len(rows))
         n, most = self.parts(rows)
         share, reach = NUM * n, (NUM + DEN) * most
-        coarse = rows["packed"] >> (_POS + _N)
-        step, waiting = 1, 0
-        while len(active := active[active + step < end[active]]):
-            # what must be shared fits into what can be: the filters of length and position in one
-            i = active[share[active] + share[active + step] <= np.minimum(reach[active], reach[active + step])]
-            ok, d = self.near(rows[i], rows[i + step], n[i] + n[i + step])
-            i, d = i[ok], d[ok]
-            j = i + step
-            level = coarse[i] == coarse[j]  # either may be the earlier
-            for c, part in zip(found, (np.r_[j, i[level]], np.r_[i, j[level]], np.r_[d, d[level]]), strict=True):
+        end = np.searchsorted(group << (_N + 1) | n, group << (_N + 1) | np.maximum(reach // NUM - n, 0), side="right")
+        count = np.where(ordinary[group], np.maximum(end - here - 1, 0), 0)
+        total = np.cumsum(count)
+        coarse, low, high = rows["packed"] >> (_POS + _N), rows["low"].copy(), rows["high"].copy()
+        at, waiting = 0, 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - count[at] + ROWS, side="right")))
+            some = count[at:to]
+            i = np.repeat(here[at:to], some)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+            fits = share[i] + share[j] <= reach[j]
+            i, j = i[fits], j[fits]
+            ok, d = self.near({"low": low[i], "high": high[i]}, {"low": low[j], "high": high[j]}, n[i] + n[j])
+            i, j, d = i[ok], j[ok], d[ok]
+            before, after = coarse[i] <= coarse[j], coarse[j] <= coarse[i]  # in one place either may be the earlier
+            for c, part in zip(found, (np.r_[j[before], i[after]], np.r_[i[before], j[after]], np.r_[d[before], d[after]]), strict=True):
                 c.append(part)
             waiting += len(i)
             if waiting > PAIRS:
                 thin()
                 waiting = 0
-            step += 1
+            at = to
         thin()
         y, x, d = (c[0] for c in found)
-        out = [[rows["node"][x], rows["node"][y], d, more[y]]]
+        out = [[rows["node"][x], rows["node"][y], d, more[y], unsure(rows[x], rows[y]), keys[y]]]
 
         # others: against the first nodes of the key's first batch
         for g in np.flatnonzero(~ordinary):
             group = rows[first[g] : first[g] + size[g]]
             if group["key"][0] != self.hub_key:
-                self.hub_key, self.hub_rows = group["key"][0], group[: self.hubs].copy()
+                self.hub_key, self.hub_rows = group["key"][0], group[np.argsort(group["packed"])[: self.hubs]]
             for k in range(0, len(group), ROWS // self.hubs):
                 part = group[k : k + ROWS // self.hubs]
                 a, b = np.tile(self.hub_rows, len(part)), np.repeat(part, len(self.hub_rows))
@@ -338,42 +437,85 @@ class Meeting:
                 at = np.repeat(np.arange(len(part)), nearest.shape[1])
                 chosen = nearest.reshape(-1)
                 good = d[at, chosen] < 1 << 20
-                stars.append([self.hub_rows["node"][chosen[good]], part["node"][at[good]], d[at[good], chosen[good]], np.ones(int(good.sum()), bool)])
+                x, y = self.hub_rows[chosen[good]], part[at[good]]
+                stars.append([x["node"], y["node"], d[at[good], chosen[good]], np.ones(len(y), bool), unsure(x, y), y["key"]])
                 none = ~good.reshape(len(part), -1).any(1)
-                marks.append(part["node"][none])
+                marks.append(part[none])
         if ended:
             self.hub_key = None
-        bare = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-        out += [*stars, [bare, bare, np.full(len(bare), -1), np.ones(len(bare), bool)]]
-        return wait, [np.concatenate([o[c] for o in out]) for c in range(4)]
-
-
-def candidates(posted: DataFrame, large: int, best: int, hubs: int = HUBS) -> DataFrame:
-    """x, y, d, more: y's nearest candidates x under a key, and whether y may have others there; x is null for the mark alone."""
+        bare = np.concatenate(marks) if marks else rows[:0]
+        out += [*stars, [bare["node"], bare["node"], np.full(len(bare), -1), np.ones(len(bare), bool), np.zeros(len(bare), bool), bare["key"]]]
+        return wait, [np.concatenate([o[c] for o in out]) for c in range(6)]
+
+
+class Groups:
+    """Postings in order of group, those of a group in any order: what Meeting finds under each key. A group of any size passes: keys of over large postings are met, by hubs alone, as they come."""
+
+    def __init__(self, large: int, hubs: int, best: int, most: int = ROWS):
+        self.made, self.large, self.most = (large, hubs, best), large, most
+        self.waiting, self.rows, self.bound, self.hot = [], 0, most, {}
+
+    def by_key(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The waiting rows in order of key, and where each key's begin and how many they are."""
+        rows = np.concatenate(self.waiting)
+        rows = rows[np.argsort(rows["key"])]
+        first = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
+        return rows, first, np.diff(np.r_[first, len(rows)])
+
+    def met(self, rows: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray):
+        """What is found under those keys, each of which has, or had, over large postings."""
+        for k in np.flatnonzero(which).tolist():
+            key = int(rows["key"][first[k]])
+            if key not in self.hot:
+                self.hot[key] = Meeting(*self.made)
+            yield self.hot[key].pairs(rows[first[k] : first[k] + size[k]], False)[1]
+
+    def known(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return among(rows["key"][first], np.array(sorted(self.hot), np.int64))
+
+    def add(self, rows: np.ndarray):
+        self.waiting.append(rows)
+        self.rows += len(rows)
+        if self.rows > self.bound:
+            rows, first, size = self.by_key()
+            many = (size > self.large) | self.known(rows, first)
+            yield from self.met(rows, first, size, many)
+            self.waiting = [rows[np.repeat(~many, size)]]
+            self.rows = len(self.waiting[0])
+            self.bound = max(self.most, 2 * self.rows)
+
+    def end(self):
+        """The rest of a group."""
+        if self.rows:
+            rows, first, size = self.by_key()
+            many = self.known(rows, first)
+            yield from self.met(rows, first, size, many)
+            rows = rows[np.repeat(~many & (size > 1), size)]  # nobody meets a key's only posting
+            if len(rows):
+                yield Meeting(*self.made).pairs(rows, True)[1]
+        self.waiting, self.rows, self.bound, self.hot = [], 0, self.most, {}
+
+
+def candidates(nodes: DataFrame, heavy: int, large: int, best: int, hubs: int = HUBS) -> DataFrame:
+    """x, y, d, more, unsure, key: y's nearest candidates x under a key, whether y may have others there, and unsure(); x is null for the mark alone, the key without it."""
 
     def run(batches):
-        meeting, waiting, rows = Meeting(large, hubs, best), [], 0
-
-        def found(ended: bool):
-            nonlocal waiting, rows
-            wait, (x, y, d, more) = meeting.meet(np.concatenate(waiting), ended)
-            waiting, rows = [wait], len(wait)
-            yield from _found(x, y, d, more)
-
+        now, groups = None, Groups(large, hubs, best)
         for batch in batches:
-            part = np.empty(len(batch), ROW)
-            for name in ROW.names:
-                part[name] = batch.column(name).to_numpy()
-            waiting.append(part)
-            rows += len(part)
-            if rows >= ROWS:
-                yield from found(False)
-        if rows:
-            yield from found(True)
+            for group, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if group != now:
+                    for columns in groups.end():
+                        yield from _found(*columns)
+                    now = group
+                for columns in groups.add(np.frombuffer(value.as_buffer(), ROW)):
+                    yield from _found(*columns)
+        for columns in groups.end():
+            yield from _found(*columns)
 
-    # one number is sorted by its digits; what meets is put in coarse order by the batch
-    dealt = posted.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(tidy(run), "x long, y long, d int, more boolean")
+    # about ten postings a node
+    number = max(1, 10 * nodes.count() // GROUP)
+    dealt = bundles(nodes, heavy, number).repartition("grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(tidy(run), "x long, y long, d int, more boolean, unsure boolean, key long")
 
 
 class Asking:
@@ -456,12 +598,12 @@ def asked(posted: DataFrame, best: int) -> DataFrame:
             for name in ROW.names:
                 part[name] = batch.column(batch.schema.get_field_index(name)).to_numpy()
             for columns in one.add(part, batch.column(batch.schema.get_field_index("asking")).to_numpy(zero_copy_only=False)):
-                yield from _found(*columns)
+                yield from _found(*columns, np.ones(len(columns[0]), bool), columns[0])
         for columns in one.end():
-            yield from _found(*columns)
+            yield from _found(*columns, np.ones(len(columns[0]), bool), columns[0])
 
     dealt = posted.repartition("key").sortWithinPartitions("key", F.desc("asking"), "packed")
-    return dealt.mapInArrow(tidy(run), "x long, y long, d int, more boolean")
+    return dealt.mapInArrow(tidy(run), "x long, y long, d int, more boolean, unsure boolean, key long")
 
 
 def ordered(nodes: DataFrame) -> DataFrame:
@@ -478,14 +620,18 @@ def ordered(nodes: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE, heavy: int = HEAVY, best: int = BEST, hubs: int = HUBS, waiting: int = PAIRS) -> DataFrame:
     """doc_id, th (the text's xxhash64) and removed, the sorted line numbers from 0, of rows of docs that lose lines."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    scratch = Scratch(docs.sparkSession)
+    scratch, place = Scratch(docs.sparkSession), F.struct("doc_id", "th", "line")
     with lean(docs.sparkSession):
         known = levels(docs.select("text"), word_parts, BITS)
-    place = F.struct("doc_id", "th", "line")
-    nodes = line_rows(docs, known, "prefix", heavy).groupBy("node").agg(F.min(place).alias("o"), *(F.first(c).alias(c) for c in ("n", "low", "high", "sign", "prefix")), F.count("*").alias("lines"))
-    nodes = scratch.keep(nodes.select("node", "o.*", "n", "low", "high", "sign", "prefix", "lines"))
+    # lines of a node meet at its name; those that a task has already put after another go anywhere
+    parts = line_rows(docs, known, "prefix", heavy).withColumn("deal", F.when(F.col("node").isNull(), F.xxhash64("doc_id", "th", "line")))
+    in_place = Window.partitionBy("node", "deal").orderBy("doc_id", "th", "line")
+    parts = parts.withColumns({"first": F.col("node").isNotNull() & (F.row_number().over(in_place) == 1), "later": F.col("node").isNull() | (F.rank().over(in_place) > 1)})
+    # rows equal in id and text are one document: neither first nor later
+    lines = scratch.keep(parts.filter("first OR later").select("doc_id", "th", "line", "first", *[F.when(F.col("first"), F.col(c)).alias(c) for c in ("node", "n", "low", "high", "sign", "prefix")]))
+    nodes = lines.filter("first").drop("first")
     with_order = ordered(nodes)
-    found = scratch.keep(candidates(postings(with_order, heavy), large, best, hubs))
+    found = scratch.keep(candidates(with_order, heavy, large, best, hubs))
 
     def ids_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
@@ -501,56 +647,53 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         return line_rows(texts, known, "keys").select("node", "keys").dropDuplicates(["node"])
 
     def directed(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose x is the earlier and whose signatures leave room for a match, with d, how far these differ."""
-        ends = scratch.keep(nodes.select("node", F.struct("doc_id", "th", "line").alias("order"), "n", "sign").join(ids_of(pairs), "node"))
-        return scratch.keep(perhaps_similar(pairs, ends, earlier="order"))
+        """The pairs (x, y, d, unsure) whose x is the earlier and whose signatures leave room for a match, with d, how far these differ. Pairs that aren't unsure are such."""
+        open_ = pairs.filter("unsure").select("x", "y", "d")
+        ends = scratch.keep(nodes.select("node", place.alias("order"), "n", "sign").join(ids_of(open_), "node"))
+        a, b = (ends.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("sign").alias(f"{c}s"), F.col("order").alias(f"{c}o")) for c in "xy")
+        joined = open_.join(a, "x").join(b, "y").filter("xo < yo").withColumn("d", F.when(F.col("xs").isNotNull() & F.col("ys").isNotNull(), differing("xs", "ys")).otherwise(F.col("d")))
+        return scratch.keep(joined.filter(F.col("d") <= room(F.col("xn"), F.col("yn"))).select("x", "y", "d").unionByName(pairs.filter("NOT unsure").select("x", "y", "d")))
 
     def matched(pairs: DataFrame) -> DataFrame:
         return scratch.keep(similar(pairs, whole_sets(pairs)).select(F.col("y").alias("node")).distinct())
 
     def later(pairs: DataFrame, few: bool = False) -> DataFrame:
-        """node of the later one of each matching pair: first each node's nearest pair is verified, then all others of nodes still open; all at once if few."""
+        """node of the later one of each matching pair: first each node's nearest pair is verified, then all others of nodes still open; all at once if few or if most nodes have one."""
         open_ = directed(pairs)
+        if not few:
+            all_, of = open_.agg(F.count("*"), F.approx_count_distinct("y")).first()
+            few = all_ <= 2 * of
         if few:
-            return matched(open_.select("x", "y"))
+            return matched(open_.select("x", "y").distinct())
         nearest = scratch.keep(open_.groupBy("y").agg(F.min_by("x", F.struct("d", "x")).alias("x")).select("x", "y"))
         sure = matched(nearest)
-        rest = scratch.keep(open_.select("x", "y").join(sure.withColumnRenamed("node", "y"), "y", "left_anti").join(nearest, ["x", "y"], "left_anti"))
+        rest = scratch.keep(open_.select("x", "y").distinct().join(sure.withColumnRenamed("node", "y"), "y", "left_anti").join(nearest, ["x", "y"], "left_anti"))
         return sure if rest.isEmpty() else sure.unionByName(matched(rest))
 
-    tried = scratch.keep(found.filter("x IS NOT NULL").select("x", "y").distinct())
-    gone, relevant = later(tried), None
+    # under its other keys a node has been given all
+    marked = scratch.keep(found.filter("more").select(F.col("y").alias("node"), "key").distinct())
+    gone, relevant = later(found.filter("x IS NOT NULL")), None
     while True:
         # more candidates of the marked nodes that nothing has settled, until no more are left
         still = scratch.keep(found.filter("more").select(F.col("y").alias("node")).distinct().join(gone, "node", "left_anti"))
-        scratch.drop(found)
         if still.isEmpty():
             break
-        best *= 8
-        asking = postings(with_order.join(still, "node", "left_semi"), heavy)
+        here = marked.join(still, "node", "left_semi")
+        asking = scratch.keep(postings(with_order.join(still, "node", "left_semi"), heavy).join(here, ["node", "key"], "left_semi"))
         counts = scratch.keep(asking.groupBy("key").count())
+        # the fewer ask, the more each of them gets
+        best = max(8 * best, ASKED // max(1, asking.count()))
         if relevant is None:  # later rounds ask under some of the same keys; the others' postings meet nobody
             only = few_numbers(counts, "key")
             relevant = postings(with_order, heavy, only)
             relevant = relevant if only is None else scratch.keep(relevant)
         found = scratch.keep(asked(parted(asking, relevant, counts, max(1, waiting // best)), best))
-        others = scratch.keep(found.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"))
-        gone = gone.unionByName(later(others, few=True))
-        tried = tried.unionByName(others)
-
-    # lines are made again rather than kept: cheaper than their bytes
-    lost = gone.distinct().withColumn("gone", F.lit(True))
-    fate = scratch.keep(nodes.select("node", place.alias("order"), "lines").join(lost, "node", "left").filter("gone OR lines > 1"))
-    lines = max(1, fate.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0])
+        gone = gone.unionByName(later(found, few=True))
+
+    firsts = nodes.select("node", "doc_id", "th", "line").join(gone.distinct(), "node", "left_semi")
+    fate = scratch.keep(lines.filter("NOT first").select("doc_id", "th", "line").unionByName(firsts.drop("node")))
     scratch.drop(*(df for _, df in [*scratch.paths.values()] if df is not fate))
-    # lines of a node that holds over one in HOT of them all (there are less than HOT such nodes) go to several tasks
-    hot = fate.filter(F.col("lines") * HOT > lines).select("node", F.ceil(F.col("lines") * HOT / lines).alias("parts"))
-    out = line_rows(docs, known, "none", only=few_numbers(fate, "node")).join(F.broadcast(hot), "node", "left")
-    out = out.withColumn("part", F.pmod(F.xxhash64("doc_id", "line"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    copies = F.sequence(F.lit(0).cast("long"), F.when(F.col("lines") * HOT > lines, F.ceil(F.col("lines") * HOT / lines) - 1).otherwise(0))
-    out = out.join(fate.withColumn("part", F.explode(copies)).drop("lines"), ["node", "part"])
-    out = out.filter(F.col("gone").isNotNull() | ~F.col("order").eqNullSafe(place))
-    return out.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return fate.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -583,7 +726,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "removed")
-    slim = docs.select("doc_id", F.xxhash64("text").alias("_text"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    slim = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     out = slim.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left")
     line_list = F.concat_ws(",", F.col("removed").cast("array<string>"))
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(line_list, F.lit("")).alias("removed_lines"))

@@ -173,7 +173,7 @@ def levels(texts: DataFrame, hashes_of, bits: int) -> Levels:
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1].astype("int32"), "counts": [total.tobytes()]})
 
     schema = "slice int, counts binary"
-    parts = texts.mapInArrow(tidy(count), schema).withColumn("some", F.spark_partition_id() % 64)
+    parts = texts.mapInArrow(tidy(count), schema).withColumn("some", F.spark_partition_id() % 8)
     summed = parts.groupBy("slice", "some").applyInPandas(lambda pdf: add(pdf), schema).groupBy("slice").applyInPandas(lambda pdf: add(pdf), schema)
     counts = np.zeros((slices, width), np.int64)
     for r in summed.collect():  # 2**bits numbers

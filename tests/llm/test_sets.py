@@ -320,3 +320,41 @@ def test_rows_without_ids_bridge_classes(spark):
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in link_classes(df).collect())
     assert got == sorted([("1", "1"), ("2", "1"), ("None", "1"), ("None", "1"), *[("None", "None")] * 3])
     assert sorted(r["text"][0] for r in keep_one_of_each_class(df).collect()) == ["a", "b"]
+
+
+def test_groups_lose_no_earlier_partner_and_mark_by_key():
+    from stratalens.llm.op02_line_dedup import _N, _POS, ROW, SHORT, Groups
+
+    rng = np.random.default_rng(3)
+    size = 600
+    rows = np.zeros(size, ROW)
+    rows["key"], rows["node"] = np.where(rng.random(size) < 0.3, 7, rng.integers(0, 40, size)), np.arange(size)
+    n, coarse, pos = rng.integers(8, 12, size) + np.where(rng.random(size) < 0.1, SHORT, 0), rng.integers(0, 9, size), rng.integers(0, 3, size)
+    rows["packed"], rows["low"] = coarse << (_POS + _N) | n << _POS | pos, np.int64(1) << rng.integers(0, 3, size)
+    groups, found = Groups(10, 4, 2, most=50), []
+    for at in range(0, size, 37):
+        found += groups.add(rows[at : at + 37])
+        assert groups.rows <= max(50, 40 * 11) + 37
+    found += groups.end()
+    got, marked = set(), set()
+    for x, y, d, more, unsure, key in (z for part in found for z in zip(*(c.tolist() for c in part), strict=True)):
+        assert key == rows["key"][y]
+        if d >= 0:
+            got.add((x, y))
+            assert unsure == (coarse[x] == coarse[y] or min(n[x], n[y]) > SHORT)
+        if more:
+            marked.add(y)
+    t = lambda i, j: -(-80 * (n[i] + n[j]) // 180)
+    want = {(i, j) for i in range(size) for j in range(size) if i != j and rows["key"][i] == rows["key"][j] and coarse[i] <= coarse[j] and min(n[i] - pos[i], n[j] - pos[j]) >= t(i, j) and 2 * (rows["low"][i] != rows["low"][j]) <= n[i] + n[j] - 2 * t(i, j)}
+    assert len(want) > 500 and got <= want and {y for _, y in want - got} <= marked
+
+
+def test_equal_lines_of_one_block_have_one_first_row(spark):
+    from stratalens.llm.op02_line_dedup import BITS, line_rows, word_parts
+    from stratalens.llm.tokens import levels
+
+    rows = [(3, "a b c d\nq r"), (None, "z\nD c b a"), (2, "a b c d\na b c d"), (2, "a b c d\na b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    got = line_rows(df, levels(df.select("text"), word_parts, BITS), "prefix").collect()
+    assert sorted((str(r["doc_id"]), r["line"]) for r in got if r["node"] is not None) == [("3", 1), ("None", 0), ("None", 1)]
+    assert sorted((str(r["doc_id"]), r["line"]) for r in got if r["node"] is None) == [("2", 0), ("2", 0), ("2", 1), ("2", 1), ("3", 0)]
