@@ -85,7 +85,8 @@ def fixed_cuts(cuts: tuple[float, ...], value: Column) -> Column:
 
 def within_groups(df: DataFrame, q: str, by: str, tertile: str = "tertile", half: str = "half") -> DataFrame:
     """df with the thirds (0, 1, 2) and halves (0, 1) of q inside by; a value on an edge goes down, a null has no bin."""
-    at = quantiles(df, q, [1 / 3, 1 / 2, 2 / 3], "_at", [by])
+    df, columns = df.withColumn("_group", F.struct(by)), df.columns  # a struct: rows without by are a group too
+    at = quantiles(df, q, [1 / 3, 1 / 2, 2 / 3], "_at", ["_group"])
     x = F.col(q)
     third = F.when(x <= F.col("_at")[0], 0).when(x <= F.col("_at")[2], 1).when(x.isNotNull(), 2)
-    return df.join(at, by, "left").withColumns({tertile: third, half: (x > F.col("_at")[1]).cast("int")}).select(*df.columns, tertile, half)
+    return df.join(at, "_group", "left").withColumns({tertile: third, half: (x > F.col("_at")[1]).cast("int")}).select(*columns, tertile, half)

@@ -89,5 +89,6 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], out: str, b
     few = placed.filter(wanted)
     pick = lambda rank: F.max(F.when(holds(rank), F.col("_value")))
     row = few.groupBy(*keys).agg(F.max("_n").alias("_n"), *[pick(F.floor(h)).alias(f"lo{i}") for i, h in enumerate(at)], *[pick(F.ceil(h)).alias(f"hi{i}") for i, h in enumerate(at)])
-    mixed = [F.when(F.floor(h) == F.ceil(h), F.col(f"lo{i}").cast("double")).otherwise((F.ceil(h) - h) * F.col(f"lo{i}") + (h - F.floor(h)) * F.col(f"hi{i}")) for i, h in enumerate(at)]
+    # between equal values there is nothing to mix: rounded shares of one value need not add up to it
+    mixed = [F.when((F.floor(h) == F.ceil(h)) | (F.col(f"lo{i}") == F.col(f"hi{i}")), F.col(f"lo{i}").cast("double")).otherwise((F.ceil(h) - h) * F.col(f"lo{i}") + (h - F.floor(h)) * F.col(f"hi{i}")) for i, h in enumerate(at)]
     return row.select(*keys, F.when(F.col("_n").isNotNull(), F.array(*mixed)).alias(out))
