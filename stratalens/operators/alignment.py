@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranks import with_below
+from .ranks import quantiles, with_below
 
 
 def grid(df: DataFrame, *dims: tuple[str, int]) -> DataFrame:
@@ -72,9 +72,12 @@ def distribution(df: DataFrame, k: int, by: str = "a", s: str = "s") -> DataFram
 
 
 def summary(df: DataFrame, c: str) -> DataFrame:
-    """Order statistics, mean, sample deviation and distinct values of a column."""
-    at = lambda p: F.percentile(c, F.lit(p))
-    return df.agg(F.min(c).alias("min"), at(0.1).alias("p10"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), at(0.9).alias("p90"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.count_distinct(c).alias("n_unique"))
+    """Order statistics, mean, sample deviation and distinct values of a column, from ranks of its counted values: no task holds all of them."""
+    names = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    at = quantiles(df, c, list(names.values()), "_at").select(*[F.col("_at")[i].alias(p) for i, p in enumerate(names)])
+    unique = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_k")).agg(F.count("*").alias("n_unique"))
+    whole = df.agg(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"))
+    return whole.crossJoin(at).crossJoin(unique).select("min", *names, "max", "mean", "sd", "n_unique")
 
 
 __all__ = ["confusion", "distribution", "grid", "matrix", "metrics", "spearman", "summary", "weighted_kappa"]

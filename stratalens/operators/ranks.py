@@ -9,33 +9,49 @@ however large a group is. The quantiles decide where ranges end, never a result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Edges of ranges that are looked through at a time.
+STEP = 10
+
 
 def _starts(dealt: DataFrame, k, by: list[str]) -> DataFrame:
-    """by, _range and _before: the total of k over the group's earlier ranges. A few rows a group."""
+    """by, _range, its _total of k and _before: that of the group's earlier ranges. A few rows a group."""
     totals = dealt.groupBy(*by, "_range").agg(F.sum(k).alias("_total"))
     w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*by, "_range", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_before"))
+    return totals.select(*by, "_range", "_total", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_before"))
+
+
+def _within(k, order: list, by: list[str]):
+    """The sum of k over rows of the same range that come before in order."""
+    return F.coalesce(F.sum(k).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def _placed(dealt: DataFrame, k, order: list, by: list[str], out: str) -> DataFrame:
     """dealt (with _range) with out: the sum of k over rows of the group that come before in range and order."""
-    within = F.coalesce(F.sum(k).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = _starts(dealt, k, by)
-    placed = dealt.withColumn("_within", within).join(starts if by else F.broadcast(starts), [*by, "_range"])
+    starts = _starts(dealt, k, by).drop("_total")
+    placed = dealt.withColumn("_within", _within(k, order, by)).join(starts if by else F.broadcast(starts), [*by, "_range"])
     return placed.withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
 
 
-def with_below(counts: DataFrame, value: str, k: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """counts (numeric values, each once a group, with their k) with the sum of k over all smaller values of the group."""
+def _dealt(counts: DataFrame, value: str) -> DataFrame:
+    """counts with _range: how many approximate quantiles of all its values are at or below value, by every STEP-th of them, then the next STEP."""
     ranges = max(16, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(max(1000, 4 * ranges)))
-    edges = counts.agg(F.array_distinct(cuts).alias("_cuts"))
-    dealt = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_cuts", lambda e: e <= F.col(value)))).drop("_cuts")
-    return _placed(dealt, k, [value], by or [], out)
+    edges = counts.agg(F.array_distinct(cuts).alias("_cuts")).withColumn("_each", F.filter("_cuts", lambda e, i: i % STEP == STEP - 1))
+    passed = lambda some: F.size(F.filter(some, lambda e: e <= F.col(value)))
+    coarse = counts.crossJoin(F.broadcast(edges)).withColumn("_coarse", STEP * passed("_each"))
+    return coarse.withColumn("_range", F.col("_coarse") + passed(F.slice("_cuts", F.col("_coarse") + 1, STEP))).drop("_cuts", "_each", "_coarse")
+
+
+def with_below(counts: DataFrame, value: str, k: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """counts (numeric values, each once a group, with their k) with the sum of k over all smaller values of the group."""
+    return _placed(_dealt(counts, value), k, [value], by or [], out)
 
 
 def counted(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -74,19 +90,25 @@ def in_hash_order(df: DataFrame, key: str, out: str, by: list[str] | None = None
 def quantiles(df: DataFrame, value: str, probabilities: list[float], out: str, by: list[str] | None = None) -> DataFrame:
     """The exact quantiles of value, with linear interpolation, as an array, for each group; one row, null without values, if there are no groups.
 
-    Distinct values are counted and placed; only the rows that hold a wanted rank
-    go on, so no task sees all values of a group.
+    Distinct values are counted and dealt to ranges; only ranges that hold a wanted rank
+    are ordered, and of those only the rows that hold one go on, so no task sees all
+    values of a group.
     """
     keys = by or []
-    placed = counted(df.filter(F.col(value).isNotNull()), value, by)
-    n = placed.groupBy(*keys).agg(F.sum("_k").alias("_n"))
-    placed = placed.join(n, keys) if keys else placed.crossJoin(F.broadcast(n))
+    dealt = _dealt(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_k")), "_value")
+    starts = _starts(dealt, "_k", keys)
+    n = starts.groupBy(*keys).agg(F.sum("_total").alias("_n"))
+    starts = starts.join(n, keys) if keys else starts.crossJoin(F.broadcast(n))
     at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
-    holds = lambda rank: (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_k"))
-    wanted = F.lit(False)
-    for h in at:
-        wanted = wanted | holds(F.floor(h)) | holds(F.ceil(h))
-    few = placed.filter(wanted)
+
+    def wanted(below: str, k: str):
+        holds = lambda rank: (F.col(below) <= rank) & (rank < F.col(below) + F.col(k))
+        return holds, reduce(or_, [holds(rank(h)) for h in at for rank in (F.floor, F.ceil)])
+
+    ranges = starts.filter(wanted("_before", "_total")[1]).drop("_total")
+    placed = dealt.join(ranges if keys else F.broadcast(ranges), [*keys, "_range"]).withColumn("_below", F.col("_before") + _within("_k", ["_value"], keys))
+    holds, some = wanted("_below", "_k")
+    few = placed.filter(some)
     pick = lambda rank: F.max(F.when(holds(rank), F.col("_value")))
     row = few.groupBy(*keys).agg(F.max("_n").alias("_n"), *[pick(F.floor(h)).alias(f"lo{i}") for i, h in enumerate(at)], *[pick(F.ceil(h)).alias(f"hi{i}") for i, h in enumerate(at)])
     # between equal values there is nothing to mix: rounded shares of one value need not add up to it

@@ -32,3 +32,12 @@ def test_within_group_bins_of_copies_and_nulls_match_sql(spark, tmp_path):
     value = F.when(F.col("event_id") % 11 != 0, F.col("value"))
     copies.withColumns({"event_id": F.col("event_id") + 1000 * F.col("copy"), "user_id": user, "value": value}).drop("copy").write.parquet(str(tmp_path / "events.parquet"))
     agrees(spark, "w12_within_group_bins", tmp_path, ["events"])
+
+
+def test_summary_holds_no_column_in_a_task(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    copies = orders.crossJoin(spark.range(3).withColumnRenamed("id", "copy"))
+    copies.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice") + F.col("copy") * 0.01)).drop("copy").write.parquet(str(tmp_path / "orders.parquet"))
+    agrees(spark, "a32_summary", tmp_path, ["orders"])
+    plan = catalog.queries()["a32_summary"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "count(distinct" not in plan
