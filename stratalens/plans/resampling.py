@@ -1,8 +1,8 @@
 """Bootstrap intervals.
 
 Two engines. ``stratified_bootstrap`` and ``cluster_bootstrap`` take hashed draws, the
-same in any engine and partitioning, with a row for every unit (or cluster) and
-resample: for small tables. ``count_bootstrap`` and ``count_cluster_bootstrap`` draw
+same in any engine and partitioning: a hash and two bytes for every unit (or cluster)
+and resample. ``count_bootstrap`` and ``count_cluster_bootstrap`` draw
 how often each distinct cell is taken: a group's units fall over the leaves of a binary
 tree by binomial splits addressed by (seed, group, node), and over a leaf's cells by one
 multinomial draw, so nothing is copied for each resample and what leaves a task is its
@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import uniform
 from ..operators.gaps import mean_gap
 from ..operators.ranks import numbered, with_below
 from .draws import resample, stream
+from .hashed import drawn_sums
 from .permutation import BLOCK, CHUNK, leaves, path_of
 
 
@@ -32,16 +32,13 @@ def stratified_bootstrap(df: DataFrame, reps: int, seed: str) -> DataFrame:
     """(rep, gap) of resamples with strata's sizes fixed; strata that lose a group drop out of that resample.
 
     Slot j of a stratum in resample r takes the unit whose number is a hash of
-    (seed, r, stratum, j), so only numbers are joined.
+    (seed, r, stratum, j), so only numbers meet.
     """
-    places = numbered(df, "unit_id", "_k", ["z"]).select("z", "a", "s_raw", (F.col("_k") - 1).alias("k")).join(df.groupBy("z").agg(F.count("*").alias("m")), "z")
-    slots = places.select("z", "m", F.col("k").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    pick = F.floor(uniform(seed, "rep", "z", "slot") * F.col("m")).alias("k")
-    # equal picks are counted before the join: a unit is joined once a resample, with its multiplicity
-    picks = slots.select("z", "rep", pick).groupBy("z", "rep", "k").agg(F.count("*").alias("times"))
-    drawn = picks.join(places.drop("m"), ["z", "k"])
-    one = lambda g, c: F.sum(F.when(F.col("a") == g, F.col("times") * c))
-    strata = drawn.groupBy("rep", "z").agg(F.sum("times").alias("n"), (one(1, F.col("s_raw")) / one(1, F.lit(1)) - one(0, F.col("s_raw")) / one(0, F.lit(1))).alias("d"))
+    places = numbered(df.filter("z IS NOT NULL"), "unit_id", "_k", ["z"]).select("z", "a", "s_raw", (F.col("_k") - 1).alias("k"))
+    seen = F.col("s_raw").isNotNull()
+    own = {f"{c}{g}": F.when((F.col("a") == g) & seen, x).otherwise(0.0) for g in (0, 1) for c, x in (("n", F.lit(1.0)), ("s", F.col("s_raw")))}
+    drawn = drawn_sums(places.select("z", "k", F.lit(1.0).alias("n"), *[x.alias(c) for c, x in own.items()]), ["n", *own], reps, seed)
+    strata = drawn.withColumn("d", F.try_divide("s1", "n1") - F.try_divide("s0", "n0"))
     return strata.filter("d IS NOT NULL").groupBy("rep").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("gap"))
 
 
@@ -51,11 +48,8 @@ def cluster_bootstrap(clusters: DataFrame, reps: int, seed: str) -> DataFrame:
     Only cluster totals take part, whatever the number of units.
     """
     one = clusters.withColumn("_one", F.lit(1).cast("long"))
-    places = with_below(one, "cluster", "_one", "k").select("k", "d_sum", "n").crossJoin(F.broadcast(clusters.agg(F.count("*").alias("m"))))
-    slots = places.select("m", F.col("k").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    picks = slots.select("rep", F.floor(uniform(seed, "rep", "slot") * F.col("m")).alias("k")).groupBy("rep", "k").agg(F.count("*").alias("times"))
-    drawn = picks.join(places.drop("m"), "k")
-    return drawn.groupBy("rep").agg((F.sum(F.col("times") * F.col("d_sum")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    places = with_below(one, "cluster", "_one", "k").select(F.lit(0).alias("z"), "k", F.coalesce(F.col("d_sum").cast("double"), F.lit(0.0)).alias("d_sum"), F.col("n").cast("double").alias("n"))
+    return drawn_sums(places, ["d_sum", "n"], reps, seed, named=False).select("rep", (F.col("d_sum") / F.col("n")).alias("mean"))
 
 
 def resampled_totals(cells: DataFrame, reps: int, seed: int, sums: list[str], kind: str = "a", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:

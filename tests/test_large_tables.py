@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalens import catalog
 from stratalens.operators import binning
+from stratalens.plans import hashed, resampling
 
 
 def agrees(spark, name, folder, tables):
@@ -41,3 +42,26 @@ def test_summary_holds_no_column_in_a_task(spark, tmp_path):
     agrees(spark, "a32_summary", tmp_path, ["orders"])
     plan = catalog.queries()["a32_summary"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "count(distinct" not in plan
+
+
+def test_hashed_resamples_are_the_units_that_the_hash_names(spark):
+    """Blocks of units and ranges of slots change nothing; the sums are those of picks made one by one."""
+    import hashlib
+
+    rows = [(z, k, float(k * k % 31)) for z, m in (("a", 23), ("b:c", 57)) for k in range(m)]
+    places = spark.createDataFrame(rows, "z string, k long, v double").withColumn("n", F.lit(1.0))
+    of = {(z, k): v for z, k, v in rows}
+    pick = lambda z, rep, j, m: int((int(hashlib.sha256(f"s:{rep}:{z}:{j}".encode()).hexdigest()[:13], 16) / 2**52) * m)
+    want = {(rep, z): (m, sum(of[z, pick(z, rep, j, m)] for j in range(m))) for rep in range(1, 8) for z, m in (("a", 23), ("b:c", 57))}
+    for more in ({}, {"units": 8}, {"units": 8, "slots": 10}):
+        got = hashed.drawn_sums(places, ["n", "v"], 7, "s", **more)
+        assert {(r["rep"], r["z"]): (r["n"], r["v"]) for r in got.collect()} == want
+
+
+def test_bootstraps_make_no_row_for_each_unit_and_resample(spark):
+    """Only numbers of strata and of clusters are multiplied by resamples, never their units."""
+    units = spark.range(40).selectExpr("id AS unit_id", "CAST(id AS double) AS s_raw", "CAST(id % 2 AS int) AS a", "'x' AS z")
+    clusters = spark.range(40).selectExpr("id AS cluster", "CAST(id AS double) AS d_sum", "id + 1 AS n")
+    for df in (resampling.stratified_bootstrap(units, 30, "s"), resampling.cluster_bootstrap(clusters, 30, "s")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count() == 30 and "sha2" not in plan and all("slot" not in line for line in plan.splitlines() if "Generate" in line)
