@@ -3,7 +3,8 @@
 Three engines. ``permuted`` numbers the units of every (draw, stratum) by a hash of
 (seed, draw, unit) and gives the k-th the attribute of the stratum's k-th unit: SQL
 throughout, the same in any engine, with every unit copied for each draw, so for small
-tables. ``grouped_cells`` permutes inside Arrow groups: a stratum's units are dealt
+tables; ``permuted_cells`` (in hashed.py) has the sums of the same draws by cell, for
+large ones. ``grouped_cells`` permutes inside Arrow groups: a stratum's units are dealt
 over the leaves of a binary tree of at most about CHUNK units each; every draw passes
 the stratum's labels down that tree by hypergeometric splits addressed by (seed,
 stratum, node), so a task walks the few nodes above its own leaf and knows no other
@@ -26,6 +27,7 @@ from ..operators import cell_statistics
 from ..operators.ranks import in_hash_order, numbered
 from ..operators.statistics import cells, observed
 from .draws import stream, tables, walk
+from .hashed import permuted_cells
 from .shared import cut
 
 #: A null draw counts as reaching the observed value within this, relative to it.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalens import catalog
 from stratalens.operators import binning
-from stratalens.plans import hashed, resampling
+from stratalens.plans import hashed, permutation, resampling
 
 
 def agrees(spark, name, folder, tables):
@@ -44,6 +44,16 @@ def test_summary_holds_no_column_in_a_task(spark, tmp_path):
     assert "percentile(" not in plan and "count(distinct" not in plan
 
 
+def test_permuted_cells_are_the_sums_of_permuted_rows(spark, tmp_path):
+    """One job or many, a stratum whole or in ranges: the same draws as the rows of permuted."""
+    units = spark.range(700).selectExpr("id * 3 - 50 AS unit_id", "CAST(id % 37 AS double) / 4 AS s_raw", "CAST(id % 4 AS int) AS s_bin", "IF(id % 19 = 0, NULL, CAST(id * id % 7 = 1 AS int)) AS a", "IF(id % 23 = 0, NULL, IF(id % 5 < 4, 'x:y', 'b')) AS z").cache()
+    rows = permutation.permuted(units, 5, 17).groupBy("draw", "z", "s_bin", "a").agg(F.count("*").alias("n"), F.sum("s_raw").alias("s_sum"), F.sum(F.col("s_raw") * F.col("s_raw")).alias("s_sq"))
+    want = canonical(rows.collect(), rows.columns)
+    for more in ({}, {"at_once": 1500}, {"at_once": 1500, "most": 60}, {"most": 300}):
+        got = hashed.permuted_cells(units, 5, 17, **more)
+        assert canonical(got.select(*rows.columns).collect(), rows.columns) == want
+
+
 def test_hashed_resamples_are_the_units_that_the_hash_names(spark):
     """Blocks of units and ranges of slots change nothing; the sums are those of picks made one by one."""
     import hashlib
