@@ -63,6 +63,11 @@ def p_values(null: DataFrame, real: DataFrame, b: int, two_sided: bool = False)
     return out.withColumn("p_value", (1 + F.col("n_at_least")) / (b + 1))
 
 
+def _cells_will_do(df: DataFrame, names: list[str]) -> bool:
+    """Whether the draws of permuted may come as cells: for statistics of cells, where all scores are finite."""
+    return set(names) <= set(cell_statistics.CELL_STATISTICS) and df.filter("s_raw IS NULL OR isnan(s_raw) OR abs(s_raw) = double('inf')").isEmpty()
+
+
 def portable_test(df: DataFrame, names: list[str], b: int, seed: int) -> DataFrame:
     null = observed(cut(permuted(df, b, seed)), names, ["draw"]).withColumnRenamed("observed", "value")
     return p_values(null, observed(df, names), b)
@@ -184,8 +189,12 @@ def paired_test(df: DataFrame, b: int, seed: int) -> DataFrame:
     """Two-sided test of the weighted gap of paired differences (s_raw), with an absolute tolerance of 1e-12."""
     from ..operators.gaps import mean_gap
 
+    df = cut(df)
     real = mean_gap(df).select(F.col("gap").alias("observed"))
-    null = mean_gap(permuted(df, b, seed), by=["draw"])
+    if _cells_will_do(df, ["weighted_gap"]):
+        null = cell_statistics.wide(permuted_cells(df.withColumn("s_bin", F.lit(0)), b, seed), ["weighted_gap"], ["draw"]).withColumnRenamed("weighted_gap", "gap")
+    else:
+        null = mean_gap(permuted(df, b, seed), by=["draw"])
     hits = null.crossJoin(F.broadcast(real)).agg(F.count_if(F.abs("gap") >= F.abs("observed") - TWO_SIDED_TOLERANCE).alias("n_at_least"))
     return real.crossJoin(hits).withColumn("p_value", (1 + F.col("n_at_least")) / (b + 1))
 

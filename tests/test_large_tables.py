@@ -54,6 +54,21 @@ def test_permuted_cells_are_the_sums_of_permuted_rows(spark, tmp_path):
         assert canonical(got.select(*rows.columns).collect(), rows.columns) == want
 
 
+def without_rows(spark, monkeypatch, test):
+    """The test's row as it is where units may not be copied for each draw, and by the engine that copies them."""
+    units = spark.range(300).selectExpr("id AS unit_id", "CAST(id * 7 % 11 AS double) AS s_raw", "CAST(id % 3 AS int) AS s_bin", "CAST(id % 4 = 0 AS int) AS a", "CAST(id % 2 AS int) AS z")
+    with monkeypatch.context() as m:
+        m.setattr(permutation, "_cells_will_do", lambda df, names: False)
+        slow = test(units)
+    monkeypatch.setattr(permutation, "permuted", None)
+    fast = test(units)
+    assert [r["n_at_least"] for r in fast] == [r["n_at_least"] for r in slow] and all(a["observed"] == pytest.approx(b["observed"]) for a, b in zip(fast, slow, strict=True))
+
+
+def test_paired_test_copies_no_unit_for_each_draw(spark, monkeypatch):
+    without_rows(spark, monkeypatch, lambda units: permutation.paired_test(units, 49, 5).collect())
+
+
 def test_hashed_resamples_are_the_units_that_the_hash_names(spark):
     """Blocks of units and ranges of slots change nothing; the sums are those of picks made one by one."""
     import hashlib
