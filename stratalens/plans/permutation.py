@@ -68,8 +68,19 @@ def _cells_will_do(df: DataFrame, names: list[str]) -> bool:
     return set(names) <= set(cell_statistics.CELL_STATISTICS) and df.filter("s_raw IS NULL OR isnan(s_raw) OR abs(s_raw) = double('inf')").isEmpty()
 
 
+def _centred(df: DataFrame) -> DataFrame:
+    """df with scores about their overall mean."""
+    centre = df.agg(F.avg("s_raw").alias("_m"))
+    return df.crossJoin(F.broadcast(centre)).withColumn("s_raw", F.col("s_raw") - F.col("_m")).drop("_m")
+
+
 def portable_test(df: DataFrame, names: list[str], b: int, seed: int) -> DataFrame:
-    null = observed(cut(permuted(df, b, seed)), names, ["draw"]).withColumnRenamed("observed", "value")
+    """p-values over the draws of permuted. Statistics of cells see their sums alone; others, and scores that aren't finite, take rows."""
+    df = cut(df)
+    if _cells_will_do(df, names):
+        null = cell_statistics.long(permuted_cells(_centred(df), b, seed), names, ["draw"], "value")
+    else:
+        null = observed(cut(permuted(df, b, seed)), names, ["draw"]).withColumnRenamed("observed", "value")
     return p_values(null, observed(df, names), b)
 
 
@@ -140,9 +151,7 @@ def grouped_null(df: DataFrame, b: int, seed: int, block: int = BLOCK, chunk: in
     Scores are taken about their overall mean, so statistics must not change when all
     scores move alike.
     """
-    df = cut(df)
-    centre = df.agg(F.avg("s_raw").alias("_m"))
-    df = df.crossJoin(F.broadcast(centre)).withColumn("s_raw", F.col("s_raw") - F.col("_m")).drop("_m")
+    df = _centred(cut(df))
     return cell_statistics.long(grouped_cells(df, b, seed, block, chunk), names or TESTED, ["draw"], "value")
 
 

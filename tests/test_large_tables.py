@@ -69,6 +69,10 @@ def test_paired_test_copies_no_unit_for_each_draw(spark, monkeypatch):
     without_rows(spark, monkeypatch, lambda units: permutation.paired_test(units, 49, 5).collect())
 
 
+def test_portable_test_copies_no_unit_for_each_draw(spark, monkeypatch):
+    without_rows(spark, monkeypatch, lambda units: permutation.portable_test(units, ["conditional_g2", "mean_disparity"], 49, 5).orderBy("statistic").collect())
+
+
 def test_hashed_resamples_are_the_units_that_the_hash_names(spark):
     """Blocks of units and ranges of slots change nothing; the sums are those of picks made one by one."""
     import hashlib
